@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source system has no stream processing: background work is a job queue
+polled by the browser.  Nothing is built here; every operator in this package
+runs as a batch DataFrame plan, and any of them can be applied per micro-batch
+through ``foreachBatch`` if a caller needs it.
+"""
