@@ -18,21 +18,21 @@ ColumnOrName = Column | str
 # "inf", which a plain float parser would reject.
 NUMERIC_LITERAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# Date/time patterns tried in order.  ISO first; day-first before month-first
-# unless the caller says otherwise (the cleaning step picks the order with the
-# better column-wide ratio).
-ISO_DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "yyyy-MM",
-]
-DAY_FIRST_FORMATS = ["dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yyyy HH:mm:ss"]
-MONTH_FIRST_FORMATS = ["MM/dd/yyyy", "M/d/yyyy", "MM-dd-yyyy", "MM/dd/yyyy HH:mm:ss"]
-NAMED_MONTH_FORMATS = ["d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "dd-MMM-yyyy"]
-
+# FIXED VALUES — English month names (3-letter prefixes, in calendar order).
+MONTH_PREFIXES = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+# Date shapes recognised by ``parse_timestamp`` (whole cell, case-insensitive):
+#   ISO      2024-01-15, 2024/01/15, 2024-01-15 10:30[:00[.123]], 2024-01-15T10:30:00
+#   D/M/Y    15/01/2024, 15-01-2024, 15.01.2024 [10:30[:00]] (day-first unless told otherwise)
+#   Y-M      2024-01 (first day of the month)
+#   year     2024 (1900–2100, first of January)
+#   named    15 Jan 2024, 15-January-2024, Jan 15, 2024, January 15 2024
+_ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?$"
+_DMY = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
+_YM = r"^(\d{4})-(\d{1,2})$"
+_YEAR = r"^(19\d\d|20\d\d|2100)$"
+_D_MON_Y = r"(?i)^(\d{1,2})[ -]([a-z]{3,9})\.?[ -](\d{4})$"
+_MON_D_Y = r"(?i)^([a-z]{3,9})\.? (\d{1,2}),? (\d{4})$"
 
 def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -70,9 +70,17 @@ def _strip_parens(t: Column) -> Column:
     return F.regexp_replace(t, r"^[()]+|[()]+$", "")
 
 
-def parse_number(c: ColumnOrName) -> Column:
-    """simple parser — drop currency, spaces, commas and ``%``; ``(x)`` is negative."""
-    t = normalise_missing(c)
+def _text(c: ColumnOrName, clean: bool) -> Column:
+    return normalise_missing(c) if clean else _col(c)
+
+
+def parse_number(c: ColumnOrName, clean: bool = True) -> Column:
+    """simple parser — drop currency, spaces, commas and ``%``; ``(x)`` is negative.
+
+    ``clean=False`` when ``c`` is already normalised (see ``normalise_missing``);
+    project it once in its own ``select`` so the regexes run once per cell.
+    """
+    t = _text(c, clean)
     negative = t.startswith("(") & t.endswith(")")
     t = _strip_parens(t)
     t = F.regexp_replace(t, "[" + FV.CURRENCY_SYMBOLS + "]", "")
@@ -81,14 +89,14 @@ def parse_number(c: ColumnOrName) -> Column:
     return _finish_number(t, negative)
 
 
-def parse_number_locale(c: ColumnOrName) -> Column:
+def parse_number_locale(c: ColumnOrName, clean: bool = True) -> Column:
     """locale-aware parser ("3 200,00", "5,500.00", "$3,800", "(1 234,56)", "1.234,56").
 
     When both separators occur the last one is the decimal mark.  With commas
     only, one comma followed by exactly three digits, or several three-digit
     groups, are thousands; any other comma is the decimal mark.
     """
-    t = normalise_missing(c)
+    t = _text(c, clean)
     negative = t.startswith("(") & t.endswith(")")
     t = _strip_parens(t)
     t = F.regexp_replace(
@@ -115,26 +123,50 @@ def looks_numeric(c: ColumnOrName) -> Column:
 
 
 # ----------------------------------------------------------------- F5, F6, F10
-def parse_timestamp(c: ColumnOrName, day_first: bool = True) -> Column:
-    """first format of a fixed list that parses the whole cell, else null.
+def _ts(y, m, d, hh=None, mm=None, ss=None) -> Column:
+    z = F.lit(0)
+    i = lambda x: x.try_cast("int")
+    return F.try_make_timestamp_ntz(
+        i(y), i(m), i(d),
+        F.coalesce(i(hh), z) if hh is not None else z,
+        F.coalesce(i(mm), z) if mm is not None else z,
+        F.coalesce(i(ss), z) if ss is not None else z,
+    )
 
-    Typed dates/timestamps pass through.  A 4-digit year 1900–2100 becomes
-    1 January; other bare numbers are never dates.
+
+def _month_number(name: Column) -> Column:
+    prefix = F.lower(F.substring(name, 1, 3))
+    table = F.create_map(*[x for i, m in enumerate(MONTH_PREFIXES) for x in (F.lit(m), F.lit(i + 1))])
+    return table[prefix]
+
+
+def parse_timestamp(c: ColumnOrName, day_first: bool = True, clean: bool = True) -> Column:
+    """timestamp from text of a recognised date shape, else null.
+
+    ISO shapes go through Spark's own string→timestamp cast (no regex); D/M/Y
+    is rearranged to ISO by one ``regexp_replace`` and cast, ``day_first``
+    order first and the other order when the first is impossible.  Named
+    months are rebuilt with ``try_make_timestamp_ntz``.  An impossible date
+    (31/02/2024) is null and nothing throws.  Bare numbers are never dates,
+    except a 4-digit year 1900–2100.
     """
-    t = normalise_missing(c)
-    formats = ISO_DATE_FORMATS + (
-        DAY_FIRST_FORMATS + MONTH_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS + DAY_FIRST_FORMATS
-    ) + NAMED_MONTH_FORMATS
-    parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
-    year_only = F.when(
-        t.rlike(r"^(19\d\d|20\d\d|2100)$"), F.try_to_timestamp(t, F.lit("yyyy"))
+    t = _text(c, clean)
+    cast = lambda x: x.try_cast("timestamp_ntz")
+    g = lambda pat, i: F.regexp_extract(t, pat, i)
+    first, other = ("$3-$2-$1", "$3-$1-$2") if day_first else ("$3-$1-$2", "$3-$2-$1")
+    dmy_head = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?=$|[ T])"
+    return (
+        F.when(t.rlike(r"^\d+$"), F.when(t.rlike(_YEAR), cast(t)))
+        .when(t.rlike(r"^\d{4}[-/]\d{1,2}([-/]\d{1,2})?([ T]\d|$)"), cast(F.translate(t, "/", "-")))
+        .when(t.rlike(dmy_head), F.coalesce(cast(F.regexp_replace(t, dmy_head, first)), cast(F.regexp_replace(t, dmy_head, other))))
+        .when(t.rlike(_D_MON_Y), _ts(g(_D_MON_Y, 3), _month_number(g(_D_MON_Y, 2)), g(_D_MON_Y, 1)))
+        .when(t.rlike(_MON_D_Y), _ts(g(_MON_D_Y, 3), _month_number(g(_MON_D_Y, 1)), g(_MON_D_Y, 2)))
     )
-    return F.coalesce(parsed, year_only)
 
 
-def parse_date(c: ColumnOrName, day_first: bool = True) -> Column:
+def parse_date(c: ColumnOrName, day_first: bool = True, clean: bool = True) -> Column:
     """F5 + F6: parsed value truncated to the day (``DateType``)."""
-    return F.to_date(parse_timestamp(c, day_first))
+    return F.to_date(parse_timestamp(c, day_first, clean))
 
 
 def to_timestamp_any(c: ColumnOrName, data_type: str, day_first: bool = True) -> Column:
@@ -155,9 +187,9 @@ def looks_like_date_value(c: ColumnOrName) -> Column:
 
 
 # --------------------------------------------------------------------- F7, F8
-def parse_boolean(c: ColumnOrName) -> Column:
+def parse_boolean(c: ColumnOrName, clean: bool = True) -> Column:
     """yes/no words in English and French → boolean, anything else null."""
-    t = F.lower(normalise_missing(c))
+    t = F.lower(_text(c, clean))
     return F.when(t.isin(*FV.TRUE_WORDS), F.lit(True)).when(t.isin(*FV.FALSE_WORDS), F.lit(False))
 
 
@@ -184,9 +216,9 @@ def title_case(c: ColumnOrName) -> Column:
     )
 
 
-def normalize_category(c: ColumnOrName) -> Column:
+def normalize_category(c: ColumnOrName, clean: bool = True) -> Column:
     """F8: gender synonyms → Male/Female; otherwise collapse spaces and title-case."""
-    t = normalise_missing(c)
+    t = _text(c, clean)
     low = F.lower(t)
     collapsed = utrim(F.regexp_replace(t, r"(?U)\s+", " "))
     return (
@@ -266,7 +298,7 @@ def format_display(c: ColumnOrName, kind: str = "number", decimals: int | None =
         decimals = {"number": 0, "currency": 2, "percentage": 1}.get(kind, 0)
     if kind == "percentage":
         v = v * 100
-    rounded = F.format_number(F.abs(v), decimals)  # "1,234.50"
+    rounded = F.format_number(F.round(F.abs(v), decimals), decimals)  # "1,234.50", half-up
     int_part = F.regexp_replace(F.split(rounded, r"\.").getItem(0), ",", "")
     frac = F.split(rounded, r"\.").getItem(1)
     body = _group_thousands(int_part, " ")

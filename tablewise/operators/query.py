@@ -193,12 +193,17 @@ def monthly_series(
     """
     aggregation = (aggregation or "sum").lower()
     dt = dtype_of(df, x)
-    ts = P.to_timestamp_any(x, dt.simpleString(), day_first)
+    if isinstance(dt, T.StringType):
+        df = df.withColumn(x, P.normalise_missing(x))
+        ts = P.parse_timestamp(x, day_first, clean=False)
+    else:
+        ts = P.to_timestamp_any(x, dt.simpleString(), day_first)
     use_dates = True
     if not is_temporal_type(dt):
         use_dates = len(df.where(ts.isNotNull()).select(F.lit(1)).limit(1).collect()) > 0
     if use_dates:
-        base = df.where(ts.isNotNull()).withColumn("__key", P.month_label(ts))
+        staged = df.withColumn("__ts", ts)
+        base = staged.where(F.col("__ts").isNotNull()).withColumn("__key", P.month_label("__ts"))
     else:
         base = df.withColumn("__key", as_label(x))
     if aggregation == "count":

@@ -41,3 +41,344 @@ def register(name: str, sql: str | None = None):
 def chart_top_priority(spark: SparkSession, sf: str) -> DataFrame:
     orders = read_table(spark, sf, "orders")
     return Q.grouped_chart(orders, "o_orderpriority", "o_totalprice", "sum", limit=25, digits=2)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return read_table(spark, sf, name)
+
+
+# ----------------------------------------------------------- A3 (null group)
+@register(
+    "chart_null_group",
+    """
+    SELECT coalesce(s, '(vide)') AS label, round(avg(o_totalprice), 2) AS value
+    FROM (SELECT nullif(o_orderstatus, 'F') AS s, o_totalprice FROM orders)
+    GROUP BY s ORDER BY value DESC, label LIMIT 25
+    """,
+)
+def chart_null_group(spark, sf):
+    o = _t(spark, sf, "orders").select(F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("s"), "o_totalprice")
+    return Q.grouped_chart(o, "s", "o_totalprice", "avg", digits=2)
+
+
+# ---------------------------------------------------------------- A3 count
+@register(
+    "chart_count_returnflag",
+    """
+    SELECT coalesce(l_returnflag, '(vide)') AS label, CAST(count(*) AS DOUBLE) AS value
+    FROM lineitem GROUP BY l_returnflag ORDER BY value DESC, label LIMIT 25
+    """,
+)
+def chart_count_returnflag(spark, sf):
+    return Q.grouped_chart(_t(spark, sf, "lineitem"), "l_returnflag", None, "count")
+
+
+# --------------------------------------------------------------------- A4
+@register(
+    "sql_chart_brand_avg",
+    """
+    SELECT b AS label, round(coalesce(avg(p_retailprice), 0), 2) AS value
+    FROM (SELECT nullif(p_brand, 'Brand#1') AS b, p_retailprice FROM part)
+    WHERE b IS NOT NULL GROUP BY b ORDER BY value DESC, label LIMIT 10
+    """,
+)
+def sql_chart_brand_avg(spark, sf):
+    p = _t(spark, sf, "part").select(F.when(F.col("p_brand") != "Brand#1", F.col("p_brand")).alias("b"), "p_retailprice")
+    return Q.sql_chart(p, "b", "p_retailprice", "Moyenne", limit=10, digits=2)
+
+
+@register(
+    "sql_chart_first_dates",
+    """
+    SELECT CAST(d AS VARCHAR) AS label, CAST(count(*) AS DOUBLE) AS value
+    FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders)
+    WHERE d IS NOT NULL GROUP BY d ORDER BY d LIMIT 10
+    """,
+)
+def sql_chart_first_dates(spark, sf):
+    o = _t(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"))
+    return Q.sql_chart(o, "d", None, "Nombre", limit=10, digits=2)
+
+
+@register(
+    "sql_chart_combined",
+    """
+    SELECT l_returnflag AS label, round(sum(l_quantity), 2) AS value, round(sum(l_extendedprice), 2) AS value2
+    FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag ORDER BY value DESC, label LIMIT 10
+    """,
+)
+def sql_chart_combined(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    return Q.sql_chart(li, "l_returnflag", "l_quantity", "Total", limit=10, digits=2, secondary_value_field="l_extendedprice")
+
+
+@register(
+    "sql_chart_distinct_customers",
+    """
+    SELECT o_orderpriority AS label, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS value
+    FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority ORDER BY value DESC, label LIMIT 10
+    """,
+)
+def sql_chart_distinct_customers(spark, sf):
+    return Q.sql_chart(_t(spark, sf, "orders"), "o_orderpriority", "o_custkey", "Nombre unique", limit=10, digits=2)
+
+
+# ------------------------------------------------------------------- A1, A2, W6
+@register(
+    "kpi_lineitem",
+    """
+    SELECT CAST(count(*) AS DOUBLE) AS row_count,
+           round(coalesce(sum(l_quantity), 0), 2) AS total_quantity,
+           round(CASE WHEN count(l_extendedprice) = 0 THEN 0 ELSE avg(l_extendedprice) END, 2) AS avg_price,
+           round(CASE WHEN count(l_discount) = 0 THEN 0 ELSE min(l_discount) END, 2) AS min_discount,
+           round(CASE WHEN count(l_tax) = 0 THEN 0 ELSE max(l_tax) END, 2) AS max_tax,
+           CAST(count(l_shipdate) AS DOUBLE) AS shipped_lines
+    FROM lineitem
+    """,
+)
+def kpi_lineitem(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    return Q.kpis(
+        li,
+        [
+            ("row_count", None, "count"),
+            ("total_quantity", "l_quantity", "sum"),
+            ("avg_price", "l_extendedprice", "avg"),
+            ("min_discount", "l_discount", "min"),
+            ("max_tax", "l_tax", "max"),
+            ("shipped_lines", "l_shipdate", "count"),
+        ],
+        digits=2,
+    )
+
+
+@register(
+    "kpi_sql_orders",
+    """
+    SELECT round(coalesce(sum(o_totalprice), 0), 2) AS total,
+           round(coalesce(avg(o_totalprice), 0), 2) AS mean,
+           CAST(count(*) AS DOUBLE) AS n,
+           CAST(count(DISTINCT o_custkey) AS DOUBLE) AS customers
+    FROM orders
+    """,
+)
+def kpi_sql_orders(spark, sf):
+    o = _t(spark, sf, "orders")
+    return o.agg(
+        Q.kpi_sql(o, "o_totalprice", "Total", 2).alias("total"),
+        Q.kpi_sql(o, "o_totalprice", "Moyenne", 2).alias("mean"),
+        Q.kpi_sql(o, None, "Nombre", 2).alias("n"),
+        Q.kpi_sql(o, "o_custkey", "Nombre unique", 2).alias("customers"),
+    )
+
+
+# --------------------------------------------------------------------- A5
+@register(
+    "monthly_revenue",
+    """
+    SELECT strftime(o_orderdate, '%Y-%m') AS label, round(sum(o_totalprice), 2) AS value
+    FROM orders WHERE o_orderdate IS NOT NULL GROUP BY label HAVING sum(o_totalprice) IS NOT NULL ORDER BY label
+    """,
+)
+def monthly_revenue(spark, sf):
+    return Q.monthly_series(_t(spark, sf, "orders"), "o_orderdate", "o_totalprice", "sum", digits=2)
+
+
+@register(
+    "monthly_from_text",
+    """
+    SELECT strftime(o_orderdate, '%Y-%m') AS label, CAST(count(*) AS DOUBLE) AS value
+    FROM orders GROUP BY label ORDER BY label
+    """,
+)
+def monthly_from_text(spark, sf):
+    # dates stored as dd/MM/yyyy text are parsed, then bucketed by month
+    o = _t(spark, sf, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("order_date"))
+    return Q.monthly_series(o, "order_date", None, "count", digits=2)
+
+
+# --------------------------------------------------------------------- A6
+@register(
+    "activity_by_week",
+    """
+    SELECT strftime(ts, '%G-W%V') AS period, count(*) AS imports
+    FROM events WHERE ts >= DATE '2024-01-01' AND ts < DATE '2024-01-31' + INTERVAL 1 DAY
+    GROUP BY period ORDER BY period
+    """,
+)
+def activity_by_week(spark, sf):
+    return Q.activity_series(_t(spark, sf, "events"), "ts", "week", "2024-01-01", "2024-01-31")
+
+
+@register(
+    "activity_by_day",
+    """
+    SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS imports
+    FROM events WHERE ts >= DATE '2024-01-20' - INTERVAL 30 DAY AND ts < DATE '2024-01-20' + INTERVAL 1 DAY
+    GROUP BY period ORDER BY period
+    """,
+)
+def activity_by_day(spark, sf):
+    return Q.activity_series(_t(spark, sf, "events"), "ts", "day", today="2024-01-20")
+
+
+@register(
+    "activity_by_month",
+    """
+    SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS imports
+    FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-12-31' + INTERVAL 1 DAY
+    GROUP BY period ORDER BY period
+    """,
+)
+def activity_by_month(spark, sf):
+    return Q.activity_series(_t(spark, sf, "orders"), "o_orderdate", "month", "1996-01-01", "1997-12-31")
+
+
+# --------------------------------------------------------------------- A7
+_HIST_SQL = """
+    WITH v AS (SELECT {col} AS v FROM {table} WHERE {col} IS NOT NULL),
+    s AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n,
+                 least(10, greatest(4, CAST(floor(sqrt(count(*))) AS INTEGER))) AS k FROM v),
+    b AS (SELECT least(s.k - 1, CAST(floor((v.v - s.lo) / ((s.hi - s.lo) / s.k)) AS INTEGER)) AS bin
+          FROM v, s),
+    c AS (SELECT bin, count(*) AS cnt FROM b GROUP BY bin),
+    bins AS (SELECT CAST(range AS INTEGER) AS bin FROM s, range(s.k))
+    SELECT bins.bin AS bin,
+           round(s.lo + bins.bin * ((s.hi - s.lo) / s.k), 2) AS bin_lo,
+           round(s.lo + (bins.bin + 1) * ((s.hi - s.lo) / s.k), 2) AS bin_hi,
+           coalesce(c.cnt, 0) AS count
+    FROM bins CROSS JOIN s LEFT JOIN c ON c.bin = bins.bin
+"""
+
+
+@register("histogram_extendedprice", _HIST_SQL.format(col="l_extendedprice", table="lineitem"))
+def histogram_extendedprice(spark, sf):
+    return Q.histogram(_t(spark, sf, "lineitem"), "l_extendedprice").drop("label")
+
+
+@register("histogram_acctbal", _HIST_SQL.format(col="c_acctbal", table="customer"))
+def histogram_acctbal(spark, sf):
+    return Q.histogram(_t(spark, sf, "customer"), "c_acctbal").drop("label")
+
+
+# --------------------------------------------------------------------- A8
+@register(
+    "filter_values_brand",
+    """
+    SELECT CAST(p_brand AS VARCHAR) AS value, count(*) AS count FROM part WHERE p_brand IS NOT NULL
+    GROUP BY 1 ORDER BY count DESC, value LIMIT 100
+    """,
+)
+def filter_values_brand(spark, sf):
+    return Q.filter_values(_t(spark, sf, "part"), "p_brand")
+
+
+@register(
+    "filter_values_size",
+    """
+    SELECT CAST(p_size AS VARCHAR) AS value, count(*) AS count FROM part WHERE p_size IS NOT NULL
+    GROUP BY 1 ORDER BY count DESC, value LIMIT 100
+    """,
+)
+def filter_values_size(spark, sf):
+    return Q.filter_values(_t(spark, sf, "part"), "p_size")
+
+
+# -------------------------------------------------------------------- A19
+@register(
+    "pie_percent_linestatus",
+    """
+    WITH c AS (SELECT coalesce(l_linestatus, '(vide)') AS label, round(sum(l_quantity), 2) AS value
+               FROM lineitem GROUP BY l_linestatus ORDER BY value DESC, label LIMIT 25)
+    SELECT label, value, round(value * 100 / sum(value) OVER (), 1) AS percent FROM c
+    """,
+)
+def pie_percent_linestatus(spark, sf):
+    chart = Q.grouped_chart(_t(spark, sf, "lineitem"), "l_linestatus", "l_quantity", "sum", digits=2)
+    return Q.percent_of_total(chart)
+
+
+# ------------------------------------------------------------- T3, P8, P11
+@register(
+    "page_customers_search",
+    """
+    SELECT * FROM customer
+    WHERE lower(CAST(c_custkey AS VARCHAR)) LIKE '%mach%' OR lower(c_name) LIKE '%mach%'
+       OR lower(CAST(c_nationkey AS VARCHAR)) LIKE '%mach%' OR lower(CAST(c_acctbal AS VARCHAR)) LIKE '%mach%'
+       OR lower(c_mktsegment) LIKE '%mach%'
+    ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 50
+    """,
+)
+def page_customers_search(spark, sf):
+    return Q.page(_t(spark, sf, "customer"), 50, 50, "MACH", "c_acctbal", "desc", tiebreak=["c_custkey"])
+
+
+@register(
+    "page_counts_customers",
+    """
+    SELECT count(*) AS total,
+           count(*) FILTER (WHERE lower(c_name) LIKE '%mach%' OR lower(c_mktsegment) LIKE '%mach%'
+                            OR lower(CAST(c_custkey AS VARCHAR)) LIKE '%mach%') AS matched
+    FROM customer
+    """,
+)
+def page_counts_customers(spark, sf):
+    return Q.page_counts(_t(spark, sf, "customer"), "mach")
+
+
+@register(
+    "search_part_names",
+    """
+    SELECT p_partkey, p_name FROM part
+    WHERE lower(CAST(p_partkey AS VARCHAR)) LIKE '%widget%' OR lower(p_name) LIKE '%widget%'
+    """,
+)
+def search_part_names(spark, sf):
+    return Q.search(_t(spark, sf, "part").select("p_partkey", "p_name"), "Widget")
+
+
+# ---------------------------------------------------------------- T4, P14
+@register(
+    "scatter_quantity_price",
+    """
+    SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem
+    WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
+    ORDER BY l_orderkey, l_linenumber LIMIT 500
+    """,
+)
+def scatter_quantity_price(spark, sf):
+    return Q.scatter(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"])
+
+
+@register(
+    "table_widget_orders",
+    "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 100",
+)
+def table_widget_orders(spark, sf):
+    return Q.table_widget(_t(spark, sf, "orders"), ["o_orderkey", "ghost_column", "o_totalprice", "o_orderpriority"], 100, ["o_orderkey"])
+
+
+# ---------------------------------------------------------------- P12, P13
+@register(
+    "filtered_priority_chart",
+    """
+    SELECT coalesce(o_orderpriority, '(vide)') AS label, CAST(count(*) AS DOUBLE) AS value FROM orders
+    WHERE o_orderstatus IN ('O', 'F')
+      AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-12-31' + INTERVAL 1 DAY
+      AND o_totalprice >= 1000 AND o_totalprice <= 300000
+      AND lower(o_orderpriority) LIKE '%high%'
+    GROUP BY o_orderpriority ORDER BY value DESC, label LIMIT 25
+    """,
+)
+def filtered_priority_chart(spark, sf):
+    o = Q.apply_filters(
+        _t(spark, sf, "orders"),
+        [
+            {"type": "multi_select", "field": "o_orderstatus", "value": ["O", "F"]},
+            {"type": "date_range", "field": "o_orderdate", "from": "1996-01-01", "to": "1996-12-31"},
+            {"type": "number_range", "field": "o_totalprice", "min": 1000, "max": 300000},
+            {"type": "search", "field": "o_orderpriority", "value": "HIGH"},
+            {"type": "select", "field": "o_orderpriority", "value": ""},
+        ],
+    )
+    return Q.grouped_chart(o, "o_orderpriority", None, "count")

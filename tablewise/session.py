@@ -103,3 +103,16 @@ def sequential_id(df: DataFrame, order_cols: list[str], name: str = "id", start:
         name, (F.col("__offset") + F.col("__mid") - F.col("__first") + F.lit(start)).cast("long")
     )
     return out.drop("__pid", "__mid", "__offset", "__first")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    Only for CPU-heavy per-row work (regex parsing).  A large input already has
+    many more splits than cores, so this is a no-op at scale; it only helps a
+    small single-file input use every core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores and cores > 1 else df
