@@ -382,3 +382,308 @@ def filtered_priority_chart(spark, sf):
         ],
     )
     return Q.grouped_chart(o, "o_orderpriority", None, "count")
+
+
+# ======================================================================
+# joins, windows, sets, catalog
+# ======================================================================
+from tablewise.operators import catalog as C  # noqa: E402
+from tablewise.operators import quality as QL  # noqa: E402
+
+
+@register(
+    "customers_without_orders",
+    """
+    SELECT c_custkey, c_name FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')
+    """,
+)
+def customers_without_orders(spark, sf):
+    """Customers with no urgent order (anti join)."""
+    cust = _t(spark, sf, "customer").select("c_custkey", "c_name")
+    urgent = _t(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    return C.without_reference(cust, "c_custkey", urgent, "o_custkey")
+
+
+@register(
+    "customers_with_order_flag",
+    """
+    SELECT c_custkey, c_mktsegment, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS is_favorite
+    FROM customer
+    """,
+)
+def customers_with_order_flag(spark, sf):
+    cust = _t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return C.flag_referenced(cust, "c_custkey", _t(spark, sf, "orders"), "o_custkey")
+
+
+@register(
+    "customers_with_order_counts",
+    """
+    SELECT c.c_custkey, c.c_name, n.n_name, coalesce(o.n, 0) AS n_refs
+    FROM customer c
+    LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey
+    LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
+    """,
+)
+def customers_with_order_counts(spark, sf):
+    cust = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    counted = C.enrich_counts(cust, "c_custkey", _t(spark, sf, "orders"), "o_custkey")
+    named = C.enrich_lookup(counted, "c_nationkey", _t(spark, sf, "nation"), "n_nationkey", ["n_name"])
+    return named.select("c_custkey", "c_name", "n_name", "n_refs")
+
+
+@register(
+    "orders_of_known_customers",
+    """
+    SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+    """,
+)
+def orders_of_known_customers(spark, sf):
+    kept = C.with_reference(_t(spark, sf, "orders"), "o_custkey", _t(spark, sf, "customer"), "c_custkey")
+    return kept.agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "latest_order_per_customer",
+    """
+    SELECT o_custkey, o_orderdate, o_orderkey FROM (
+      SELECT o_custkey, o_orderdate, o_orderkey,
+             row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+      FROM orders) WHERE rn = 1
+    """,
+)
+def latest_order_per_customer(spark, sf):
+    return C.latest_per_group(_t(spark, sf, "orders"), ["o_custkey"], "o_orderdate", ["o_orderkey"])
+
+
+@register(
+    "first_orders_per_status",
+    """
+    SELECT o_orderstatus, o_orderkey, rank FROM (
+      SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rank
+      FROM orders) WHERE rank <= 5
+    """,
+)
+def first_orders_per_status(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
+    o = _t(spark, sf, "orders").select("o_orderstatus", "o_orderkey")
+    return o.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
+
+
+@register(
+    "distinct_status_priority",
+    "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
+)
+def distinct_status_priority(spark, sf):
+    from tablewise.operators.clean import drop_duplicates
+
+    return drop_duplicates(_t(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"))
+
+
+@register(
+    "duplicate_cells_status_priority",
+    """
+    SELECT count(*) AS rows, 2 AS columns,
+           sum(CASE WHEN o_orderstatus IS NULL THEN 1 ELSE 0 END + CASE WHEN p IS NULL THEN 1 ELSE 0 END) AS missing_cells,
+           count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, nullif(o_orderpriority, '5-LOW') FROM orders)) AS duplicate_rows
+    FROM (SELECT o_orderstatus, nullif(o_orderpriority, '5-LOW') AS p FROM orders)
+    """,
+)
+def duplicate_cells_status_priority(spark, sf):
+    o = _t(spark, sf, "orders").select("o_orderstatus", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("p"))
+    return QL.cell_counts(o)
+
+
+@register(
+    "quality_score_customer_view",
+    """
+    WITH v AS (SELECT c_nationkey, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer),
+    k AS (SELECT count(*) AS rows,
+                 sum(CASE WHEN seg IS NULL THEN 1 ELSE 0 END) AS missing,
+                 count(*) - (SELECT count(*) FROM (SELECT DISTINCT c_nationkey, seg FROM v)) AS dups FROM v)
+    SELECT greatest(0.0, least(100.0, round(100 - missing / greatest(rows * 2, 1)::DOUBLE * 35
+                 - dups / rows::DOUBLE * 25 - 7 / greatest(rows * 2, 1)::DOUBLE * 30 - 1 / 2.0 * 20, 2))) AS score,
+           round(missing / greatest(rows * 2, 1)::DOUBLE, 4) AS missing_rate,
+           round(dups / rows::DOUBLE, 4) AS duplicate_rate,
+           round(7 / greatest(rows * 2, 1)::DOUBLE, 4) AS conversion_error_rate,
+           7 AS conversion_errors, 1 AS unusable_columns
+    FROM k
+    """,
+)
+def quality_score_customer_view(spark, sf):
+    v = _t(spark, sf, "customer").select("c_nationkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("seg"))
+    return QL.quality_score(v, {"seg": 7}, unusable_columns=1)
+
+
+@register(
+    "dimension_members_type",
+    "SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL",
+)
+def dimension_members_type(spark, sf):
+    return _t(spark, sf, "part").where(F.col("p_type").isNotNull()).select("p_type").distinct()
+
+
+@register(
+    "duplicate_customer_status",
+    "SELECT o_custkey, o_orderstatus, count(*) AS count FROM orders GROUP BY 1, 2 HAVING count(*) > 1",
+)
+def duplicate_customer_status(spark, sf):
+    return C.duplicate_keys(_t(spark, sf, "orders"), ["o_custkey", "o_orderstatus"])
+
+
+@register(
+    "top_event_user",
+    """
+    WITH per AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+    SELECT (SELECT user_id FROM per ORDER BY n DESC, user_id LIMIT 1) AS user,
+           max(n) AS total, round(max(n) * 100.0 / sum(n), 1) AS percentage FROM per
+    """,
+)
+def top_event_user(spark, sf):
+    return C.top_owner(_t(spark, sf, "events"), "user_id")
+
+
+@register(
+    "event_period_counts",
+    """
+    WITH d AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)
+    SELECT coalesce(sum(n) FILTER (WHERE d = DATE '2024-01-20'), 0) AS imports_today,
+           coalesce(sum(n) FILTER (WHERE d >= DATE '2024-01-14'), 0) AS imports_this_week,
+           coalesce(sum(n) FILTER (WHERE d >= DATE '2024-01-01'), 0) AS imports_this_month,
+           (SELECT strftime(d, '%Y-%m-%d') FROM d ORDER BY n DESC, d LIMIT 1) AS peak_period
+    FROM d
+    """,
+)
+def event_period_counts(spark, sf):
+    return C.period_counts(_t(spark, sf, "events"), "ts", "2024-01-20")
+
+
+@register(
+    "customer_usage_rate",
+    """
+    WITH t AS (SELECT count(c_custkey) AS total FROM customer),
+         u AS (SELECT count(DISTINCT o_custkey) AS used FROM orders)
+    SELECT total, used, greatest(total - used, 0) AS unused,
+           CASE WHEN total > 0 THEN round(used * 100.0 / total, 1) ELSE 0.0 END AS percentage FROM t, u
+    """,
+)
+def customer_usage_rate(spark, sf):
+    return C.usage_rate(_t(spark, sf, "customer"), "c_custkey", _t(spark, sf, "orders"), "o_custkey")
+
+
+@register(
+    "event_usage_summary",
+    """
+    WITH o AS (SELECT user_id AS owner, count(*) AS n FROM events GROUP BY 1),
+         d AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)
+    SELECT (SELECT sum(n) FROM o) AS total, (SELECT count(*) FROM o) AS owners,
+           (SELECT owner FROM o ORDER BY n DESC, owner LIMIT 1) AS top_owner,
+           (SELECT max(n) FROM o) AS top_owner_total,
+           (SELECT round(max(n) * 100.0 / sum(n), 1) FROM o) AS top_owner_percentage,
+           (SELECT coalesce(sum(n), 0) FROM d WHERE d = DATE '2024-01-20') AS today,
+           (SELECT coalesce(sum(n), 0) FROM d WHERE d >= DATE '2024-01-14') AS this_week,
+           (SELECT coalesce(sum(n), 0) FROM d WHERE d >= DATE '2024-01-01') AS this_month,
+           (SELECT strftime(d, '%Y-%m-%d') FROM d ORDER BY n DESC, d LIMIT 1) AS peak_day
+    """,
+)
+def event_usage_summary(spark, sf):
+    return C.usage_summary(_t(spark, sf, "events"), "user_id", "ts", "2024-01-20")
+
+
+@register(
+    "recent_click_events",
+    """
+    SELECT event_id, user_id, event_type FROM events
+    WHERE CAST(ts AS DATE) >= DATE '2024-01-14'
+      AND lower(concat_ws(' ', event_type, CAST(user_id AS VARCHAR), props)) LIKE '%click%'
+    """,
+)
+def recent_click_events(spark, sf):
+    e = C.period_filter(_t(spark, sf, "events"), "ts", "7d", "2024-01-20")
+    e = C.text_filter(e, "CLICK", ["event_type", "user_id", "props"])
+    return e.select("event_id", "user_id", "event_type")
+
+
+@register(
+    "events_this_year_count",
+    "SELECT count(*) AS n FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-01'",
+)
+def events_this_year_count(spark, sf):
+    return C.period_filter(_t(spark, sf, "events"), "ts", "year", "2024-01-20").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "parts_natural_order",
+    """
+    SELECT p_partkey, label, row_number() OVER (ORDER BY k, p_partkey) AS position FROM (
+      SELECT p_partkey, p_name || ' ' || CAST(p_size AS VARCHAR) AS label,
+             lower(p_name) || ' ' || lpad(CAST(p_size AS VARCHAR), 20, '0') AS k FROM part
+      ORDER BY k, p_partkey LIMIT 50)
+    """,
+)
+def parts_natural_order(spark, sf):
+    from pyspark.sql import Window
+
+    p = _t(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("label"))
+    top = C.sorted_list(p, "label", "alpha", tiebreak=["p_partkey"], limit=50)
+    # 50 rows: a bounded window numbers them
+    return top.withColumn("position", F.row_number().over(Window.orderBy(C.natural_key("label"), "p_partkey")))
+
+
+@register(
+    "latest_orders_home",
+    "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 6",
+)
+def latest_orders_home(spark, sf):
+    return C.latest(_t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 6)
+
+
+@register(
+    "home_counts_orders",
+    "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready FROM orders",
+)
+def home_counts_orders(spark, sf):
+    return C.home_summary(_t(spark, sf, "orders"), F.col("o_orderstatus") == "F")
+
+
+@register(
+    "event_row_ids",
+    "SELECT event_id, row_number() OVER (ORDER BY event_id) AS source_row_id FROM events",
+)
+def event_row_ids(spark, sf):
+    from tablewise.session import sequential_id
+
+    return sequential_id(_t(spark, sf, "events").select("event_id"), ["event_id"], "source_row_id")
+
+
+@register(
+    "daily_events_next_day",
+    """
+    SELECT d, n, lead(n) OVER (ORDER BY d) AS next_n FROM (
+      SELECT strftime(ts, '%Y-%m-%d') AS d, count(*) AS n FROM events GROUP BY 1)
+    """,
+)
+def daily_events_next_day(spark, sf):
+    from pyspark.sql import Window
+
+    per_day = _t(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    # one row per day: the ordered window is bounded by the calendar
+    return per_day.withColumn("next_n", F.lead("n").over(Window.orderBy("d")))
+
+
+@register(
+    "event_props_json",
+    """
+    SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+           json_object('event_id', event_id, 'event_type', event_type)::VARCHAR AS record
+    FROM events
+    """,
+)
+def event_props_json(spark, sf):
+    from tablewise.functions import parse as P
+
+    e = _t(spark, sf, "events")
+    return e.select("event_id", P.json_get("props", "$.k").cast("int").alias("k"), P.to_json_record("event_id", "event_type").alias("record"))
