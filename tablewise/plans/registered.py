@@ -687,3 +687,268 @@ def event_props_json(spark, sf):
 
     e = _t(spark, sf, "events")
     return e.select("event_id", P.json_get("props", "$.k").cast("int").alias("k"), P.to_json_record("event_id", "event_type").alias("record"))
+
+
+# ======================================================================
+# star schema
+# ======================================================================
+from tablewise.operators import warehouse as W  # noqa: E402
+
+
+def _orders_star(spark, sf):
+    o = _t(spark, sf, "orders")
+    return W.build_star(o, ["o_orderpriority", "o_orderstatus"], ["o_orderdate"], ["o_totalprice"], ["o_orderkey"])
+
+
+@register(
+    "star_fact_orders",
+    """
+    WITH pr AS (SELECT v, row_number() OVER (ORDER BY v) AS id FROM (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderpriority IS NOT NULL)),
+         st AS (SELECT v, row_number() OVER (ORDER BY v) AS id FROM (SELECT DISTINCT o_orderstatus AS v FROM orders WHERE o_orderstatus IS NOT NULL)),
+         dt AS (SELECT v, row_number() OVER (ORDER BY v) AS id FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS v FROM orders WHERE o_orderdate IS NOT NULL))
+    SELECT row_number() OVER (ORDER BY o.o_orderkey) AS source_row_id, o.o_totalprice,
+           pr.id AS o_orderpriority_id, st.id AS o_orderstatus_id, dt.id AS o_orderdate_id
+    FROM orders o
+    LEFT JOIN pr ON pr.v = o.o_orderpriority
+    LEFT JOIN st ON st.v = o.o_orderstatus
+    LEFT JOIN dt ON dt.v = CAST(o.o_orderdate AS DATE)
+    """,
+)
+def star_fact_orders(spark, sf):
+    return _orders_star(spark, sf).fact
+
+
+@register(
+    "star_dim_orderdate",
+    """
+    SELECT row_number() OVER (ORDER BY v) AS id, v AS value, year(v) AS year, month(v) AS month, day(v) AS day
+    FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS v FROM orders WHERE o_orderdate IS NOT NULL)
+    """,
+)
+def star_dim_orderdate(spark, sf):
+    return W.date_dimension(_t(spark, sf, "orders"), "o_orderdate")[0]
+
+
+@register(
+    "star_dim_part_type",
+    """
+    SELECT row_number() OVER (ORDER BY v) AS id, substr(v, 1, 255) AS value, v AS source_value
+    FROM (SELECT DISTINCT CAST(p_type AS VARCHAR) AS v FROM part WHERE p_type IS NOT NULL)
+    """,
+)
+def star_dim_part_type(spark, sf):
+    return W.category_dimension(_t(spark, sf, "part"), "p_type")[0]
+
+
+@register("star_manifest_orders")
+def star_manifest_orders(spark, sf):
+    return W.manifest(_orders_star(spark, sf), "orders")
+
+
+# ======================================================================
+# cell functions
+# ======================================================================
+from tablewise.functions import parse as PF  # noqa: E402
+
+_AMOUNT_TEXT_SQL = """
+    CASE c_custkey % 5
+      WHEN 0 THEN '$' || format('{:,.2f}', c_acctbal)
+      WHEN 1 THEN translate(format('{:,.2f}', c_acctbal), ',.', ' ,')
+      WHEN 2 THEN CASE WHEN c_acctbal < 0 THEN '(' || format('{:,.2f}', -c_acctbal) || ')' ELSE format('{:,.2f}', c_acctbal) END
+      WHEN 3 THEN 'n/a'
+      ELSE printf('%.2f', c_acctbal) || ' EUR' END
+"""
+
+
+def _amount_text(c):
+    x = F.col("c_acctbal")
+    us = F.format_number(x, 2)
+    return (
+        F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("$"), us))
+        .when(F.col("c_custkey") % 5 == 1, F.translate(us, ",.", " ,"))
+        .when(F.col("c_custkey") % 5 == 2, F.when(x < 0, F.concat(F.lit("("), F.format_number(-x, 2), F.lit(")"))).otherwise(us))
+        .when(F.col("c_custkey") % 5 == 3, F.lit("n/a"))
+        .otherwise(F.concat(F.format_string("%.2f", x), F.lit(" EUR")))
+    )
+
+
+@register(
+    "parse_amount_text",
+    f"""
+    WITH s AS (SELECT c_custkey, c_acctbal, {_AMOUNT_TEXT_SQL} AS amount_text FROM customer),
+    n AS (SELECT *, CASE WHEN lower(trim(amount_text)) IN ('', 'nan', 'none', 'null', 'n/a', 'na', '-', '--') THEN NULL
+                         ELSE trim(amount_text) END AS t FROM s),
+    p AS (SELECT *, t LIKE '(%' AND t LIKE '%)' AS neg,
+                 regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^[()]+|[()]+$', '', 'g'),
+                     '[$€£¥₦]', '', 'g'), '(?i)\\b(usd|eur|gbp|ngn|xaf|xof)\\b', '', 'g'), '[ ,%]', '', 'g') AS u FROM n),
+    q AS (SELECT *, CASE WHEN neg AND NOT starts_with(u, '-') THEN '-' || u ELSE u END AS simple_text FROM p)
+    SELECT c_custkey, amount_text,
+           CASE WHEN t IS NULL THEN NULL ELSE round(c_acctbal, 2) END AS amount,
+           CASE WHEN regexp_full_match(simple_text, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?')
+                THEN CAST(simple_text AS DOUBLE) END AS amount_simple
+    FROM q
+    """,
+)
+def parse_amount_text(spark, sf):
+    c = _t(spark, sf, "customer").select("c_custkey", _amount_text(None).alias("amount_text"))
+    n = c.select("c_custkey", "amount_text", PF.normalise_missing("amount_text").alias("__t"))
+    return n.select(
+        "c_custkey", "amount_text",
+        PF.parse_number_locale("__t", clean=False).alias("amount"),
+        PF.parse_number("__t", clean=False).alias("amount_simple"),
+    )
+
+
+@register(
+    "parse_order_date_text",
+    """
+    SELECT o_orderkey,
+           CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y')
+                               WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
+                               ELSE strftime(o_orderdate, '%b %-d, %Y') END AS date_text,
+           CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS year, month(o_orderdate) AS month, day(o_orderdate) AS day
+    FROM orders
+    """,
+)
+def parse_order_date_text(spark, sf):
+    k = F.col("o_orderkey") % 3
+    text = (
+        F.when(k == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .otherwise(F.date_format("o_orderdate", "MMM d, yyyy"))
+    )
+    o = _t(spark, sf, "orders").select("o_orderkey", text.alias("date_text"))
+    d = o.select("o_orderkey", "date_text", PF.parse_date("date_text").alias("d"))
+    return d.select("o_orderkey", "date_text", "d", *PF.date_parts("d"))
+
+
+@register(
+    "normalize_text_values",
+    """
+    SELECT l_orderkey, l_linenumber,
+           CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS returned,
+           CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'N' THEN 'No' END AS returned_text,
+           CASE l_linestatus WHEN 'F' THEN 'Female' ELSE l_linestatus END AS status_category
+    FROM lineitem
+    """,
+)
+def normalize_text_values(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    flag_text = F.when(F.col("l_returnflag") == "A", F.lit(" oui")).when(F.col("l_returnflag") == "N", F.lit("NON ")).otherwise(F.lit("maybe"))
+    b = li.select("l_orderkey", "l_linenumber", "l_linestatus", PF.parse_boolean(flag_text).alias("returned"))
+    return b.select(
+        "l_orderkey", "l_linenumber", "returned", PF.yes_no("returned").alias("returned_text"),
+        PF.normalize_category("l_linestatus").alias("status_category"),
+    )
+
+
+@register(
+    "normalize_part_names",
+    """
+    SELECT p_partkey,
+           array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name_category,
+           upper(p_type[1]) || lower(p_type[2:]) AS type_category
+    FROM part
+    """,
+)
+def normalize_part_names(spark, sf):
+    p = _t(spark, sf, "part")
+    spaced = F.concat(F.lit("  "), F.regexp_replace("p_name", " ", "   "), F.lit(" "))
+    return p.select("p_partkey", PF.normalize_category(spaced).alias("name_category"), PF.normalize_category("p_type").alias("type_category"))
+
+
+@register(
+    "part_text_functions",
+    """
+    SELECT p_partkey,
+           coalesce(nullif(p_brand, 'Brand#1'), '(none)') AS brand_filled,
+           substr(p_name, 1, 5) AS name_short,
+           length(p_name) AS name_length,
+           round(least(greatest(p_retailprice / 7, 0), 100), 2) AS price_score,
+           CAST(replace(CAST(p_retailprice AS VARCHAR), ',', '') AS DOUBLE) AS price_lenient,
+           translate(format('{:,.2f}', round(p_retailprice, 2)), ',.', chr(8239) || ',') AS price_display
+    FROM part
+    """,
+)
+def part_text_functions(spark, sf):
+    p = _t(spark, sf, "part")
+    brand = F.when(F.col("p_brand") != "Brand#1", F.col("p_brand"))
+    comma_text = F.regexp_replace(F.col("p_retailprice").cast("string"), r"\.", ",")
+    return p.select(
+        "p_partkey",
+        PF.fill_missing(brand, "(none)").alias("brand_filled"),
+        PF.truncate_text("p_name", 5).alias("name_short"),
+        F.length("p_name").alias("name_length"),
+        PF.round_clamp(F.col("p_retailprice") / 7, 0, 100, 2).alias("price_score"),
+        PF.lenient_number(comma_text).alias("price_lenient"),
+        PF.format_display("p_retailprice", "number", 2).alias("price_display"),
+    )
+
+
+@register(
+    "avg_document_length",
+    "SELECT lang, round(avg(length(text)), 4) AS avg_length, count(*) AS n FROM documents GROUP BY lang",
+)
+def avg_document_length(spark, sf):
+    d = _t(spark, sf, "documents")
+    return d.groupBy("lang").agg(F.round(F.avg(F.length("text")), 4).alias("avg_length"), F.count(F.lit(1)).alias("n"))
+
+
+# ======================================================================
+# column statistics and top values
+# ======================================================================
+from tablewise.operators import profile as PR  # noqa: E402
+
+
+@register(
+    "top_values_events",
+    """
+    WITH l AS (SELECT 'event_type' AS name, event_type AS value FROM events WHERE event_type IS NOT NULL
+               UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM events WHERE user_id IS NOT NULL),
+         c AS (SELECT name, value, count(*) AS count FROM l GROUP BY 1, 2)
+    SELECT name, value, count, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY name ORDER BY count DESC, value) AS rank FROM c) WHERE rank <= 5
+    """,
+)
+def top_values_events(spark, sf):
+    return PR.top_values(_t(spark, sf, "events"), ["event_type", "user_id"], 5)
+
+
+@register(
+    "column_stats_orders",
+    """
+    WITH n AS (SELECT count(*) AS r FROM orders)
+    SELECT 'o_orderkey' AS name, (SELECT r FROM n) AS row_count, count(o_orderkey) AS non_null,
+           count(DISTINCT o_orderkey) AS unique_count, count(o_orderkey) AS num_ok, 0 AS date_ok,
+           round(min(o_orderkey), 2) AS num_min, round(max(o_orderkey), 2) AS num_max, round(avg(o_orderkey), 2) AS num_mean FROM orders
+    UNION ALL
+    SELECT 'o_totalprice', (SELECT r FROM n), count(o_totalprice), count(DISTINCT o_totalprice), count(o_totalprice), 0,
+           round(min(o_totalprice), 2), round(max(o_totalprice), 2), round(avg(o_totalprice), 2) FROM orders
+    UNION ALL
+    SELECT 'o_orderstatus', (SELECT r FROM n), count(o_orderstatus), count(DISTINCT o_orderstatus), 0, 0, NULL, NULL, NULL FROM orders
+    UNION ALL
+    SELECT 'o_orderdate', (SELECT r FROM n), count(o_orderdate), count(DISTINCT o_orderdate), 0, count(o_orderdate), NULL, NULL, NULL FROM orders
+    """,
+)
+def column_stats_orders(spark, sf):
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    s = PR.column_stats(o)
+    return s.select(
+        "name", "row_count", "non_null", "unique_count", "num_ok", "date_ok",
+        F.round("num_min", 2).alias("num_min"), F.round("num_max", 2).alias("num_max"), F.round("num_mean", 2).alias("num_mean"),
+    )
+
+
+@register("profile_orders")
+def profile_orders(spark, sf):
+    return PR.profile(_t(spark, sf, "orders"), order_by=["o_orderkey"])
+
+
+@register("profile_documents")
+def profile_documents(spark, sf):
+    return PR.profile(_t(spark, sf, "documents"), order_by=["doc_id"])
+
+
+@register("schema_from_profile_customer")
+def schema_from_profile_customer(spark, sf):
+    return PR.schema_from_profile(PR.profile(_t(spark, sf, "customer"), order_by=["c_custkey"]))
