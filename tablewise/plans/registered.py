@@ -952,3 +952,426 @@ def profile_documents(spark, sf):
 @register("schema_from_profile_customer")
 def schema_from_profile_customer(spark, sf):
     return PR.schema_from_profile(PR.profile(_t(spark, sf, "customer"), order_by=["c_custkey"]))
+
+
+# ======================================================================
+# cleaning
+# ======================================================================
+from tablewise.operators import clean as CL  # noqa: E402
+
+
+def _dirty_customers(spark, sf) -> DataFrame:
+    """A raw, text-only copy of ``customer`` as a spreadsheet would hold it.
+
+    Padded names, amounts in several locales, missing markers, an unparsable
+    date, an empty column, a constant column, and every row twice.
+    """
+    k = F.col("c_custkey")
+    start = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 365).cast("int")), "dd/MM/yyyy")
+    dirty = _t(spark, sf, "customer").select(
+        F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")).alias("Customer Name"),
+        _amount_text(None).alias("Balance"),
+        F.when(k % 10 == 0, F.lit("N/A")).otherwise(F.col("c_mktsegment")).alias("Segment"),
+        F.when(k % 9 == 0, F.lit("not a date")).otherwise(start).alias("Start Date"),
+        F.lit(None).cast("string").alias("Empty Column"),
+        F.lit("France").alias("Country"),
+    )
+    return dirty.unionByName(dirty)
+
+
+_DIRTY_SQL = f"""
+    WITH c AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment, {_AMOUNT_TEXT_SQL} AS amount_text FROM customer)
+"""
+
+
+@register(
+    "clean_dirty_customers",
+    _DIRTY_SQL
+    + """
+    SELECT DISTINCT trim(c_name) AS "Customer Name",
+           CASE WHEN c_custkey % 5 = 3 THEN NULL ELSE round(c_acctbal, 2) END AS "Balance",
+           CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS "Segment",
+           CASE WHEN c_custkey % 9 = 0 THEN NULL
+                ELSE CAST(DATE '2020-01-01' + CAST(c_custkey % 365 AS INTEGER) AS TIMESTAMP) END AS "Start Date",
+           'France' AS "Country"
+    FROM c
+    """,
+)
+def clean_dirty_customers(spark, sf):
+    return CL.clean_dataset(_dirty_customers(spark, sf))[0]
+
+
+@register(
+    "clean_dirty_customers_report",
+    """
+    SELECT 2 * count(*) AS rows_in, count(*) AS rows_out, count(*) AS duplicate_rows_removed,
+           'Empty Column' AS removed_empty_columns, 'Country' AS constant_columns,
+           'Balance' AS numeric_columns, 'Start Date' AS date_columns,
+           count(*) FILTER (WHERE c_custkey % 9 = 0) AS conversion_errors
+    FROM customer
+    """,
+)
+def clean_dirty_customers_report(spark, sf):
+    _, r = CL.clean_dataset(_dirty_customers(spark, sf))
+    row = (
+        r.rows_in, r.rows_out, r.duplicate_rows_removed, ",".join(r.removed_empty_columns), ",".join(r.constant_columns),
+        ",".join(r.numeric_columns), ",".join(r.date_columns), sum(r.conversion_errors.values()),
+    )
+    schema = (
+        "rows_in long, rows_out long, duplicate_rows_removed long, removed_empty_columns string, constant_columns string, "
+        "numeric_columns string, date_columns string, conversion_errors long"
+    )
+    return spark.createDataFrame([row], schema)
+
+
+_MAPPING = [
+    {"original_name": "c_custkey", "normalized_name": "c_custkey", "detected_type": "Identifier", "semantic_role": "Identifier", "aggregation": "count_distinct", "include": True},
+    {"original_name": "c_name", "normalized_name": "c_name", "detected_type": "Text", "semantic_role": "Attribute", "aggregation": None, "include": True},
+    {"original_name": "c_acctbal", "normalized_name": "c_acctbal", "detected_type": "Currency", "semantic_role": "Measure", "aggregation": "sum", "include": True},
+    {"original_name": "c_mktsegment", "normalized_name": "c_mktsegment", "detected_type": "Category", "semantic_role": "Dimension", "aggregation": "count", "include": True},
+    {"original_name": "c_nationkey", "normalized_name": "c_nationkey", "detected_type": "Number", "semantic_role": "Ignored", "aggregation": None, "include": False},
+    {"original_name": "Phone", "normalized_name": "phone", "detected_type": "Text", "semantic_role": "Attribute", "aggregation": None, "include": True},
+]
+
+
+@register(
+    "convert_customers_by_mapping",
+    """
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_acctbal,
+           upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS c_mktsegment
+    FROM customer
+    """,
+)
+def convert_customers_by_mapping(spark, sf):
+    return CL.convert_by_mapping(_t(spark, sf, "customer"), _MAPPING)[0]
+
+
+@register(
+    "mapping_conversion_errors",
+    "SELECT 0 AS c_custkey, 0 AS c_name, 0 AS c_acctbal, 0 AS c_mktsegment, count(*) AS phone FROM customer",
+)
+def mapping_conversion_errors(spark, sf):
+    return CL.convert_by_mapping(_t(spark, sf, "customer"), _MAPPING)[1]
+
+
+_RULES = [
+    {"rule_type": "Trim Text", "column_name": "c_name"},
+    {"rule_type": "Normalize Category", "column_name": "c_mktsegment"},
+    {"rule_type": "Fill Missing", "column_name": "c_phone", "config": {"value": "-"}},
+    {"rule_type": "Rename Column", "column_name": "c_acctbal", "config": {"new_name": "balance"}},
+    {"rule_type": "Drop Column", "column_name": "c_nationkey"},
+    {"rule_type": "Remove Duplicates", "column_name": None},
+    {"rule_type": "Custom Formula", "column_name": "c_name", "config": {"formula": "1/0"}},
+]
+
+
+@register(
+    "transform_rules_customers",
+    """
+    SELECT DISTINCT c_custkey, c_name, c_acctbal AS balance, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS c_mktsegment
+    FROM customer
+    """,
+)
+def transform_rules_customers(spark, sf):
+    c = _t(spark, sf, "customer").withColumn("c_name", F.concat(F.lit(" "), "c_name", F.lit("\t")))
+    return CL.apply_rules(c.unionByName(c), _RULES)[0]
+
+
+@register("legacy_clean_orders")
+def legacy_clean_orders(spark, sf):
+    return CL.legacy_clean(_t(spark, sf, "orders"))[1]
+
+
+@register("mapping_violations_customer")
+def mapping_violations_customer(spark, sf):
+    prof = PR.profile(_t(spark, sf, "customer"), order_by=["c_custkey"], most_frequent=False)
+    mapping = PR.complete_mapping(PR.mapping_from_profile(prof).where(F.col("normalized_name") != "c_nationkey"), prof)
+    edited = mapping.withColumn(
+        "semantic_role", F.when(F.col("normalized_name") == "c_name", F.lit("Measure")).otherwise(F.col("semantic_role"))
+    )
+    return PR.mapping_violations(edited, prof)
+
+
+# ======================================================================
+# dashboards and audits
+# ======================================================================
+from tablewise.operators import audit as AU  # noqa: E402
+from tablewise.plans import dashboard as D  # noqa: E402
+
+_ORDERS_INTENT = {
+    "main_metric": "o_totalprice", "main_dimension": "O Orderpriority", "date_column": "o_orderdate",
+    "preferred_widgets": ["filter", "kpi_card", "bar_chart", "line_chart", "pie_chart", "data_table"],
+}
+
+
+def _orders_dashboard_spec(spark, sf):
+    o = _t(spark, sf, "orders")
+    schema = PR.schema_from_profile(PR.profile(o, order_by=["o_orderkey"]))
+    return o, D.default_dashboard(schema, _ORDERS_INTENT, "Orders")
+
+
+@register(
+    "dashboard_orders",
+    """
+    WITH f AS (SELECT 'o_orderpriority_filter' AS widget_id, 'filter' AS widget_type, CAST(o_orderpriority AS VARCHAR) AS label,
+                      CAST(count(*) AS DOUBLE) AS value FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority),
+         k AS (SELECT 'total_o_totalprice' AS widget_id, 'kpi_card' AS widget_type, 'value' AS label,
+                      round(coalesce(sum(o_totalprice), 0), 2) AS value FROM orders),
+         b AS (SELECT coalesce(o_orderpriority, '(vide)') AS label, sum(o_totalprice) AS value FROM orders GROUP BY o_orderpriority),
+         l AS (SELECT strftime(o_orderdate, '%Y-%m') AS label, sum(o_totalprice) AS value FROM orders
+               WHERE o_orderdate IS NOT NULL GROUP BY 1)
+    SELECT widget_id, widget_type, label, round(value, 2) AS value,
+           CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS error FROM f
+    UNION ALL SELECT widget_id, widget_type, label, value, 1, NULL FROM k
+    UNION ALL SELECT 'o_totalprice_by_o_orderpriority', 'bar_chart', label, round(value, 2),
+                     CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER), NULL FROM b
+    UNION ALL SELECT 'o_totalprice_share_by_o_orderpriority', 'pie_chart', label, round(value, 2),
+                     CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER), NULL FROM b
+    UNION ALL SELECT 'o_totalprice_trend', 'line_chart', label, round(value, 2),
+                     CAST(row_number() OVER (ORDER BY label) AS INTEGER), NULL FROM l
+    """,
+)
+def dashboard_orders(spark, sf):
+    o, spec = _orders_dashboard_spec(spark, sf)
+    return D.run_dashboard(o, spec, ["o_orderkey"], digits=2)[0]
+
+
+@register(
+    "dashboard_orders_table",
+    "SELECT o_orderdate, o_orderpriority, o_totalprice, o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100",
+)
+def dashboard_orders_table(spark, sf):
+    o, spec = _orders_dashboard_spec(spark, sf)
+    return D.run_dashboard(o, spec, ["o_orderkey"])[1]["details_table"]
+
+
+_LINEITEM_SPEC = {
+    "widgets": [
+        {"id": "lines", "type": "kpi_card", "data": {"metric": "l_orderkey", "aggregation": "count"}},
+        {"id": "avg_discount", "type": "kpi_card", "data": {"metric": "l_discount", "aggregation": "avg"}},
+        {"id": "qty_by_flag", "type": "bar_chart", "data": {"x": "l_returnflag", "y": "l_quantity", "aggregation": "sum", "limit": 2}},
+        {"id": "max_price_by_status", "type": "bar_chart", "data": {"x": "l_linestatus", "y": "l_extendedprice", "aggregation": "max"}},
+        {"id": "lines_by_flag", "type": "pie_chart", "data": {"category": "l_returnflag", "value": "l_quantity", "aggregation": "count"}},
+        {"id": "ghost", "type": "bar_chart", "data": {"x": "ghost_column", "y": "l_quantity", "aggregation": "sum"}},
+        {"id": "bad_type", "type": "gauge", "data": {}},
+    ]
+}
+
+
+@register(
+    "dashboard_lineitem",
+    """
+    WITH q AS (SELECT coalesce(l_returnflag, '(vide)') AS label, sum(l_quantity) AS value FROM lineitem GROUP BY l_returnflag),
+         m AS (SELECT coalesce(l_linestatus, '(vide)') AS label, max(l_extendedprice) AS value FROM lineitem GROUP BY l_linestatus),
+         c AS (SELECT coalesce(l_returnflag, '(vide)') AS label, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY l_returnflag)
+    SELECT 'lines' AS widget_id, 'kpi_card' AS widget_type, 'value' AS label, CAST(count(l_orderkey) AS DOUBLE) AS value,
+           1 AS rank, CAST(NULL AS VARCHAR) AS error FROM lineitem
+    UNION ALL SELECT 'avg_discount', 'kpi_card', 'value', round(avg(l_discount), 4), 1, NULL FROM lineitem
+    UNION ALL SELECT * FROM (SELECT 'qty_by_flag', 'bar_chart', label, round(value, 4),
+                     CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER) AS rank, NULL FROM q) WHERE rank <= 2
+    UNION ALL SELECT 'max_price_by_status', 'bar_chart', label, round(value, 4),
+                     CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER), NULL FROM m
+    UNION ALL SELECT 'lines_by_flag', 'pie_chart', label, value,
+                     CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER), NULL FROM c
+    UNION ALL SELECT 'ghost', 'bar_chart', NULL, NULL, NULL, 'invalid grouping'
+    UNION ALL SELECT 'bad_type', 'gauge', NULL, NULL, NULL, 'unsupported widget type: gauge'
+    """,
+)
+def dashboard_lineitem(spark, sf):
+    return D.run_dashboard(_t(spark, sf, "lineitem"), _LINEITEM_SPEC)[0]
+
+
+@register(
+    "auto_kpis_customer",
+    """
+    SELECT round(CAST(count(*) AS DOUBLE), 4) AS row_count, round(coalesce(sum(c_custkey), 0), 4) AS total_c_custkey,
+           round(coalesce(sum(c_nationkey), 0), 4) AS total_c_nationkey, round(coalesce(sum(c_acctbal), 0), 2) AS total_c_acctbal
+    FROM customer
+    """,
+)
+def auto_kpis_customer(spark, sf):
+    c = _t(spark, sf, "customer")
+    k = D.auto_kpis(c, PR.profile(c, order_by=["c_custkey"], most_frequent=False))
+    return k.withColumn("total_c_acctbal", F.round("total_c_acctbal", 2))
+
+
+@register(
+    "auto_charts_customer",
+    """
+    SELECT c_mktsegment AS label, round(coalesce(sum(c_custkey), 0), 4) AS value FROM customer
+    WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY value DESC, label LIMIT 10
+    """,
+)
+def auto_charts_customer(spark, sf):
+    c = _t(spark, sf, "customer")
+    charts = D.auto_charts(c, PR.profile(c, order_by=["c_custkey"], most_frequent=False))
+    return next(iter(charts.values()))
+
+
+@register("suggestions_orders")
+def suggestions_orders(spark, sf):
+    o = _t(spark, sf, "orders")
+    specs = D.suggestions(PR.profile(o, order_by=["o_orderkey"], most_frequent=False))
+    rows = [(s["kind"], s.get("category_field"), s.get("value_field"), s.get("secondary_value_field")) for s in specs]
+    return spark.createDataFrame(rows, "kind string, category_field string, value_field string, secondary_value_field string")
+
+
+@register(
+    "suggested_histogram_orders",
+    _HIST_SQL.format(col="o_orderkey", table="orders"),
+)
+def suggested_histogram_orders(spark, sf):
+    o = _t(spark, sf, "orders")
+    specs = D.suggestions(PR.profile(o, order_by=["o_orderkey"], most_frequent=False))
+    hist = next(s for s in specs if s["kind"] == "Histogram")
+    return D.run_suggestion(o, hist).drop("label")
+
+
+def _generated_spec_table(spark, sf, table: str, key: str):
+    """Widgets generated for every column of a table (KPI sum, bar by column), plus the W9 spec."""
+    df = _t(spark, sf, table)
+    prof = PR.profile(df, order_by=[key], most_frequent=False)
+    schema = PR.schema_from_profile(prof)
+    names = [r["name"] for r in prof.orderBy("position").select("name").collect()]
+    widgets = []
+    for i, c in enumerate(names):
+        widgets.append({"id": f"sum_{c}", "type": "kpi_card", "position": {"x": (i * 3) % 15, "y": i, "w": 3, "h": 2},
+                        "data": {"metric": c, "aggregation": "sum"}})
+        widgets.append({"id": f"Bar{i}" if i % 2 else f"sum_{c}", "type": "bar_chart", "position": {"x": 0, "y": i, "w": 6, "h": 4},
+                        "data": {"x": c, "y": names[0], "aggregation": "sum"}})
+        widgets.append({"id": f"pie_{c}", "type": "pie_chart", "position": {"x": 6, "y": i, "w": 6, "h": 4},
+                        "data": {"category": c, "value": names[0], "aggregation": "sum"}})
+    widgets.append({"id": "table", "type": "data_table", "position": {"x": 0, "y": 99, "w": 12, "h": 4},
+                    "data": {"columns": names + ["ghost_column"], "limit": 100}})
+    spec = D.spec_table(spark, {"widgets": widgets}, table)
+    generated = D.spec_table(spark, D.default_dashboard(schema, None, table), f"{table}_default")
+    return spec.unionByName(generated), prof
+
+
+@register("audit_unknown_columns")
+def audit_unknown_columns(spark, sf):
+    spec, prof = _generated_spec_table(spark, sf, "orders", "o_orderkey")
+    return AU.unknown_columns(spec, prof)
+
+
+@register("audit_type_rules")
+def audit_type_rules(spark, sf):
+    spec, prof = _generated_spec_table(spark, sf, "orders", "o_orderkey")
+    return AU.type_violations(spec, PR.modern_profile(prof))
+
+
+@register("audit_layout")
+def audit_layout(spark, sf):
+    spec, _ = _generated_spec_table(spark, sf, "orders", "o_orderkey")
+    return AU.layout_violations(spec)
+
+
+@register("audit_duplicate_analyses")
+def audit_duplicate_analyses(spark, sf):
+    spec, _ = _generated_spec_table(spark, sf, "orders", "o_orderkey")
+    return AU.duplicate_analyses(spec)
+
+
+# ======================================================================
+# sources, sinks, names
+# ======================================================================
+from tablewise.functions import names as NM  # noqa: E402
+from tablewise.session import shared_path  # noqa: E402
+from tablewise.sources import tables as ST  # noqa: E402
+
+
+@register(
+    "preview_orders",
+    "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50",
+)
+def preview_orders(spark, sf):
+    return ST.preview(_t(spark, sf, "orders"), ["o_orderkey"])
+
+
+@register(
+    "json_roundtrip_events",
+    """
+    SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+    FROM events
+    """,
+)
+def json_roundtrip_events(spark, sf):
+    path = shared_path(spark, "events-json")
+    ST.write_json(_t(spark, sf, "events"), path)
+    back = ST.read_json(spark, path, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    return back.select("event_id", "ts", "user_id", "event_type", "value", ST.from_json_column(back, "props", "k long").columns and
+                       F.from_json("props", "k long")["k"].alias("k"))
+
+
+@register(
+    "typed_reload_orders",
+    """
+    SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate,
+           CAST(NULL AS VARCHAR) AS o_comment, o_orderpriority
+    FROM orders
+    """,
+)
+def typed_reload_orders(spark, sf):
+    o = _t(spark, sf, "orders")
+    as_text = o.select(*[F.col(c).cast("string").alias(c) for c in o.columns])
+    return ST.typed_reload(as_text, [("o_orderkey", "Number"), ("o_totalprice", "Number"), ("o_orderdate", "Date"),
+                                     ("o_comment", "Text"), ("o_orderpriority", "Text")])
+
+
+@register(
+    "table_sink_roundtrip",
+    "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+)
+def table_sink_roundtrip(spark, sf):
+    path = shared_path(spark, "orders-table")
+    ST.write_table(_t(spark, sf, "orders"), path, partition_by=["o_orderstatus"])
+    if not ST.table_exists(spark, path):
+        raise RuntimeError("table was not written")
+    back = spark.read.parquet(path)
+    return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@register(
+    "export_customers_labels",
+    """
+    SELECT CAST(c_custkey AS VARCHAR) AS "Identifiant", c_name AS "Nom", CAST(c_acctbal AS VARCHAR) AS "Solde", c_mktsegment AS "Segment"
+    FROM customer
+    """,
+)
+def export_customers_labels(spark, sf):
+    path = shared_path(spark, "customers-csv")
+    c = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    ST.export_csv(c, path, {"c_custkey": "Identifiant", "c_name": "Nom", "c_acctbal": "Solde", "c_mktsegment": "Segment"})
+    return spark.read.option("header", True).csv(path)
+
+
+@register(
+    "readable_column_names",
+    """
+    SELECT c_custkey AS employee_id, c_name AS employee_name, c_nationkey AS nation_key, c_acctbal AS monthly_salary,
+           c_mktsegment AS segment, c_mktsegment AS segment_2
+    FROM customer
+    """,
+)
+def readable_column_names(spark, sf):
+    c = _t(spark, sf, "customer")
+    raw = c.select(
+        F.col("c_custkey").alias("No"), F.col("c_name").alias("Name"), F.col("c_nationkey").alias("Nation Key"),
+        F.col("c_acctbal").alias("Salaire mensuel"), F.col("c_mktsegment").alias("Segment"), F.col("c_mktsegment").alias("segment "),
+    )
+    return NM.rename_readable(raw)[0]
+
+
+@register(
+    "scrubbed_column_names",
+    """
+    SELECT p_partkey AS part_key, p_name AS nom_du_produit, p_brand AS c_2nd_brand, p_type AS part_key_2
+    FROM part
+    """,
+)
+def scrubbed_column_names(spark, sf):
+    p = _t(spark, sf, "part").select(
+        F.col("p_partkey").alias("Part Key"), F.col("p_name").alias("Nom du Produit!"), F.col("p_brand").alias("2nd brand"),
+        F.col("p_type").alias("part-key"),
+    )
+    return NM.normalize_columns(p)[0]
