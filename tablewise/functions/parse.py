@@ -89,32 +89,46 @@ def parse_number(c: ColumnOrName, clean: bool = True) -> Column:
     return _finish_number(t, negative)
 
 
-def parse_number_locale(c: ColumnOrName, clean: bool = True) -> Column:
-    """locale-aware parser ("3 200,00", "5,500.00", "$3,800", "(1 234,56)", "1.234,56").
+def locale_number_text(c: ColumnOrName, clean: bool = True) -> Column:
+    """F4 step 1: the cell with parentheses, currency, ``%`` and spaces removed (one regex).
 
-    When both separators occur the last one is the decimal mark.  With commas
-    only, one comma followed by exactly three digits, or several three-digit
-    groups, are thousands; any other comma is the decimal mark.
+    Negative parentheses are kept as a leading ``(`` marker so step 2 can sign
+    the value; project this once (``select``) before ``locale_number_finish``.
     """
     t = _text(c, clean)
     negative = t.startswith("(") & t.endswith(")")
-    t = _strip_parens(t)
-    t = F.regexp_replace(
-        t, "(?i)[" + FV.CURRENCY_SYMBOLS + r"]|\b(" + "|".join(FV.CURRENCY_CODES) + r")\b", ""
+    stripped = F.regexp_replace(
+        t,
+        r"(?U)^[()\s]+|[()\s]+$|[" + FV.CURRENCY_SYMBOLS + r"]|(?i)\b(" + "|".join(FV.CURRENCY_CODES) + r")\b|%|[ \u00a0\u202f]",
+        "",
     )
-    t = utrim(F.regexp_replace(t, "%", ""))
-    t = F.regexp_replace(t, "[ \u00a0\u202f]", "")
-    has_dot = F.instr(t, ".") > 0
-    has_comma = F.instr(t, ",") > 0
-    last_sep = F.regexp_extract(t, r"([.,])[^.,]*$", 1)
-    both = F.when(
-        last_sep == ",", F.translate(F.regexp_replace(t, r"\.", ""), ",", ".")
-    ).otherwise(F.regexp_replace(t, ",", ""))
-    comma_only = F.when(t.rlike(r"^[^,]*(,\d{3})+$"), F.regexp_replace(t, ",", "")).otherwise(
-        F.translate(t, ",", ".")
+    return F.when(negative, F.concat(F.lit("("), stripped)).otherwise(stripped)
+
+
+def locale_number_finish(t: ColumnOrName) -> Column:
+    """F4 step 2: decide the decimal mark and cast.
+
+    Both separators: the last one is the decimal mark.  Commas only: one comma
+    followed by exactly three digits, or several three-digit groups, are
+    thousands; any other comma is the decimal mark.
+    """
+    t = _col(t)
+    negative = t.startswith("(")
+    body = F.when(negative, F.substring(t, 2, 1 << 30)).otherwise(t)
+    has_dot, has_comma = F.instr(body, ".") > 0, F.instr(body, ",") > 0
+    number = (
+        F.when(has_comma & has_dot,
+               F.when(body.rlike(r",[^.]*$"), F.translate(body, ",.", ".")).otherwise(F.translate(body, ",", "")))
+        .when(has_comma,
+              F.when(body.rlike(r"^[^,]*(,\d{3})+$"), F.translate(body, ",", "")).otherwise(F.translate(body, ",", ".")))
+        .otherwise(body)
     )
-    t = F.when(has_dot & has_comma, both).when(has_comma, comma_only).otherwise(t)
-    return F.when(t != "", _finish_number(t, negative))
+    return F.when(body != "", _finish_number(number, negative))
+
+
+def parse_number_locale(c: ColumnOrName, clean: bool = True) -> Column:
+    """locale-aware parser ("3 200,00", "5,500.00", "$3,800", "(1 234,56)", "1.234,56")."""
+    return locale_number_finish(locale_number_text(c, clean))
 
 
 def looks_numeric(c: ColumnOrName) -> Column:

@@ -109,6 +109,9 @@ def clean_dataset(df: DataFrame, materialize: bool = False) -> tuple[DataFrame,
     cols = list(dedup.columns)
     text_cols = [c for c in cols if _is_text(dedup, c)]
 
+    # stage the stripped number text once per text column (read many times below)
+    staged = dedup.select(*[F.col(c) for c in cols], *[P.locale_number_text(F.col(c), clean=False).alias(f"__n{i}")
+                                                         for i, c in enumerate(cols) if c in text_cols])
     exprs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
         v = F.col(c)
@@ -120,14 +123,14 @@ def clean_dataset(df: DataFrame, materialize: bool = False) -> tuple[DataFrame,
         if c in text_cols:
             exprs += [
                 F.count_if(P.looks_numeric(v)).alias(f"look{i}"),
-                F.count(P.parse_number_locale(v, clean=False)).alias(f"num{i}"),
+                F.count(P.locale_number_finish(F.col(f"__n{i}"))).alias(f"num{i}"),
             ]
             if _date_named(c):
                 exprs += [
                     F.count(P.parse_timestamp(v, True, clean=False)).alias(f"dmy{i}"),
                     F.count(P.parse_timestamp(v, False, clean=False)).alias(f"mdy{i}"),
                 ]
-    stats = dedup.agg(*exprs).collect()[0]
+    stats = staged.agg(*exprs).collect()[0]
     report.rows_in = rows.count()
     report.rows_out = int(stats["__rows"])
     report.duplicate_rows_removed = report.rows_in - report.rows_out
