@@ -1375,3 +1375,25 @@ def scrubbed_column_names(spark, sf):
         F.col("p_type").alias("part-key"),
     )
     return NM.normalize_columns(p)[0]
+
+
+from tablewise.sources import workbook as WBK  # noqa: E402
+
+
+@register(
+    "workbook_roundtrip_customers",
+    """
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+           CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment
+    FROM customer
+    """,
+)
+def workbook_roundtrip_customers(spark, sf):
+    """Customers written as partitioned workbooks (title row, notes sheet), then ingested back."""
+    path = shared_path(spark, "customer-xlsx")
+    c = _t(spark, sf, "customer").select(
+        "c_custkey", "c_name", "c_nationkey", F.col("c_acctbal").cast("string").alias("c_acctbal"), "c_mktsegment"
+    )
+    WBK.write_workbooks(c.repartition(4), path, title="Customer list")
+    wide = WBK.read_workbooks(spark, path)
+    return wide.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")

@@ -225,3 +225,54 @@ def write_xlsx(path: str, sheets: dict[str, list[list]]) -> None:
                 '<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
                 f'<sheetData>{"".join(body)}</sheetData></worksheet>',
             )
+
+
+# ------------------------------------------------------------- many workbooks
+def read_workbooks(spark: SparkSession, path: str, scan_rows: int = 50, max_scan: int = 25) -> DataFrame:
+    """S1–S5 for a directory: every file's best sheet, its detected header, one table.
+
+    Per file the header row's cells name the columns; rows below it become
+    records (``path``, ``row_no`` plus one string column per distinct header
+    name).  The header names are a small per-column set; everything else stays
+    distributed (cells → joins → ``groupBy(path, row_no).pivot(name)``).
+    """
+    cells = read_cells(spark, path)
+    best = best_sheet(cells, scan_rows).select("path", "sheet_no")
+    chosen = cells.join(best, ["path", "sheet_no"], "left_semi")
+    header = header_rows(chosen, max_scan)
+    located = chosen.join(header, ["path", "sheet_no"])
+    names = located.where(F.col("row_no") == F.col("header_row")).select(
+        "path", "sheet_no", "col_no", F.trim("value").alias("name")
+    )
+    body = located.where(F.col("row_no") > F.col("header_row")).join(names, ["path", "sheet_no", "col_no"])
+    header_names = [r["name"] for r in names.select("name").distinct().orderBy("name").collect()]
+    wide = body.groupBy("path", "row_no").pivot("name", header_names).agg(F.first("value"))
+    return wide
+
+
+def write_workbooks(df: DataFrame, path: str, sheet: str = "Data", title: str | None = None) -> None:
+    """Write each partition of ``df`` as one ``.xlsx`` file under ``path`` (header row + values).
+
+    An optional title row and a blank row go above the header, and a small
+    notes sheet comes first, as hand-made workbooks often have.
+    """
+    import os
+    import uuid
+
+    # Python workers write with the OS file API: the folder must be a mounted
+    # (shared) path, so a ``file:`` scheme is dropped.
+    path = path[len("file:"):] if path.startswith("file:") else path
+    cols = list(df.columns)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for pdf in batches:
+            rows.extend(pdf.astype(object).where(pd.notnull(pdf), None).values.tolist())
+        if rows:
+            os.makedirs(path, exist_ok=True)
+            target = os.path.join(path, f"part-{uuid.uuid4().hex}.xlsx")
+            head = ([[title], [None]] if title else []) + [cols]
+            write_xlsx(target, {"Notes": [["generated"]], sheet: head + rows})
+            yield pd.DataFrame({"file": [target], "rows": [len(rows)]})
+
+    df.mapInPandas(write, "file string, rows long").collect()
