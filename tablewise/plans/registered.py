@@ -740,7 +740,16 @@ def star_dim_part_type(spark, sf):
     return W.category_dimension(_t(spark, sf, "part"), "p_type")[0]
 
 
-@register("star_manifest_orders")
+@register(
+    "star_manifest_orders",
+    """
+    WITH tok AS (SELECT 'orders_' || substr(sha1('orders'), 1, 10) AS t)
+    SELECT 'bi_fact_' || t AS "table", 'Fact' AS kind, CAST(NULL AS VARCHAR) AS source_column, CAST(NULL AS BIGINT) AS row_count FROM tok
+    UNION ALL SELECT 'bi_dim_o_orderpriority_' || t, 'Category', 'o_orderpriority', (SELECT count(DISTINCT o_orderpriority) FROM orders) FROM tok
+    UNION ALL SELECT 'bi_dim_o_orderstatus_' || t, 'Category', 'o_orderstatus', (SELECT count(DISTINCT o_orderstatus) FROM orders) FROM tok
+    UNION ALL SELECT 'bi_dim_o_orderdate_' || t, 'Date', 'o_orderdate', (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders) FROM tok
+    """,
+)
 def star_manifest_orders(spark, sf):
     return W.manifest(_orders_star(spark, sf), "orders")
 
@@ -1077,7 +1086,33 @@ def transform_rules_customers(spark, sf):
     return CL.apply_rules(c.unionByName(c), _RULES)[0]
 
 
-@register("legacy_clean_orders")
+def _legacy_sql(table: str, cols: list[str]) -> str:
+    """Legacy typing rules in SQL: ≥70 % numeric → Number, ≥60 % timestamps → Date, else Text."""
+    parts = []
+    for i, c in enumerate(cols):
+        txt = f"CAST({c} AS VARCHAR)"
+        parts.append(
+            f"""SELECT {i} AS position, '{c}' AS name, count({c}) AS nn,
+                   count(*) FILTER (WHERE regexp_full_match({txt}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?')) AS num_ok,
+                   count(TRY_CAST({txt} AS TIMESTAMP)) AS date_ok,
+                   count(DISTINCT TRY_CAST({txt} AS DOUBLE)) AS d_num,
+                   count(DISTINCT CAST(TRY_CAST({txt} AS TIMESTAMP) AS DATE)) AS d_date,
+                   count(DISTINCT {txt}) AS d_text, count(*) AS n_rows
+            FROM (SELECT DISTINCT * FROM {table})"""
+        )
+    return f"""
+    WITH s AS ({" UNION ALL ".join(parts)}),
+    t AS (SELECT *, CASE WHEN nn > 0 AND num_ok / nn >= 0.7 THEN 'Number'
+                         WHEN nn > 0 AND date_ok / nn >= 0.6 THEN 'Date' ELSE 'Text' END AS data_type FROM s)
+    SELECT position, name, data_type,
+           CASE data_type WHEN 'Number' THEN d_num WHEN 'Date' THEN d_date ELSE d_text END AS distinct_count,
+           n_rows - nn AS null_count, data_type = 'Number' AS is_numeric, data_type = 'Date' AS is_date,
+           (data_type = 'Text' AND d_text <= least(100, greatest(20, n_rows // 2))) OR data_type = 'Date' AS is_category
+    FROM t
+    """
+
+
+@register("legacy_clean_orders", _legacy_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]))
 def legacy_clean_orders(spark, sf):
     return CL.legacy_clean(_t(spark, sf, "orders"))[1]
 
@@ -1397,3 +1432,106 @@ def workbook_roundtrip_customers(spark, sf):
     WBK.write_workbooks(c.repartition(4), path, title="Customer list")
     wide = WBK.read_workbooks(spark, path)
     return wide.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+# ----------------------------------------------------------- I1–I4 in SQL
+from tablewise.functions import fixed_values as FXV  # noqa: E402
+
+
+def _sql_list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _profile_sql(table: str, columns: list[tuple[str, str]], order_key: str) -> str:
+    """Type/role inference rules recomputed in SQL for ``columns`` [(name, kind)]."""
+    missing = _sql_list(FXV.MISSING_MARKERS)
+    bool_words = _sql_list(FXV.TRUE_WORDS + FXV.FALSE_WORDS)
+    parts = []
+    for i, (c, kind) in enumerate(columns):
+        blob = f"{c} {c} {NM.scrub_label(c)}".lower()
+        if kind == "text":
+            v = f"CASE WHEN lower(trim({c})) IN ({missing}) THEN NULL ELSE trim({c}) END"
+            simple = (f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({v}, '^[()]+|[()]+$', '', 'g'), "
+                      f"'[$€£¥₦]', '', 'g'), '(?i)\\\\b(usd|eur|gbp|ngn|xaf|xof)\\\\b', '', 'g'), '[ ,%]', '', 'g')")
+            num_ok = f"count(*) FILTER (WHERE regexp_full_match({simple}, '[+-]?(\\\\d+\\\\.?\\\\d*|\\\\.\\\\d+)([eE][+-]?\\\\d+)?'))"
+            date_ok = f"count(TRY_CAST({v} AS TIMESTAMP))"
+            bool_ok = f"count(*) FILTER (WHERE lower({v}) IN ({bool_words}))"
+            cur = f"coalesce(bool_or(regexp_matches({v}, '(?i)[$€£¥₦]|usd|eur|gbp|ngn|xaf|xof')), false)"
+            temporal = "false"
+        else:
+            v = f"CAST({c} AS VARCHAR)"
+            num_ok = f"count({c})" if kind in ("integral", "number") else "0"
+            date_ok = f"count({c})" if kind == "temporal" else "0"
+            bool_ok = f"count(*) FILTER (WHERE {v} IN ('0', '1'))" if kind == "integral" else "0"
+            cur = "false"
+            temporal = "true" if kind == "temporal" else "false"
+        first20 = (f"(SELECT CASE WHEN count(*) = 0 THEN false ELSE count(*) FILTER (WHERE regexp_matches(x, '(?i)[-/]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec')) >= count(*) * 0.5 END "
+                   f"FROM (SELECT {v} AS x FROM {table} WHERE {v} IS NOT NULL ORDER BY {order_key} LIMIT 20))")
+        parts.append(
+            f"SELECT {i} AS position, '{c}' AS name, '{blob}' AS blob, count(*) AS r, count({v}) AS nn, count(DISTINCT {v}) AS uc, "
+            f"{num_ok} AS num_ok, {date_ok} AS date_ok, {bool_ok} AS bool_ok, coalesce(avg(length({v})), 0) AS avg_len, "
+            f"{cur} AS cur, {temporal} OR {first20} AS date_like FROM {table}"
+        )
+    idp, dtp, msp = FXV.IDENTIFIER_NAME_PATTERN, FXV.DATE_NAME_PATTERN, FXV.MEASURE_NAME_PATTERN
+    return f"""
+    WITH s AS ({" UNION ALL ".join(parts)}),
+    r AS (SELECT *, CASE WHEN nn > 0 THEN uc / nn ELSE 0 END AS ur, CASE WHEN nn > 0 THEN num_ok / nn ELSE 0 END AS nr,
+                 CASE WHEN nn > 0 THEN bool_ok / nn ELSE 0 END AS br,
+                 regexp_matches(blob, '{idp}') AS id_name, regexp_matches(blob, '{msp}') AS measure_name,
+                 regexp_matches(blob, '{dtp}') OR date_like AS check_date FROM s),
+    d AS (SELECT *, CASE WHEN check_date AND nn > 0 THEN date_ok / nn ELSE 0 END AS dr,
+                 greatest(3, least(50, r * 0.35)) AS cat_limit FROM r),
+    t AS (SELECT *, CASE WHEN nn = 0 THEN 'Unknown'
+                         WHEN id_name AND ur >= 0.65 THEN 'Identifier'
+                         WHEN check_date AND dr >= 0.5 THEN 'Date'
+                         WHEN br >= 0.9 AND uc <= 3 THEN 'Boolean'
+                         WHEN nr >= 0.75 OR (measure_name AND nr >= 0.5) THEN CASE WHEN cur OR measure_name THEN 'Currency' ELSE 'Number' END
+                         WHEN uc <= cat_limit AND avg_len <= 80 THEN 'Category'
+                         ELSE 'Text' END AS detected_type FROM d),
+    o AS (SELECT *, CASE WHEN nn = 0 OR (nn > 0 AND uc <= 1) THEN 'Ignored'
+                         WHEN detected_type = 'Identifier' THEN 'Identifier'
+                         WHEN detected_type = 'Date' THEN 'Date Dimension'
+                         WHEN detected_type IN ('Number', 'Currency') THEN CASE WHEN id_name AND ur >= 0.5 THEN 'Identifier' ELSE 'Measure' END
+                         WHEN detected_type IN ('Boolean', 'Category') THEN 'Dimension'
+                         WHEN detected_type = 'Text' AND uc <= cat_limit AND avg_len <= 80 THEN 'Dimension'
+                         ELSE 'Attribute' END AS role0 FROM t),
+    f AS (SELECT *, CASE WHEN name IN ({_sql_list(FXV.PERSON_NAME_COLUMNS)}) AND ur >= 0.5 THEN 'Attribute' ELSE role0 END AS semantic_role FROM o)
+    SELECT position, name, detected_type, semantic_role, r - nn AS null_count, uc AS unique_count,
+           round(CASE detected_type WHEN 'Unknown' THEN 1.0 WHEN 'Identifier' THEN least(0.98, 0.7 + ur * 0.25) WHEN 'Date' THEN dr
+                 WHEN 'Boolean' THEN br WHEN 'Number' THEN nr WHEN 'Currency' THEN nr WHEN 'Category' THEN greatest(0.65, 1 - ur)
+                 ELSE CASE WHEN avg_len <= 120 THEN 0.72 ELSE 0.85 END END, 4) AS confidence,
+           CASE semantic_role WHEN 'Measure' THEN CASE WHEN detected_type = 'Currency' OR measure_name THEN 'sum' ELSE 'average' END
+                WHEN 'Identifier' THEN 'count_distinct' WHEN 'Dimension' THEN 'count' WHEN 'Date Dimension' THEN 'range' END AS aggregation,
+           semantic_role <> 'Ignored' AS include
+    FROM f
+    """
+
+
+_PROFILE_TYPE_COLUMNS = ["position", "name", "detected_type", "semantic_role", "null_count", "unique_count", "confidence", "aggregation", "include"]
+
+
+@register(
+    "profile_types_orders",
+    _profile_sql("orders", [("o_orderkey", "integral"), ("o_custkey", "integral"), ("o_orderstatus", "text"),
+                            ("o_totalprice", "number"), ("o_orderdate", "temporal"), ("o_orderpriority", "text")], "o_orderkey"),
+)
+def profile_types_orders(spark, sf):
+    return PR.profile(_t(spark, sf, "orders"), order_by=["o_orderkey"], most_frequent=False).select(*_PROFILE_TYPE_COLUMNS)
+
+
+@register(
+    "profile_types_customer",
+    _profile_sql("customer", [("c_custkey", "integral"), ("c_name", "text"), ("c_nationkey", "integral"),
+                              ("c_acctbal", "number"), ("c_mktsegment", "text")], "c_custkey"),
+)
+def profile_types_customer(spark, sf):
+    return PR.profile(_t(spark, sf, "customer"), order_by=["c_custkey"], most_frequent=False).select(*_PROFILE_TYPE_COLUMNS)
+
+
+@register(
+    "profile_types_events",
+    _profile_sql("events", [("event_id", "integral"), ("ts", "temporal"), ("user_id", "integral"), ("event_type", "text"),
+                            ("value", "number"), ("props", "text")], "event_id"),
+)
+def profile_types_events(spark, sf):
+    return PR.profile(_t(spark, sf, "events"), order_by=["event_id"], most_frequent=False).select(*_PROFILE_TYPE_COLUMNS)
