@@ -1535,3 +1535,40 @@ def profile_types_customer(spark, sf):
 )
 def profile_types_events(spark, sf):
     return PR.profile(_t(spark, sf, "events"), order_by=["event_id"], most_frequent=False).select(*_PROFILE_TYPE_COLUMNS)
+
+
+@register(
+    "table_widget_search_orders",
+    """
+    SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders
+    WHERE lower(CAST(o_orderkey AS VARCHAR)) LIKE '%urgent%' OR lower(o_orderstatus) LIKE '%urgent%'
+       OR lower(o_orderpriority) LIKE '%urgent%'
+    ORDER BY o_orderkey LIMIT 100
+    """,
+)
+def table_widget_search_orders(spark, sf):
+    """Table widget rows containing the search text in any column, first 100."""
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return Q.table_widget(Q.search(o, "URGENT"), None, 100, ["o_orderkey"])
+
+
+@register(
+    "customer_listing",
+    """
+    WITH c AS (SELECT c_custkey, c_name, c_mktsegment FROM customer
+               WHERE c_mktsegment = 'BUILDING' AND (lower(c_name) LIKE '%00001%' OR lower(CAST(c_custkey AS VARCHAR)) LIKE '%00001%')),
+         f AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+         n AS (SELECT o_custkey, count(*) AS n_refs FROM orders GROUP BY o_custkey)
+    SELECT c.c_custkey, c.c_name, c.c_mktsegment, f.o_custkey IS NOT NULL AS is_favorite, coalesce(n.n_refs, 0) AS n_refs
+    FROM c LEFT JOIN f ON f.o_custkey = c.c_custkey LEFT JOIN n ON n.o_custkey = c.c_custkey
+    ORDER BY lower(c.c_name), c.c_custkey LIMIT 20
+    """,
+)
+def customer_listing(spark, sf):
+    """Equality filter + search (P9), favourite flag (J3), counts (J4), natural sort (T5), limit."""
+    c = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    c = C.filter_list(c, "00001", ["c_name", "c_custkey"], {"c_mktsegment": "BUILDING"})
+    o = _t(spark, sf, "orders")
+    c = C.flag_referenced(c, "c_custkey", o.where(F.col("o_orderpriority") == "1-URGENT"), "o_custkey")
+    c = C.enrich_counts(c, "c_custkey", o, "o_custkey")
+    return C.sorted_list(c, "c_name", "alpha", tiebreak=["c_custkey"], limit=20)
