@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tablewise.functions import fixed_values as FV
 from tablewise.functions import names as N
 from tablewise.functions import parse as P
-from tablewise.session import BROADCAST_MAX_ROWS, sequential_id
+from tablewise.session import BROADCAST_MAX_ROWS, checkpoint, sequential_id
 
 # Above this many members a dimension id is assigned by ``sequential_id``
 # (distributed); below it a single ordered window over the members is cheaper.
@@ -42,21 +42,52 @@ def _ids(members: DataFrame, order: str, n: int) -> DataFrame:
     return sequential_id(members, [order], "id")
 
 
-def category_dimension(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+def all_members(df: DataFrame, categories: Sequence[str], dates: Sequence[str]) -> DataFrame | None:
+    """Distinct members of every dimension column from one scan (``GROUPING SETS``).
+
+    Rows are (``__dim``, ``__text``, ``__date``); the result has one row per
+    member, so it is checkpointed once and each dimension reads its slice.
+    """
+    cols = list(categories) + list(dates)
+    if not cols:
+        return None
+    keyed = df.select(
+        *[F.col(c).cast("string").alias(f"__c{i}") for i, c in enumerate(categories)],
+        *[F.to_date(c).alias(f"__d{i}") for i, c in enumerate(dates)],
+    )
+    keys = [f"__c{i}" for i in range(len(categories))] + [f"__d{i}" for i in range(len(dates))]
+    g = keyed.groupingSets([[k] for k in keys], *keys).agg(*[F.grouping(k).alias(f"g{k}") for k in keys])
+    text = F.coalesce(*[F.when(F.col(f"g__c{i}") == 0, F.col(f"__c{i}")) for i in range(len(categories))], F.lit(None).cast("string"))
+    date = F.coalesce(*[F.when(F.col(f"g__d{i}") == 0, F.col(f"__d{i}")) for i in range(len(dates))], F.lit(None).cast("date"))
+    dim = F.coalesce(
+        *[F.when(F.col(f"g__c{i}") == 0, F.lit(c)) for i, c in enumerate(categories)],
+        *[F.when(F.col(f"g__d{i}") == 0, F.lit(c)) for i, c in enumerate(dates)],
+    )
+    return checkpoint(g.select(dim.alias("__dim"), text.alias("__text"), date.alias("__date")))
+
+
+def category_dimension(df: DataFrame, column: str, members_all: DataFrame | None = None) -> tuple[DataFrame, int]:
     """M1: (id, value, source_value) — distinct non-null values as text, id in value order.
 
     ``value`` is cut to 255 characters for display; ``source_value`` keeps the
     whole text so the fact lookup never misses a long value.
     """
-    members = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("source_value")).distinct()
+    if members_all is not None:
+        members = members_all.where((F.col("__dim") == column) & F.col("__text").isNotNull()).select(
+            F.col("__text").alias("source_value"))
+    else:
+        members = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("source_value")).distinct()
     n = members.count()
     dim = _ids(members, "source_value", n).select("id", P.truncate_text("source_value").alias("value"), "source_value")
     return dim, n
 
 
-def date_dimension(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+def date_dimension(df: DataFrame, column: str, members_all: DataFrame | None = None) -> tuple[DataFrame, int]:
     """M2: (id, value, year, month, day) — distinct dates, id in date order."""
-    members = df.where(F.col(column).isNotNull()).select(F.to_date(column).alias("value")).distinct()
+    if members_all is not None:
+        members = members_all.where((F.col("__dim") == column) & F.col("__date").isNotNull()).select(F.col("__date").alias("value"))
+    else:
+        members = df.where(F.col(column).isNotNull()).select(F.to_date(column).alias("value")).distinct()
     n = members.count()
     dim = _ids(members, "value", n).select("id", "value", *P.date_parts("value"))
     return dim, n
@@ -104,16 +135,17 @@ def build_star(
     tracked by name, not guessed from an ``_id`` suffix.
     """
     star = Star(fact=clean, measures=list(measures))
-    base = sequential_id(clean.select(*order_by, *dict.fromkeys([*measures, *categories, *dates])), list(order_by), "source_row_id")
+    members = all_members(clean, categories, dates)
+    base = sequential_id(clean.select(*dict.fromkeys([*order_by, *measures, *categories, *dates])), list(order_by), "source_row_id")
     fact = base
     keys = []
     for c in categories:
-        dim, n = category_dimension(clean, c)
+        dim, n = category_dimension(clean, c, members)
         star.dimensions[c], star.dimension_kinds[c], star.dimension_rows[c] = dim, "Category", n
         fact = lookup(fact, dim, c, "source_value", n, f"{c}_id")
         keys.append(f"{c}_id")
     for c in dates:
-        dim, n = date_dimension(clean, c)
+        dim, n = date_dimension(clean, c, members)
         star.dimensions[c], star.dimension_kinds[c], star.dimension_rows[c] = dim, "Date", n
         fact = lookup(fact, dim, c, "value", n, f"{c}_id")
         keys.append(f"{c}_id")
