@@ -105,14 +105,19 @@ def sequential_id(df: DataFrame, order_cols: list[str], name: str = "id", start:
     return out.drop("__pid", "__mid", "__offset", "__first")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def needs_spread(df: DataFrame) -> bool:
+    """True when ``df`` has fewer partitions than the cluster has cores (plans once)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores > 1 and df.rdd.getNumPartitions() < cores
+
+
+def spread(df: DataFrame, needed: bool | None = None) -> DataFrame:
     """Round-robin a scan that has fewer partitions than the cluster has cores.
 
     Only for CPU-heavy per-row work (regex parsing).  A large input already has
     many more splits than cores, so this is a no-op at scale; it only helps a
     small single-file input use every core.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    return df.repartition(cores) if n < cores and cores > 1 else df
+    if needed is None:
+        needed = needs_spread(df)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if needed else df
