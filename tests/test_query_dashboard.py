@@ -99,3 +99,16 @@ def test_default_dashboard_and_audits(spark, employees):
     assert (1, "duplicate_id") in layout and (2, "id_not_snake_case") in layout and (2, "grid_overflow") in layout
     dup = {r["id"]: r["keep"] for r in AU.duplicate_analyses(st).collect()}
     assert dup == {"bar_a": True, "pie_a": False}
+
+
+def test_line_chart_on_raw_key(spark):
+    df = spark.createDataFrame([(i % 37, float(i)) for i in range(500)], "k long, v double")
+    spec = {"widgets": [
+        {"id": "by_k", "type": "line_chart", "data": {"x": "k", "y": "v", "aggregation": "count"}},
+        {"id": "top_k", "type": "bar_chart", "data": {"x": "k", "y": "v", "aggregation": "sum", "limit": 3}},
+    ]}
+    rows = D.run_dashboard(df, spec)[0].collect()
+    line = sorted((r["rank"], r["label"]) for r in rows if r["widget_id"] == "by_k")
+    assert [r for r, _ in line] == list(range(1, 38))
+    assert [lbl for _, lbl in line] == sorted(str(k) for k in range(37))
+    assert len([r for r in rows if r["widget_id"] == "top_k"]) == 3
