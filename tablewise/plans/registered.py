@@ -1572,3 +1572,30 @@ def customer_listing(spark, sf):
     c = C.flag_referenced(c, "c_custkey", o.where(F.col("o_orderpriority") == "1-URGENT"), "o_custkey")
     c = C.enrich_counts(c, "c_custkey", o, "o_custkey")
     return C.sorted_list(c, "c_name", "alpha", tiebreak=["c_custkey"], limit=20)
+
+
+from tablewise.plans import import_flow as IF  # noqa: E402
+
+
+@register("import_run_log_customer")
+def import_run_log_customer(spark, sf):
+    """Entry 1 end to end on the dirty customer copy; returns the run log (U4), one row per step."""
+    result = IF.run_import(_dirty_customers(spark, sf), "customers", ["Customer Name"])
+    return IF.run_log(spark, result).select("step", "status", "message")
+
+
+@register(
+    "import_manifest_customer",
+    """
+    WITH tok AS (SELECT 'customers_' || substr(sha1('customers'), 1, 10) AS t)
+    SELECT 'bi_fact_' || t AS "table", 'Fact' AS kind, CAST(NULL AS VARCHAR) AS source_column, CAST(NULL AS BIGINT) AS row_count FROM tok
+    UNION ALL SELECT 'bi_dim_segment_' || t, 'Category', 'segment',
+                     (SELECT count(DISTINCT c_mktsegment) FILTER (WHERE c_custkey % 10 <> 0) FROM customer) FROM tok
+    UNION ALL SELECT 'bi_dim_start_date_' || t, 'Date', 'start_date',
+                     (SELECT count(DISTINCT c_custkey % 365) FILTER (WHERE c_custkey % 9 <> 0) FROM customer) FROM tok
+    """,
+)
+def import_manifest_customer(spark, sf):
+    """Entry 1: the model manifest written by the import (dimension sizes follow the data)."""
+    result = IF.run_import(_dirty_customers(spark, sf), "customers", ["Customer Name"])
+    return result.manifest
