@@ -1599,3 +1599,51 @@ def import_manifest_customer(spark, sf):
     """Entry 1: the model manifest written by the import (dimension sizes follow the data)."""
     result = IF.run_import(_dirty_customers(spark, sf), "customers", ["Customer Name"])
     return result.manifest
+
+
+def _suggestions_sql(profile_sql: str) -> str:
+    """W8 rules over the SQL profile: safe measures, first date/category, donut, histogram, combined."""
+    unsafe = " OR ".join(f"contains(txt, '{t}')" for t in FXV.UNSAFE_MEASURE_TOKENS)
+    return f"""
+    WITH p AS ({profile_sql}),
+    q AS (SELECT *, lower(name || ' ' || upper(substr(replace(name, '_', ' '), 1, 1)) || lower(substr(replace(name, '_', ' '), 2))) AS txt FROM p),
+    num AS (SELECT name, row_number() OVER (ORDER BY position) AS k FROM q
+            WHERE semantic_role = 'Measure' AND detected_type IN ('Number', 'Currency') AND NOT ({unsafe})),
+    dat AS (SELECT name, row_number() OVER (ORDER BY position) AS k FROM q WHERE semantic_role = 'Date Dimension' OR detected_type = 'Date'),
+    cat AS (SELECT name, unique_count, row_number() OVER (ORDER BY position) AS k FROM q WHERE semantic_role = 'Dimension'),
+    low AS (SELECT name, row_number() OVER (ORDER BY k) AS j FROM cat WHERE unique_count <= 8),
+    n1 AS (SELECT name FROM num WHERE k = 1), n2 AS (SELECT name FROM num WHERE k = 2),
+    d1 AS (SELECT name FROM dat WHERE k = 1), c1 AS (SELECT name FROM cat WHERE k = 1), l1 AS (SELECT name FROM low WHERE j = 1)
+    SELECT 'kpi' AS kind, CAST(NULL AS VARCHAR) AS category_field, name AS value_field, CAST(NULL AS VARCHAR) AS secondary_value_field
+    FROM num WHERE k <= 5
+    UNION ALL SELECT 'Line', d1.name, n1.name, NULL FROM d1, n1
+    UNION ALL SELECT 'Bar', c1.name, n1.name, NULL FROM c1, n1
+    UNION ALL SELECT 'Donut', l1.name, n1.name, NULL FROM l1, n1, c1
+    UNION ALL SELECT 'Histogram', NULL, n1.name, NULL FROM n1
+    UNION ALL SELECT 'Combined', coalesce((SELECT name FROM d1), (SELECT name FROM c1)), n1.name, n2.name FROM n1, n2
+              WHERE EXISTS (SELECT 1 FROM d1) OR EXISTS (SELECT 1 FROM c1)
+    """
+
+
+_ORDERS_PROFILE_SQL = _profile_sql(
+    "orders", [("o_orderkey", "integral"), ("o_custkey", "integral"), ("o_orderstatus", "text"),
+               ("o_totalprice", "number"), ("o_orderdate", "temporal"), ("o_orderpriority", "text")], "o_orderkey")
+
+
+ORACLE["suggestions_orders"] = _suggestions_sql(_ORDERS_PROFILE_SQL).strip()
+
+
+_CUSTOMER_PROFILE_SQL = _profile_sql(
+    "customer", [("c_custkey", "integral"), ("c_name", "text"), ("c_nationkey", "integral"),
+                 ("c_acctbal", "number"), ("c_mktsegment", "text")], "c_custkey")
+
+# the mapping proposed from the profile with one user edit (c_name as a measure); c_nationkey,
+# left out of the mapping, comes back as Ignored
+ORACLE["mapping_violations_customer"] = f"""
+    WITH p AS ({_CUSTOMER_PROFILE_SQL}),
+    m AS (SELECT name, CASE WHEN name = 'c_name' THEN 'Measure' WHEN name = 'c_nationkey' THEN 'Ignored' ELSE semantic_role END AS role,
+                 detected_type AS t, CASE WHEN name = 'c_nationkey' THEN NULL ELSE aggregation END AS aggregation FROM p)
+    SELECT name AS normalized_name, 'measure_not_numeric' AS problem FROM m WHERE role = 'Measure' AND t NOT IN ('Number', 'Currency')
+    UNION ALL SELECT name, 'date_dimension_not_date' FROM m WHERE role = 'Date Dimension' AND t <> 'Date'
+    UNION ALL SELECT name, 'identifier_summed' FROM m WHERE role = 'Identifier' AND aggregation = 'sum'
+""".strip()
