@@ -1647,3 +1647,87 @@ ORACLE["mapping_violations_customer"] = f"""
     UNION ALL SELECT name, 'date_dimension_not_date' FROM m WHERE role = 'Date Dimension' AND t <> 'Date'
     UNION ALL SELECT name, 'identifier_summed' FROM m WHERE role = 'Identifier' AND aggregation = 'sum'
 """.strip()
+
+
+# The generated widget table rebuilt in SQL from the schema (3 widgets per column + a table widget)
+# and the default dashboard (first numeric / categorical / date column of the SQL profile).
+_SPEC_SQL = f"""
+    cols AS (SELECT column_name AS c, CAST(ordinal_position - 1 AS INTEGER) AS i FROM information_schema.columns
+             WHERE table_name = 'orders'),
+    ncols AS (SELECT count(*) AS n FROM cols),
+    first_col AS (SELECT c FROM cols WHERE i = 0),
+    p AS ({_ORDERS_PROFILE_SQL}),
+    k AS (SELECT name, position,
+                 semantic_role = 'Measure' OR detected_type IN ('Number', 'Currency') AS is_numeric,
+                 semantic_role IN ('Date Dimension') OR detected_type = 'Date' AS is_date,
+                 semantic_role IN ('Dimension', 'Attribute', 'Identifier') OR detected_type IN ('Category', 'Text', 'Identifier', 'Boolean') AS is_categorical
+          FROM p WHERE semantic_role <> 'Ignored'),
+    m AS (SELECT (SELECT name FROM k WHERE is_numeric ORDER BY position LIMIT 1) AS metric,
+                 (SELECT name FROM k WHERE is_categorical ORDER BY position LIMIT 1) AS dim,
+                 (SELECT name FROM k WHERE is_date ORDER BY position LIMIT 1) AS dt),
+    spec AS (
+      SELECT 'orders' AS dashboard_id, 3 * i AS pos, 'sum_' || c AS id, 'kpi_card' AS type, (i * 3) % 15 AS x, 3 AS w,
+             c AS metric, NULL AS dim_x, NULL AS measure_y, NULL AS category, NULL AS value, 'sum' AS aggregation FROM cols
+      UNION ALL SELECT 'orders', 3 * i + 1, CASE WHEN i % 2 = 1 THEN 'Bar' || i ELSE 'sum_' || c END, 'bar_chart', 0, 6,
+             NULL, c, (SELECT c FROM first_col), NULL, NULL, 'sum' FROM cols
+      UNION ALL SELECT 'orders', 3 * i + 2, 'pie_' || c, 'pie_chart', 6, 6, NULL, NULL, NULL, c, (SELECT c FROM first_col), 'sum' FROM cols
+      UNION ALL SELECT 'orders', 3 * n, 'table', 'data_table', 0, 12, NULL, NULL, NULL, NULL, NULL, NULL FROM ncols
+      UNION ALL SELECT 'orders_default', 0, 'total_' || metric, 'kpi_card', 0, 3, metric, NULL, NULL, NULL, NULL, 'sum' FROM m
+      UNION ALL SELECT 'orders_default', 1, metric || '_by_' || dim, 'bar_chart', 0, 6, NULL, dim, metric, NULL, NULL, 'sum' FROM m
+      UNION ALL SELECT 'orders_default', 2, metric || '_trend', 'line_chart', 6, 6, NULL, dt, metric, NULL, NULL, 'sum' FROM m
+      UNION ALL SELECT 'orders_default', 3, metric || '_share_by_' || dim, 'pie_chart', 0, 4, NULL, NULL, NULL, dim, metric, 'sum' FROM m
+      UNION ALL SELECT 'orders_default', 4, 'details_table', 'data_table', 0, 12, NULL, NULL, NULL, NULL, NULL, NULL FROM m)
+"""
+
+ORACLE["audit_unknown_columns"] = """
+    WITH cols AS (SELECT column_name AS c, CAST(ordinal_position - 1 AS INTEGER) AS i FROM information_schema.columns
+                  WHERE table_name = 'orders'),
+         ncols AS (SELECT count(*) AS n FROM cols)
+    SELECT 'ghost_column' AS "column", 'orders' AS dashboard_id, 3 * n AS pos, 'table' AS id, 'data_table' AS type, 'columns' AS role
+    FROM ncols
+""".strip()
+
+ORACLE["audit_layout"] = f"""
+    WITH {_SPEC_SQL},
+    marked AS (SELECT *, count(*) OVER (PARTITION BY dashboard_id, id) AS dup,
+                         row_number() OVER (PARTITION BY dashboard_id, id ORDER BY pos) AS first FROM spec)
+    SELECT dashboard_id, pos, id, 'duplicate_id' AS problem FROM marked WHERE dup > 1 AND first > 1
+    UNION ALL SELECT dashboard_id, pos, id, 'id_not_snake_case' FROM spec WHERE NOT regexp_full_match(id, '[a-z][a-z0-9]*(?:_[a-z0-9]+)*')
+    UNION ALL SELECT dashboard_id, pos, id, 'grid_overflow' FROM spec WHERE x + w > 12
+""".strip()
+
+ORACLE["audit_duplicate_analyses"] = f"""
+    WITH {_SPEC_SQL},
+    s AS (SELECT *, CASE WHEN type = 'kpi_card' THEN 'kpi|main|' || metric || '|' || aggregation
+                         WHEN type IN ('bar_chart', 'pie_chart') THEN 'chart|main|' || coalesce(dim_x, category) || '|' || coalesce(measure_y, value) || '|' || aggregation
+                         WHEN type = 'line_chart' THEN 'chart|main|' || dim_x || '|' || measure_y || '|' || aggregation END AS signature,
+                 CASE type WHEN 'line_chart' THEN 4 WHEN 'bar_chart' THEN 3 WHEN 'kpi_card' THEN 3 WHEN 'pie_chart' THEN 1 ELSE 0 END AS prio
+          FROM spec),
+    d AS (SELECT *, count(*) OVER (PARTITION BY dashboard_id, signature) AS n,
+                    row_number() OVER (PARTITION BY dashboard_id, signature ORDER BY prio DESC, pos) AS best
+          FROM s WHERE signature IS NOT NULL)
+    SELECT dashboard_id, pos, id, type, signature, best = 1 AS keep FROM d WHERE n > 1
+""".strip()
+
+ORACLE["audit_type_rules"] = f"""
+    WITH {_SPEC_SQL},
+    refs AS (SELECT dashboard_id, pos, id, type, 'metric' AS role, metric AS "column", aggregation FROM spec WHERE type = 'kpi_card'
+             UNION ALL SELECT dashboard_id, pos, id, type, 'x', dim_x, aggregation FROM spec WHERE type IN ('bar_chart', 'line_chart')
+             UNION ALL SELECT dashboard_id, pos, id, type, 'y', measure_y, aggregation FROM spec WHERE type IN ('bar_chart', 'line_chart')
+             UNION ALL SELECT dashboard_id, pos, id, type, 'category', category, aggregation FROM spec WHERE type = 'pie_chart'
+             UNION ALL SELECT dashboard_id, pos, id, type, 'value', value, aggregation FROM spec WHERE type = 'pie_chart'),
+    j AS (SELECT refs.*, k2.is_numeric, k2.is_date, k2.is_categorical FROM refs JOIN (
+            SELECT name, semantic_role = 'Measure' OR detected_type IN ('Number', 'Currency') AS is_numeric,
+                   semantic_role = 'Date Dimension' OR detected_type = 'Date' AS is_date,
+                   semantic_role IN ('Dimension', 'Attribute', 'Identifier') OR detected_type IN ('Category', 'Text', 'Identifier', 'Boolean') AS is_categorical
+            FROM p) k2 ON k2.name = refs."column"),
+    v AS (SELECT *, CASE
+            WHEN type = 'kpi_card' AND role = 'metric' AND aggregation <> 'count' AND NOT is_numeric THEN 'metric_not_numeric'
+            WHEN type = 'bar_chart' AND role = 'x' AND NOT (is_categorical OR is_date) THEN 'x_not_categorical'
+            WHEN type = 'bar_chart' AND role = 'y' AND aggregation <> 'count' AND NOT is_numeric THEN 'y_not_numeric'
+            WHEN type = 'line_chart' AND role = 'x' AND NOT (is_date OR is_numeric) THEN 'x_not_ordered'
+            WHEN type = 'line_chart' AND role = 'y' AND NOT is_numeric THEN 'y_not_numeric'
+            WHEN type = 'pie_chart' AND role = 'category' AND NOT is_categorical THEN 'category_not_categorical'
+            WHEN type = 'pie_chart' AND role = 'value' AND NOT is_numeric THEN 'value_not_numeric' END AS problem FROM j)
+    SELECT dashboard_id, pos, id, type, role, "column", problem FROM v WHERE problem IS NOT NULL
+""".strip()
