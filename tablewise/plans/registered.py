@@ -1731,3 +1731,19 @@ ORACLE["audit_type_rules"] = f"""
             WHEN type = 'pie_chart' AND role = 'value' AND NOT is_numeric THEN 'value_not_numeric' END AS problem FROM j)
     SELECT dashboard_id, pos, id, type, role, "column", problem FROM v WHERE problem IS NOT NULL
 """.strip()
+
+# Entry 1 run log: every step message recomputed from the customer table (the dirty copy's
+# construction is known: n/a balances, N/A segments, unparsable start dates, every row twice).
+ORACLE["import_run_log_customer"] = """
+    WITH c AS (SELECT c_custkey % 5 = 3 AS nb, c_custkey % 10 = 0 AS ns, c_custkey % 9 = 0 AS nd FROM customer),
+    k AS (SELECT count(*) AS r, sum(CAST(nb AS INTEGER) + CAST(ns AS INTEGER) + CAST(nd AS INTEGER)) AS miss,
+                 sum(CAST(nd AS INTEGER)) AS conv FROM c),
+    q AS (SELECT *, greatest(0.0, least(100.0, round(100 - miss / (r * 5.0) * 35 - conv / (r * 5.0) * 30 - 1 / 5.0 * 20, 2))) AS score FROM k)
+    SELECT 'clean' AS step, 'Success' AS status,
+           'empty columns removed: Empty Column; exact duplicates removed: ' || r || '; constant columns: Country; '
+           || conv || ' values not converted in ''Start Date''' AS message FROM q
+    UNION ALL SELECT 'rename', 'Success', '5 columns' FROM q
+    UNION ALL SELECT 'profile', 'Success', '5 columns profiled' FROM q
+    UNION ALL SELECT 'quality', 'Success', 'score ' || CAST(score AS VARCHAR) FROM q
+    UNION ALL SELECT 'tables', 'Success', '1 category and 1 date dimensions' FROM q
+""".strip()
