@@ -1429,7 +1429,7 @@ def workbook_roundtrip_customers(spark, sf):
     c = _t(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_nationkey", F.col("c_acctbal").cast("string").alias("c_acctbal"), "c_mktsegment"
     )
-    WBK.write_workbooks(c.repartition(4), path, title="Customer list")
+    WBK.write_workbooks(c, path, title="Customer list", rows_per_file=500)
     wide = WBK.read_workbooks(spark, path)
     return wide.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 

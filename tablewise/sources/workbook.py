@@ -250,8 +250,13 @@ def read_workbooks(spark: SparkSession, path: str, scan_rows: int = 50, max_scan
     return wide
 
 
-def write_workbooks(df: DataFrame, path: str, sheet: str = "Data", title: str | None = None) -> None:
-    """Write each partition of ``df`` as one ``.xlsx`` file under ``path`` (header row + values).
+def write_workbooks(df: DataFrame, path: str, sheet: str = "Data", title: str | None = None,
+                    rows_per_file: int = 50_000) -> None:
+    """Write ``df`` as ``.xlsx`` files under ``path`` (header row + values), at most ``rows_per_file`` rows each.
+
+    Each task writes its own partition, starting a new workbook every
+    ``rows_per_file`` rows, so the file count grows with the data and no task
+    holds more than one workbook's rows.
 
     An optional title row and a blank row go above the header, and a small
     notes sheet comes first, as hand-made workbooks often have.
@@ -264,15 +269,21 @@ def write_workbooks(df: DataFrame, path: str, sheet: str = "Data", title: str |
     path = path[len("file:"):] if path.startswith("file:") else path
     cols = list(df.columns)
 
+    def flush(rows):
+        os.makedirs(path, exist_ok=True)
+        target = os.path.join(path, f"part-{uuid.uuid4().hex}.xlsx")
+        head = ([[title], [None]] if title else []) + [cols]
+        write_xlsx(target, {"Notes": [["generated"]], sheet: head + rows})
+        return pd.DataFrame({"file": [target], "rows": [len(rows)]})
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
+        rows: list = []
         for pdf in batches:
             rows.extend(pdf.astype(object).where(pd.notnull(pdf), None).values.tolist())
+            while len(rows) >= rows_per_file:
+                yield flush(rows[:rows_per_file])
+                rows = rows[rows_per_file:]
         if rows:
-            os.makedirs(path, exist_ok=True)
-            target = os.path.join(path, f"part-{uuid.uuid4().hex}.xlsx")
-            head = ([[title], [None]] if title else []) + [cols]
-            write_xlsx(target, {"Notes": [["generated"]], sheet: head + rows})
-            yield pd.DataFrame({"file": [target], "rows": [len(rows)]})
+            yield flush(rows)
 
     df.mapInPandas(write, "file string, rows long").collect()
