@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions import parse as P
+from tablewise.session import bounded_broadcast
 
 
 def _day(c: str | Column) -> Column:
@@ -121,8 +121,8 @@ def enrich_counts(left: DataFrame, key: str, right: DataFrame, ref: str, name: s
 
 
 def enrich_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, columns: Sequence[str]) -> DataFrame:
-    """Id → name/owner lookup (left join)."""
-    side = right.select(F.col(right_key).alias(key), *columns)
+    """Id → name/owner lookup (left join); the lookup side is broadcast only under a checked row count."""
+    side = bounded_broadcast(right.select(F.col(right_key).alias(key), *columns))
     return left.join(side, key, "left")
 
 
@@ -222,7 +222,3 @@ def latest_per_group(df: DataFrame, group: Sequence[str], order: str, payload: S
     return df.groupBy(*group).agg(
         F.max_by(F.struct(*[F.col(c) for c in [order, *payload]]), F.struct(F.col(order), *[F.col(c) for c in payload])).alias("__r")
     ).select(*group, *[F.col(f"__r.{c}").alias(c) for c in [order, *payload]])
-
-
-def normalised_text(c: str) -> Column:
-    return P.normalise_missing(c)

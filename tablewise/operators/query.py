@@ -171,7 +171,7 @@ def sql_chart(
     aggs = [kpi_sql(df, value_field, calculation, digits).alias("value")]
     if secondary_value_field:
         aggs.append(kpi_sql(df, secondary_value_field, calculation, digits).alias("value2"))
-    grouped = df.where(F.col(category).isNotNull()).groupBy(F.col(category).alias("__key")).agg(*aggs)
+    grouped = not_null(df, category).groupBy(F.col(category).alias("__key")).agg(*aggs)
     if is_date:
         ordered = grouped.orderBy(F.desc("__key") if latest else F.asc("__key")).limit(int(limit))
         if latest:

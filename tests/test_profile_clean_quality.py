@@ -104,3 +104,10 @@ def test_transform_rules(employees):
     assert "Annual Salary" not in out.columns and "full_name" in out.columns
     assert {r["Gender"] for r in out.collect()} == {"Male", "Female"}
     assert any("ghost" in w for w in warnings) and any("Custom Formula" in w for w in warnings)
+
+
+def test_clean_plan_replays_decisions(employees):
+    renamed, _, _ = N.rename_readable(employees)
+    clean, report = CL.clean_dataset(renamed)
+    replay = CL.clean_plan(renamed, report.numeric_columns, {c: True for c in report.date_columns}, report.removed_empty_columns)
+    assert sorted(map(tuple, replay.collect())) == sorted(map(tuple, clean.collect()))
