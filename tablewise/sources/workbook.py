@@ -269,21 +269,29 @@ def write_workbooks(df: DataFrame, path: str, sheet: str = "Data", title: str |
     path = path[len("file:"):] if path.startswith("file:") else path
     cols = list(df.columns)
 
-    def flush(rows):
+    def flush(rows, part: int, chunk: int):
+        # a retried task rewrites the same names (no duplicate files), and a
+        # file appears only complete (written aside, then renamed)
         os.makedirs(path, exist_ok=True)
-        target = os.path.join(path, f"part-{uuid.uuid4().hex}.xlsx")
+        target = os.path.join(path, f"part-{part:05d}-{chunk:05d}.xlsx")
+        tmp = os.path.join(path, f".{uuid.uuid4().hex}.tmp")
         head = ([[title], [None]] if title else []) + [cols]
-        write_xlsx(target, {"Notes": [["generated"]], sheet: head + rows})
+        write_xlsx(tmp, {"Notes": [["generated"]], sheet: head + rows})
+        os.replace(tmp, target)
         return pd.DataFrame({"file": [target], "rows": [len(rows)]})
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         rows: list = []
+        chunk = 0
         for pdf in batches:
             rows.extend(pdf.astype(object).where(pd.notnull(pdf), None).values.tolist())
             while len(rows) >= rows_per_file:
-                yield flush(rows[:rows_per_file])
-                rows = rows[rows_per_file:]
+                yield flush(rows[:rows_per_file], part, chunk)
+                rows, chunk = rows[rows_per_file:], chunk + 1
         if rows:
-            yield flush(rows)
+            yield flush(rows, part, chunk)
 
     df.mapInPandas(write, "file string, rows long").collect()
