@@ -14,8 +14,9 @@ depends on the data:
    date parse share for date-named columns (both day orders).
 4. Lazy final ``select`` that converts the chosen columns.
 
-``materialize=True`` checkpoints the de-duplicated rows into the shared
-checkpoint folder so the stats job and the final plan read them once.
+By default (``materialize=True``) the de-duplicated rows are checkpointed
+into the shared checkpoint folder: the stats job and the final plan read them
+instead of repeating the de-duplication shuffle, and lineage is cut.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def _date_named(name: str) -> bool:
     return any(k in low for k in FV.CLEAN_DATE_KEYWORDS)
 
 
-def clean_dataset(df: DataFrame, materialize: bool = False) -> tuple[DataFrame, CleanReport]:
+def clean_dataset(df: DataFrame, materialize: bool = True) -> tuple[DataFrame, CleanReport]:
     """Drop empty axes → trim → nulls → de-duplicate → flag constants → numbers → dates."""
     report = CleanReport()
     empties = empty_columns(df)
