@@ -1442,7 +1442,7 @@ def _sql_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def _profile_sql(table: str, columns: list[tuple[str, str]], order_key: str) -> str:
+def _profile_sql(table: str, columns: list[tuple[str, str]], order_key: str, full: bool = False) -> str:
     """Type/role inference rules recomputed in SQL for ``columns`` [(name, kind)]."""
     missing = _sql_list(FXV.MISSING_MARKERS)
     bool_words = _sql_list(FXV.TRUE_WORDS + FXV.FALSE_WORDS)
@@ -1502,11 +1502,16 @@ def _profile_sql(table: str, columns: list[tuple[str, str]], order_key: str) ->
                  ELSE CASE WHEN avg_len <= 120 THEN 0.72 ELSE 0.85 END END, 4) AS confidence,
            CASE semantic_role WHEN 'Measure' THEN CASE WHEN detected_type = 'Currency' OR measure_name THEN 'sum' ELSE 'average' END
                 WHEN 'Identifier' THEN 'count_distinct' WHEN 'Dimension' THEN 'count' WHEN 'Date Dimension' THEN 'range' END AS aggregation,
-           semantic_role <> 'Ignored' AS include
+           semantic_role <> 'Ignored' AS include{_PROFILE_EXTRA if full else ""}
     FROM f
     """
 
 
+_PROFILE_EXTRA = """,
+           r AS row_count, round(CASE WHEN r > 0 THEN (r - nn) / r ELSE 0 END, 4) AS null_rate, round(ur, 4) AS unique_ratio,
+           round(nr, 4) AS numeric_ratio, round(dr, 4) AS date_ratio, round(br, 4) AS bool_ratio, round(avg_len, 4) AS avg_text_length,
+           nn, uc, date_like, check_date"""
+
 _PROFILE_TYPE_COLUMNS = ["position", "name", "detected_type", "semantic_role", "null_count", "unique_count", "confidence", "aggregation", "include"]
 
 
@@ -1747,3 +1752,89 @@ ORACLE["import_run_log_customer"] = """
     UNION ALL SELECT 'quality', 'Success', 'score ' || CAST(score AS VARCHAR) FROM q
     UNION ALL SELECT 'tables', 'Success', '1 category and 1 date dimensions' FROM q
 """.strip()
+
+
+
+def _profile_full_sql(table: str, columns: list[tuple[str, str]], order_key: str) -> str:
+    """I1–I5 in SQL: inference plus samples, ranges, mean, top values and warnings, arrays joined as text."""
+    missing = _sql_list(FXV.MISSING_MARKERS)
+    per_col = []
+    for c, kind in columns:
+        v = f"CASE WHEN lower(trim({c})) IN ({missing}) THEN NULL ELSE trim({c}) END" if kind == "text" else f"CAST({c} AS VARCHAR)"
+        num = "NULL" if kind in ("text", "temporal") else f"CAST({c} AS DOUBLE)"
+        dmin = f"(SELECT strftime(min({c}), '%Y-%m-%d') FROM {table})" if kind == "temporal" else "CAST(NULL AS VARCHAR)"
+        dmax = f"(SELECT strftime(max({c}), '%Y-%m-%d') FROM {table})" if kind == "temporal" else "CAST(NULL AS VARCHAR)"
+        per_col.append(
+            f"""SELECT '{c}' AS name,
+                (SELECT string_agg(x, '|' ORDER BY o) FROM (SELECT {v} AS x, {order_key} AS o FROM {table}
+                     WHERE {v} IS NOT NULL ORDER BY {order_key} LIMIT 5)) AS samples,
+                (SELECT string_agg(x || ':' || n, '|' ORDER BY n DESC, x) FROM (SELECT {v} AS x, count(*) AS n FROM {table}
+                     WHERE {v} IS NOT NULL GROUP BY 1 ORDER BY n DESC, x LIMIT 5)) AS top5,
+                (SELECT CAST(min({num}) AS VARCHAR) FROM {table}) AS num_min, (SELECT CAST(max({num}) AS VARCHAR) FROM {table}) AS num_max,
+                (SELECT round(avg({num}), 4) FROM {table}) AS num_mean,
+                {dmin} AS date_min, {dmax} AS date_max"""
+        )
+    return f"""
+    WITH p AS ({_profile_sql(table, columns, order_key, full=True)}),
+    x AS ({" UNION ALL ".join(per_col)})
+    SELECT p.position, p.name, p.name AS original_name,
+           upper(substr(replace(p.name, '_', ' '), 1, 1)) || lower(substr(replace(p.name, '_', ' '), 2)) AS label,
+           p.detected_type, p.semantic_role, p.row_count, p.null_count, p.null_rate, p.unique_count, p.unique_ratio,
+           coalesce(x.samples, '') AS samples,
+           CASE WHEN p.detected_type IN ('Number', 'Currency') AND p.semantic_role = 'Measure' THEN x.num_min
+                WHEN p.detected_type = 'Date' THEN x.date_min END AS min_value,
+           CASE WHEN p.detected_type IN ('Number', 'Currency') AND p.semantic_role = 'Measure' THEN x.num_max
+                WHEN p.detected_type = 'Date' THEN x.date_max END AS max_value,
+           CASE WHEN p.detected_type IN ('Number', 'Currency') AND p.semantic_role = 'Measure' THEN x.num_mean END AS mean_value,
+           CASE WHEN p.semantic_role IN ('Dimension', 'Attribute') THEN x.top5 END AS top_values,
+           p.confidence,
+           concat_ws('|', CASE WHEN p.nn = 0 THEN 'empty_column' END,
+                          CASE WHEN p.nn > 0 AND p.uc <= 1 THEN 'constant_column' END,
+                          CASE WHEN p.detected_type IN ('Number', 'Currency') AND p.numeric_ratio > 0 AND p.numeric_ratio < 1 THEN 'partial_number_conversion' END,
+                          CASE WHEN p.detected_type = 'Date' AND p.date_ratio > 0 AND p.date_ratio < 1 THEN 'partial_date_conversion' END,
+                          CASE WHEN p.detected_type = 'Text' AND p.avg_text_length > 120 THEN 'long_text' END) AS warnings_text,
+           p.aggregation, p.include, p.numeric_ratio, p.date_ratio, p.bool_ratio, p.avg_text_length
+    FROM p JOIN x ON x.name = p.name
+    """
+
+
+def _flat_profile(prof: DataFrame) -> DataFrame:
+    """The profile with its arrays joined as text (samples, top values ``value:count``, warnings)."""
+    return prof.select(
+        "position", "name", "original_name", "label", "detected_type", "semantic_role", "row_count", "null_count",
+        "null_rate", "unique_count", "unique_ratio", F.array_join("sample_values", "|").alias("samples"),
+        "min_value", "max_value", "mean_value",
+        F.array_join(F.transform("most_frequent", lambda t: F.concat(t["value"], F.lit(":"), t["count"].cast("string"))), "|").alias("top_values"),
+        "confidence", F.array_join("warnings", "|").alias("warnings_text"), "aggregation", "include",
+        "numeric_ratio", "date_ratio", "bool_ratio", "avg_text_length",
+    )
+
+
+@register(
+    "profile_flat_orders",
+    _profile_full_sql("orders", [("o_orderkey", "integral"), ("o_custkey", "integral"), ("o_orderstatus", "text"),
+                                 ("o_totalprice", "number"), ("o_orderdate", "temporal"), ("o_orderpriority", "text")], "o_orderkey"),
+)
+def profile_flat_orders(spark, sf):
+    """The full orders profile, arrays joined as text so every field is oracle-checked."""
+    return _flat_profile(PR.profile(_t(spark, sf, "orders"), order_by=["o_orderkey"]))
+
+
+@register(
+    "profile_flat_customer",
+    _profile_full_sql("customer", [("c_custkey", "integral"), ("c_name", "text"), ("c_nationkey", "integral"),
+                                   ("c_acctbal", "number"), ("c_mktsegment", "text")], "c_custkey"),
+)
+def profile_flat_customer(spark, sf):
+    """The full customer profile, arrays joined as text."""
+    return _flat_profile(PR.profile(_t(spark, sf, "customer"), order_by=["c_custkey"]))
+
+
+@register(
+    "profile_flat_events",
+    _profile_full_sql("events", [("event_id", "integral"), ("ts", "temporal"), ("user_id", "integral"), ("event_type", "text"),
+                                 ("value", "number"), ("props", "text")], "event_id"),
+)
+def profile_flat_events(spark, sf):
+    """The full events profile (timestamps with fractions, JSON text), arrays joined as text."""
+    return _flat_profile(PR.profile(_t(spark, sf, "events"), order_by=["event_id"]))
