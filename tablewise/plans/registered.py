@@ -1838,3 +1838,33 @@ def profile_flat_customer(spark, sf):
 def profile_flat_events(spark, sf):
     """The full events profile (timestamps with fractions, JSON text), arrays joined as text."""
     return _flat_profile(PR.profile(_t(spark, sf, "events"), order_by=["event_id"]))
+
+
+_CUSTOMER_COLUMNS = [("c_custkey", "integral"), ("c_name", "text"), ("c_nationkey", "integral"),
+                     ("c_acctbal", "number"), ("c_mktsegment", "text")]
+
+
+@register(
+    "schema_flat_customer",
+    f"""
+    WITH f AS ({_profile_full_sql("customer", _CUSTOMER_COLUMNS, "c_custkey")})
+    SELECT position, name, original_name, label, lower(detected_type) AS type,
+           CASE semantic_role WHEN 'Identifier' THEN 'identifier' WHEN 'Measure' THEN 'measure' WHEN 'Dimension' THEN 'dimension'
+                WHEN 'Date Dimension' THEN 'date' WHEN 'Attribute' THEN 'attribute' ELSE 'unknown' END AS semantic_type,
+           null_count > 0 AS nullable, null_rate AS missing_rate, unique_count, samples, warnings_text,
+           CASE WHEN lower(detected_type) IN ('number', 'currency') THEN min_value END AS "min",
+           CASE WHEN lower(detected_type) IN ('number', 'currency') THEN max_value END AS "max",
+           CASE WHEN lower(detected_type) IN ('number', 'currency') THEN mean_value END AS "avg",
+           CASE WHEN lower(detected_type) = 'date' THEN min_value END AS date_min,
+           CASE WHEN lower(detected_type) = 'date' THEN max_value END AS date_max
+    FROM f WHERE include
+    """,
+)
+def schema_flat_customer(spark, sf):
+    """The schema handed to dashboards (included columns), arrays joined as text."""
+    sch = PR.schema_from_profile(PR.profile(_t(spark, sf, "customer"), order_by=["c_custkey"]))
+    return sch.select(
+        "position", "name", "original_name", "label", "type", "semantic_type", "nullable", "missing_rate", "unique_count",
+        F.array_join("sample_values", "|").alias("samples"), F.array_join("warnings", "|").alias("warnings_text"),
+        "min", "max", "avg", "date_min", "date_max",
+    )
