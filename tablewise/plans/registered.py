@@ -1868,3 +1868,13 @@ def schema_flat_customer(spark, sf):
         F.array_join("sample_values", "|").alias("samples"), F.array_join("warnings", "|").alias("warnings_text"),
         "min", "max", "avg", "date_min", "date_max",
     )
+
+
+@register(
+    "profile_flat_documents",
+    _profile_full_sql("documents", [("doc_id", "integral"), ("text", "text"), ("lang", "text"), ("source", "text"),
+                                    ("n_chars", "integral")], "doc_id"),
+)
+def profile_flat_documents(spark, sf):
+    """I1–I5 on whole document texts (long_text, exact copies in the top values), arrays joined as text."""
+    return _flat_profile(PR.profile(_t(spark, sf, "documents"), order_by=["doc_id"]))
