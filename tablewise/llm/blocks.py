@@ -14,9 +14,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 #: Bytes of text after which a block ends.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 
 
 def blocks_of(batches: Iterable[pa.RecordBatch], column: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[pa.Table]:
@@ -84,3 +85,25 @@ def sums_of_runs(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, starts[:-1][full])
     return out
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Compressed numbers: the lowest bytes of all first, then the next, so small numbers take little room."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    """The numbers of :func:`pack`."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+
+
+def by_frequency(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes in use from the most to the least frequent, and the texts' codes renumbered that way."""
+    counts = np.bincount(codes, minlength=n)
+    order = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    number = np.zeros(n, np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    return order, number[codes]

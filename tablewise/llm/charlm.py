@@ -17,11 +17,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, starts_of, sums_of_runs
+from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, by_frequency, pack, starts_of, sums_of_runs, take_runs, unpack
 from tablewise.llm.shared import written
 
 #: Stands before every word; no text character is taken for it.
@@ -59,14 +58,6 @@ def gram_hash(gram: Column) -> Column:
     return F.xxhash64(gram)
 
 
-def _press(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
-
-
-def _unpress(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 def _key_of(table: pa.Table, grams: list[str], at: np.ndarray) -> int:
     key = xxhash.xxh64("\n".join(grams).encode("utf-8", "surrogatepass"))
     key.update(at.tobytes())
@@ -212,9 +203,11 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
             number = np.empty(len(keys), np.int64)
             number[np.lexsort((keys, shard))] = np.arange(len(keys))
             per_unit = np.bincount(unit, sizes, n_units).astype(np.int64) if n_units else np.zeros(0, np.int64)
-            packed = [number[inverse].astype(np.uint32), per_unit.astype(np.uint32), at.astype(np.uint32), lengths.astype(np.int64)]
+            used, again = by_frequency(at, n_units)
+            chars = take_runs(number[inverse].astype(np.uint32), starts_of(per_unit)[:-1][used], per_unit[used])
+            packed = [chars, per_unit[used].astype(np.uint32), again, lengths.astype(np.int64)]
             yield pa.record_batch(
-                [pa.array([_key_of(table, grams_, at)], pa.int64()), *[pa.array([_press(x)], pa.binary()) for x in packed], *[pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in names]],
+                [pa.array([_key_of(table, grams_, at)], pa.int64()), *[pa.array([pack(x)], pa.binary()) for x in packed], *[pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in names]],
                 names=["block", "chars", "per_unit", "at", "lengths", *[f"c_{c}" for c in names]],
             )
 
@@ -225,10 +218,10 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
         flat = np.frombuffer(b"".join(x for _, x in replies), np.float32).reshape(-1, max(n_classes, 1)).astype(np.float64)
         parts = []
         for place_ in places.to_pylist():
-            chars, per_unit = _unpress(place_["chars"], np.uint32), _unpress(place_["per_unit"], np.uint32).astype(np.int64)
+            chars, per_unit = unpack(place_["chars"], np.uint32), unpack(place_["per_unit"], np.uint32).astype(np.int64)
             if len(chars) and int(chars.max()) >= len(flat):
                 raise ValueError("a block of documents was read in two different orders")
-            at, starts = _unpress(place_["at"], np.uint32), starts_of(_unpress(place_["lengths"], np.int64))
+            at, starts = unpack(place_["at"], np.uint32), starts_of(unpack(place_["lengths"], np.int64))
             unit_starts = starts_of(per_unit)
             logs = [sums_of_runs(sums_of_runs(flat[chars, c], unit_starts)[at], starts) for c in range(n_classes)]
             stacked = np.stack(logs, axis=1).ravel() if n_classes else np.zeros(0)

@@ -22,11 +22,10 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, code_words, starts_of, sums_of_runs
+from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, by_frequency, code_words, pack, starts_of, sums_of_runs, unpack
 from tablewise.llm.shared import written
 
 #: Text bytes for each bucket of an order; a bucket is merged in one task.
@@ -80,15 +79,7 @@ def grams_of(sequence: np.ndarray, starts: np.ndarray, order: int) -> list[np.nd
     return out
 
 
-def _press(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
-
-
-def _unpress(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def _press_sorted(keys: np.ndarray) -> bytes:
+def _pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted keys as gaps of 6 bytes, or of 8 where a gap needs them."""
     gaps = np.diff(keys, prepend=np.uint64(0))
     first, rest = gaps[:1], gaps[1:]
@@ -96,7 +87,7 @@ def _press_sorted(keys: np.ndarray) -> bytes:
     return bytes([width]) + first.tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _unpress_sorted(data: bytes) -> np.ndarray:
+def _unpack_sorted(data: bytes) -> np.ndarray:
     width, first = data[0], np.frombuffer(data, np.uint64, 1, 1)
     rest = np.zeros(((len(data) - 9) // width, 8), np.uint8)
     rest[:, :width] = np.frombuffer(data, np.uint8, -1, 9).reshape(-1, width)
@@ -150,8 +141,8 @@ def _asked(rows: DataFrame, order: int, n_buckets: int, block_bytes: int, counti
                 yield pa.record_batch(
                     [
                         pa.array([block] * len(cuts), pa.int64()), pa.array([k] * len(cuts), pa.int32()), pa.array([c for c, _, _ in cuts], pa.int32()),
-                        pa.array([_press_sorted(keys[a:b]) for _, a, b in cuts], pa.binary()), pa.array([_press(counts[a:b]) for _, a, b in cuts], pa.binary()),
-                        pa.array([_press(held_counts[a:b]) for _, a, b in cuts], pa.binary()),
+                        pa.array([_pack_sorted(keys[a:b]) for _, a, b in cuts], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in cuts], pa.binary()),
+                        pa.array([pack(held_counts[a:b]) for _, a, b in cuts], pa.binary()),
                     ],
                     names=["block", "grams", "bucket", "keys", "counts", "held_counts"],
                 )
@@ -161,16 +152,16 @@ def _asked(rows: DataFrame, order: int, n_buckets: int, block_bytes: int, counti
 
 def _summed(asked: pa.Table) -> pa.Table:
     """Sums over all blocks of one bucket, for the n-grams of each block; and one row with the bucket's totals."""
-    keys = [_unpress_sorted(x) for x in asked.column("keys").to_pylist()]
+    keys = [_unpack_sorted(x) for x in asked.column("keys").to_pylist()]
     ends = np.cumsum([len(x) for x in keys])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     out = {}
     for name in ("counts", "held_counts"):
-        own = np.concatenate([_unpress(x, np.uint32) for x in asked.column(name).to_pylist()])
+        own = np.concatenate([unpack(x, np.uint32) for x in asked.column(name).to_pylist()])
         out[name] = np.bincount(at, own, len(distinct)).astype(np.uint64)
     grams, bucket = asked.column("grams")[0].as_py(), asked.column("bucket")[0].as_py()
     n = asked.num_rows
-    spread = {name: [_press(out[name][at[b - len(x):b]]) for x, b in zip(keys, ends)] for name in out}
+    spread = {name: [pack(out[name][at[b - len(x):b]]) for x, b in zip(keys, ends)] for name in out}
     return pa.table(
         {
             "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()), "grams": pa.array([grams] * (n + 1), pa.int32()), "bucket": pa.array([bucket] * (n + 1), pa.int32()),
@@ -188,11 +179,12 @@ def _placed(rows: DataFrame, block_bytes: int) -> DataFrame:
         for table in blocks_of(batches, "text", block_bytes):
             sequence, starts = sequence_of(table)
             words, codes = np.unique(sequence, return_inverse=True)
-            packed = len(words).to_bytes(8, "little") + words.tobytes() + _press(codes.astype(np.uint32))
+            order, codes = by_frequency(codes, len(words))
+            packed = len(words).to_bytes(8, "little") + words[order].tobytes() + pack(codes)
             yield pa.record_batch(
                 [
                     pa.array([_block_key(table, sequence, starts)], pa.int64()), pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([table.column("held_out").to_pylist()], pa.list_(pa.bool_())), pa.array([packed], pa.binary()), pa.array([_press(starts)], pa.binary()),
+                    pa.array([table.column("held_out").to_pylist()], pa.list_(pa.bool_())), pa.array([packed], pa.binary()), pa.array([pack(starts)], pa.binary()),
                 ],
                 names=["block", "doc_id", "held_out", "words", "starts"],
             )
@@ -204,13 +196,13 @@ def _counts_at(place: dict, replies: list[dict], order: int, name: str):
     """Start of each text and, for each order, the count of the n-gram at every position."""
     n = int.from_bytes(place["words"][:8], "little")
     words = np.frombuffer(place["words"], np.uint64, n, 8)
-    sequence, starts = words[_unpress(place["words"][8 + 8 * n:], np.uint32)], _unpress(place["starts"], np.int64)
+    sequence, starts = words[unpack(place["words"][8 + 8 * n:], np.uint32)], unpack(place["starts"], np.int64)
     out = []
     for k, grams in enumerate(grams_of(sequence, starts, order), 1):
         keys, at = np.unique(grams, return_inverse=True)
         own = sorted((r for r in replies if r["grams"] == k), key=lambda r: r["bucket"])
         counts = {r["bucket"]: r for r in own}  # equal blocks get equal replies
-        flat = np.concatenate([_unpress(r[name], np.uint64) for r in counts.values()])
+        flat = np.concatenate([unpack(r[name], np.uint64) for r in counts.values()])
         if len(flat) != len(keys):
             raise ValueError("a block of documents was read in two different orders")
         out.append(flat[at].astype(np.int64))
