@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,13 @@ import regex
 import tiktoken
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import BLOCK_BYTES, Codes, blocks_of, starts_of, take_runs
+from tablewise.llm.blocks import Codes, blocks_of, by_frequency, pack, starts_of, take_runs, unpack
 
+#: Text bytes of a block; encoding and decoding run side by side, so blocks are small.
+BLOCK_BYTES = 4_000_000
 #: Buckets per shuffle partition; several even out the partitions.
 BUCKETS_PER_PARTITION = 4
 #: Texts up to so many characters are cut in one call; longer ones match by match.
@@ -40,14 +43,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
-
-
-def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 class Cutter:
     """Cuts texts into segments, distinct segments into pre-tokens.
 
@@ -93,9 +88,7 @@ def _coded(table: pa.Table, pattern: str, n_buckets: int):
         own = cutter.cut(text) if text else ()
         codes.extend(own)
         lengths.append(len(own))
-    used = np.unique(np.frombuffer(codes, np.uint32)) if codes else np.zeros(0, np.uint32)
-    again = np.zeros(len(cutter.segments), np.uint32)
-    again[used] = np.arange(len(used), dtype=np.uint32)
+    used, at = by_frequency(np.array(codes, np.uint32), len(cutter.segments))
     pre, parts, part_lengths = Codes(), array("I"), array("I")
     for k in used.tolist():
         found = cutter.find.findall(cutter.segments[k])
@@ -106,8 +99,7 @@ def _coded(table: pa.Table, pattern: str, n_buckets: int):
     order = np.argsort(bucket, kind="stable")
     number = np.zeros(len(words), np.uint32)
     number[order] = np.arange(len(words), dtype=np.uint32)
-    at = again[np.frombuffer(codes, np.uint32)] if codes else used
-    flat = number[np.frombuffer(parts, np.uint32)] if parts else used
+    flat = number[np.array(parts, np.uint32)]
     key = xxhash.xxh64()
     for i in order.tolist():
         key.update(words[i])
@@ -118,7 +110,7 @@ def _coded(table: pa.Table, pattern: str, n_buckets: int):
     return key.intdigest() - 2**63, [words[i] for i in order.tolist()], bucket[order], at, np.array(lengths, np.uint64), flat, np.array(part_lengths, np.uint32)
 
 
-WORDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.binary()))])
+WORDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("word_lengths", pa.binary())])
 PLACES = pa.schema([("block", pa.int64()), ("rows", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("codes", pa.binary()), ("lengths", pa.binary()), ("parts", pa.binary()), ("part_lengths", pa.binary()), ("buckets", pa.list_(pa.int32()))])
 IDS = "block long, bucket int, ids binary, id_lengths binary"
 
@@ -141,36 +133,39 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     differs, the query fails and never mixes blocks.
     """
     spark = docs.sparkSession
-    n_buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = BUCKETS_PER_PARTITION * n_parts
     vocabulary = spark.sparkContext.broadcast(ranks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks_of(batches, "text", block_bytes):
             block, words, bucket, *_ = _coded(table, pattern, n_buckets)
-            cuts = _ranges(bucket)
+            cuts, sizes = _ranges(bucket), np.array([len(w) for w in words], np.uint32)
             if cuts:
-                yield pa.record_batch([[block] * len(cuts), [k for k, _, _ in cuts], [words[a:b] for _, a, b in cuts]], schema=WORDS)
+                yield pa.record_batch([[block] * len(cuts), [k for k, _, _ in cuts], [zstandard.ZstdCompressor(level=1).compress(b"".join(words[a:b])) for _, a, b in cuts], [pack(sizes[a:b]) for _, a, b in cuts]], schema=WORDS)
 
     def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks_of(batches, "text", block_bytes):
             block, _, bucket, at, lengths, flat, part_lengths = _coded(table, pattern, n_buckets)
-            yield pa.record_batch([[block], [table.num_rows], [table.column("doc_id").to_pylist()], [_pack(at)], [_pack(lengths)], [_pack(flat)], [_pack(part_lengths)], [[v for k, a, b in _ranges(bucket) for v in (k, b - a)]]], schema=PLACES)
+            yield pa.record_batch([[block], [table.num_rows], [table.column("doc_id").to_pylist()], [pack(at)], [pack(lengths)], [pack(flat)], [pack(part_lengths)], [[v for k, a, b in _ranges(bucket) for v in (k, b - a)]]], schema=PLACES)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
-        once: dict[bytes, list[int]] = {}
+        once: dict[bytes, bytes] = {}
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for block, bucket, words in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words"))):
+            for block, bucket, words, lengths in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words", "word_lengths"))):
                 ids, sizes = array("I"), array("I")
-                for word in words:
+                words, cuts = zstandard.ZstdDecompressor().decompress(words), starts_of(unpack(lengths, np.uint32)).tolist()
+                for start, stop in pairwise(cuts):
+                    word = words[start:stop]
                     found = once.get(word)
                     if found is None:
-                        found = once[word] = encoder._encode_single_piece(word)
-                    ids.extend(found)
-                    sizes.append(len(found))
-                for column, value in zip(out, (block, bucket, _pack(np.frombuffer(ids, np.uint32)), _pack(np.frombuffer(sizes, np.uint32)))):
+                        found = once[word] = array("I", encoder._encode_single_piece(word)).tobytes()
+                    ids.frombytes(found)
+                    sizes.append(len(found) // 4)
+                for column, value in zip(out, (block, bucket, pack(np.frombuffer(ids, np.uint32)), pack(np.frombuffer(sizes, np.uint32)))):
                     column.append(value)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["block", "bucket", "ids", "id_lengths"])
 
@@ -180,18 +175,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
         doc_ids: list = []
         for place in places.to_pylist():
             wanted = list(zip(place["buckets"][::2], place["buckets"][1::2]))
-            ids = [_unpack(by_bucket[k][0], np.uint32) for k, _ in wanted]
-            sizes = [_unpack(by_bucket[k][1], np.uint32) for k, _ in wanted]
+            ids = [unpack(by_bucket[k][0], np.uint32) for k, _ in wanted]
+            sizes = [unpack(by_bucket[k][1], np.uint32) for k, _ in wanted]
             if [len(s) for s in sizes] != [n for _, n in wanted]:
                 raise ValueError("a block of documents was read in two different orders")
             none = [np.zeros(0, np.uint32)]
             flat_ids, size = np.concatenate(none + ids), np.concatenate(none + sizes).astype(np.int64)
-            parts, part_lengths = _unpack(place["parts"], np.uint32), _unpack(place["part_lengths"], np.uint32).astype(np.int64)
+            parts, part_lengths = unpack(place["parts"], np.uint32), unpack(place["part_lengths"], np.uint32).astype(np.int64)
             seg_ids = take_runs(flat_ids, starts_of(size)[:-1][parts], size[parts])
             ends = starts_of(size[parts])
             cut = starts_of(part_lengths)
             seg_start, seg_size = ends[cut[:-1]], ends[cut[1:]] - ends[cut[:-1]]
-            at, lengths = _unpack(place["codes"], np.uint32), _unpack(place["lengths"], np.uint64).astype(np.int64)
+            at, lengths = unpack(place["codes"], np.uint32), unpack(place["lengths"], np.uint64).astype(np.int64)
             doc_cut = starts_of(lengths)
             texts = []
             for a, b in zip(doc_cut[:-1], doc_cut[1:]):
@@ -201,7 +196,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
             out_ids.append(pa.array(texts, pa.binary()))
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.chunked_array(out_ids, pa.binary())})
 
-    fetched = rows.mapInArrow(words_of, "block long, bucket int, words array<binary>").repartition("bucket").mapInArrow(encoded, IDS)
+    fetched = rows.mapInArrow(words_of, "block long, bucket int, words binary, word_lengths binary").repartition(n_parts, "bucket").mapInArrow(encoded, IDS)
     places = rows.mapInArrow(places_of, "block long, rows long, doc_id array<long>, codes binary, lengths binary, parts binary, part_lengths binary, buckets array<int>")
     return places.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(reassembled, "doc_id long, ids binary")
 
