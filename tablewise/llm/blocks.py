@@ -107,3 +107,26 @@ def by_frequency(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     number = np.zeros(n, np.uint32)
     number[order] = np.arange(len(order), dtype=np.uint32)
     return order, number[codes]
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted keys as gaps of 6 bytes, or of 8 where a gap needs them."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    first, rest = gaps[:1], gaps[1:]
+    width = 6 if not len(rest) or int(rest.max()) < 1 << 48 else 8
+    return bytes([width]) + first.tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    """The keys of :func:`pack_sorted`."""
+    width, first = data[0], np.frombuffer(data, np.uint64, 1, 1)
+    rest = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    rest[:, :width] = np.frombuffer(data, np.uint8, -1, 9).reshape(-1, width)
+    return np.cumsum(np.concatenate([first, rest.view(np.uint64).ravel()]), dtype=np.uint64)
+
+
+def hash_ranges(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys; buckets are equal ranges of the hashes."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(n_buckets)))
+    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(keys)])]

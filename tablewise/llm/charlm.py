@@ -13,23 +13,34 @@ whole model and a frequent n-gram is one entry per block.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, by_frequency, pack, starts_of, sums_of_runs, take_runs, unpack
+from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, by_frequency, hash_ranges, pack, pack_sorted, starts_of, sums_of_runs, take_runs, unpack, unpack_sorted
 from tablewise.llm.shared import written
 
 #: Stands before every word; no text character is taken for it.
 START = "\x02"
 SEED = 42
 
-#: Cuts the texts of a block: (strings of its distinct units, the unit of each string, number of units,
-#: unit at every position, number of positions of each text).  Strings begin with START.
-Cut = Callable[[list], tuple[list[str], np.ndarray, int, np.ndarray, np.ndarray]]
+class Coded(NamedTuple):
+    """The texts of a block: distinct strings, which begin with START; the strings of each unit one after the
+    other with their number; the unit at every position; the number of positions of each text."""
+
+    strings: list[str]
+    parts: np.ndarray
+    n_parts: np.ndarray
+    at: np.ndarray
+    lengths: np.ndarray
+
+
+Cut = Callable[[list], Coded]
 
 
 def grams_of(strings: list[str], lead: int, order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -38,16 +49,22 @@ def grams_of(strings: list[str], lead: int, order: int) -> tuple[list[str], np.n
     The first ``lead`` characters of a string are context only.
     """
     joined = "".join(strings)
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    place = np.arange(len(points)) - np.repeat(starts_of(lengths)[:-1], lengths)
-    at = np.flatnonzero(place >= lead)
-    own = np.zeros(len(at), np.uint64)
-    for back in range(order):
-        seen = place[at] >= back
-        own = (own ^ np.where(seen, points[np.maximum(at - back, 0)] + np.uint64(1), np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
+    place = (np.arange(len(points)) - np.repeat(starts_of(lengths)[:-1], lengths)).astype(np.int32)
+    own = points.copy()
+    for back in range(1, order):
+        own *= np.uint64(0x9E3779B97F4A7C15)
         own ^= own >> np.uint64(29)
-    _, first, inverse = np.unique(own, return_index=True, return_inverse=True)
+        own[back:] ^= points[:-back] * (place[back:] >= back)
+    own *= np.uint64(0x9E3779B97F4A7C15)
+    at = np.flatnonzero(place >= lead)
+    own = own[at]
+    by_hash = np.argsort(own)
+    fresh = np.diff(own[by_hash], prepend=~own[by_hash][:1]) != 0
+    inverse = np.empty(len(at), np.int64)
+    inverse[by_hash] = np.cumsum(fresh) - 1
+    first = by_hash[fresh]
     ends = at[first]
     sizes = np.minimum(place[ends] + 1, order)
     grams = [joined[e - n : e] for e, n in zip((ends + 1).tolist(), sizes.tolist())]
@@ -58,9 +75,10 @@ def gram_hash(gram: Column) -> Column:
     return F.xxhash64(gram)
 
 
-def _key_of(table: pa.Table, grams: list[str], at: np.ndarray) -> int:
-    key = xxhash.xxh64("\n".join(grams).encode("utf-8", "surrogatepass"))
-    key.update(at.tobytes())
+def _key_of(table: pa.Table, coded: Coded) -> int:
+    key = xxhash.xxh64("\n".join(coded.strings).encode())
+    for numbers in (coded.parts, coded.n_parts, coded.at, coded.lengths):
+        key.update(np.ascontiguousarray(numbers).tobytes())
     for name in table.column_names:
         if name != "text":
             key.update(str(table.column(name).to_pylist()).encode())
@@ -76,17 +94,17 @@ def block_grams(rows: DataFrame, cut: Cut, lead: int, order: int, block_bytes: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks_of(batches, "text", block_bytes):
-            strings, unit, n_units, at, lengths = cut(table.column("text").to_pylist())
-            grams, inverse, sizes = grams_of(strings, lead, order)
-            block = _key_of(table, grams, at)
+            coded = cut(table.column("text").to_pylist())
+            grams, inverse, sizes = grams_of(coded.strings, lead, order)
+            block = _key_of(table, coded)
             yield pa.record_batch([[block], pa.array([None], pa.string()), [grams], pa.array([[]], pa.list_(pa.int64()))], names=["block", "class", "grams", "n"])
-            classes = np.array([c if c is not None else "" for c in table.column("class").to_pylist()], object)
-            learned = np.array([c is not None for c in table.column("class").to_pylist()], bool)
-            of_string = np.repeat(np.arange(len(strings)), sizes)
-            for name in sorted(set(classes[learned].tolist())):
-                mine = np.repeat(learned & (classes == name), lengths)
-                by_unit = np.bincount(at[mine], minlength=n_units)
-                n = np.bincount(inverse, by_unit[unit][of_string], len(grams)).astype(np.int64) if len(grams) else np.zeros(0, np.int64)
+            classes = table.column("class").to_pylist()
+            unit = np.repeat(np.arange(len(coded.n_parts)), coded.n_parts)
+            for name in sorted({c for c in classes if c is not None}):
+                mine = np.repeat(np.array([c == name for c in classes], bool), coded.lengths)
+                by_unit = np.bincount(coded.at[mine], minlength=len(coded.n_parts))
+                by_string = np.bincount(coded.parts, by_unit[unit], len(coded.strings))
+                n = np.bincount(inverse, np.repeat(by_string, sizes), len(grams)).astype(np.int64)
                 full = np.flatnonzero(n)
                 yield pa.record_batch([[block], [name], [[grams[i] for i in full.tolist()]], [n[full]]], names=["block", "class", "grams", "n"])
 
@@ -132,32 +150,50 @@ def _by_class(table: DataFrame, key: str, value: str, classes: list[str], missin
 
 
 def log_probabilities(grams: DataFrame, counts: DataFrame, classes: list[str], order: int, modified: bool) -> DataFrame:
-    """``gram``, ``logs`` (array of float, one per class): log10 probability of its last character."""
+    """``gram``, ``logs`` (array of float, one per class): log10 probability of its last character.
+
+    Level by level from single characters up: an n-gram takes its own share and
+    what its context leaves to the n-gram without its first character.
+    """
     own, rest = estimate(counts, order, modified)
+    own = written(_by_class(own, "gram", "own", classes, 0.0), "own")
+    rest = written(_by_class(rest, "context", "rest", classes, 1.0), "rest")
     letters = counts.select("class", F.expr("right(gram, 1)").alias("ch")).distinct().groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
     uniform = {r["class"]: 1.0 / (r["n"] + 1) for r in letters}
-    chain = grams.select("gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k")).withColumn("s", F.expr("right(gram, k)")).withColumn("context", F.expr("left(s, k - 1)"))
-    chain = chain.join(_by_class(own, "gram", "own", classes, 0.0).withColumnRenamed("gram", "s"), "s", "left").join(_by_class(rest, "context", "rest", classes, 1.0), "context", "left")
-    steps = F.array_sort(F.collect_list(F.struct("k", "own", "rest")))
-
-    def mixed(number: int):
-        return lambda p, x: F.coalesce(x["own"][number], F.lit(0.0)) + F.coalesce(x["rest"][number], F.lit(1.0)) * p
-
-    logs = [F.log10(F.aggregate("steps", F.lit(uniform.get(c, 1.0)), mixed(i))).cast("float") for i, c in enumerate(classes)]
-    return chain.groupBy("gram").agg(steps.alias("steps")).select("gram", F.array(*logs).alias("logs"))
+    each = grams.select(F.explode(F.expr("transform(sequence(1, length(gram)), k -> struct(right(gram, k) as gram, k = length(gram) as asked))")).alias("s")).select("s.*")
+    present = written(each.groupBy("gram").agg(F.max("asked").alias("asked")), "suffixes")
+    below = F.array(*[F.lit(uniform.get(c, 1.0)) for c in classes])
+    missing = {"own": F.array(*[F.lit(0.0)] * len(classes)), "rest": F.array(*[F.lit(1.0)] * len(classes))}
+    first = rest.where("context = ''").first()  # one row
+    levels, lower = [], None
+    for k in range(1, order + 1):
+        rows = present.where(F.length("gram") == k).join(own.where(F.length("gram") == k), "gram", "left").withColumn("own", F.coalesce("own", missing["own"]))
+        if k == 1:
+            rows = rows.withColumn("rest", F.array(*[F.lit(x) for x in first["rest"]]) if first else missing["rest"]).withColumn("p_below", below)
+        else:
+            rows = rows.withColumn("context", F.expr(f"left(gram, {k - 1})")).join(rest.where(F.length("context") == k - 1), "context", "left").withColumn("rest", F.coalesce("rest", missing["rest"]))
+            shorter = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("p_below"))
+            rows = rows.withColumn("suffix", F.expr(f"right(gram, {k - 1})")).join(shorter, "suffix")
+        p = F.zip_with(F.col("own"), F.zip_with("rest", "p_below", lambda x, y: x * y), lambda x, y: x + y)
+        lower = written(rows.select("gram", "asked", p.alias("p")), "level")
+        levels.append(lower.where("asked").select("gram", F.transform("p", lambda x: F.log10(x).cast("float")).alias("logs")))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out
 
 
 def _answers(model: pa.Table, asked: pa.Table) -> pa.Table:
     """Look the hashes that each block asks for up in the sorted hash array of one shard."""
-    keys = model.column("key").to_numpy()
+    keys = model.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     keys = keys[order]
     logs = np.array(model.column("logs").combine_chunks().flatten(), np.float32).reshape(len(keys), -1)[order]
     values = []
     for data in asked.column("keys").to_pylist():
-        own = np.frombuffer(data, np.int64)
-        at = np.searchsorted(keys, own)
-        if not np.array_equal(keys[np.minimum(at, len(keys) - 1)], own):
+        own = unpack_sorted(data)
+        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        if not np.array_equal(keys[at], own):
             raise ValueError("an n-gram has no entry in its shard")
         values.append(logs[at].tobytes())
     return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "logs": pa.array(values, pa.binary())})
@@ -177,15 +213,16 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
     classes = sorted(r["class"] for r in counts.select("class").distinct().collect())  # one row per language or kind
     every = blocks.where("class is null")
     grams = every.select(F.explode("grams").alias("gram")).distinct()
-    model = log_probabilities(grams, counts, classes, order, modified).select(gram_hash(F.col("gram")).alias("key"), "logs").withColumn("shard", F.pmod("key", F.lit(n_shards)).cast("int"))
+    model = log_probabilities(grams, counts, classes, order, modified).select(gram_hash(F.col("gram")).alias("key"), "logs")
+    model = model.withColumn("shard", F.shiftright(F.shiftrightunsigned("key", 32) * n_shards, 32).cast("int"))  # equal ranges of hashes
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, own in zip(batch.column("block").to_pylist(), batch.column("grams").to_pylist()):
-                keys, shard = _sharded(own, n_shards)
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+                keys = np.sort(_keys(own))
+                cuts = hash_ranges(keys, n_shards)
                 yield pa.record_batch(
-                    [pa.array([block] * len(cuts), pa.int64()), pa.array(shard[cuts], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)])], pa.binary())],
+                    [pa.array([block] * len(cuts), pa.int64()), pa.array([c for c, _, _ in cuts], pa.int32()), pa.array([pack_sorted(keys[a:b]) for _, a, b in cuts], pa.binary())],
                     names=["block", "shard", "keys"],
                 )
 
@@ -196,19 +233,20 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks_of(batches, "text", block_bytes):
-            strings, unit, n_units, at, lengths = cut(table.column("text").to_pylist())
-            grams_, inverse, sizes = grams_of(strings, lead, order)
-            # the gram at each predicted character, numbered as the shards' answers will come
-            keys, shard = _keys(grams_, n_shards)
-            number = np.empty(len(keys), np.int64)
-            number[np.lexsort((keys, shard))] = np.arange(len(keys))
-            per_unit = np.bincount(unit, sizes, n_units).astype(np.int64) if n_units else np.zeros(0, np.int64)
-            used, again = by_frequency(at, n_units)
-            chars = take_runs(number[inverse].astype(np.uint32), starts_of(per_unit)[:-1][used], per_unit[used])
-            packed = [chars, per_unit[used].astype(np.uint32), again, lengths.astype(np.int64)]
+            coded = cut(table.column("text").to_pylist())
+            used, at = by_frequency(coded.at, len(coded.n_parts))
+            parts = take_runs(coded.parts, starts_of(coded.n_parts)[:-1][used], coded.n_parts[used])
+            # strings in order of first use: then their numbers mostly count up
+            held, firsts = np.unique(parts, return_index=True)
+            order_ = held[np.argsort(firsts)]
+            number = np.zeros(len(coded.strings), np.uint32)
+            number[order_] = np.arange(len(order_), dtype=np.uint32)
+            parts = number[parts]
+            text = zstandard.ZstdCompressor(level=3).compress("".join([coded.strings[i] for i in order_.tolist()]).encode())
+            packed = [parts.astype(np.uint32), coded.n_parts[used].astype(np.uint32), at, coded.lengths.astype(np.int64)]
             yield pa.record_batch(
-                [pa.array([_key_of(table, grams_, at)], pa.int64()), *[pa.array([pack(x)], pa.binary()) for x in packed], *[pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in names]],
-                names=["block", "chars", "per_unit", "at", "lengths", *[f"c_{c}" for c in names]],
+                [pa.array([_key_of(table, coded)], pa.int64()), pa.array([text], pa.binary()), *[pa.array([pack(x)], pa.binary()) for x in packed], *[pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in names]],
+                names=["block", "strings", "parts", "n_parts", "at", "lengths", *[f"c_{c}" for c in names]],
             )
 
     n_classes = len(classes)
@@ -216,16 +254,21 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
     def add_up(places: pa.Table, answered: pa.Table) -> pa.Table:
         replies = sorted(zip(answered.column("shard").to_pylist(), answered.column("logs").to_pylist()))
         flat = np.frombuffer(b"".join(x for _, x in replies), np.float32).reshape(-1, max(n_classes, 1)).astype(np.float64)
-        parts = []
+        out = []
         for place_ in places.to_pylist():
-            chars, per_unit = unpack(place_["chars"], np.uint32), unpack(place_["per_unit"], np.uint32).astype(np.int64)
-            if len(chars) and int(chars.max()) >= len(flat):
+            strings = [START + x for x in zstandard.ZstdDecompressor().decompress(place_["strings"]).decode().split(START)[1:]]
+            grams, inverse, sizes = grams_of(strings, lead, order)
+            if len(grams) != len(flat):
                 raise ValueError("a block of documents was read in two different orders")
+            number = np.empty(len(grams), np.int64)
+            number[np.argsort(_keys(grams))] = np.arange(len(grams))
+            chars, string_starts = number[inverse], starts_of(sizes)
+            parts, unit_starts = unpack(place_["parts"], np.uint32), starts_of(unpack(place_["n_parts"], np.uint32))
             at, starts = unpack(place_["at"], np.uint32), starts_of(unpack(place_["lengths"], np.int64))
-            unit_starts = starts_of(per_unit)
-            logs = [sums_of_runs(sums_of_runs(flat[chars, c], unit_starts)[at], starts) for c in range(n_classes)]
+            per_unit = sums_of_runs(sizes[parts], unit_starts)
+            logs = [sums_of_runs(sums_of_runs(sums_of_runs(flat[chars, c], string_starts)[parts], unit_starts)[at], starts) for c in range(n_classes)]
             stacked = np.stack(logs, axis=1).ravel() if n_classes else np.zeros(0)
-            parts.append(
+            out.append(
                 pa.table(
                     {
                         **{c: pa.array(place_[f"c_{c}"], places.schema.field(f"c_{c}").type.value_type) for c in names},
@@ -234,19 +277,12 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
                     }
                 )
             )
-        return pa.concat_tables(parts) if parts else pa.table({**{c: pa.array([], places.schema.field(f"c_{c}").type.value_type) for c in names}, "logs": pa.array([], pa.list_(pa.float64())), "chars": pa.array([], pa.int64())})
+        return pa.concat_tables(out) if out else pa.table({**{c: pa.array([], places.schema.field(f"c_{c}").type.value_type) for c in names}, "logs": pa.array([], pa.list_(pa.float64())), "chars": pa.array([], pa.int64())})
 
-    places = rows.mapInArrow(place, "block long, chars binary, per_unit binary, at binary, lengths binary, " + ", ".join(f"c_{f.name} array<{f.dataType.simpleString()}>" for f in kept))
+    places = rows.mapInArrow(place, "block long, strings binary, parts binary, n_parts binary, at binary, lengths binary, " + ", ".join(f"c_{f.name} array<{f.dataType.simpleString()}>" for f in kept))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", logs array<double>, chars long"
     return places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, schema), classes
 
 
-def _keys(grams: list[str], n_shards: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.fromiter((xxhash.xxh64_intdigest(g.encode(), SEED) for g in grams), np.uint64, len(grams)).view(np.int64)
-    return keys, np.mod(keys, n_shards)
-
-
-def _sharded(grams: list[str], n_shards: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, shard = _keys(grams, n_shards)
-    order = np.lexsort((keys, shard))
-    return keys[order], shard[order]
+def _keys(grams: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(g.encode(), SEED) for g in grams), np.uint64, len(grams))

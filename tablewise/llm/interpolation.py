@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, by_frequency, code_words, pack, starts_of, sums_of_runs, unpack
+from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, by_frequency, code_words, hash_ranges, pack, pack_sorted, starts_of, sums_of_runs, unpack, unpack_sorted
 from tablewise.llm.shared import written
 
 #: Text bytes for each bucket of an order; a bucket is merged in one task.
@@ -79,21 +79,6 @@ def grams_of(sequence: np.ndarray, starts: np.ndarray, order: int) -> list[np.nd
     return out
 
 
-def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted keys as gaps of 6 bytes, or of 8 where a gap needs them."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    first, rest = gaps[:1], gaps[1:]
-    width = 6 if not len(rest) or int(rest.max()) < 1 << 48 else 8
-    return bytes([width]) + first.tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    width, first = data[0], np.frombuffer(data, np.uint64, 1, 1)
-    rest = np.zeros(((len(data) - 9) // width, 8), np.uint8)
-    rest[:, :width] = np.frombuffer(data, np.uint8, -1, 9).reshape(-1, width)
-    return np.cumsum(np.concatenate([first, rest.view(np.uint64).ravel()]), dtype=np.uint64)
-
-
 def _block_key(table: pa.Table, sequence: np.ndarray, starts: np.ndarray) -> int:
     key = xxhash.xxh64(sequence.tobytes())
     key.update(starts.tobytes())
@@ -102,13 +87,6 @@ def _block_key(table: pa.Table, sequence: np.ndarray, starts: np.ndarray) -> int
     return key.intdigest() - 2**63
 
 
-def _cuts(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted keys; buckets are equal ranges of the hashes."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(n_buckets)))
-    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
-
-
 def frequency_bucket(count: Column) -> Column:
     """0 for an unseen context, then one bucket for each power of two."""
     return F.when(count > 0, F.least(F.floor(F.log2(count + F.lit(0.5))) + 1, F.lit(FREQUENCY_BUCKETS - 1))).otherwise(0).cast("int")
@@ -137,11 +115,11 @@ def _asked(rows: DataFrame, order: int, n_buckets: int, block_bytes: int, counti
                 keys, at = np.unique(grams, return_inverse=True)
                 counts = np.bincount(at[learns] if counting else at[:0], minlength=len(keys)).astype(np.uint32)
                 held_counts = np.bincount(at[held] if counting else at[:0], minlength=len(keys)).astype(np.uint32)
-                cuts = _cuts(keys, n_buckets)
+                cuts = hash_ranges(keys, n_buckets)
                 yield pa.record_batch(
                     [
                         pa.array([block] * len(cuts), pa.int64()), pa.array([k] * len(cuts), pa.int32()), pa.array([c for c, _, _ in cuts], pa.int32()),
-                        pa.array([_pack_sorted(keys[a:b]) for _, a, b in cuts], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in cuts], pa.binary()),
+                        pa.array([pack_sorted(keys[a:b]) for _, a, b in cuts], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in cuts], pa.binary()),
                         pa.array([pack(held_counts[a:b]) for _, a, b in cuts], pa.binary()),
                     ],
                     names=["block", "grams", "bucket", "keys", "counts", "held_counts"],
@@ -152,7 +130,7 @@ def _asked(rows: DataFrame, order: int, n_buckets: int, block_bytes: int, counti
 
 def _summed(asked: pa.Table) -> pa.Table:
     """Sums over all blocks of one bucket, for the n-grams of each block; and one row with the bucket's totals."""
-    keys = [_unpack_sorted(x) for x in asked.column("keys").to_pylist()]
+    keys = [unpack_sorted(x) for x in asked.column("keys").to_pylist()]
     ends = np.cumsum([len(x) for x in keys])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     out = {}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.llm.blocks import BLOCK_BYTES, Codes
-from tablewise.llm.charlm import START, scores
+from tablewise.llm.charlm import START, Coded, scores
 from tablewise.llm.shared import written
 
 ORDER = 5
@@ -25,20 +25,20 @@ ORDER = 5
 QUANTILE, SLACK = 0.999, 2.0
 
 
-def letters_of(texts: list) -> tuple[list[str], np.ndarray, int, np.ndarray, np.ndarray]:
+def letters_of(texts: list) -> Coded:
     """Blank-separated words of the texts; the strings are their runs of letters, lower-cased, with an end mark."""
     codes, at, lengths = Codes(), array("I"), array("Q")
     for text in texts:
         words = text.split() if text else ()
         at.extend(map(codes.__getitem__, words))
         lengths.append(len(words))
-    runs, strings, unit = regex.compile(r"\p{L}+"), [], array("I")
-    for word, code in codes.items():
+    find, runs, parts, n_parts = regex.compile(r"\p{L}+").findall, Codes(), array("I"), array("I")
+    for word in codes:
         low = word.lower()
-        for run in (low,) if low.isalpha() else runs.findall(low):
-            strings.append(f"{START}{run}\x03")
-            unit.append(code)
-    return strings, np.array(unit, np.int64), len(codes), np.array(at, np.int64), np.array(lengths, np.int64)
+        found = (low,) if low.isalpha() else find(low)
+        parts.extend(map(runs.__getitem__, found))
+        n_parts.append(len(found))
+    return Coded([f"{START}{r}\x03" for r in runs], np.array(parts, np.int64), np.array(n_parts, np.int64), np.array(at, np.int64), np.array(lengths, np.int64))
 
 
 def identify(docs: DataFrame, learns: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
