@@ -76,14 +76,18 @@ def normalised(text: Column) -> Column:
 
 
 def sentences_of(text: Column) -> Column:
-    """Sentences in order: cut behind . ! ? with white space after it, and at line ends where a line stands alone.
+    """(sentence number, text) in order: cut behind . ! ? with white space after it.
 
     A line break inside a sentence is white space: the sentence is taken whole
-    and, behind it, line by line.
+    and, behind it, line by line under the same number.
     """
     cut = F.split(F.regexp_replace(text, r"([.!?])[ \t\n\r\f]+", "$1\u0001"), "\u0001")
-    lines = F.transform(cut, lambda s: F.when(F.contains(s, F.lit("\n")), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s)))
-    return F.flatten(lines)
+
+    def units(s: Column, number: Column) -> Column:
+        lines = F.when(F.contains(s, F.lit("\n")), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))
+        return F.transform(lines, lambda x: F.struct(number.alias("at"), x.alias("s")))
+
+    return F.flatten(F.transform(cut, units))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, gap: int = GAP) -> DataFrame:
@@ -100,7 +104,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     # identifiers are places in the fixed lists, from 1
     known, sizes = F.array(*[F.lit(sentences[n]) for n in names]), [len(s) for s in sentences.values()]
     parts = F.transform(
-        F.filter(F.transform(sentences_of(F.col("text")), lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: F.length(x["s"]) >= min(sizes)),
+        F.filter(sentences_of(F.col("text")), lambda x: F.length(x["s"]) >= min(sizes)),
         lambda x: F.struct(x["at"].alias("at"), normalised(x["s"]).alias("s")),
     )
     found = F.filter(F.transform(parts, lambda x: F.struct(x["at"].alias("at"), F.array_position(known, x["s"]).cast("int").alias("id"))), lambda x: x["id"] > 0)

@@ -118,6 +118,31 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "licence", F.array_join("rule", ",").alias("rule"), "first_sentence", "last_sentence")
 
 
+def _licence_sql() -> str:
+    names = list(licences.SENTENCES)
+    known = ", ".join(f"({names.index(n) + 1}, '{s}')" for n, s in licences.SENTENCES.items())
+    rules = ", ".join(f"({k}, '{licence}', '{','.join(ids)}', {i}, {names.index(x) + 1}, {len(ids)})" for k, (licence, ids) in enumerate(licences.RULES) for i, x in enumerate(ids))
+    return rf"""
+WITH known(id, norm) AS (VALUES {known}), rules(rule_no, licence, rule, k, id, n) AS (VALUES {rules}),
+d AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(regexp_replace(text, '([.!?])[ 	
+
+]+', '' || chr(1), 'g'), chr(1)) AS cut FROM documents WHERE text IS NOT NULL),
+s AS (SELECT row_no, doc_id, unnest(cut) AS s, generate_subscripts(cut, 1) - 1 AS nr FROM d),
+u AS (SELECT row_no, doc_id, nr, 0 AS j, s FROM s
+      UNION ALL SELECT row_no, doc_id, nr, unnest(range(1, len(string_split(s, chr(10))) + 1)), unnest(string_split(s, chr(10))) FROM s WHERE contains(s, chr(10))),
+f AS (SELECT row_no, doc_id, nr, id, row_number() OVER (PARTITION BY row_no ORDER BY nr, j) AS place
+      FROM u JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = norm),
+m AS (SELECT row_no, doc_id, rule_no, licence, rule, n, place - k AS start, nr, nr - lag(nr, 1, nr) OVER (PARTITION BY row_no, rule_no, place - k ORDER BY k) AS gap FROM f JOIN rules USING (id)),
+g AS (SELECT row_no, doc_id, rule_no, licence, rule, n, min(nr) AS first_sentence, max(nr) AS last_sentence FROM m
+      GROUP BY row_no, doc_id, rule_no, licence, rule, n, start HAVING count(*) = n AND max(gap) <= {licences.GAP + 1})
+SELECT doc_id, licence, rule, CAST(first_sentence AS INTEGER) AS first_sentence, CAST(last_sentence AS INTEGER) AS last_sentence FROM g a
+WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.row_no = a.row_no AND b.n > a.n AND a.first_sentence >= b.first_sentence AND a.last_sentence <= b.last_sentence)
+"""
+
+
+ORACLE["op6_licence_scan"] = _licence_sql()
+
+
 @query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold which benchmark items, up to a fifth of the words edited."""
