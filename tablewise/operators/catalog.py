@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.session import bounded_broadcast
 
 
 def _day(c: str | Column) -> Column:
@@ -121,9 +120,8 @@ def enrich_counts(left: DataFrame, key: str, right: DataFrame, ref: str, name: s
 
 
 def enrich_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, columns: Sequence[str]) -> DataFrame:
-    """Id → name/owner lookup (left join); the lookup side is broadcast only under a checked row count."""
-    side = bounded_broadcast(right.select(F.col(right_key).alias(key), *columns))
-    return left.join(side, key, "left")
+    """Id → name/owner lookup (left join); Spark picks the join by the lookup side's measured bytes."""
+    return left.join(right.select(F.col(right_key).alias(key), *columns), key, "left")
 
 
 # ------------------------------------------------------------------------ D3
@@ -171,14 +169,19 @@ def text_filter(df: DataFrame, text: str | None, columns: Sequence[str]) -> Data
     return df.where(blob.contains(text.lower()))
 
 
-def natural_key(c: str | Column, width: int = 20) -> Column:
+def natural_key(c: str | Column) -> Column:
     """T5: case-insensitive, numeric-aware sort key ("item 2" < "item 10").
 
-    Digit runs are left-padded to ``width`` so text order equals number order.
+    A digit run becomes its length without leading zeros and the run, so text
+    order equals number order at any length.
     """
     col = F.lower(F.col(c) if isinstance(c, str) else c)
     runs = F.regexp_extract_all(col, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, width, "0")).otherwise(r)), "")
+    def keyed(r: Column) -> Column:
+        number = F.regexp_replace(r, r"^0+(?=\d)", "")
+        return F.when(r.rlike(r"^\d"), F.concat(F.lpad(F.length(number).cast("string"), 10, "0"), number)).otherwise(r)
+
+    return F.array_join(F.transform(runs, keyed), "")
 
 
 def sorted_list(df: DataFrame, by: str, kind: str = "alpha", descending: bool = False, tiebreak: Sequence[str] = (), limit: int | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from tablewise.functions import fixed_values as FV
 from tablewise.functions import parse as P
-from tablewise.session import checkpoint, spread
+from tablewise.session import checkpoint
 
 
 @dataclass
@@ -104,7 +104,7 @@ def clean_dataset(df: DataFrame, materialize: bool = True) -> tuple[DataFrame, C
     report.removed_empty_columns = empties
     base = df.drop(*empties) if empties else df
     rows = drop_empty_rows(base)
-    dedup = drop_duplicates(normalise(spread(rows)))
+    dedup = drop_duplicates(normalise(rows))
     if materialize:
         dedup = checkpoint(dedup)
     cols = list(dedup.columns)
@@ -210,7 +210,8 @@ def apply_rules(df: DataFrame, rules: Sequence[dict]) -> tuple[DataFrame, list[s
         elif kind == "Normalize Category":
             df = df.withColumn(column, P.normalize_category(column))
         elif kind == "Convert Date":
-            df = df.withColumn(column, P.parse_date(column))
+            first = P.date_orders(df, [column])[column] if _is_text(df, column) else True
+            df = df.withColumn(column, P.parse_date(column, first))
         elif kind == "Convert Number":
             df = df.withColumn(column, P.parse_number(column))
         elif kind == "Fill Missing":
@@ -241,6 +242,8 @@ def convert_by_mapping(df: DataFrame, mapping: Sequence[dict]) -> tuple[DataFram
     error_exprs = []
     missing = []
     normalised = df.select(*[P.normalise_missing(c).alias(c) if _is_text(df, c) else F.col(c) for c in df.columns])
+    dated = [c.get("normalized_name") for c in mapping if c.get("semantic_role") == "Date Dimension" and c.get("include", True)]
+    orders = P.date_orders(normalised, [c for c in dict.fromkeys(dated) if c in df.columns and _is_text(df, c)], clean=False)
     for col in mapping:
         name = col.get("normalized_name")
         role, dtype = col.get("semantic_role"), col.get("detected_type")
@@ -255,7 +258,7 @@ def convert_by_mapping(df: DataFrame, mapping: Sequence[dict]) -> tuple[DataFram
         if role == "Measure":
             conv = P.parse_number(raw.cast("string"), clean=False) if _is_text(df, name) else raw.cast("double")
         elif role == "Date Dimension":
-            conv = P.parse_date(raw, clean=False) if _is_text(df, name) else F.to_date(raw)
+            conv = P.parse_date(raw, orders[name], clean=False) if _is_text(df, name) else F.to_date(raw)
         elif dtype == "Boolean":
             conv = P.yes_no(P.parse_boolean(raw.cast("string"), clean=False))
         elif role == "Dimension":
@@ -288,7 +291,8 @@ def legacy_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         exprs += [
             F.count(F.col(c)).alias(f"nn{i}"),
             F.count(F.when(v.rlike(P.NUMERIC_LITERAL), 1)).alias(f"num{i}"),
-            F.count(P.parse_timestamp(v, clean=False)).alias(f"date{i}"),
+            F.count(P.parse_timestamp(v, True, clean=False)).alias(f"dmy{i}"),
+            F.count(P.parse_timestamp(v, False, clean=False)).alias(f"mdy{i}"),
         ]
     stats = d.agg(*exprs).collect()[0]
     rows = int(stats["__rows"])
@@ -299,8 +303,8 @@ def legacy_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         if nn and stats[f"num{i}"] / nn >= 0.7:
             projection.append(F.when(v.rlike(P.NUMERIC_LITERAL), v.cast("double")).alias(c))
             kinds[c] = "Number"
-        elif nn and stats[f"date{i}"] / nn >= 0.6:
-            projection.append(P.parse_date(v, clean=False).alias(c))
+        elif nn and max(stats[f"dmy{i}"], stats[f"mdy{i}"]) / nn >= 0.6:
+            projection.append(P.parse_date(v, stats[f"dmy{i}"] >= stats[f"mdy{i}"], clean=False).alias(c))
             kinds[c] = "Date"
         else:
             projection.append(v.alias(c))

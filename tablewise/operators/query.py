@@ -184,10 +184,12 @@ def sql_chart(
 
 # ------------------------------------------------------------------------ A5
 def monthly_series(
-    df: DataFrame, x: str, y: str | None, aggregation: str = "sum", digits: int = 4, day_first: bool = True
+    df: DataFrame, x: str, y: str | None, aggregation: str = "sum", digits: int = 4, day_first: bool | None = None
 ) -> DataFrame:
     """A5 line chart: group by calendar month of ``x``; rows whose date does not parse are dropped.
 
+    ``day_first`` left open takes, for text, the order that reads more values of the whole column.
+
     When ``x`` is text and no value parses at all, the raw value is the key
     (a one-row probe decides).
     """
@@ -195,9 +197,9 @@ def monthly_series(
     dt = dtype_of(df, x)
     if isinstance(dt, T.StringType):
         df = df.withColumn(x, P.normalise_missing(x))
-        ts = P.parse_timestamp(x, day_first, clean=False)
+        ts = P.parse_timestamp(x, P.date_orders(df, [x], clean=False)[x] if day_first is None else day_first, clean=False)
     else:
-        ts = P.to_timestamp_any(x, dt.simpleString(), day_first)
+        ts = P.to_timestamp_any(x, dt.simpleString())
     use_dates = True
     if not is_temporal_type(dt):
         use_dates = len(df.where(ts.isNotNull()).select(F.lit(1)).limit(1).collect()) > 0
@@ -379,24 +381,28 @@ def apply_filters(df: DataFrame, filters: Sequence[dict]) -> DataFrame:
     ``{"type": "select", "field", "value"}`` (=), ``multi_select`` (in),
     ``date_range`` (``from``/``to``, whole upper day), ``number_range``
     (``min``/``max`` inclusive), ``search`` (contains, case-insensitive).
-    Empty values are ignored, as an unset control is.
+    Empty values are ignored, as an unset control is; an unknown field is an
+    error.  Literals take the column's type, so the filters reach the scan.
     """
     for f in filters or []:
         kind, field, value = f.get("type", "select"), f.get("field"), f.get("value")
         if field not in df.columns:
-            continue
-        c = F.col(field)
+            raise ValueError(f"filter on unknown field {field!r}")
+        c, dt = F.col(field), dtype_of(df, field)
+        typed = lambda v: F.lit(str(v)).try_cast(dt)  # noqa: E731, B023
         if kind == "select" and value not in (None, ""):
-            df = df.where(c.cast("string") == str(value))
+            df = df.where(c == typed(value))
         elif kind == "multi_select" and value:
-            df = df.where(c.cast("string").isin([str(v) for v in value]))
+            df = df.where(c.isin([typed(v) for v in value]))
         elif kind == "date_range":
             if f.get("from"):
                 df = df.where(c >= F.to_date(F.lit(str(f["from"]))))
             if f.get("to"):
                 df = df.where(c < F.date_add(F.to_date(F.lit(str(f["to"]))), 1))
         elif kind == "number_range":
-            num = as_number(df, field)
+            num = c if is_numeric_type(dt) else as_number(df, field)
+            if isinstance(dt, (T.FloatType, T.DoubleType)) and f.get("min") is not None and f.get("max") is None:
+                df = df.where(~F.isnan(c))  # NaN sorts above every bound
             if f.get("min") is not None:
                 df = df.where(num >= F.lit(float(f["min"])))
             if f.get("max") is not None:

@@ -14,17 +14,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions import fixed_values as FV
 from tablewise.functions import names as N
 from tablewise.functions import parse as P
-from tablewise.session import BROADCAST_MAX_ROWS, checkpoint, sequential_id
-
-# Above this many members a dimension id is assigned by ``sequential_id``
-# (distributed); below it a single ordered window over the members is cheaper.
-SMALL_DIMENSION_ROWS = 100_000
+from tablewise.session import checkpoint, sequential_id
 
 
 @dataclass
@@ -36,9 +32,7 @@ class Star:
     measures: list[str] = field(default_factory=list)
 
 
-def _ids(members: DataFrame, order: str, n: int) -> DataFrame:
-    if n <= SMALL_DIMENSION_ROWS:
-        return members.withColumn("id", F.row_number().over(Window.orderBy(order)).cast("long"))
+def _ids(members: DataFrame, order: str) -> DataFrame:
     return sequential_id(members, [order], "id")
 
 
@@ -78,7 +72,7 @@ def category_dimension(df: DataFrame, column: str, members_all: DataFrame | None
     else:
         members = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("source_value")).distinct()
     n = members.count()
-    dim = _ids(members, "source_value", n).select("id", P.truncate_text("source_value").alias("value"), "source_value")
+    dim = _ids(members, "source_value").select("id", P.truncate_text("source_value").alias("value"), "source_value")
     return dim, n
 
 
@@ -89,7 +83,7 @@ def date_dimension(df: DataFrame, column: str, members_all: DataFrame | None = N
     else:
         members = df.where(F.col(column).isNotNull()).select(F.to_date(column).alias("value")).distinct()
     n = members.count()
-    dim = _ids(members, "value", n).select("id", "value", *P.date_parts("value"))
+    dim = _ids(members, "value").select("id", "value", *P.date_parts("value"))
     return dim, n
 
 
@@ -114,10 +108,9 @@ def dimension_columns(prof: DataFrame, modern: bool = True) -> tuple[list[str],
     return cats, dates, measures
 
 
-def lookup(fact: DataFrame, dim: DataFrame, column: str, dim_key: str, n_members: int, id_name: str) -> DataFrame:
+def lookup(fact: DataFrame, dim: DataFrame, column: str, dim_key: str, id_name: str) -> DataFrame:
     """Left equi-join fact → dimension id; unmatched and null keys get a null id."""
     side = dim.select(F.col(dim_key).alias("__k"), F.col("id").alias(id_name))
-    side = F.broadcast(side) if n_members <= BROADCAST_MAX_ROWS else side
     key = F.col(column).cast("string") if dim_key == "source_value" else F.to_date(column)
     return fact.join(side, key == F.col("__k"), "left").drop("__k")
 
@@ -142,12 +135,12 @@ def build_star(
     for c in categories:
         dim, n = category_dimension(clean, c, members)
         star.dimensions[c], star.dimension_kinds[c], star.dimension_rows[c] = dim, "Category", n
-        fact = lookup(fact, dim, c, "source_value", n, f"{c}_id")
+        fact = lookup(fact, dim, c, "source_value", f"{c}_id")
         keys.append(f"{c}_id")
     for c in dates:
         dim, n = date_dimension(clean, c, members)
         star.dimensions[c], star.dimension_kinds[c], star.dimension_rows[c] = dim, "Date", n
-        fact = lookup(fact, dim, c, "value", n, f"{c}_id")
+        fact = lookup(fact, dim, c, "value", f"{c}_id")
         keys.append(f"{c}_id")
     star.fact = fact.select("source_row_id", *[F.col(m).cast("double").alias(m) for m in measures], *keys)
     return star

@@ -49,7 +49,7 @@ def run_import(df: DataFrame, dataset: str, order_by: list[str], out_path: str |
             message = fn() or ""
             C.log_step(spark, log_path, run_id, name, "Success", started, datetime.datetime.now(), message)
         except Exception as exc:  # the failure is recorded, then the run stops
-            C.log_step(spark, log_path, run_id, name, "Failed", started, datetime.datetime.now(), str(exc)[:500])
+            C.log_step(spark, log_path, run_id, name, "Failed", started, datetime.datetime.now(), str(exc))
             raise
 
     state: dict = {}

@@ -1326,7 +1326,7 @@ def preview_orders(spark, sf):
 @register(
     "json_roundtrip_events",
     """
-    SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+    SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
     FROM events
     """,
 )

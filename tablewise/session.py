@@ -1,4 +1,4 @@
-"""Session helpers: configuration, reliable checkpoints, size-checked broadcast."""
+"""Session helpers: configuration, reliable checkpoints, sequential ids."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Upper bound on rows for a side that may be broadcast.  Callers check the
-# actual count (cheap on an already-reduced side) before hinting.
-BROADCAST_MAX_ROWS = 1_000_000
-
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -38,13 +34,15 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local one only when unset (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; a local one only where unset on a local master (tests)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = os.path.join("/tmp", "tablewise-checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -66,16 +64,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after the side's row count is checked against a bound.
-
-    Beyond the bound the side is returned unhinted and Spark (with AQE) picks a
-    shuffle join, so memory never depends on data growth.
-    """
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
-
-
 def sequential_id(df: DataFrame, order_cols: list[str], name: str = "id", start: int = 1) -> DataFrame:
     """Dense 1..n id in ``order_cols`` order without a single-task window.
 
@@ -104,20 +92,3 @@ def sequential_id(df: DataFrame, order_cols: list[str], name: str = "id", start:
     )
     return out.drop("__pid", "__mid", "__offset", "__first")
 
-
-def needs_spread(df: DataFrame) -> bool:
-    """True when ``df`` has fewer partitions than the cluster has cores (plans once)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return cores > 1 and df.rdd.getNumPartitions() < cores
-
-
-def spread(df: DataFrame, needed: bool | None = None) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has cores.
-
-    Only for CPU-heavy per-row work (regex parsing).  A large input already has
-    many more splits than cores, so this is a no-op at scale; it only helps a
-    small single-file input use every core.
-    """
-    if needed is None:
-        needed = needs_spread(df)
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if needed else df

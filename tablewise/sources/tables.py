@@ -36,7 +36,8 @@ def to_json_lines(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            c = F.when(F.date_trunc("second", c) == c, whole).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(f.name))

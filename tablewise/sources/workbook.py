@@ -13,11 +13,13 @@ many workbooks spread over the cluster.  ``.xls`` (binary BIFF) is not read.
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,49 +66,85 @@ def _sheet_parts(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
+# number formats of the file format that show a date or time (fixed values)
+_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles whose number format shows a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {}
+    for f in root.iterfind("m:numFmts/m:numFmt", _NS):
+        plain = re.sub(r'"[^"]*"|\\\\.|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
+        own[int(f.get("numFmtId"))] = bool(re.search(r"[ymdhs]", plain))
+    formats = [int(x.get("numFmtId", 0)) for x in root.iterfind("m:cellXfs/m:xf", _NS)]
+    return {i for i, n in enumerate(formats) if own.get(n, n in _DATE_FORMATS)}
+
+
+def _day_zero(z: zipfile.ZipFile) -> datetime.datetime:
+    """Day 0 of serial dates: 30 Dec 1899, or 1 Jan 1904 where the workbook says so."""
+    flags = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
+    late = flags is not None and flags.get("date1904") in ("1", "true")
+    return datetime.datetime(1904, 1, 1) if late else datetime.datetime(1899, 12, 30)
+
+
+def _cell_value(c, strings: list[str], dates: set[int], base: datetime.datetime) -> str | None:
+    """Text of a cell: dates in ISO form, booleans as true/false, null for errors and empty cells."""
+    kind = c.get("t")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in c.iter("{%s}t" % _NS["m"]))
+    v = c.find("m:v", _NS)
+    if v is None or v.text is None or kind == "e":
+        return None
+    if kind == "s":
+        return strings[int(v.text)]
+    if kind == "b":
+        return "true" if v.text.strip() == "1" else "false"
+    if kind in (None, "n") and int(c.get("s") or 0) in dates:
+        moment = base + datetime.timedelta(seconds=round(float(v.text) * 86_400))
+        return moment.date().isoformat() if moment.time() == datetime.time() else moment.isoformat(sep=" ")
+    return v.text
+
+
 def workbook_cells(path: str, content: bytes) -> Iterator[tuple]:
     """Every non-empty cell of every sheet of one ``.xlsx`` file."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         strings = _shared_strings(z)
+        dates, base = _date_styles(z), _day_zero(z)
         for sheet_no, (name, part) in enumerate(_sheet_parts(z)):
-            root = ET.fromstring(z.read(part))
-            data = root.find("m:sheetData", _NS)
-            if data is None:
-                continue
-            for row in data.findall("m:row", _NS):
-                for c in row.findall("m:c", _NS):
-                    m = _REF.match(c.get("r", ""))
-                    if not m:
+            with z.open(part) as sheet:
+                for _, row in ET.iterparse(sheet):
+                    if row.tag != "{%s}row" % _NS["m"]:
                         continue
-                    kind = c.get("t")
-                    if kind == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iter("{%s}t" % _NS["m"]))
-                    else:
-                        v = c.find("m:v", _NS)
-                        if v is None or v.text is None:
-                            continue
-                        value = strings[int(v.text)] if kind == "s" else v.text
-                    is_text = kind in ("s", "inlineStr", "str")
-                    yield (path, sheet_no, name, int(m.group(2)) - 1, _col_index(m.group(1)), value, is_text)
+                    for c in row.findall("m:c", _NS):
+                        m, value = _REF.match(c.get("r", "")), _cell_value(c, strings, dates, base)
+                        if m and value is not None:
+                            is_text = c.get("t") in ("s", "inlineStr", "str")
+                            yield (path, sheet_no, name, int(m.group(2)) - 1, _col_index(m.group(1)), value, is_text)
+                    row.clear()
 
 
 def _cells_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = ["path", "sheet_no", "sheet", "row_no", "col_no", "value", "is_text"]
     for pdf in batches:
-        rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows.extend(workbook_cells(path, content))
-        yield pd.DataFrame(rows, columns=cols)
+            cells = workbook_cells(path, content)
+            while rows := list(islice(cells, 10_000)):  # some thousand cells in memory at a time
+                yield pd.DataFrame(rows, columns=cols)
 
 
 def read_cells(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Long cells of every ``.xlsx`` under ``path`` (one task per file).
 
-    ``max_bytes`` is the optional S6 size guard (files above it are skipped).
+    ``max_bytes`` is the optional S6 size guard: a larger file refuses the import.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
     if max_bytes:
-        files = files.where(F.col("length") <= max_bytes)
+        large = files.where(F.col("length") > max_bytes).select("path", "length").orderBy("path").limit(20).collect()
+        if large:
+            raise ValueError(f"files above {max_bytes} bytes: " + ", ".join(f"{r['path']} ({r['length']})" for r in large))
     return files.select("path", "content").mapInPandas(_cells_udf, CELL_SCHEMA)
 
 
@@ -165,7 +203,10 @@ def to_table(cells: DataFrame, header_row: int, path: str | None = None, sheet_n
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None) -> DataFrame:
     """S1–S5 for one file: best (or given) sheet, detected (or given, 1-based) header, table."""
-    cells = read_cells(spark, path).cache()
+    cells = read_cells(spark, path)
+    files = [r["path"] for r in cells.select("path").distinct().limit(2).collect()]
+    if len(files) > 1:
+        raise ValueError("more than one workbook; read them with read_workbooks")
     if sheet is None:
         chosen = best_sheet(cells).collect()[0]
         sheet_no = chosen["sheet_no"]
@@ -228,12 +269,18 @@ def write_xlsx(path: str, sheets: dict[str, list[list]]) -> None:
 
 
 # ------------------------------------------------------------- many workbooks
+def _unique_in_file(heads: pd.DataFrame) -> pd.DataFrame:
+    heads = heads.sort_values("col_no")
+    return heads.assign(name=N.unique_names(heads["name"]))[["path", "sheet_no", "col_no", "name"]]
+
+
 def read_workbooks(spark: SparkSession, path: str, scan_rows: int = 50, max_scan: int = 25) -> DataFrame:
     """S1–S5 for a directory: every file's best sheet, its detected header, one table.
 
     Per file the header row's cells name the columns; rows below it become
     records (``path``, ``row_no`` plus one string column per distinct header
-    name).  The header names are a small per-column set; everything else stays
+    name).  A column without header is ``column_N``; repeated names of a file
+    get ``_2``, ``_3`` and so on.  The header names are a small per-column set; everything else stays
     distributed (cells → joins → ``groupBy(path, row_no).pivot(name)``).
     """
     cells = read_cells(spark, path)
@@ -241,9 +288,12 @@ def read_workbooks(spark: SparkSession, path: str, scan_rows: int = 50, max_scan
     chosen = cells.join(best, ["path", "sheet_no"], "left_semi")
     header = header_rows(chosen, max_scan)
     located = chosen.join(header, ["path", "sheet_no"])
-    names = located.where(F.col("row_no") == F.col("header_row")).select(
-        "path", "sheet_no", "col_no", F.trim("value").alias("name")
+    # one row per column of each file
+    heads = located.where(F.col("row_no") >= F.col("header_row")).groupBy("path", "sheet_no", "col_no").agg(
+        F.max(F.when(F.col("row_no") == F.col("header_row"), F.trim("value"))).alias("name")
     )
+    heads = heads.withColumn("name", F.when(F.coalesce(F.col("name"), F.lit("")) != "", F.col("name")).otherwise(F.concat(F.lit("column_"), (F.col("col_no") + 1).cast("string"))))
+    names = heads.groupBy("path", "sheet_no").applyInPandas(_unique_in_file, "path string, sheet_no int, col_no int, name string")
     body = located.where(F.col("row_no") > F.col("header_row")).join(names, ["path", "sheet_no", "col_no"])
     header_names = [r["name"] for r in names.select("name").distinct().orderBy("name").collect()]
     wide = body.groupBy("path", "row_no").pivot("name", header_names).agg(F.first("value"))

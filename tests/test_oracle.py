@@ -8,10 +8,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from tablewise.plans import registered
 from tablewise.session import TABLES
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+ORACLE = registered.ORACLE
+QUERIES = registered.QUERIES
 
 
 def _norm(v):
