@@ -124,9 +124,7 @@ def _licence_sql() -> str:
     rules = ", ".join(f"({k}, '{licence}', '{','.join(ids)}', {i}, {names.index(x) + 1}, {len(ids)})" for k, (licence, ids) in enumerate(licences.RULES) for i, x in enumerate(ids))
     return rf"""
 WITH known(id, norm) AS (VALUES {known}), rules(rule_no, licence, rule, k, id, n) AS (VALUES {rules}),
-d AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(regexp_replace(text, '([.!?])[ 	
-
-]+', '' || chr(1), 'g'), chr(1)) AS cut FROM documents WHERE text IS NOT NULL),
+d AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)) AS cut FROM documents WHERE text IS NOT NULL),
 s AS (SELECT row_no, doc_id, unnest(cut) AS s, generate_subscripts(cut, 1) - 1 AS nr FROM d),
 u AS (SELECT row_no, doc_id, nr, 0 AS j, s FROM s
       UNION ALL SELECT row_no, doc_id, nr, unnest(range(1, len(string_split(s, chr(10))) + 1)), unnest(string_split(s, chr(10))) FROM s WHERE contains(s, chr(10))),
