@@ -154,12 +154,14 @@ def _month_number(name: Column) -> Column:
     return table[prefix]
 
 
-def parse_timestamp(c: ColumnOrName, day_first: bool = True, clean: bool = True) -> Column:
+def parse_timestamp(c: ColumnOrName, day_first: bool = True, clean: bool = True, strict: bool = False) -> Column:
     """timestamp from text of a recognised date shape, else null.
 
     ISO shapes go through Spark's own string→timestamp cast (no regex); D/M/Y
-    is rearranged to ISO by one ``regexp_replace`` and cast in the given order
-    only; callers choose the order for a whole column (``date_orders``).  Named
+    is rearranged to ISO by one ``regexp_replace`` and cast, ``day_first``
+    order first and the other order when the first is impossible; ``strict``
+    tries the given order only, for columns whose order is chosen as a whole
+    (``date_orders``).  Named
     months are rebuilt with ``try_make_timestamp_ntz``.  An impossible date
     (31/02/2024) is null and nothing throws.  Bare numbers are never dates,
     except a 4-digit year 1900–2100.
@@ -167,12 +169,12 @@ def parse_timestamp(c: ColumnOrName, day_first: bool = True, clean: bool = True)
     t = _text(c, clean)
     cast = lambda x: x.try_cast("timestamp_ntz")
     g = lambda pat, i: F.regexp_extract(t, pat, i)
-    iso = "$3-$2-$1" if day_first else "$3-$1-$2"
+    orders = ["$3-$2-$1", "$3-$1-$2"] if day_first else ["$3-$1-$2", "$3-$2-$1"]
     dmy_head = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?=$|[ T])"
     return (
         F.when(t.rlike(r"^\d+$"), F.when(t.rlike(_YEAR), cast(t)))
         .when(t.rlike(r"^\d{4}[-/]\d{1,2}([-/]\d{1,2})?([ T]\d|$)"), cast(F.translate(t, "/", "-")))
-        .when(t.rlike(dmy_head), cast(F.regexp_replace(t, dmy_head, iso)))
+        .when(t.rlike(dmy_head), F.coalesce(*[cast(F.regexp_replace(t, dmy_head, iso)) for iso in orders[: 1 if strict else 2]]))
         .when(t.rlike(_D_MON_Y), _ts(g(_D_MON_Y, 3), _month_number(g(_D_MON_Y, 2)), g(_D_MON_Y, 1)))
         .when(t.rlike(_MON_D_Y), _ts(g(_MON_D_Y, 3), _month_number(g(_MON_D_Y, 1)), g(_MON_D_Y, 2)))
     )
@@ -182,14 +184,14 @@ def date_orders(df: DataFrame, columns: list[str], clean: bool = True) -> dict[s
     """Whether day-first reads at least as many values as month-first, per text column (one aggregate over all)."""
     if not columns:
         return {}
-    order = [F.count(parse_timestamp(c, first, clean)).alias(f"{i}_{first}") for i, c in enumerate(columns) for first in (True, False)]
+    order = [F.count(parse_timestamp(c, first, clean, strict=True)).alias(f"{i}_{first}") for i, c in enumerate(columns) for first in (True, False)]
     found = df.agg(*order).first()
     return {c: found[f"{i}_True"] >= found[f"{i}_False"] for i, c in enumerate(columns)}
 
 
-def parse_date(c: ColumnOrName, day_first: bool = True, clean: bool = True) -> Column:
+def parse_date(c: ColumnOrName, day_first: bool = True, clean: bool = True, strict: bool = False) -> Column:
     """F5 + F6: parsed value truncated to the day (``DateType``)."""
-    return F.to_date(parse_timestamp(c, day_first, clean))
+    return F.to_date(parse_timestamp(c, day_first, clean, strict))
 
 
 def to_timestamp_any(c: ColumnOrName, data_type: str, day_first: bool = True) -> Column:

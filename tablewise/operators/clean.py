@@ -128,8 +128,8 @@ def clean_dataset(df: DataFrame, materialize: bool = True) -> tuple[DataFrame, C
             ]
             if _date_named(c):
                 exprs += [
-                    F.count(P.parse_timestamp(v, True, clean=False)).alias(f"dmy{i}"),
-                    F.count(P.parse_timestamp(v, False, clean=False)).alias(f"mdy{i}"),
+                    F.count(P.parse_timestamp(v, True, clean=False, strict=True)).alias(f"dmy{i}"),
+                    F.count(P.parse_timestamp(v, False, clean=False, strict=True)).alias(f"mdy{i}"),
                 ]
     stats = staged.agg(*exprs).collect()[0]
     report.rows_in = rows.count()
@@ -157,7 +157,7 @@ def clean_dataset(df: DataFrame, materialize: bool = True) -> tuple[DataFrame, C
                     report.date_columns.append(c)
                     if nn - ok:
                         report.conversion_errors[c] = report.conversion_errors.get(c, 0) + nn - ok
-                    expr = P.parse_timestamp(F.col(c), day_first, clean=False)
+                    expr = P.parse_timestamp(F.col(c), day_first, clean=False, strict=True)
         projection.append(expr.alias(c))
 
     if empties:
@@ -180,7 +180,7 @@ def clean_plan(df: DataFrame, numeric: Sequence[str], dates: dict[str, bool] | S
         if c in numeric:
             out.append(P.parse_number_locale(F.col(c), clean=False).alias(c))
         elif c in dates:
-            out.append(P.parse_timestamp(F.col(c), dates[c], clean=False).alias(c))
+            out.append(P.parse_timestamp(F.col(c), dates[c], clean=False, strict=True).alias(c))
         else:
             out.append(F.col(c))
     return d.select(*out)
@@ -211,7 +211,7 @@ def apply_rules(df: DataFrame, rules: Sequence[dict]) -> tuple[DataFrame, list[s
             df = df.withColumn(column, P.normalize_category(column))
         elif kind == "Convert Date":
             first = P.date_orders(df, [column])[column] if _is_text(df, column) else True
-            df = df.withColumn(column, P.parse_date(column, first))
+            df = df.withColumn(column, P.parse_date(column, first, strict=True))
         elif kind == "Convert Number":
             df = df.withColumn(column, P.parse_number(column))
         elif kind == "Fill Missing":
@@ -258,7 +258,7 @@ def convert_by_mapping(df: DataFrame, mapping: Sequence[dict]) -> tuple[DataFram
         if role == "Measure":
             conv = P.parse_number(raw.cast("string"), clean=False) if _is_text(df, name) else raw.cast("double")
         elif role == "Date Dimension":
-            conv = P.parse_date(raw, orders[name], clean=False) if _is_text(df, name) else F.to_date(raw)
+            conv = P.parse_date(raw, orders[name], clean=False, strict=True) if _is_text(df, name) else F.to_date(raw)
         elif dtype == "Boolean":
             conv = P.yes_no(P.parse_boolean(raw.cast("string"), clean=False))
         elif role == "Dimension":
@@ -291,8 +291,8 @@ def legacy_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         exprs += [
             F.count(F.col(c)).alias(f"nn{i}"),
             F.count(F.when(v.rlike(P.NUMERIC_LITERAL), 1)).alias(f"num{i}"),
-            F.count(P.parse_timestamp(v, True, clean=False)).alias(f"dmy{i}"),
-            F.count(P.parse_timestamp(v, False, clean=False)).alias(f"mdy{i}"),
+            F.count(P.parse_timestamp(v, True, clean=False, strict=True)).alias(f"dmy{i}"),
+            F.count(P.parse_timestamp(v, False, clean=False, strict=True)).alias(f"mdy{i}"),
         ]
     stats = d.agg(*exprs).collect()[0]
     rows = int(stats["__rows"])
@@ -304,7 +304,7 @@ def legacy_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             projection.append(F.when(v.rlike(P.NUMERIC_LITERAL), v.cast("double")).alias(c))
             kinds[c] = "Number"
         elif nn and max(stats[f"dmy{i}"], stats[f"mdy{i}"]) / nn >= 0.6:
-            projection.append(P.parse_date(v, stats[f"dmy{i}"] >= stats[f"mdy{i}"], clean=False).alias(c))
+            projection.append(P.parse_date(v, stats[f"dmy{i}"] >= stats[f"mdy{i}"], clean=False, strict=True).alias(c))
             kinds[c] = "Date"
         else:
             projection.append(v.alias(c))

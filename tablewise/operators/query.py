@@ -197,7 +197,7 @@ def monthly_series(
     dt = dtype_of(df, x)
     if isinstance(dt, T.StringType):
         df = df.withColumn(x, P.normalise_missing(x))
-        ts = P.parse_timestamp(x, P.date_orders(df, [x], clean=False)[x] if day_first is None else day_first, clean=False)
+        ts = P.parse_timestamp(x, P.date_orders(df, [x], clean=False)[x] if day_first is None else day_first, clean=False, strict=True)
     else:
         ts = P.to_timestamp_any(x, dt.simpleString())
     use_dates = True
