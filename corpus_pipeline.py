@@ -17,6 +17,9 @@ from tablewise.llm import bpe, decontam, langid, quality, simhash
 from tablewise.llm.shared import written
 from tablewise.session import read_table
 
+#: Text bytes of a block in the language-model stages: a stage follows others in the same executors, so less than the default.
+BLOCK_BYTES = 4_000_000
+
 
 def _kept(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows whose doc_id is not among ``dropped``; rows that share a doc_id, or have none, stand or fall together."""
@@ -26,13 +29,13 @@ def _kept(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    found = quality.classify(docs, read_table(spark, sf_dir, "labels"))
+    found = quality.classify(docs, read_table(spark, sf_dir, "labels"), block_bytes=BLOCK_BYTES)
     return _kept(docs, found.where("not keep"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence; learned from those with a lang."""
-    return _kept(docs, langid.identify(docs, F.lit(True)).where("rejected"))
+    return _kept(docs, langid.identify(docs, F.lit(True), block_bytes=BLOCK_BYTES).where("rejected"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,12 @@ def blocks_of(batches: Iterable[pa.RecordBatch], column: str = "text", block_byt
         yield pa.Table.from_batches(held)
 
 
+def each_block(batches: Iterable[pa.RecordBatch], work: Callable[[pa.Table], Iterator], block_bytes: int = BLOCK_BYTES) -> Iterator:
+    """What ``work`` yields for each block; nothing of a block stays when the next one is read."""
+    for table in blocks_of(batches, "text", block_bytes):
+        yield from work(table)
+
+
 class Codes(dict):
     """Unit -> code in order of first sight; ``codes[unit]`` gives a new unit the next code."""
 

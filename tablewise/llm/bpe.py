@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import Codes, blocks_of, by_frequency, pack, starts_of, take_runs, unpack
+from tablewise.llm.blocks import by_frequency, Codes, each_block, pack, starts_of, take_runs, unpack
 
 #: Text bytes of a block; encoding and decoding run side by side, so blocks are small.
 BLOCK_BYTES = 4_000_000
@@ -138,17 +138,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     vocabulary = spark.sparkContext.broadcast(ranks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    def words_of_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, words, bucket, *_ = _coded(table, pattern, n_buckets)
+        cuts, sizes = _ranges(bucket), np.array([len(w) for w in words], np.uint32)
+        if cuts:
+            yield pa.record_batch([[block] * len(cuts), [k for k, _, _ in cuts], [zstandard.ZstdCompressor(level=1).compress(b"".join(words[a:b])) for _, a, b in cuts], [pack(sizes[a:b]) for _, a, b in cuts]], schema=WORDS)
+
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks_of(batches, "text", block_bytes):
-            block, words, bucket, *_ = _coded(table, pattern, n_buckets)
-            cuts, sizes = _ranges(bucket), np.array([len(w) for w in words], np.uint32)
-            if cuts:
-                yield pa.record_batch([[block] * len(cuts), [k for k, _, _ in cuts], [zstandard.ZstdCompressor(level=1).compress(b"".join(words[a:b])) for _, a, b in cuts], [pack(sizes[a:b]) for _, a, b in cuts]], schema=WORDS)
+        return each_block(batches, words_of_block, block_bytes)
+
+    def places_of_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, _, bucket, at, lengths, flat, part_lengths = _coded(table, pattern, n_buckets)
+        yield pa.record_batch([[block], [table.num_rows], [table.column("doc_id").to_pylist()], [pack(at)], [pack(lengths)], [pack(flat)], [pack(part_lengths)], [[v for k, a, b in _ranges(bucket) for v in (k, b - a)]]], schema=PLACES)
 
     def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks_of(batches, "text", block_bytes):
-            block, _, bucket, at, lengths, flat, part_lengths = _coded(table, pattern, n_buckets)
-            yield pa.record_batch([[block], [table.num_rows], [table.column("doc_id").to_pylist()], [pack(at)], [pack(lengths)], [pack(flat)], [pack(part_lengths)], [[v for k, a, b in _ranges(bucket) for v in (k, b - a)]]], schema=PLACES)
+        return each_block(batches, places_of_block, block_bytes)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})

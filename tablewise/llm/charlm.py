@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, by_frequency, hash_ranges, pack, pack_sorted, starts_of, sums_of_runs, take_runs, unpack, unpack_sorted
+from tablewise.llm.blocks import BLOCK_BYTES, by_frequency, each_block, hash_ranges, pack, pack_sorted, starts_of, sums_of_runs, take_runs, unpack, unpack_sorted
 from tablewise.llm.shared import written
 
 #: Stands before every word; no text character is taken for it.
@@ -49,21 +49,24 @@ def grams_of(strings: list[str], lead: int, order: int) -> tuple[list[str], np.n
     The first ``lead`` characters of a string are context only.
     """
     joined = "".join(strings)
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32) + np.uint32(1)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    place = (np.arange(len(points)) - np.repeat(starts_of(lengths)[:-1], lengths)).astype(np.int32)
-    own = points.copy()
+    place = np.arange(len(points), dtype=np.int32) - np.repeat(starts_of(lengths)[:-1].astype(np.int32), lengths)
+    own = points.astype(np.uint64)
     for back in range(1, order):
         own *= np.uint64(0x9E3779B97F4A7C15)
         own ^= own >> np.uint64(29)
         own[back:] ^= points[:-back] * (place[back:] >= back)
+    del points
     own *= np.uint64(0x9E3779B97F4A7C15)
     at = np.flatnonzero(place >= lead)
     own = own[at]
     by_hash = np.argsort(own)
-    fresh = np.diff(own[by_hash], prepend=~own[by_hash][:1]) != 0
-    inverse = np.empty(len(at), np.int64)
-    inverse[by_hash] = np.cumsum(fresh) - 1
+    own, fresh = own[by_hash], np.ones(len(at), bool)
+    fresh[1:] = own[1:] != own[:-1]
+    del own
+    inverse = np.empty(len(at), np.int32)
+    inverse[by_hash] = np.cumsum(fresh, dtype=np.int32) - 1
     first = by_hash[fresh]
     ends = at[first]
     sizes = np.minimum(place[ends] + 1, order)
@@ -92,21 +95,23 @@ def block_grams(rows: DataFrame, cut: Cut, lead: int, order: int, block_bytes: i
     ``rows``: ``text``, ``class`` (null: not learned from) and what else tells documents apart.
     """
 
+    def count_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        coded = cut(table.column("text").to_pylist())
+        grams, inverse, sizes = grams_of(coded.strings, lead, order)
+        block = _key_of(table, coded)
+        yield pa.record_batch([[block], pa.array([None], pa.string()), [grams], pa.array([[]], pa.list_(pa.int64()))], names=["block", "class", "grams", "n"])
+        classes = table.column("class").to_pylist()
+        unit = np.repeat(np.arange(len(coded.n_parts)), coded.n_parts)
+        for name in sorted({c for c in classes if c is not None}):
+            mine = np.repeat(np.array([c == name for c in classes], bool), coded.lengths)
+            by_unit = np.bincount(coded.at[mine], minlength=len(coded.n_parts))
+            by_string = np.bincount(coded.parts, by_unit[unit], len(coded.strings))
+            n = np.bincount(inverse, np.repeat(by_string, sizes), len(grams)).astype(np.int64)
+            full = np.flatnonzero(n)
+            yield pa.record_batch([[block], [name], [[grams[i] for i in full.tolist()]], [n[full]]], names=["block", "class", "grams", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks_of(batches, "text", block_bytes):
-            coded = cut(table.column("text").to_pylist())
-            grams, inverse, sizes = grams_of(coded.strings, lead, order)
-            block = _key_of(table, coded)
-            yield pa.record_batch([[block], pa.array([None], pa.string()), [grams], pa.array([[]], pa.list_(pa.int64()))], names=["block", "class", "grams", "n"])
-            classes = table.column("class").to_pylist()
-            unit = np.repeat(np.arange(len(coded.n_parts)), coded.n_parts)
-            for name in sorted({c for c in classes if c is not None}):
-                mine = np.repeat(np.array([c == name for c in classes], bool), coded.lengths)
-                by_unit = np.bincount(coded.at[mine], minlength=len(coded.n_parts))
-                by_string = np.bincount(coded.parts, by_unit[unit], len(coded.strings))
-                n = np.bincount(inverse, np.repeat(by_string, sizes), len(grams)).astype(np.int64)
-                full = np.flatnonzero(n)
-                yield pa.record_batch([[block], [name], [[grams[i] for i in full.tolist()]], [n[full]]], names=["block", "class", "grams", "n"])
+        return each_block(batches, count_block, block_bytes)
 
     return rows.mapInArrow(count, "block long, class string, grams array<string>, n array<long>")
 
@@ -231,23 +236,25 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
     kept = [f for f in rows.schema.fields if f.name not in ("text", "class")]
     names = [f.name for f in kept]
 
+    def place_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        coded = cut(table.column("text").to_pylist())
+        used, at = by_frequency(coded.at, len(coded.n_parts))
+        parts = take_runs(coded.parts, starts_of(coded.n_parts)[:-1][used], coded.n_parts[used])
+        # strings in order of first use: then their numbers mostly count up
+        held, firsts = np.unique(parts, return_index=True)
+        order_ = held[np.argsort(firsts)]
+        number = np.zeros(len(coded.strings), np.uint32)
+        number[order_] = np.arange(len(order_), dtype=np.uint32)
+        parts = number[parts]
+        text = zstandard.ZstdCompressor(level=3).compress("".join([coded.strings[i] for i in order_.tolist()]).encode())
+        packed = [parts.astype(np.uint32), coded.n_parts[used].astype(np.uint32), at, coded.lengths.astype(np.int64)]
+        yield pa.record_batch(
+            [pa.array([_key_of(table, coded)], pa.int64()), pa.array([text], pa.binary()), *[pa.array([pack(x)], pa.binary()) for x in packed], *[pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in names]],
+            names=["block", "strings", "parts", "n_parts", "at", "lengths", *[f"c_{c}" for c in names]],
+        )
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks_of(batches, "text", block_bytes):
-            coded = cut(table.column("text").to_pylist())
-            used, at = by_frequency(coded.at, len(coded.n_parts))
-            parts = take_runs(coded.parts, starts_of(coded.n_parts)[:-1][used], coded.n_parts[used])
-            # strings in order of first use: then their numbers mostly count up
-            held, firsts = np.unique(parts, return_index=True)
-            order_ = held[np.argsort(firsts)]
-            number = np.zeros(len(coded.strings), np.uint32)
-            number[order_] = np.arange(len(order_), dtype=np.uint32)
-            parts = number[parts]
-            text = zstandard.ZstdCompressor(level=3).compress("".join([coded.strings[i] for i in order_.tolist()]).encode())
-            packed = [parts.astype(np.uint32), coded.n_parts[used].astype(np.uint32), at, coded.lengths.astype(np.int64)]
-            yield pa.record_batch(
-                [pa.array([_key_of(table, coded)], pa.int64()), pa.array([text], pa.binary()), *[pa.array([pack(x)], pa.binary()) for x in packed], *[pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in names]],
-                names=["block", "strings", "parts", "n_parts", "at", "lengths", *[f"c_{c}" for c in names]],
-            )
+        return each_block(batches, place_block, block_bytes)
 
     n_classes = len(classes)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, by_frequency, code_words, hash_ranges, pack, pack_sorted, starts_of, sums_of_runs, unpack, unpack_sorted
+from tablewise.llm.blocks import BLOCK_BYTES, by_frequency, code_words, each_block, hash_ranges, pack, pack_sorted, starts_of, sums_of_runs, unpack, unpack_sorted
 from tablewise.llm.shared import written
 
 #: Text bytes for each bucket of an order; a bucket is merged in one task.
@@ -104,26 +104,28 @@ PLACES = "block long, doc_id array<long>, held_out array<boolean>, words binary,
 def _asked(rows: DataFrame, order: int, n_buckets: int, block_bytes: int, counting: bool) -> DataFrame:
     """Distinct n-grams of each block by bucket, with their counts if ``counting``, else only asking for them."""
 
+    def ask_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sequence, starts = sequence_of(table)
+        block = _block_key(table, sequence, starts)
+        lengths = np.diff(starts)
+        learns = np.repeat(np.array(table.column("learns").to_pylist(), bool), lengths)
+        held = np.repeat(np.array(table.column("held").to_pylist(), bool), lengths)
+        for k, grams in enumerate(grams_of(sequence, starts, order), 1):
+            keys, at = np.unique(grams, return_inverse=True)
+            counts = np.bincount(at[learns] if counting else at[:0], minlength=len(keys)).astype(np.uint32)
+            held_counts = np.bincount(at[held] if counting else at[:0], minlength=len(keys)).astype(np.uint32)
+            cuts = hash_ranges(keys, n_buckets)
+            yield pa.record_batch(
+                [
+                    pa.array([block] * len(cuts), pa.int64()), pa.array([k] * len(cuts), pa.int32()), pa.array([c for c, _, _ in cuts], pa.int32()),
+                    pa.array([pack_sorted(keys[a:b]) for _, a, b in cuts], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in cuts], pa.binary()),
+                    pa.array([pack(held_counts[a:b]) for _, a, b in cuts], pa.binary()),
+                ],
+                names=["block", "grams", "bucket", "keys", "counts", "held_counts"],
+            )
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks_of(batches, "text", block_bytes):
-            sequence, starts = sequence_of(table)
-            block = _block_key(table, sequence, starts)
-            lengths = np.diff(starts)
-            learns = np.repeat(np.array(table.column("learns").to_pylist(), bool), lengths)
-            held = np.repeat(np.array(table.column("held").to_pylist(), bool), lengths)
-            for k, grams in enumerate(grams_of(sequence, starts, order), 1):
-                keys, at = np.unique(grams, return_inverse=True)
-                counts = np.bincount(at[learns] if counting else at[:0], minlength=len(keys)).astype(np.uint32)
-                held_counts = np.bincount(at[held] if counting else at[:0], minlength=len(keys)).astype(np.uint32)
-                cuts = hash_ranges(keys, n_buckets)
-                yield pa.record_batch(
-                    [
-                        pa.array([block] * len(cuts), pa.int64()), pa.array([k] * len(cuts), pa.int32()), pa.array([c for c, _, _ in cuts], pa.int32()),
-                        pa.array([pack_sorted(keys[a:b]) for _, a, b in cuts], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in cuts], pa.binary()),
-                        pa.array([pack(held_counts[a:b]) for _, a, b in cuts], pa.binary()),
-                    ],
-                    names=["block", "grams", "bucket", "keys", "counts", "held_counts"],
-                )
+        return each_block(batches, ask_block, block_bytes)
 
     return rows.mapInArrow(ask, ASKED)
 
@@ -153,19 +155,21 @@ def _summed(asked: pa.Table) -> pa.Table:
 def _placed(rows: DataFrame, block_bytes: int) -> DataFrame:
     """One row per block: its documents and the hashes of their words in order."""
 
+    def place_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sequence, starts = sequence_of(table)
+        words, codes = np.unique(sequence, return_inverse=True)
+        order, codes = by_frequency(codes, len(words))
+        packed = len(words).to_bytes(8, "little") + words[order].tobytes() + pack(codes)
+        yield pa.record_batch(
+            [
+                pa.array([_block_key(table, sequence, starts)], pa.int64()), pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                pa.array([table.column("held_out").to_pylist()], pa.list_(pa.bool_())), pa.array([packed], pa.binary()), pa.array([pack(starts)], pa.binary()),
+            ],
+            names=["block", "doc_id", "held_out", "words", "starts"],
+        )
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks_of(batches, "text", block_bytes):
-            sequence, starts = sequence_of(table)
-            words, codes = np.unique(sequence, return_inverse=True)
-            order, codes = by_frequency(codes, len(words))
-            packed = len(words).to_bytes(8, "little") + words[order].tobytes() + pack(codes)
-            yield pa.record_batch(
-                [
-                    pa.array([_block_key(table, sequence, starts)], pa.int64()), pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([table.column("held_out").to_pylist()], pa.list_(pa.bool_())), pa.array([packed], pa.binary()), pa.array([pack(starts)], pa.binary()),
-                ],
-                names=["block", "doc_id", "held_out", "words", "starts"],
-            )
+        return each_block(batches, place_block, block_bytes)
 
     return rows.mapInArrow(place, PLACES)
 
