@@ -1,16 +1,13 @@
-"""Operator 7: benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Operator 7: benchmark decontamination by unedited runs of words and exact edit distance.
 
-Method: the CGK random walk copies the word at its pointer to each output place
-and moves on by a random bit of (table, place, word), so texts at a small edit
-distance become strings at a small Hamming distance.  Every table samples a few
-output places.  A walk of n places sees at most n words, so one walk from each
-word of a document is the embedding of the windows of every item size that
-begin there, and an item is embedded from each of its words.  A window whose
-sampled places equal those of an item is a candidate, and the exact word edit
-distance between the item and the text around it decides.
+Method: an item of which at most ``k`` words may be edited is cut into ``k + 1``
+runs of words.  An edit touches one run at most, so each text within the limit
+holds at least one run as it stands: no pair is missed, whatever the length of
+the item and wherever the edits are.  Where a run of an item stands in a text,
+the exact word edit distance between the item and the text around it decides.
 
 Documents are only scanned: items travel to them in blocks of bounded size,
-every window meets every table, and nothing is shuffled but the hits.
+every word meets every run, and nothing is shuffled but the hits.
 """
 
 from __future__ import annotations
@@ -32,12 +29,10 @@ from tablewise.llm.blocks import BLOCK_BYTES, Codes, blocks_of, starts_of
 
 #: Largest share of an item's words that may be edited.
 MAX_EDITS = 0.2
-#: Tables, sampled places of each, and places walked.  In simulation on items of 15 to 56 words they found
-#: all with a tenth and 99 % of those with a fifth of the words edited (tests/llm measures recall again).
-TABLES, SAMPLED, WALK = 6, 10, 14
+#: Words of a run that are looked up, its first ones.
+RUN_WORDS = 8
 #: Bytes of item text in one pass over the documents.
 ITEM_BYTES = 8_000_000
-MASK = (1 << 64) - 1
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,50 +45,35 @@ def word_key(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def _bits(keys: np.ndarray, table: int) -> np.ndarray:
-    """The random bits of each word in one table: bit j tells whether the walk moves on at place j."""
-    x = keys ^ np.uint64((0x9E3779B97F4A7C15 * (table + 1)) & MASK)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def sampled_places(table: int, sampled: int = SAMPLED, walk: int = WALK) -> list[int]:
-    """Place 0 and others drawn without return, in order."""
-    draw = np.random.default_rng(1000 + table)
-    return [0, *sorted((draw.permutation(walk - 1)[: sampled - 1] + 1).tolist())]
-
-
 def _joined(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = (key ^ word) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(32))
 
 
-def tables_of(items: list[tuple], max_edits: float = MAX_EDITS, tables: int = TABLES, sampled: int = SAMPLED, walk: int = WALK) -> SimpleNamespace:
-    """The LSH tables of one block of items: for each table and number of sampled places, the keys of all
-    walks (``prefixes``, sorted) and the items and places of the walks that end there (``final``)."""
+def runs_of(n: int, limit: int) -> list[tuple[int, int]]:
+    """(from, to) of the ``limit + 1`` runs of nearly equal size that ``n`` words are cut into."""
+    cuts = [n * k // (limit + 1) for k in range(limit + 2)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def tables_of(items: list[tuple], max_edits: float = MAX_EDITS) -> SimpleNamespace:
+    """The runs of one block of items by number of words: the keys of their beginnings (``prefixes``, sorted)
+    and the items and places of the runs that end there (``final``)."""
+    if not 0 <= max_edits < 1:
+        raise ValueError("an item all of whose words may be edited has no run to look for")
     held = [(i, words) for i, words in ((i, words_of(t)) for i, t in items) if words]
-    places = [sampled_places(t, sampled, walk) for t in range(tables)]
-    prefixes, finals = [], []
-    for t in range(tables):
-        prefix, final = [set() for _ in places[t]], [{} for _ in places[t]]
-        for number, (_, words) in enumerate(held):
-            hashes = np.array([word_key(w) for w in words], np.uint64)
-            bits = _bits(hashes, t).tolist()
-            for anchor in range(max(1, len(words) - walk + 1)):
-                # near the end of a short item only the places are sampled that the walk reaches inside it
-                fit = [j for j in places[t] if j < len(words) - anchor]
-                at, j, key = anchor, 0, np.zeros(1, np.uint64)
-                for level, place in enumerate(fit):
-                    while j < place:
-                        at += bits[at] >> j & 1
-                        j += 1
-                    key = _joined(key, hashes[at : at + 1])
-                    prefix[level].add(int(key[0]))
-                final[len(fit) - 1].setdefault(int(key[0]), []).append((number, anchor))
-        prefixes.append([np.array(sorted(p), np.uint64) for p in prefix])
-        finals.append(final)
-    return SimpleNamespace(items=held, limits=[int(max_edits * len(words) + 1e-9) for _, words in held], places=places, vocabulary={w for _, words in held for w in words}, prefixes=prefixes, final=finals)
+    limits = [int(max_edits * len(words) + 1e-9) for _, words in held]
+    prefix, final, firsts = [set() for _ in range(RUN_WORDS)], [{} for _ in range(RUN_WORDS)], set()
+    for number, (_, words) in enumerate(held):
+        hashes = np.array([word_key(w) for w in words], np.uint64)
+        for a, b in runs_of(len(words), limits[number]):
+            b, key = min(b, a + RUN_WORDS), np.zeros(1, np.uint64)
+            firsts.add(words[a])
+            for level in range(b - a):
+                key = _joined(key, hashes[a + level : a + level + 1])
+                prefix[level].add(int(key[0]))
+            final[b - a - 1].setdefault(int(key[0]), []).append((number, a))
+    return SimpleNamespace(items=held, limits=limits, firsts=firsts, prefixes=[np.array(sorted(p), np.uint64) for p in prefix if p], final=final)
 
 
 def _filter(keys: np.ndarray, allowed: np.ndarray) -> np.ndarray:
@@ -152,7 +132,7 @@ def _nearest_end(item: list, text: list) -> tuple[int, int] | None:
     return best, distances.index(best)
 
 
-def _hits(table: pa.Table, items: SimpleNamespace, walk: int) -> list[tuple[int, int, int, int, int]]:
+def _hits(table: pa.Table, items: SimpleNamespace) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, from word, to word) of a block of documents."""
     codes, at, lengths = Codes(), array("I"), array("Q")
     for text in table.column("text").to_pylist():
@@ -167,31 +147,25 @@ def _hits(table: pa.Table, items: SimpleNamespace, walk: int) -> list[tuple[int,
     at_ = at_[has[at_]] if len(at_) else at_
     sizes = np.bincount(row_of, minlength=len(sizes)).astype(np.int64)
     starts = starts_of(sizes)
-    # each text is followed by so many empty places that no walk reaches the next
+    # each text is followed by so many empty places that no run reaches the next
     pad = len(words)
-    codes_ = np.full(len(at_) + walk * len(sizes) + walk, pad, np.int64)
-    codes_[np.arange(len(at_)) + row_of * walk] = at_
+    codes_ = np.full(len(at_) + RUN_WORDS * (len(sizes) + 1), pad, np.int64)
+    codes_[np.arange(len(at_)) + row_of * RUN_WORDS] = at_
     keys = np.append(np.fromiter(map(word_key, words), np.uint64, len(words)), np.uint64(0))
-    wanted = np.append(np.fromiter((w in items.vocabulary for w in words), bool, len(words)), False)
-    begin, begins = np.flatnonzero(wanted[codes_]), starts + np.arange(len(starts)) * walk
+    wanted = np.append(np.fromiter((w in items.firsts for w in words), bool, len(words)), False)
+    begin, begins = np.flatnonzero(wanted[codes_]), starts + np.arange(len(starts)) * RUN_WORDS
     candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for t, places in enumerate(items.places):
-        bits = _bits(keys, t)
-        bits[pad] = 0
-        pointer, origin, key, j = begin.copy(), begin, np.zeros(len(begin), np.uint64), 0
-        for level, place in enumerate(places):
-            while j < place:
-                pointer += ((bits[codes_[pointer]] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-                j += 1
-            key = _joined(key, keys[codes_[pointer]])
-            keep = _filter(key, items.prefixes[t][level])
-            pointer, origin, key = pointer[keep], origin[keep], key[keep]
-            final = items.final[t][level]
-            if final:
-                rows = np.searchsorted(begins, origin, "right") - 1
-                for row, first, found in zip(rows.tolist(), (origin - begins[rows]).tolist(), key.tolist()):
-                    for number, anchor in final.get(found, ()):
-                        candidates[row, number].add(first - anchor)
+    origin, key = begin, np.zeros(len(begin), np.uint64)
+    for level, prefixes in enumerate(items.prefixes):
+        key = _joined(key, keys[codes_[origin + level]])
+        keep = _filter(key, prefixes)
+        origin, key = origin[keep], key[keep]
+        final = items.final[level]
+        if final:
+            rows = np.searchsorted(begins, origin, "right") - 1
+            for row, first, found in zip(rows.tolist(), (origin - begins[rows]).tolist(), key.tolist()):
+                for number, anchor in final.get(found, ()):
+                    candidates[row, number].add(first - anchor)
     out = []
     hashes = [np.array([word_key(w) for w in item], np.uint64) for _, item in items.items]
     for (row, number), offsets in candidates.items():
@@ -218,7 +192,7 @@ def _hits(table: pa.Table, items: SimpleNamespace, walk: int) -> list[tuple[int,
     return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, tables: int = TABLES, sampled: int = SAMPLED, walk: int = WALK, item_bytes: int = ITEM_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, item_bytes: int = ITEM_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Which items whole documents hold: ``doc_id``, ``item_id``, ``edits``, ``first_word``, ``last_word``, ``item_words``.
 
     ``docs``: ``doc_id``, ``text``; ``items``: ``item_id``, ``text``.  One row
@@ -239,7 +213,7 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in blocks_of(batches, "text", block_bytes):
                 block = held.value
-                hits = _hits(table, block, walk)
+                hits = _hits(table, block)
                 ids = table.column("doc_id").to_pylist()
                 columns = [[ids[r] for r, *_ in hits], [block.items[n][0] for _, n, *_ in hits], [h[2] for h in hits], [h[3] for h in hits], [h[4] - 1 for h in hits], [len(block.items[n][1]) for _, n, *_ in hits]]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "edits", "first_word", "last_word", "item_words"])
@@ -250,7 +224,7 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     for number in range(n_passes):
         # about item_bytes of item text on the driver and in each task at a time
         part = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_passes)) == number).collect()
-        block = tables_of([(r["item_id"], r["text"]) for r in part], max_edits, tables, sampled, walk)
+        block = tables_of([(r["item_id"], r["text"]) for r in part], max_edits)
         found = scan(spark.sparkContext.broadcast(block))
         out = found if out is None else out.union(found)
     return out

@@ -366,6 +366,29 @@ def test_decontamination(spark, none):
     assert decontam.contaminated(none, table).count() == 0 and decontam.contaminated(_docs(spark, texts), table.where("false")).count() == 0
 
 
+def test_decontamination_at_the_limit(spark):
+    """Exactly int(0.2 n) edits, in the first words, the last ones or anywhere: every length is found whole."""
+    rng = random.Random(16)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items, texts, want = {}, [], set()
+    for n in (1, 4, 5, 9, 10, 12, 14, 15, 17, 20, 24, 30, 40, 56):
+        for draw in range(12):
+            item = rng.sample(vocabulary, n)
+            limit, copy = int(0.2 * n + 1e-9), list(item)
+            items[len(items)] = " ".join(item)
+            places = (range(limit), range(n - limit, n), rng.sample(range(n), limit))[draw % 3]
+            for k in sorted(places, reverse=True):
+                copy[k : k + 1] = rng.choice([["edited"]] * 3 + [[]] + [["edited", copy[k]]])
+            around = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 60))] for _ in range(2)]
+            texts.append(" ".join(around[0] + copy + around[1]))
+    for d, text in enumerate(texts):
+        words = text.split()
+        want |= {(d, i) for i, item in items.items() if _edits(item.split(), words) <= int(0.2 * len(item.split()) + 1e-9)}
+    table = spark.createDataFrame([(i, t, 1) for i, t in items.items()], "item_id long, text string, edits int")
+    rows = decontam.contaminated(_docs(spark, texts), table, block_bytes=5000).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and {(d, d) for d in range(len(texts))} <= want and len(rows) == len(want)
+
+
 # ------------------------------------------------------------------ 9
 def test_byte_bpe(spark, mixed, none):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
