@@ -273,6 +273,20 @@ def test_languages(spark):
         assert sum(got[i]["rejected"] for i in range(120)) <= 2
 
 
+def test_an_unlearned_language_is_rejected(spark):
+    """Five per cent of the rows are of a language nobody labelled, two more are labelled wrongly; all rows may be learned from."""
+    rng = random.Random(21)
+    other = "zxqvk qjwzx vkqpz wxjkq zzvqx kqjxv pqzwx jvkzq".split()
+    de = "der fluss und die alten steine liegen unter dem regen im stillen dorf am meer mit vielen vögeln".split()
+    kinds = [("junk", None) if i % 20 == 0 else ("junk", "en") if i % 50 == 1 else (WORDS, "en") if i % 2 else (de, "de") for i in range(800)]
+    texts = [" ".join("".join(rng.sample("zxqvkjwpy", 6)) for _ in range(40)) if w == "junk" and lang is None else " ".join(rng.choice(other if w == "junk" else w) for _ in range(rng.randint(20, 60))) for w, lang in kinds]
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(_docs(spark, texts, [lang for _, lang in kinds]), F.lit(True)).collect()}
+    unknown = [i for i, (w, lang) in enumerate(kinds) if w == "junk" and lang is None]
+    assert len(unknown) == 40 and all(got[i] for i in unknown)
+    clean = [i for i, (w, _) in enumerate(kinds) if w != "junk"]
+    assert sum(got[i] for i in clean) <= 0.005 * len(clean)
+
+
 def test_languages_without_learning(spark, none):
     assert langid.identify(none, F.lit(True)).count() == 0
     assert langid.identify(_docs(spark, ["text"]), F.lit(False)).first()["lang_pred"] == "und"
