@@ -303,6 +303,17 @@ def test_quality(spark, none):
     assert [r["keep"] for r in quality.classify(_docs(spark, ["some text", None]), labels.where("false")).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_quality_of_rare_languages(spark):
+    """A language with one or two held-back documents, or none, keeps its documents; labels beyond the fit set limits."""
+    texts = _texts(13, 400, 20, 60)
+    langs = ["en"] * 340 + ["xx"] * 40 + ["yy"] * 20
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(300), 340, 341, 342, 343, 344, 345]], "doc_id long, quality int, toxic int")
+    for most in (100_000, 120):
+        got = {r["doc_id"]: r for r in quality.classify(_docs(spark, texts, langs), labels, trusted_rows=most).collect()}
+        for part in (range(340), range(340, 380), range(380, 400)):
+            assert sum(not got[i]["keep"] for i in part) <= 0.1 * len(part)
+
+
 # ------------------------------------------------------------------ 5
 def _records(spark, rows):
     return spark.createDataFrame(rows, "file string, number long, offset long, data binary, node int, hash string")
