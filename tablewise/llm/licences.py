@@ -1,7 +1,7 @@
 """Operator 6: licence scan by sentence rules.
 
-Method: a text is cut into sentences, each normalised sentence that is known
-becomes its identifier, and the sequence of identifiers is matched against
+Method: a text is cut into sentences, each normalised sentence, and each run of
+whole lines in one, that is known becomes its identifier, and the sequence of identifiers is matched against
 ordered licence rules.  All of it is column expressions over one row: nothing
 is shuffled, and a document is whole in its row.
 """
@@ -76,18 +76,55 @@ def normalised(text: Column) -> Column:
 
 
 def sentences_of(text: Column) -> Column:
-    """(sentence number, text) in order: cut behind . ! ? with white space after it.
+    """(sentence number, text) in order: cut behind . ! ? with white space after it."""
+    cut = F.split(F.regexp_replace(text, r"([.!?])[ \t\n\r\f]+", "$1\u0001"), "\u0001")
+    return F.transform(cut, lambda s, number: F.struct(number.alias("at"), s.alias("s")))
+
+
+def _lines(s: Column) -> Column:
+    """The normalised lines that hold a word, each between two | signs; list marks such as 1) or (a) are left out."""
+    bare = F.transform(F.split(s, "\n"), lambda x: normalised(F.regexp_replace(x, r"^[\s*#/]*\(?[0-9A-Za-z]{1,2}\)\s+", "")))
+    return F.concat(F.lit("|"), F.array_join(F.filter(bare, lambda x: x != ""), "|"), F.lit("|"))
+
+
+def _places(lines: Column, sentence: Column) -> Column:
+    """Where the sentence stands in ``lines`` from the beginning of a line to the end of one, however it is wrapped."""
+    wrapped = F.concat(F.lit("(?=\\|"), F.replace(sentence, F.lit(" "), F.lit("[ |]")), F.lit("\\|)"))
+    # a mark before each place; the text before the nth mark tells the place
+    pieces = F.split(F.regexp_replace(lines, wrapped, F.lit("\u0001")), "\u0001")
+    lengths = F.transform(pieces, F.length)
+    ends = F.transform(lengths, lambda _, k: F.aggregate(F.slice(lengths, F.lit(1), k + 1), F.lit(0), lambda a, x: a + x))
+    return F.slice(ends, F.lit(1), F.size(ends) - 1)
+
+
+def identified(text: Column, sentences: list[str]) -> Column:
+    """(sentence number, place of the known sentence in the list from 1) in order of the text.
 
-    A line break inside a sentence is white space: the sentence is taken whole
-    and, behind it, line by line under the same number.
+    A line break inside a sentence is white space.  So that headings, copyright
+    lines, lists and comment marks around it do not hide a known sentence, it is
+    looked for in a sentence as a whole and behind that in every run of whole
+    lines, under the same number and in order of their beginnings.
     """
-    cut = F.split(F.regexp_replace(text, r"([.!?])[ \t\n\r\f]+", "$1\u0001"), "\u0001")
+    known = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(s).alias("s")) for k, s in enumerate(sentences, 1)])
+    plain, least = F.array(*[F.lit(s) for s in sentences]), min(map(len, sentences))
+    long_enough = F.filter(sentences_of(text), lambda x: F.length(x["s"]) >= least)
+    parts = F.transform(
+        long_enough,
+        lambda x: F.struct(x["at"].alias("at"), normalised(x["s"]).alias("s"), F.when(F.contains(x["s"], F.lit("\n")), _lines(x["s"])).alias("lines")),
+    )
+    parts = F.transform(parts, lambda x: F.struct(x["at"].alias("at"), x["s"].alias("s"), x["lines"].alias("lines"), F.replace(x["lines"], F.lit("|"), F.lit(" ")).alias("flat")))
 
-    def units(s: Column, number: Column) -> Column:
-        lines = F.when(F.contains(s, F.lit("\n")), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))
-        return F.transform(lines, lambda x: F.struct(number.alias("at"), x.alias("s")))
+    def whole(x: Column) -> Column:
+        return F.filter(F.array(F.struct(x["at"].alias("at"), F.array_position(plain, x["s"]).cast("int").alias("id"))), lambda y: y["id"] > 0)
 
-    return F.flatten(F.transform(cut, units))
+    def inside(x: Column) -> Column:
+        # the whole sentence over several lines is found already
+        near = F.filter(known, lambda k: F.contains(x["flat"], k["s"]) & (F.contains(x["lines"], F.concat(F.lit("|"), k["s"], F.lit("|"))) | (k["s"] != x["s"])))
+        found = F.flatten(F.transform(near, lambda k: F.transform(_places(x["lines"], k["s"]), lambda p: F.struct(p.alias("p"), k["id"].alias("id")))))
+        return F.transform(F.array_sort(found), lambda y: F.struct(x["at"].alias("at"), y["id"].alias("id")))
+
+    none = F.array().cast("array<struct<at:int,id:int>>")
+    return F.flatten(F.transform(parts, lambda x: F.concat(whole(x), F.when(x["lines"].isNotNull(), inside(x)).otherwise(none))))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, gap: int = GAP) -> DataFrame:
@@ -102,12 +139,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     sentences, rules = sentences or SENTENCES, rules or RULES
     names = list(sentences)
     # identifiers are places in the fixed lists, from 1
-    known, sizes = F.array(*[F.lit(sentences[n]) for n in names]), [len(s) for s in sentences.values()]
-    parts = F.transform(
-        F.filter(sentences_of(F.col("text")), lambda x: F.length(x["s"]) >= min(sizes)),
-        lambda x: F.struct(x["at"].alias("at"), normalised(x["s"]).alias("s")),
-    )
-    found = F.filter(F.transform(parts, lambda x: F.struct(x["at"].alias("at"), F.array_position(known, x["s"]).cast("int").alias("id"))), lambda x: x["id"] > 0)
+    found = identified(F.col("text"), list(sentences.values()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = rows.select("doc_id", found.alias("found")).where(F.size("found") > 0).select("doc_id", F.col("found.id").alias("ids"), F.col("found.at").alias("at"))
     matches = []

@@ -342,6 +342,83 @@ def test_licences(spark, none):
     assert licences.scan(none).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_FILE = """Copyright (c) 2020, A Writer
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3_END = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_FILE = """    A program that does things
+    Copyright (C) 2020  A Writer
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE_FILE = """   Copyright 2020 A Writer
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+
+
+def test_licence_files(spark):
+    """Unmodified files, with line marks of a comment or a list, and a notice wrapped twice in one sentence."""
+    comment = "".join(f" * {line}\n" for line in GPL_FILE.replace("version 3", "version 2").splitlines())
+    listed = BSD_FILE.replace("1. R", "(1) R").replace("2. R", "2) R")
+    texts = [MIT_FILE, BSD_FILE, BSD_FILE + BSD3_END, GPL_FILE, APACHE_FILE, comment, listed, "Head\n\nReleased under the\nMIT License\n\nmore\nReleased under\nthe MIT License\nend", MIT_FILE.replace("\n", "\r\n"), BSD_FILE.replace("1. ", "* ").replace("2. ", "* ")]
+    got = sorted((r["doc_id"], r["licence"], len(r["rule"])) for r in licences.scan(_docs(spark, texts)).collect())
+    assert got == [(0, "MIT", 3), (1, "BSD-2-Clause", 3), (2, "BSD-3-Clause", 4), (3, "GPL-3.0-or-later", 3), (4, "Apache-2.0", 4), (5, "GPL-2.0-or-later", 3), (6, "BSD-2-Clause", 3), (7, "MIT", 1), (7, "MIT", 1), (8, "MIT", 3), (9, "BSD-2-Clause", 3)]
+
+
 # ------------------------------------------------------------------ 7
 def _edits(a, b):
     """Smallest word edit distance of ``a`` to any part of ``b``."""
