@@ -21,31 +21,38 @@ from tablewise.session import read_table
 BLOCK_BYTES = 4_000_000
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``__key``, a hash of all their columns: rows that share a doc_id, or have none, keep apart."""
+    # nulls do not change xxhash64, so that they count by their places too
+    return docs.withColumn("__key", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+
+
 def _kept(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ``dropped``; rows that share a doc_id, or have none, stand or fall together."""
-    gone = dropped.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
+    """The rows whose key is not among the ``__key`` of ``dropped``; only equal rows stand or fall together."""
+    return _keyed(docs).join(dropped.select("__key").distinct(), "__key", "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    found = quality.classify(docs, read_table(spark, sf_dir, "labels"), block_bytes=BLOCK_BYTES)
+    found = quality.classify(_keyed(docs), read_table(spark, sf_dir, "labels"), block_bytes=BLOCK_BYTES, carried=("__key",))
     return _kept(docs, found.where("not keep"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence; learned from those with a lang."""
-    return _kept(docs, langid.identify(docs, F.lit(True), block_bytes=BLOCK_BYTES).where("rejected"))
+    found = langid.identify(_keyed(docs).withColumn("doc_id", F.col("__key")), F.lit(True), block_bytes=BLOCK_BYTES)
+    return _kept(docs, found.where("rejected").withColumnRenamed("doc_id", "__key"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(_keyed(docs), key="__key").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _kept(docs, decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")))
+    found = decontam.contaminated(_keyed(docs).withColumn("doc_id", F.col("__key")), read_table(spark, sf_dir, "benchmark"))
+    return _kept(docs, found.withColumnRenamed("doc_id", "__key"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

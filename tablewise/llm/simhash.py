@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import islice, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -157,21 +156,23 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     return prints.join(labels.select("fingerprint", component), "fingerprint").select("doc_id", hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with its smallest doc_id.
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, key: str | None = None) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component one row with its smallest doc_id.
 
-    Of rows that repeat this doc_id one stays.  Where no row of a component has
-    a doc_id, one of those with the component's smallest fingerprint stays.
+    Rows are told apart by ``key``, a long that differs where rows differ (by
+    default a hash of all columns), not by doc_id: different texts under one
+    doc_id, or without one, are different documents.  Rows without a doc_id
+    come behind those with one; of rows with the smallest doc_id that with the
+    smallest key stays, and of equal rows one.
     """
     names = docs.columns
-    _, labels = _labelled(docs, words, max_bits)
-    kept = labels.where("not label.no_id").select(F.col("label.doc_id").alias("__kept")).distinct()
-    with_id = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-
-    @F.pandas_udf("long")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.uint64(fingerprint_of(t, words)).astype(np.int64) for t in texts], dtype="int64")
-
-    alone = labels.where("label.no_id and label.fingerprint = fingerprint").select(F.col("fingerprint").alias("__print"))
-    without_id = docs.where("doc_id is null").withColumn("__print", fingerprint("text")).join(alone, "__print", "left_semi").dropDuplicates(["__print"])
-    return with_id.select(*names).union(without_id.select(*names))
+    row = F.col(key) if key else F.xxhash64(*names, *[F.col(c).isNull() for c in names])
+    rows = docs.withColumn("__row", row)
+    id_of = written(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("id")).distinct(), "rows")
+    prints = written(fingerprints(rows.withColumn("doc_id", F.col("__row")), words).withColumnRenamed("doc_id", "row"), "fingerprints")
+    label = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("doc_id"), F.col("row"))
+    # a row's text follows from its key, so that no two fingerprints share a label
+    classes = written(prints.distinct().join(id_of, "row").groupBy("fingerprint").agg(F.min(label).alias("label")), "classes")
+    edges = written(links(classes.select("fingerprint"), max_bits), "edges")
+    kept = components(classes.select(F.col("fingerprint").alias("node"), "label"), edges).select(F.col("label.row").alias("__row")).distinct()
+    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*names)

@@ -540,3 +540,21 @@ def test_pipeline(spark, none):
     empty = none.select(*docs.columns)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
+
+
+def test_clean_rows_stay_beside_rejected_ones(spark, monkeypatch):
+    """Rows that share a doc_id with a rejected or a different row, or have none, are judged by themselves."""
+    texts = _texts(31, 60, 20, 40)
+    item = " ".join(f"item{k}" for k in range(20))
+    rows = [(None if i % 2 else i // 4, t, "en", "s", len(t), "b", 1, "x") for i, t in enumerate(texts)]
+    bad = [(i, item, "en", "s", 1, "b", 1, "x") for i in (None, 0, 3)]
+    docs = spark.createDataFrame(rows + bad, DOCS)
+    table = spark.createDataFrame([(1, item, 1)], "item_id long, text string, edits int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(15)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "read_table", lambda spark, sf_dir, name: {"benchmark": table, "labels": labels}[name])
+    clean = sorted(texts)
+    assert sorted(r["text"] for r in corpus_pipeline.decontamination_stage(spark, docs, "").collect()) == clean
+    odd = docs.union(spark.createDataFrame([(i, "", "en", "s", 0, "b", 1, "x") for i in (None, 1)], DOCS))
+    kept = {r["text"] for r in corpus_pipeline.language_stage(spark, odd, "").collect()}
+    assert "" not in kept and len(kept & set(texts)) >= 55
+    assert sorted(r["text"] for r in corpus_pipeline.near_duplicate_stage(spark, docs.union(docs), "").collect()) == sorted([*texts, item])
