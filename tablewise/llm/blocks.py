@@ -20,12 +20,12 @@ import zstandard
 BLOCK_BYTES = 8_000_000
 
 
-def blocks_of(batches: Iterable[pa.RecordBatch], column: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Cut a stream of batches into tables of about ``block_bytes`` of the text column, in row order."""
+def blocks_of(batches: Iterable[pa.RecordBatch], column: str = "text", block_bytes: int = BLOCK_BYTES, row_bytes: int = 0) -> Iterator[pa.Table]:
+    """Cut a stream of batches into tables of about ``block_bytes`` of the text column, in row order; a row counts as ``row_bytes`` more."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + row_bytes
         ends, start = np.cumsum(lengths), 0
         while start < batch.num_rows:
             before = int(ends[start - 1]) if start else 0
@@ -41,9 +41,9 @@ def blocks_of(batches: Iterable[pa.RecordBatch], column: str = "text", block_byt
         yield pa.Table.from_batches(held)
 
 
-def each_block(batches: Iterable[pa.RecordBatch], work: Callable[[pa.Table], Iterator], block_bytes: int = BLOCK_BYTES) -> Iterator:
+def each_block(batches: Iterable[pa.RecordBatch], work: Callable[[pa.Table], Iterator], block_bytes: int = BLOCK_BYTES, row_bytes: int = 0) -> Iterator:
     """What ``work`` yields for each block; nothing of a block stays when the next one is read."""
-    for table in blocks_of(batches, "text", block_bytes):
+    for table in blocks_of(batches, "text", block_bytes, row_bytes):
         yield from work(table)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, decontam, fixity, interpolation, knn, langid, licences, quality, simhash, urls
+from tablewise.llm import alignment, bpe, decontam, fixity, interpolation, knn, langid, licences, periodic, quality, secretscan, simhash, urls
 from tablewise.session import read_table
 
 QUERIES = {}
@@ -165,6 +165,46 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: fixed formats and strings that a vocabulary encodes badly."""
+    return secretscan.digest(secretscan.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of the byte-level and the piece tokenizer on every document, scored by corpus-wide counts."""
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    return alignment.digest(alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; a tenth of the texts repeat a stretch of their words to the end.
+
+    Which and how is set by crc32(doc_id as text); a null doc_id counts as the empty text.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    chosen = F.when(F.col("__h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", h.alias("__h"), F.floor(h / 10).cast("long").alias("__g")).withColumn("__w", chosen)
+    n, g = F.size("__w").cast("long"), F.col("__g")
+    rows = rows.withColumn("__a", F.when(n > 0, g % n))  # null: the text stays
+    left = n - F.col("__a")
+    rows = rows.withColumn("__left", left).withColumn("__p", 1 + F.floor(left / (3 + g % 8)).cast("long"))
+    left, period = F.col("__left"), F.col("__p").cast("int")
+    stretch = F.slice("__w", (F.col("__a") + 1).cast("int"), period)
+    repeats = F.slice(F.flatten(F.array_repeat(stretch, F.ceil(left / period).cast("int"))), F.lit(1), left.cast("int"))
+    words = F.concat(F.slice("__w", F.lit(1), F.col("__a").cast("int")), repeats)
+    return rows.select("doc_id", F.when(F.col("__a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of them made periodic, and digests of the text without repeats."""
+    return periodic.digest(periodic.collapse_runs(with_planted_runs(read_table(spark, sf_dir, "documents"))))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to token ids."""

@@ -22,4 +22,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_query_names():
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
