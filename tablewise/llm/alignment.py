@@ -11,13 +11,14 @@ and the popcounts add up to the pair's document and link counts.  The counts go
 back to the postings, and the postings of a block, weighted by them, give its
 documents' scores.
 
-The index is written once in the shared folder; texts are read and encoded
-once.  A pair that every document holds has one posting a block, so no key
-holds more rows than there are blocks.
+The index is written once in the shared folder: a row for each block with its
+bitmaps, and a narrow row for each pair of a block with the popcounts.  Texts
+are read and encoded once.  A pair that every document holds has one narrow row
+a block, so no key holds more rows than there are blocks.
 
 Text is encoded by distinct segments of a block: a blank between two characters
-that are not white space begins a token in both tokenizers (:func:`cut`), so
-what lies between such blanks is encoded apart, and a token of each ends there.
+that are not white space begins a token in both tokenizers, so what lies
+between such blanks is encoded apart, and a token of each ends there.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +42,15 @@ from tablewise.llm.shared import written
 BLOCK_BYTES = 4_000_000
 #: What a row counts in a block besides its text.
 ROW_BYTES = 64
-#: Segments encoded in one call.
-SEGMENTS = 5_000
+#: Segments encoded as one string.
+SEGMENTS = 2_000
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
+_PLANE = "struct<pairs:binary,lengths:binary,docs:binary,full_pairs:binary,full:binary>"
 INDEX = (
-    "block long, a int, b int, n_docs long, n_links long, docs binary, planes array<binary>, "
-    "doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, links array<long>, "
+    "block long, a int, b int, n_docs long, n_links long, pairs binary, "
+    f"planes array<{_PLANE}>, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, links array<long>, "
     "segments binary, codes binary, lengths binary"
 )
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -77,8 +80,38 @@ class ByteLevel:
         for entry, number in vocabulary.items():
             self.bytes[number] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
 
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + s for s in segments], add_special_tokens=False)]
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, a blank before each segment, and the number of each segment.
+
+        Segments without white space at an end are joined by the blanks and
+        encoded as one string, cut again where their bytes end.
+        """
+        odd = np.fromiter((not s or s[0].isspace() or s[-1].isspace() for s in segments), bool, len(segments))
+        plain, alone = np.flatnonzero(~odd), np.flatnonzero(odd)
+        ids, lengths = [], []
+        for start in range(0, len(plain), 8 * SEGMENTS):
+            parts = [[segments[k] for k in plain[i : i + SEGMENTS]] for i in range(start, min(start + 8 * SEGMENTS, len(plain)), SEGMENTS)]
+            for part, own in zip(parts, self._ids([" " + " ".join(p) for p in parts])):
+                ends = np.cumsum([len(s.encode()) + 1 for s in part])
+                token_ends = np.cumsum(self.sizes[own])
+                last = np.searchsorted(token_ends, ends)
+                if not np.array_equal(token_ends[np.minimum(last, len(own) - 1)], ends):
+                    raise ValueError("a token goes on over the end of a segment")
+                ids.append(own)
+                lengths.append(np.diff(last, prepend=-1))
+        for start in range(0, len(alone), SEGMENTS):
+            found = self._ids([" " + segments[k] for k in alone[start : start + SEGMENTS]])
+            ids += found
+            lengths.append(np.array([len(x) for x in found], np.int64))
+        none = [np.zeros(0, np.int64)]
+        ids, lengths = np.concatenate(none + ids), np.concatenate(none + lengths)
+        place = np.argsort(np.concatenate([plain, alone]), kind="stable")
+        return take_runs(ids, starts_of(lengths)[:-1][place], lengths[place]), lengths[place]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:
@@ -95,43 +128,46 @@ class Pieces:
             bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)
         ]
 
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        return self.model.encode(segments, num_threads=1)
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
 
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of each segment."""
+        found = self.model.encode(segments, num_threads=1)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum())), lengths
 
-class Segments(Codes):
-    """Distinct segments of a block; those with white space at an end show that a text needs the careful cut."""
 
-    def __init__(self):
-        self.odd: set[int] = set()
+def cut_texts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct segments, their code at every place and the number of each text.
 
-    def __missing__(self, piece: str) -> int:
-        code = super().__missing__(piece)
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            self.odd.add(code)
-        return code
-
-    def cut(self, text: str) -> array:
-        """Codes of the segments: the text without the single blanks between characters that are not white space."""
-        out = array("I", map(self.__getitem__, text.split(" ")))
-        if self.odd and not self.odd.isdisjoint(out):
-            out = array("I", map(self.__getitem__, _SAFE.split(text)))
-        return out
-
-
-def _encoded(tokenizer, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids one after the other and the number of each segment."""
-    ids, lengths = array("I"), array("Q")
-    for k in range(0, len(segments), SEGMENTS):
-        for own in tokenizer.encode(segments[k : k + SEGMENTS]):
-            ids.extend(own)
-            lengths.append(len(own))
-    return np.frombuffer(ids, np.uint32).astype(np.int64) if ids else np.zeros(0, np.int64), np.array(lengths, np.int64)
+    Texts are split at blanks; those with white space at an end of a segment
+    are cut anew, only at single blanks between other characters.
+    """
+    known, codes, lengths = Codes(), array("I"), array("Q")
+    for text in texts:
+        own = text.split(" ") if text else ()
+        codes.extend(map(known.__getitem__, own))
+        lengths.append(len(own))
+    odd = np.fromiter((not s or s[0].isspace() or s[-1].isspace() for s in known), bool, len(known))
+    at, lengths = np.array(codes, np.uint32), np.array(lengths, np.int64)
+    starts = starts_of(lengths)
+    again = np.flatnonzero(sums_of_runs(odd[at].astype(np.int64), starts)) if odd.any() else []
+    if len(again):
+        parts, done = [], 0
+        for k in again.tolist():
+            own = np.array([known[s] for s in _SAFE.split(texts[k])], np.uint32)
+            parts += [at[done : starts[k]], own]
+            done, lengths[k] = starts[k + 1], len(own)
+        at = np.concatenate([*parts, at[done:]])
+    return list(known), at, lengths
 
 
 def _restores(tokenizer, ids: np.ndarray, lengths: np.ndarray, segments: list[bytes]) -> np.ndarray:
     """Whether the joined bytes of each segment's tokens are the segment."""
-    parts = [tokenizer.bytes[k] for k in ids.tolist()]
+    parts = list(map(tokenizer.bytes.__getitem__, ids.tolist()))
+    sizes = sums_of_runs(tokenizer.sizes[ids], starts_of(lengths))
+    if np.array_equal(sizes, [len(s) for s in segments]) and b"".join(parts) == b"".join(segments):
+        return np.ones(len(segments), bool)
     cuts = starts_of(lengths).tolist()
     return np.fromiter((b"".join(parts[a:b]) == s for a, b, s in zip(cuts, cuts[1:], segments)), bool, len(segments))
 
@@ -146,13 +182,13 @@ class Alignment:
 
     def __init__(self, first, second, segments: list[str]):
         raw = [b" " + s.encode() for s in segments]
-        ids, sizes = zip(*(_encoded(t, segments) for t in (first, second)))
+        ids, sizes = zip(*(t.encode(segments) for t in (first, second)))
         self.good = np.logical_and(*(_restores(t, i, n, raw) for t, i, n in zip((first, second), ids, sizes)))
         own = [np.repeat(np.arange(len(segments)), n) for n in sizes]
         kept = [self.good[s] for s in own]
         a, b = (i[k] for i, k in zip(ids, kept))
         seg_a, seg_b = (s[k] for s, k in zip(own, kept))
-        ends = [np.cumsum(np.array([len(x) for x in t.bytes], np.int64)[i]) for t, i in ((first, a), (second, b))]
+        ends = [np.cumsum(t.sizes[i]) for t, i in ((first, a), (second, b))]
         common = np.intersect1d(*ends, assume_unique=True)
         group_a, group_b = (np.searchsorted(common, e) for e in ends)
         seg_of_group = np.zeros(len(common), np.int64)
@@ -166,12 +202,16 @@ class Alignment:
 
     def _texts(self, a, b, in_a, in_b) -> list[str]:
         """``a1,a2|b1;...`` of each segment, empty where there is none."""
+        at_a, at_b = starts_of(in_a), starts_of(in_b)
+        groups = np.empty(len(in_a), object)
+        single = np.flatnonzero((in_a == 1) & (in_b == 1))
+        pairs, which = np.unique(a[at_a[single]] << 32 | b[at_b[single]], return_inverse=True)
+        groups[single] = np.array([f"{p >> 32}|{p & 0xFFFFFFFF}" for p in pairs.tolist()], object)[which]
+        other = np.flatnonzero((in_a > 1) | (in_b > 1))
         a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups, at_a, at_b = [], 0, 0
-        for n, m in zip(in_a.tolist(), in_b.tolist()):
-            groups.append((a[at_a] if n == 1 else ",".join(a[at_a : at_a + n])) + "|" + (b[at_b] if m == 1 else ",".join(b[at_b : at_b + m])))
-            at_a, at_b = at_a + n, at_b + m
-        cuts = starts_of(self.n_groups).tolist()
+        bounds = zip(at_a[other].tolist(), at_a[other + 1].tolist(), at_b[other].tolist(), at_b[other + 1].tolist())
+        groups[other] = [",".join(a[s:e]) + "|" + ",".join(b[f:g]) for s, e, f, g in bounds]
+        groups, cuts = groups.tolist(), starts_of(self.n_groups).tolist()
         return [";".join(groups[s:e]) for s, e in zip(cuts, cuts[1:])]
 
     def _link(self, a, group_a, b, group_b, seg_of_group, n_second: int) -> None:
@@ -189,28 +229,44 @@ class Alignment:
         self.cuts = np.searchsorted(seg_of_group[group][left], np.arange(len(self.good) + 1))
 
 
-def _bitmap(docs: np.ndarray, n: int) -> bytes:
-    """A set of documents of a block of ``n``, compressed: their numbers where few, else one bit each."""
-    kind = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
-    if len(docs) * kind.itemsize * 8 < n:
-        return b"\x00" + docs.astype(kind).tobytes()
-    bits = np.zeros(n, np.uint8)
-    bits[docs] = 1
-    return b"\x01" + np.packbits(bits, bitorder="little").tobytes()
-
-
-def _members(bitmap: bytes, n: int) -> np.ndarray:
-    """The documents of :func:`_bitmap`."""
-    if bitmap[0]:
-        return np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8, -1, 1), bitorder="little"))
-    return np.frombuffer(bitmap, "<u2" if n <= 1 << 16 else "<u4", -1, 1).astype(np.int64)
-
-
-def _postings(aligned: Alignment, at: np.ndarray, starts: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _number(n: int) -> np.dtype:
+    return np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
+
+
+def packed_bitmaps(pair: np.ndarray, doc: np.ndarray, n_pairs: int, n: int) -> dict[str, bytes]:
+    """A bitmap of the ``n`` documents of a block for each pair, compressed: document numbers where few, else one bit each."""
+    lengths = np.bincount(pair, minlength=n_pairs)
+    full = lengths * _number(n).itemsize * 8 >= n
+    few = np.flatnonzero((lengths > 0) & ~full)
+    some = np.flatnonzero((lengths > 0) & full)
+    bits = bytearray()
+    starts = starts_of(lengths)
+    for k in some.tolist():
+        row = np.zeros(n, np.uint8)
+        row[doc[starts[k] : starts[k + 1]]] = 1
+        bits += np.packbits(row, bitorder="little").tobytes()
+    return {
+        "pairs": pack(few.astype(np.uint32)), "lengths": pack(lengths[few].astype(np.uint32)), "docs": pack(doc[~full[pair]].astype(_number(n))),
+        "full_pairs": pack(some.astype(np.uint32)), "full": zstandard.ZstdCompressor(level=1).compress(bytes(bits)),
+    }
+
+
+def unpacked_bitmaps(bitmaps: dict[str, bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pairs, documents) of :func:`packed_bitmaps`: each pair of a document once."""
+    few, lengths = unpack(bitmaps["pairs"], np.uint32), unpack(bitmaps["lengths"], np.uint32)
+    yield np.repeat(few, lengths), unpack(bitmaps["docs"], _number(n)).astype(np.int64)
+    width = (n + 7) // 8
+    bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(bitmaps["full"]), np.uint8).reshape(-1, max(width, 1))
+    for pair, row in zip(unpack(bitmaps["full_pairs"], np.uint32), bits):
+        docs = np.flatnonzero(np.unpackbits(row, bitorder="little"))
+        yield np.full(len(docs), pair), docs
+
+
+def _postings(aligned: Alignment, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, document, links) of a block, sorted; ``at``: segment codes of the documents, cut by ``starts``."""
-    n_segments, n = len(aligned.good), len(starts) - 1
-    doc = np.repeat(np.arange(n), np.diff(starts))
-    uses, times = np.unique((doc * n_segments + at)[good[doc]], return_counts=True)
+    n_segments, n = max(len(aligned.good), 1), max(len(starts) - 1, 1)
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    uses, times = np.unique(doc * n_segments + at, return_counts=True)
     doc, segment = uses // n_segments, uses % n_segments
     length = np.diff(aligned.cuts)[segment]
     links = take_runs(np.arange(len(aligned.pair)), aligned.cuts[:-1][segment], length)
@@ -220,65 +276,54 @@ def _postings(aligned: Alignment, at: np.ndarray, starts: np.ndarray, good: np.n
     key, count = key[order], count[order]
     cut = np.flatnonzero(np.diff(key, prepend=-1))
     key, count = key[cut], np.add.reduceat(count, cut) if len(cut) else count
-    return key // max(n, 1), key % max(n, 1), count
+    return key // n, key % n, count
 
 
 def _index_of_block(table: pa.Table, block: int, first, second) -> Iterator[pa.RecordBatch]:
-    """One row for the documents of the block, then the postings of its pairs."""
-    known, codes, lengths = Segments(), array("I"), array("Q")
-    for text in table.column("text").to_pylist():
-        own = known.cut(text) if text else ()
-        codes.extend(own)
-        lengths.append(len(own))
-    segments = list(known)
-    used, at = by_frequency(np.array(codes, np.uint32), len(segments))
+    """One row for the documents of the block and their bitmaps, then a row for each of its pairs."""
+    segments, at, lengths = cut_texts(table.column("text").to_pylist())
+    used, at = by_frequency(at, len(segments))
     aligned = Alignment(first, second, [segments[k] for k in used.tolist()])
-    n, starts = len(lengths), starts_of(np.array(lengths, np.int64))
+    n, starts = len(lengths), starts_of(lengths)
     good = sums_of_runs((~aligned.good[at]).astype(np.int64), starts) == 0
     totals = [np.where(good, sums_of_runs(x[at], starts), 0).tolist() for x in (aligned.n_a, aligned.n_b, aligned.n_groups, aligned.n_links)]
-    lengths = np.where(good, np.diff(starts), 0)  # a text that is not restored has no groups
-    at = at[np.repeat(good, np.diff(starts))]
+    at = at[np.repeat(good, lengths)]  # a text that is not restored has no groups
+    lengths = np.where(good, lengths, 0)
+    pair, doc, count = _postings(aligned, at, starts_of(lengths))
+    present, pair = np.unique(pair, return_inverse=True)
+    extra = count - 1
+    chosen = [np.arange(len(pair)), *(np.flatnonzero(extra >> bit & 1) for bit in range(int(extra.max(initial=0)).bit_length()))]
+    planes = [packed_bitmaps(pair[k], doc[k], len(present), n) for k in chosen]
+    ids = aligned.pairs[present]
+    n_second = len(second.bytes)
     schema = pa.schema([
-        ("block", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("n_docs", pa.int64()), ("n_links", pa.int64()), ("docs", pa.binary()), ("planes", pa.list_(pa.binary())),
+        ("block", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("n_docs", pa.int64()), ("n_links", pa.int64()), ("pairs", pa.binary()),
+        ("planes", pa.list_(pa.struct([(c, pa.binary()) for c in ("pairs", "lengths", "docs", "full_pairs", "full")]))),
         *((c, pa.list_(pa.int64())) for c in ("doc_id", "n_a", "n_b", "n_groups", "links")), ("segments", pa.binary()), ("codes", pa.binary()), ("lengths", pa.binary()),
     ])
 
     def rows(size: int, **columns) -> pa.RecordBatch:
-        return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+        return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-    groups = zstandard.ZstdCompressor(level=3).compress("\n".join(aligned.texts).encode())
     yield rows(
-        1, block=pa.array([block], pa.int64()), doc_id=pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-        **{c: pa.array([x], pa.list_(pa.int64())) for c, x in zip(("n_a", "n_b", "n_groups", "links"), totals)},
-        segments=pa.array([groups], pa.binary()), codes=pa.array([pack(at.astype(np.uint32))], pa.binary()), lengths=pa.array([pack(lengths.astype(np.uint64))], pa.binary()),
+        1, block=[block], pairs=[pack(ids)], planes=[planes], doc_id=[table.column("doc_id").to_pylist()],
+        **{c: [x] for c, x in zip(("n_a", "n_b", "n_groups", "links"), totals)},
+        segments=[zstandard.ZstdCompressor(level=3).compress("\n".join(aligned.texts).encode())], codes=[pack(at.astype(np.uint32))], lengths=[pack(lengths.astype(np.uint64))],
     )
-    pair, doc, count = _postings(aligned, at, starts_of(lengths), np.ones(n, bool))
-    extra = count - 1
-    held = [(pair, doc)] + [(pair[k], doc[k]) for bit in range(int(extra.max(initial=0)).bit_length()) for k in [np.flatnonzero(extra >> bit & 1)]]
-    cuts = [np.searchsorted(p, np.arange(len(aligned.pairs) + 1)) for p, _ in held]
-    n_docs, n_links = np.diff(cuts[0]), sums_of_runs(count, cuts[0])
-    present = np.flatnonzero(n_docs)
-    n_second = len(second.bytes)
-    for k in range(0, len(present), 4096):
-        part = present[k : k + 4096]
-        planes = []
-        for p in part.tolist():
-            own = [(d, c[p], c[p + 1]) for (_, d), c in zip(held, cuts)]
-            last = max(i for i, (_, s, e) in enumerate(own) if e > s)
-            planes.append([_bitmap(d[s:e], n) for d, s, e in own[: last + 1]])
-        yield rows(
-            len(part), block=pa.array(np.full(len(part), block)), a=pa.array((aligned.pairs[part] // n_second).astype(np.int32)), b=pa.array((aligned.pairs[part] % n_second).astype(np.int32)),
-            n_docs=pa.array(n_docs[part], pa.int64()), n_links=pa.array(n_links[part], pa.int64()), docs=pa.array([x[0] for x in planes], pa.binary()), planes=pa.array([x[1:] for x in planes], pa.list_(pa.binary())),
-        )
+    n_docs, n_links = np.bincount(pair, minlength=len(present)), np.bincount(pair, count, len(present)).astype(np.int64)
+    for k in range(0, len(present), 10_000):
+        part = slice(k, k + 10_000)
+        own = ids[part]
+        yield rows(len(own), block=np.full(len(own), block), a=own // n_second, b=own % n_second, n_docs=n_docs[part], n_links=n_links[part])
 
 
 def inverted_index(docs: DataFrame, byte_file: str, piece_file: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The inverted index of linked pairs, written in the shared folder.
 
-    Rows with ``a`` are postings: ids ``a`` and ``b``, ``block``, the bitmap
-    ``docs`` of its documents that hold the pair, ``planes`` of their further
-    links, and the popcounts ``n_docs`` and ``n_links``.  Rows without ``a`` have
-    the documents of a block and their groups.
+    Rows without ``a`` have the documents of a block, their groups, its
+    ``pairs`` and ``planes``: the bitmaps of the documents that hold each pair
+    and those of their further links.  Rows with ``a`` have the ids ``a`` and
+    ``b`` of a pair of a block and the popcounts ``n_docs`` and ``n_links``.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
@@ -299,22 +344,21 @@ def pair_counts(index: DataFrame) -> DataFrame:
     return merged.withColumn("best", F.col("n_docs") == most)
 
 
-def _scored(block: pa.Table, scores: pa.Table) -> pa.Table:
-    """Scores of a block's documents from its postings, weighted by the pairs' counts."""
-    is_posting = np.asarray(block.column("a").is_valid())
-    texts = block.filter(pa.array(~is_posting)).to_pylist()[0]
+def _scored(block: pa.Table, scores: pa.Table, n_second: int) -> pa.Table:
+    """Scores of a block's documents from its bitmaps, weighted by the pairs' counts."""
+    texts = block.to_pylist()[0]
     n = len(texts["doc_id"])
-    postings = block.filter(pa.array(is_posting)).select(["a", "b", "docs", "planes"]).sort_by([("a", "ascending"), ("b", "ascending")])
-    scores = scores.sort_by([("first", "ascending"), ("second", "ascending")])
-    if not (postings.column("a").equals(scores.column("first")) and postings.column("b").equals(scores.column("second"))):
-        raise ValueError("postings and counts of a block have different pairs")
+    a, b, found, best = (scores.column(c).to_numpy() for c in ("first", "second", "n_docs", "best"))
+    order = np.lexsort((b, a))
+    if not np.array_equal(a[order].astype(np.int64) * n_second + b[order], unpack(texts["pairs"], np.int64)):
+        raise ValueError("bitmaps and counts of a block have different pairs")
+    found, best = found[order].astype(np.int64), best[order].astype(bool)
     n_best, count_sum = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for docs, planes, count, best in zip(*(c.to_pylist() for c in (postings.column("docs"), postings.column("planes"), scores.column("n_docs"), scores.column("best")))):
-        for plane, times in ((docs, 1), *((p, 1 << k) for k, p in enumerate(planes))):
-            own = _members(plane, n)  # distinct documents, so plain indexing adds each once
-            count_sum[own] += count * times
-            if best:
-                n_best[own] += times
+    for k, plane in enumerate(texts["planes"]):
+        times = 1 if k == 0 else 1 << (k - 1)
+        for pair, docs in unpacked_bitmaps(plane, n):
+            np.add.at(count_sum, docs, found[pair] * times)
+            np.add.at(n_best, docs, best[pair] * times)
     groups = zstandard.ZstdDecompressor().decompress(texts["segments"]).decode().split("\n")
     codes, cuts = unpack(texts["codes"], np.uint32), starts_of(unpack(texts["lengths"], np.uint64).astype(np.int64)).tolist()
     joined = [";".join(map(groups.__getitem__, codes[s:e].tolist())) for s, e in zip(cuts, cuts[1:])]
@@ -342,8 +386,13 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, block_bytes: int = B
     counts = pair_counts(index).select(F.col("a").alias("first"), F.col("b").alias("second"), "n_docs", "best")
     asked = index.where("a is not null").select(F.col("block").alias("of"), F.col("a").alias("first"), F.col("b").alias("second"))
     scores = asked.join(counts, ["first", "second"])
-    held = index.select("block", "a", "b", "docs", "planes", "doc_id", "n_a", "n_b", "n_groups", "links", "segments", "codes", "lengths")
-    return held.groupBy("block").cogroup(scores.groupBy("of")).applyInArrow(_scored, ALIGNED)
+    held = index.where("a is null").select("block", "pairs", "planes", "doc_id", "n_a", "n_b", "n_groups", "links", "segments", "codes", "lengths")
+    n_second = len(Pieces(piece_file).bytes)
+
+    def scored(block: pa.Table, own: pa.Table) -> pa.Table:
+        return _scored(block, own, n_second)
+
+    return held.groupBy("block").cogroup(scores.groupBy("of")).applyInArrow(scored, ALIGNED)
 
 
 def digest(aligned: DataFrame) -> DataFrame:

@@ -185,11 +185,25 @@ def test_index_holds_documents_and_links_of_pairs(spark):
     index = alignment.inverted_index(_docs(spark, ["one two", "one one one two", "two"]).coalesce(1), *paths)
     counts = alignment.pair_counts(index).collect()
     first, second = alignment.ByteLevel(paths[0]), alignment.Pieces(paths[1])
-    pair = (first.encode(["one"])[0][0], second.encode(["one"])[0][0])
+    pair = (int(first.encode(["one"])[0][0]), int(second.encode(["one"])[0][0]))
     assert [(r["n_docs"], r["n_links"], r["best"]) for r in counts if (r["a"], r["b"]) == pair] == [(2, 4, True)]
-    posting = [r for r in index.where("a is not null").collect() if (r["a"], r["b"]) == pair][0]
-    assert alignment._members(posting["docs"], 3).tolist() == [0, 1]
-    assert [alignment._members(p, 3).tolist() if p else [] for p in posting["planes"]][1] == [1]  # two links more than one
+    block = index.where("a is null").first()
+    place = alignment.unpack(block["pairs"], "int64").tolist().index(pair[0] * len(second.bytes) + pair[1])
+    held = [sorted(int(d) for p, docs in alignment.unpacked_bitmaps(plane.asDict(), 3) for q, d in zip(p, docs) if q == place) for plane in block["planes"]]
+    assert held == [[0, 1], [], [1]]  # the second has two links more than one
+
+
+@pytest.mark.parametrize("n", [1, 7, 1000, 70_000])
+def test_bitmaps_round_trip(n):
+    rng = random.Random(n)
+    docs = [sorted(rng.sample(range(n), min(n, k))) for k in (1, 3, 0, n // 2, n, n // 100)]
+    pair = alignment.np.array([p for p, own in enumerate(docs) for _ in own])
+    doc = alignment.np.array([d for own in docs for d in own])
+    back = [[], [], [], [], [], []]
+    for p, d in alignment.unpacked_bitmaps(alignment.packed_bitmaps(pair, doc, 6, n), n):
+        for q, x in zip(p.tolist(), d.tolist()):
+            back[q].append(x)
+    assert back == docs
 
 
 def test_alignment_query(spark):
@@ -231,7 +245,7 @@ def _plain_periodic(doc_id, text, planted=True):
 
 def _periodic_texts():
     rng = random.Random(9)
-    texts = [None, "", " \n\t", "one", "a " * 11, "a " * 12, "a b " * 6, "a b " * 5 + "a", "    x " * 7, "a " * 20_000, "a b c d e f " * 2 + "g"]
+    texts = [None, "", " \n\t", "one", "a " * 11, "a " * 12, "a b " * 6, "a b " * 5 + "a", "    x " * 7, "a " * 1_500, "a b c d e f " * 2 + "g"]
     for _ in range(150):
         some = [rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(1, 150))]
         start, period = rng.randrange(len(some)), rng.randint(1, 20)
