@@ -151,3 +151,10 @@ PREVIEW_ROWS = 50
 CATEGORY_DIMENSION_MAX_DISTINCT = 100
 DIMENSION_VALUE_MAX_CHARS = 255
 NAME_MAX_CHARS = 54
+
+# Legality of calculations (I8): what each needs; roles guessed from names where none is stored.
+MEASURE_CALCULATIONS = ["Total", "Moyenne", "Minimum", "Maximum"]
+ADDING_CALCULATIONS = ["Total", "Moyenne"]
+COUNTING_CALCULATIONS = ["Nombre", "Nombre unique"]
+DATE_ROLE_TOKENS = ["date", "start", "end", "joining", "created"]
+IDENTIFIER_ROLE_TOKENS = [" id", "_id", "code", "matricule", " ref"]

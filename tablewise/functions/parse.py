@@ -298,6 +298,24 @@ def round_clamp(c: ColumnOrName, lo: float = 0.0, hi: float = 100.0, digits: int
     return F.round(F.least(F.greatest(_col(c), F.lit(lo)), F.lit(hi)), digits)
 
 
+def plain_number(c: ColumnOrName) -> Column:
+    """Double as text without an exponent between 0.0001 and 10^16, the shortest digits that read back as it.
+
+    Outside: ``1e+16``, ``1.5e-07``.  ``1e8`` gives ``100000000.0``.
+    """
+    text = _col(c).cast("double").cast("string")
+    sign = F.regexp_extract(text, "^-", 0)
+    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0$|\.", "")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+    whole = F.concat(digits, F.repeat(F.lit("0"), power + 1 - F.length(digits)))
+    large = F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), F.coalesce(F.nullif(F.substring(whole, power + 2, F.lit(99)), F.lit("")), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    mantissa = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 99))).otherwise(F.lit("")))
+    scientific = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    value = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(scientific)
+    return F.when(text.contains("E"), F.concat(sign, value)).otherwise(text)
+
+
 def lenient_number(c: ColumnOrName) -> Column:
     """drop whitespace, first comma → dot, else 0 (chart values)."""
     t = F.regexp_replace(_col(c).cast("string"), r"(?U)\s", "")
@@ -306,37 +324,64 @@ def lenient_number(c: ColumnOrName) -> Column:
 
 
 # -------------------------------------------------------------------- F17
-def _group_thousands(int_text: Column, sep: str) -> Column:
-    # insert ``sep`` every three digits from the right
-    return F.regexp_replace(int_text, r"(\d)(?=(\d{3})+$)", "$1" + sep)
+#: French names of powers of a thousand in compact numbers, and signs of currencies; fixed values.
+COMPACT_UNITS = ["", "k", "M", "Md", "Bn"]
+CURRENCY_SIGNS = {"EUR": "€", "USD": "$", "GBP": "£"}
+_NARROW, _NO_BREAK = "\u202f", "\u00a0"
+
+
+def _decimal_text(v: Column, least: int, most: int) -> Column:
+    """French digits of a non-negative number: half-up, ``least`` to ``most`` decimals."""
+    rounded = F.format_number(F.round(v, most), most)  # "1,234.50"
+    whole = F.regexp_replace(F.split(rounded, r"\.").getItem(0), ",", _NARROW)
+    if most == 0:
+        return whole
+    frac = F.split(rounded, r"\.").getItem(1)
+    if least < most:
+        frac = F.regexp_replace(frac, "0{1,%d}$" % (most - least), "")
+    return F.when(frac == "", whole).otherwise(F.concat(whole, F.lit(","), frac))
+
 
+def _compact_text(v: Column) -> Column:
+    """``12,3 k``: at most one decimal; a number that rounds up to the next unit takes that unit."""
+    out = _decimal_text(v, 0, 1)
+    for k, unit in enumerate(COMPACT_UNITS[1:], 1):
+        scaled = v / 1000.0**k
+        out = F.when(F.round(v / 1000.0 ** (k - 1), 1) >= 1000, F.concat(_decimal_text(scaled, 0, 1), F.lit(_NO_BREAK + unit))).otherwise(out)
+    return out
 
-def format_display(c: ColumnOrName, kind: str = "number", decimals: int | None = None, currency: str = "EUR") -> Column:
-    """French-locale display text; ``—`` for null.
 
-    number → ``1 234,50``; currency → ``1 234,50 €``; percentage → ``12,5 %``
-    (value is a fraction, as in the browser formatter).  Thousands separator is
-    U+202F, decimal mark a comma.
+def format_display(c: ColumnOrName, kind: str = "number", decimals: int | None = None, currency: str = "EUR", compact: bool = False) -> Column:
+    """French-locale display text; ``—`` for null or empty.
+
+    number → ``1 234``; currency → ``1 234,50 €``; percentage → ``12,5 %``
+    (the value is a fraction); text → the value; date → ``31/12/2024``, or the
+    value where it is no date.  A value that is no number stays as it is.
+    ``compact`` shortens numbers from 10 000 on, and any amount (``12,3 k``,
+    ``1,2 M €``); there null or no number is the empty text.  Thousands are
+    parted by U+202F, the decimal mark is a comma.
     """
-    v = _col(c).cast("double")
+    raw = _col(c)
+    text = raw.cast("string")
+    empty = F.lit("") if compact else F.lit("—")
+    missing = raw.isNull() | (text == "")
+    if kind in ("text", "date"):
+        shown = text if kind == "text" else F.coalesce(F.date_format(parse_timestamp(text, clean=False), "dd/MM/yyyy"), text)
+        if not compact:
+            return F.when(missing, F.lit("—")).otherwise(shown)
+        kind = "number"
+    v = text.try_cast("double")
     if decimals is None:
-        decimals = {"number": 0, "currency": 2, "percentage": 1}.get(kind, 0)
-    if kind == "percentage":
-        v = v * 100
-    rounded = F.format_number(F.round(F.abs(v), decimals), decimals)  # "1,234.50", half-up
-    int_part = F.regexp_replace(F.split(rounded, r"\.").getItem(0), ",", "")
-    frac = F.split(rounded, r"\.").getItem(1)
-    body = _group_thousands(int_part, " ")
-    if decimals > 0:
-        body = F.concat(body, F.lit(","), frac)
-    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    text = F.concat(sign, body)
-    if kind == "currency":
-        symbol = {"EUR": "€", "USD": "$", "GBP": "£"}.get(currency, currency)
-        text = F.concat(text, F.lit(" " + symbol))
-    elif kind == "percentage":
-        text = F.concat(text, F.lit(" %"))
-    return F.when(v.isNull(), F.lit("—")).otherwise(text)
+        decimals = {"number": 0, "currency": 2, "percentage": 1}[kind]
+    size = F.abs(v * 100 if kind == "percentage" else v)
+    plain = _decimal_text(size, decimals, decimals)
+    if compact and kind == "currency":
+        plain = _compact_text(size)
+    elif compact and kind == "number":
+        plain = F.when(size >= 10_000, _compact_text(size)).otherwise(_decimal_text(size, 0, decimals))
+    unit = {"currency": _NO_BREAK + CURRENCY_SIGNS.get(currency, currency), "percentage": _NO_BREAK + "%"}.get(kind, "")
+    shown = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), plain, F.lit(unit))
+    return F.when(missing, empty).when(v.isNull(), empty if compact else text).otherwise(shown)
 
 
 # -------------------------------------------------------------------- F19

@@ -10,12 +10,13 @@ into one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def _day(c: str | Column) -> Column:
     return F.to_date(F.col(c) if isinstance(c, str) else c)
 
@@ -92,6 +93,68 @@ def usage_summary(df: DataFrame, owner: str, ts: str, today) -> DataFrame:
     )
 
 
+@dataclass
+class Catalog:
+    """A table of an admin summary: who owns a row, when it began, its key, and the table that refers to it."""
+
+    rows: DataFrame
+    owner: str | None = None
+    started: str | None = None
+    key: str | None = None
+    used_by: DataFrame | None = None
+    reference: str | None = None
+
+
+def admin_summary(catalogs: dict[str, Catalog], today) -> DataFrame:
+    """U1 over several tables: per table totals, top owner with share, period counts, peak day and usage rate.
+
+    All tables, and the references to them, are one tagged union; one
+    ``GROUPING SETS ((table, owner), (table, day), (table, reference))`` counts
+    them and one aggregate per table reads the counts.  An owner, day or
+    reference that holds a third of all rows is added up before the shuffle.
+    A table without owner, start or references has nulls there; usage counts
+    distinct non-null references against the table's rows.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    parts = []
+    for name, c in catalogs.items():
+        owner = F.col(c.owner).cast("string") if c.owner else null("string")
+        day = _day(c.started) if c.started else null("date")
+        parts.append(c.rows.select(F.lit(name).alias("table"), owner.alias("owner"), day.alias("day"), null("string").alias("ref"), F.lit(True).alias("own")))
+        if c.used_by is not None:
+            refs = c.used_by.where(F.col(c.reference).isNotNull())
+            parts.append(refs.select(F.lit(name).alias("table"), null("string").alias("owner"), null("date").alias("day"), F.col(c.reference).cast("string").alias("ref"), F.lit(False).alias("own")))
+    g = (
+        reduce(DataFrame.unionByName, parts)
+        .groupingSets([["table", "owner"], ["table", "day"], ["table", "ref"]], "table", "owner", "day", "ref")
+        .agg(F.count_if("own").alias("n"), F.grouping("owner").alias("g_owner"), F.grouping("day").alias("g_day"), F.grouping("ref").alias("g_ref"))
+    )
+    t, n = F.to_date(F.lit(str(today))), F.col("n")
+    by_owner, by_day, by_ref = ((F.col(f"g_{k}") == 0) & F.col(k).isNotNull() for k in ("owner", "day", "ref"))
+    first = lambda cond, c: F.min_by(F.when(cond, F.col(c)), F.when(cond & (n > 0), F.struct(-n, F.col(c))))
+    since = lambda cond: F.coalesce(F.sum(F.when(by_day & cond, n)), F.lit(0))
+    total = F.sum(F.when(F.col("g_owner") == 0, n))
+    used = F.count_if(by_ref)
+    owned, referred = ([k for k, c in catalogs.items() if c.owner], [k for k, c in catalogs.items() if c.used_by is not None])
+    out = g.groupBy("table").agg(
+        total.alias("total"),
+        first(by_owner, "owner").alias("top_owner"),
+        F.max(F.when(by_owner & (n > 0), n)).alias("top_owner_total"),
+        since(F.col("day") == t).alias("today"),
+        since(F.col("day") >= F.date_sub(t, 6)).alias("this_week"),
+        since(F.col("day") >= F.trunc(t, "month")).alias("this_month"),
+        F.date_format(first(by_day, "day"), "yyyy-MM-dd").alias("peak_day"),
+        used.alias("used"),
+    )
+    share = lambda part: F.when(F.col("total") > 0, F.round(part * 100.0 / F.col("total"), 1)).otherwise(F.lit(0.0))
+    has_owner, has_refs = F.col("table").isin(owned), F.col("table").isin(referred)
+    return out.select(
+        "table", "total", "top_owner", "top_owner_total", F.when(has_owner, share(F.coalesce("top_owner_total", F.lit(0)))).alias("top_owner_percentage"),
+        "today", "this_week", "this_month", "peak_day", F.when(has_refs, F.col("used")).alias("used"),
+        F.when(has_refs, F.greatest(F.col("total") - F.col("used"), F.lit(0))).alias("unused"), F.when(has_refs, share(F.col("used"))).alias("usage_percentage"),
+    )
+
+
 # ---------------------------------------------------------------- J2, J3, J4, J6
 def without_reference(left: DataFrame, key: str, right: DataFrame, ref: str) -> DataFrame:
     """Rows of ``left`` whose key is not referenced by ``right`` (anti join)."""

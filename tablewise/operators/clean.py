@@ -3,26 +3,27 @@
 ``clean_dataset`` is two-phase, because which columns become numbers or dates
 depends on the data:
 
-1. **Emptiness job** — one ``agg`` over the raw rows: columns with no non-blank
-   cell are dropped (before missing markers are normalised, so an all-"N/A"
-   column stays and is later flagged ``empty_column`` by the profile).
-2. Lazy plan: drop all-null rows, trim, normalise missing markers, exact
-   ``dropDuplicates`` (map-side combined: a row repeated a million times
-   shuffles once per task).
-3. **Stats job** — one ``agg`` over the de-duplicated rows: count, constant
+1. **De-duplication job** — the only pass over the raw rows: trim, normalise
+   missing markers, and group equal rows with their number (map-side combined:
+   a row repeated a million times shuffles once per task).  Each group keeps,
+   as bits, which raw cells were not blank: a column without any is empty
+   (before missing markers are normalised, so an all-"N/A" column stays and is
+   later flagged ``empty_column`` by the profile).  Rows without any value keep
+   the places of their blank cells, because whether such a row counts depends
+   on which columns are empty.  The grouped rows are checkpointed.
+2. **Stats job** — one ``agg`` over the checkpoint: row counts, constant
    test (``min = max``), looks-numeric share, locale-number parse share,
    date parse share for date-named columns (both day orders).
-4. Lazy final ``select`` that converts the chosen columns.
+3. Lazy final ``select`` that drops the empty columns and converts the chosen ones.
 
-By default (``materialize=True``) the de-duplicated rows are checkpointed
-into the shared checkpoint folder: the stats job and the final plan read them
-instead of repeating the de-duplication shuffle, and lineage is cut.
+With ``materialize=False`` nothing is kept and every job reads the rows again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,22 +51,22 @@ def _is_text(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, T.StringType)
 
 
+def _present(df: DataFrame, c: str) -> Column:
+    """A cell that is neither null nor blank."""
+    v = F.col(c)
+    if _is_text(df, c):
+        return v.isNotNull() & (P.utrim(v) != "")
+    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+        return v.isNotNull() & ~F.isnan(v)
+    return v.isNotNull()
+
+
 def empty_columns(df: DataFrame) -> list[str]:
     """Columns where every cell is null or blank (one aggregate job)."""
     if not df.columns:
         return []
-    exprs = []
-    for i, c in enumerate(df.columns):
-        v = F.col(c)
-        if _is_text(df, c):
-            present = v.isNotNull() & (P.utrim(v) != "")
-        elif isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-            present = v.isNotNull() & ~F.isnan(v)
-        else:
-            present = v.isNotNull()
-        exprs.append(F.max(present.cast("int")).alias(f"c{i}"))
-    row = df.agg(*exprs).collect()[0]
-    return [c for i, c in enumerate(df.columns) if not row[f"c{i}"]]
+    found = df.agg(*[F.max(_present(df, c).cast("int")) for c in df.columns]).first()
+    return [c for c, present in zip(df.columns, found) if not present]
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -73,18 +74,22 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all")
 
 
-def normalise(df: DataFrame) -> DataFrame:
-    """F1/F2 on every text column, NaN → null on floating columns."""
+def _normalised(df: DataFrame) -> list[tuple[str, Column]]:
     out = []
     for c in df.columns:
         dt = df.schema[c].dataType
         if isinstance(dt, T.StringType):
-            out.append(P.normalise_missing(c).alias(c))
+            out.append((c, P.normalise_missing(c)))
         elif isinstance(dt, (T.FloatType, T.DoubleType)):
-            out.append(P.nan_to_null(c).alias(c))
+            out.append((c, P.nan_to_null(c)))
         else:
-            out.append(F.col(c))
-    return df.select(*out)
+            out.append((c, F.col(c)))
+    return out
+
+
+def normalise(df: DataFrame) -> DataFrame:
+    """F1/F2 on every text column, NaN → null on floating columns."""
+    return df.select(*[c.alias(n) for n, c in _normalised(df)])
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -97,23 +102,49 @@ def _date_named(name: str) -> bool:
     return any(k in low for k in FV.CLEAN_DATE_KEYWORDS)
 
 
+#: Columns whose presence one number keeps.
+_MASK_BITS = 60
+
+
+def _grouped(df: DataFrame) -> DataFrame:
+    """Distinct normalised rows with their number ``__n``, and what their raw cells held.
+
+    ``__m0``, ``__m1`` …: a bit for each column where any of the raw rows has a
+    cell that is not blank.  ``__cells``, only of rows without any value: the
+    raw cells, 1 where neither null nor NaN.
+    """
+    floating = [c for c in df.columns if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))]
+    filled = [F.col(c).isNotNull() & ~F.isnan(c) if c in floating else F.col(c).isNotNull() for c in df.columns]
+    bits = [F.when(_present(df, c), F.lit(1 << i % _MASK_BITS)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(df.columns)]
+    masks = {f"__m{k}": reduce(lambda a, b: a + b, bits[k * _MASK_BITS : (k + 1) * _MASK_BITS]) for k in range((len(bits) + _MASK_BITS - 1) // _MASK_BITS)}
+    raw = df.withColumns({"__cells": F.concat(*[F.when(f, F.lit("1")).otherwise(F.lit("0")) for f in filled]), **masks})
+    bare = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in df.columns])
+    rows = raw.select(*[c.alias(n) for n, c in _normalised(df)], "__cells", *masks).withColumn("__cells", F.when(bare, F.col("__cells")))
+    return rows.groupBy(*df.columns, "__cells").agg(F.count(F.lit(1)).alias("__n"), *[F.bit_or(m).alias(m) for m in masks])
+
+
 def clean_dataset(df: DataFrame, materialize: bool = True) -> tuple[DataFrame, CleanReport]:
     """Drop empty axes → trim → nulls → de-duplicate → flag constants → numbers → dates."""
     report = CleanReport()
-    empties = empty_columns(df)
+    if not df.columns:
+        return df, report
+    grouped = checkpoint(_grouped(df)) if materialize else _grouped(df)
+    masks = grouped.agg(*[F.bit_or(c) for c in grouped.columns if c.startswith("__m")]).first()
+    empties = [c for i, c in enumerate(df.columns) if not (masks[i // _MASK_BITS] or 0) >> i % _MASK_BITS & 1]
     report.removed_empty_columns = empties
-    base = df.drop(*empties) if empties else df
-    rows = drop_empty_rows(base)
-    dedup = drop_duplicates(normalise(rows))
-    if materialize:
-        dedup = checkpoint(dedup)
-    cols = list(dedup.columns)
+    cols = [c for c in df.columns if c not in empties]
+    # a row without a value counts where it has a blank cell in a column that is not empty; all such rows are one row
+    held = [F.substring("__cells", i + 1, 1) == "1" for i, c in enumerate(df.columns) if c in cols]
+    counts = F.col("__cells").isNull() | reduce(lambda a, b: a | b, held, F.lit(False))
+    dedup = grouped.select(*cols, "__cells", "__n").where(counts)
     text_cols = [c for c in cols if _is_text(dedup, c)]
 
     # stage the stripped number text once per text column (read many times below)
-    staged = dedup.select(*[F.col(c) for c in cols], *[P.locale_number_text(F.col(c), clean=False).alias(f"__n{i}")
+    staged = dedup.select("*", *[P.locale_number_text(F.col(c), clean=False).alias(f"__n{i}")
                                                          for i, c in enumerate(cols) if c in text_cols])
-    exprs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
+    exprs: list[Column] = [
+        F.count_if(F.col("__cells").isNull()).alias("__rows"), F.coalesce(F.sum("__n"), F.lit(0)).alias("__rows_in"), F.max("__cells").alias("__bare"),
+    ]
     for i, c in enumerate(cols):
         v = F.col(c)
         exprs += [F.count(v).alias(f"nn{i}")]
@@ -132,8 +163,9 @@ def clean_dataset(df: DataFrame, materialize: bool = True) -> tuple[DataFrame, C
                     F.count(P.parse_timestamp(v, False, clean=False, strict=True)).alias(f"mdy{i}"),
                 ]
     stats = staged.agg(*exprs).collect()[0]
-    report.rows_in = rows.count()
-    report.rows_out = int(stats["__rows"])
+    bare = stats["__bare"]
+    report.rows_in = int(stats["__rows_in"])
+    report.rows_out = int(stats["__rows"]) + (bare is not None)
     report.duplicate_rows_removed = report.rows_in - report.rows_out
 
     projection = []
@@ -168,7 +200,8 @@ def clean_dataset(df: DataFrame, materialize: bool = True) -> tuple[DataFrame, C
         report.log.append("constant columns: " + ", ".join(report.constant_columns))
     for c, n in report.conversion_errors.items():
         report.log.append(f"{n} values not converted in '{c}'")
-    return dedup.select(*projection), report
+    kept = dedup.where(F.col("__cells").isNull() | (F.col("__cells") == bare)) if bare is not None else dedup
+    return kept.select(*projection), report
 
 
 def clean_plan(df: DataFrame, numeric: Sequence[str], dates: dict[str, bool] | Sequence[str], empties: Sequence[str] = ()) -> DataFrame:
@@ -281,7 +314,7 @@ def legacy_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct_count, null_count).  One stats job decides the types; distinct
     counts come from a single ``unpivot``/``groupBy`` job.
     """
-    from tablewise.operators.profile import value_counts  # local: avoid an import cycle
+    from tablewise.operators.profile import cell_counts  # local: avoid an import cycle
 
     d = drop_duplicates(normalise(df))
     cols = list(d.columns)
@@ -311,7 +344,7 @@ def legacy_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             kinds[c] = "Text"
     clean = d.select(*projection)
     limit = min(100, max(20, rows // 2))
-    distinct = value_counts(clean).groupBy("name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    distinct = cell_counts(clean).where("head is not null").groupBy("name").agg(F.count(F.lit(1)).alias("distinct_count"))
     nulls = clean.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)])
     spark = df.sparkSession
     kinds_df = spark.createDataFrame([(i, c, kinds[c]) for i, c in enumerate(cols)], "position int, name string, data_type string")

@@ -2,11 +2,9 @@
 
 Dimensions are the distinct values of category and date columns with a
 surrogate id in sorted value order; the fact table keeps measures and swaps
-each dimension column for its id.  Dimension sides are counted before they
-are broadcast (category dimensions are bounded by M5's ≤100 rule, date
-dimensions by the calendar); a dimension past the bound joins by shuffle.
-Ids for large sides come from ``sequential_id`` (range partitioning plus
-per-partition offsets), never from a window without a partition.
+each dimension column for its id.  Joins to dimensions carry no hint: Spark
+picks them by measured size.  Ids come from ``sequential_id`` (per-segment
+offsets), never from a window without a partition over rows.
 """
 
 from __future__ import annotations
@@ -14,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.functions import fixed_values as FV
 from tablewise.functions import names as N
 from tablewise.functions import parse as P
 from tablewise.session import checkpoint, sequential_id
+from tablewise.sources.tables import drop_table, table_exists
 
 
 @dataclass
@@ -60,7 +59,15 @@ def all_members(df: DataFrame, categories: Sequence[str], dates: Sequence[str])
     return checkpoint(g.select(dim.alias("__dim"), text.alias("__text"), date.alias("__date")))
 
 
-def category_dimension(df: DataFrame, column: str, members_all: DataFrame | None = None) -> tuple[DataFrame, int]:
+def member_counts(members: DataFrame | None) -> dict[str, int]:
+    """Rows of every dimension from one aggregate over :func:`all_members`."""
+    if members is None:
+        return {}
+    counted = members.where("__text is not null or __date is not null").groupBy("__dim").agg(F.count(F.lit(1)).alias("n"))
+    return {r["__dim"]: int(r["n"]) for r in counted.collect()}  # one row per dimension column
+
+
+def category_dimension(df: DataFrame, column: str, members_all: DataFrame | None = None) -> DataFrame:
     """M1: (id, value, source_value) — distinct non-null values as text, id in value order.
 
     ``value`` is cut to 255 characters for display; ``source_value`` keeps the
@@ -71,20 +78,16 @@ def category_dimension(df: DataFrame, column: str, members_all: DataFrame | None
             F.col("__text").alias("source_value"))
     else:
         members = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("source_value")).distinct()
-    n = members.count()
-    dim = _ids(members, "source_value").select("id", P.truncate_text("source_value").alias("value"), "source_value")
-    return dim, n
+    return _ids(members, "source_value").select("id", P.truncate_text("source_value").alias("value"), "source_value")
 
 
-def date_dimension(df: DataFrame, column: str, members_all: DataFrame | None = None) -> tuple[DataFrame, int]:
+def date_dimension(df: DataFrame, column: str, members_all: DataFrame | None = None) -> DataFrame:
     """M2: (id, value, year, month, day) — distinct dates, id in date order."""
     if members_all is not None:
         members = members_all.where((F.col("__dim") == column) & F.col("__date").isNotNull()).select(F.col("__date").alias("value"))
     else:
         members = df.where(F.col(column).isNotNull()).select(F.to_date(column).alias("value")).distinct()
-    n = members.count()
-    dim = _ids(members, "value").select("id", "value", *P.date_parts("value"))
-    return dim, n
+    return _ids(members, "value").select("id", "value", *P.date_parts("value"))
 
 
 def dimension_columns(prof: DataFrame, modern: bool = True) -> tuple[list[str], list[str], list[str]]:
@@ -129,37 +132,75 @@ def build_star(
     """
     star = Star(fact=clean, measures=list(measures))
     members = all_members(clean, categories, dates)
+    found = member_counts(members)
     base = sequential_id(clean.select(*dict.fromkeys([*order_by, *measures, *categories, *dates])), list(order_by), "source_row_id")
     fact = base
-    keys = []
-    for c in categories:
-        dim, n = category_dimension(clean, c, members)
-        star.dimensions[c], star.dimension_kinds[c], star.dimension_rows[c] = dim, "Category", n
-        fact = lookup(fact, dim, c, "source_value", f"{c}_id")
-        keys.append(f"{c}_id")
-    for c in dates:
-        dim, n = date_dimension(clean, c, members)
-        star.dimensions[c], star.dimension_kinds[c], star.dimension_rows[c] = dim, "Date", n
-        fact = lookup(fact, dim, c, "value", f"{c}_id")
-        keys.append(f"{c}_id")
+    for kind, columns, make, key in (("Category", categories, category_dimension, "source_value"), ("Date", dates, date_dimension, "value")):
+        for c in columns:
+            star.dimensions[c], star.dimension_kinds[c], star.dimension_rows[c] = make(clean, c, members), kind, found.get(c, 0)
+            fact = lookup(fact, star.dimensions[c], c, key, f"{c}_id")
+    keys = [f"{c}_id" for c in star.dimensions]
     star.fact = fact.select("source_row_id", *[F.col(m).cast("double").alias(m) for m in measures], *keys)
     return star
 
 
-def manifest(star: Star, dataset: str) -> DataFrame:
-    """M4: one row per table of the model with its kind, source column and row count."""
-    spark = star.fact.sparkSession
-    rows = [(N.table_name("fact", dataset), "Fact", None, None)]
-    for c, kind in star.dimension_kinds.items():
-        rows.append((N.dimension_table_name(c, dataset), kind, c, int(star.dimension_rows[c])))
-    return spark.createDataFrame(rows, "table string, kind string, source_column string, row_count long")
+MANIFEST = "dataset string, table string, kind string, source_column string, row_count long, columns array<string>, numeric_columns array<string>, date_columns array<string>, category_columns array<string>"
 
 
-def write_star(star: Star, base_path: str, dataset: str, mode: str = "overwrite") -> DataFrame:
-    """S11 for the model: every table as Parquet under ``base_path``; returns the manifest."""
-    star.fact.write.mode(mode).parquet(f"{base_path}/{N.table_name('fact', dataset)}")
+def model_tables(star: Star, dataset: str, raw: DataFrame | None = None, clean: DataFrame | None = None) -> dict[str, tuple[str, str | None, DataFrame]]:
+    """The tables of a model: name → (kind, source column, rows)."""
+    out: dict[str, tuple[str, str | None, DataFrame]] = {}
+    for kind, rows in (("Raw", raw), ("Clean", clean), ("Fact", star.fact)):
+        if rows is not None:
+            out[N.table_name(kind.lower(), dataset)] = (kind, None, rows)
     for c, dim in star.dimensions.items():
-        dim.write.mode(mode).parquet(f"{base_path}/{N.dimension_table_name(c, dataset)}")
-    m = manifest(star, dataset)
-    m.write.mode(mode).parquet(f"{base_path}/{N.table_name('model', dataset)}")
-    return m
+        out[N.dimension_table_name(c, dataset)] = (star.dimension_kinds[c], c, dim)
+    return out
+
+
+def write_star(star: Star, base_path: str, dataset: str, raw: DataFrame | None = None, clean: DataFrame | None = None, mode: str = "overwrite") -> DataFrame:
+    """Every table of the model as Parquet under ``base_path``; returns the manifest, written last.
+
+    The manifest has a row for each table — raw, clean, fact, dimensions — with
+    its row count and columns; the fact's row also names the measures, dates
+    and categories.  Counts are read from the footers of the written files, so
+    they hold for what is there, whatever a retried task wrote before.
+    """
+    spark = star.fact.sparkSession
+    kinds = {k: [c for c, kind in star.dimension_kinds.items() if kind == k] for k in ("Date", "Category")}
+    rows = []
+    for name, (kind, source, table) in model_tables(star, dataset, raw, clean).items():
+        path = f"{base_path}/{name}"
+        table.write.mode(mode).parquet(path)
+        typed = (star.measures, kinds["Date"], kinds["Category"]) if kind == "Fact" else (None, None, None)
+        rows.append((dataset, name, kind, source, spark.read.schema(table.schema).parquet(path).count(), table.columns, *typed))
+    found = spark.createDataFrame(rows, MANIFEST)
+    found.write.mode(mode).parquet(manifest_path(base_path, dataset))
+    return found
+
+
+def manifest_path(base_path: str, dataset: str) -> str:
+    return f"{base_path}/{N.table_name('model', dataset)}"
+
+
+def dataset_tables(spark: SparkSession, base_path: str, dataset: str) -> DataFrame:
+    """The tables that a dataset's manifest names, and whether each is there."""
+    path = manifest_path(base_path, dataset)
+    if not table_exists(spark, path):
+        return spark.createDataFrame([], "table string, kind string, present boolean")
+    named = spark.read.schema(MANIFEST).parquet(path).select("table", "kind").collect()  # one row per table of a dataset
+    rows = [(r["table"], r["kind"], table_exists(spark, f"{base_path}/{r['table']}")) for r in named]
+    return spark.createDataFrame(rows, "table string, kind string, present boolean")
+
+
+def drop_dataset(spark: SparkSession, base_path: str, dataset: str) -> DataFrame:
+    """Remove every table that a dataset's manifest names, then the manifest; returns what was there.
+
+    Only named tables go: others under the same path, or of datasets whose
+    names begin alike, stay.  A dataset without a manifest has no tables.
+    """
+    found = dataset_tables(spark, base_path, dataset)
+    for r in found.where("present").collect():
+        drop_table(spark, f"{base_path}/{r['table']}")
+    drop_table(spark, manifest_path(base_path, dataset))
+    return found

@@ -21,7 +21,6 @@ from tablewise.operators import profile as PR
 from tablewise.operators import quality as QL
 from tablewise.operators import warehouse as W
 from tablewise.session import checkpoint, shared_path
-from tablewise.sources import tables as ST
 
 
 @dataclass
@@ -79,13 +78,10 @@ def run_import(df: DataFrame, dataset: str, order_by: list[str], out_path: str |
         return f"score {result.quality['score']}"
 
     def do_tables():
-        renamed = state["renamed"]
-        ST.write_table(renamed, f"{base}/{N.table_name('clean', dataset)}")
-        clean = spark.read.parquet(f"{base}/{N.table_name('clean', dataset)}")
-        result.clean = clean
+        clean = result.clean = state["renamed"]
         cats, dates, measures = W.dimension_columns(result.profile)
         star = W.build_star(clean, cats, dates, measures, state["order"])
-        result.manifest = W.write_star(star, base, dataset)
+        result.manifest = W.write_star(star, base, dataset, raw=raw_names(df, state["originals"]), clean=clean)
         return f"{len(cats)} category and {len(dates)} date dimensions"
 
     for name, fn in [("clean", do_clean), ("rename", do_rename), ("profile", do_profile),
@@ -94,6 +90,12 @@ def run_import(df: DataFrame, dataset: str, order_by: list[str], out_path: str |
     return result
 
 
+def raw_names(df: DataFrame, originals: dict[str, str]) -> DataFrame:
+    """The raw rows under the names of the cleaned columns; columns that cleaning removed get readable names too."""
+    known = {old: new for new, old in originals.items()}
+    return df.toDF(*N.unique_names(known.get(c) or N.readable_names([c])[0] for c in df.columns))
+
+
 def run_log(spark, result: ImportResult) -> DataFrame:
     """The run's step records with durations (U4)."""
     return C.run_durations(spark.read.parquet(result.log_path))

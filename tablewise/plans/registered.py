@@ -726,7 +726,7 @@ def star_fact_orders(spark, sf):
     """,
 )
 def star_dim_orderdate(spark, sf):
-    return W.date_dimension(_t(spark, sf, "orders"), "o_orderdate")[0]
+    return W.date_dimension(_t(spark, sf, "orders"), "o_orderdate")
 
 
 @register(
@@ -737,21 +737,7 @@ def star_dim_orderdate(spark, sf):
     """,
 )
 def star_dim_part_type(spark, sf):
-    return W.category_dimension(_t(spark, sf, "part"), "p_type")[0]
-
-
-@register(
-    "star_manifest_orders",
-    """
-    WITH tok AS (SELECT 'orders_' || substr(sha1('orders'), 1, 10) AS t)
-    SELECT 'bi_fact_' || t AS "table", 'Fact' AS kind, CAST(NULL AS VARCHAR) AS source_column, CAST(NULL AS BIGINT) AS row_count FROM tok
-    UNION ALL SELECT 'bi_dim_o_orderpriority_' || t, 'Category', 'o_orderpriority', (SELECT count(DISTINCT o_orderpriority) FROM orders) FROM tok
-    UNION ALL SELECT 'bi_dim_o_orderstatus_' || t, 'Category', 'o_orderstatus', (SELECT count(DISTINCT o_orderstatus) FROM orders) FROM tok
-    UNION ALL SELECT 'bi_dim_o_orderdate_' || t, 'Date', 'o_orderdate', (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders) FROM tok
-    """,
-)
-def star_manifest_orders(spark, sf):
-    return W.manifest(_orders_star(spark, sf), "orders")
+    return W.category_dimension(_t(spark, sf, "part"), "p_type")
 
 
 # ======================================================================
@@ -1130,7 +1116,6 @@ def mapping_violations_customer(spark, sf):
 # ======================================================================
 # dashboards and audits
 # ======================================================================
-from tablewise.operators import audit as AU  # noqa: E402
 from tablewise.plans import dashboard as D  # noqa: E402
 
 _ORDERS_INTENT = {
@@ -1245,10 +1230,8 @@ def auto_charts_customer(spark, sf):
 
 @register("suggestions_orders")
 def suggestions_orders(spark, sf):
-    o = _t(spark, sf, "orders")
-    specs = D.suggestions(PR.profile(o, order_by=["o_orderkey"], most_frequent=False))
-    rows = [(s["kind"], s.get("category_field"), s.get("value_field"), s.get("secondary_value_field")) for s in specs]
-    return spark.createDataFrame(rows, "kind string, category_field string, value_field string, secondary_value_field string")
+    specs = D.suggestions(PR.profile(_t(spark, sf, "orders"), order_by=["o_orderkey"], most_frequent=False))
+    return specs.select("kind", "category_field", "value_field", "secondary_value_field")
 
 
 @register(
@@ -1258,53 +1241,7 @@ def suggestions_orders(spark, sf):
 def suggested_histogram_orders(spark, sf):
     o = _t(spark, sf, "orders")
     specs = D.suggestions(PR.profile(o, order_by=["o_orderkey"], most_frequent=False))
-    hist = next(s for s in specs if s["kind"] == "Histogram")
-    return D.run_suggestion(o, hist).drop("label")
-
-
-def _generated_spec_table(spark, sf, table: str, key: str):
-    """Widgets generated for every column of a table (KPI sum, bar by column), plus the W9 spec."""
-    df = _t(spark, sf, table)
-    prof = PR.profile(df, order_by=[key], most_frequent=False)
-    schema = PR.schema_from_profile(prof)
-    names = [r["name"] for r in prof.orderBy("position").select("name").collect()]
-    widgets = []
-    for i, c in enumerate(names):
-        widgets.append({"id": f"sum_{c}", "type": "kpi_card", "position": {"x": (i * 3) % 15, "y": i, "w": 3, "h": 2},
-                        "data": {"metric": c, "aggregation": "sum"}})
-        widgets.append({"id": f"Bar{i}" if i % 2 else f"sum_{c}", "type": "bar_chart", "position": {"x": 0, "y": i, "w": 6, "h": 4},
-                        "data": {"x": c, "y": names[0], "aggregation": "sum"}})
-        widgets.append({"id": f"pie_{c}", "type": "pie_chart", "position": {"x": 6, "y": i, "w": 6, "h": 4},
-                        "data": {"category": c, "value": names[0], "aggregation": "sum"}})
-    widgets.append({"id": "table", "type": "data_table", "position": {"x": 0, "y": 99, "w": 12, "h": 4},
-                    "data": {"columns": names + ["ghost_column"], "limit": 100}})
-    spec = D.spec_table(spark, {"widgets": widgets}, table)
-    generated = D.spec_table(spark, D.default_dashboard(schema, None, table), f"{table}_default")
-    return spec.unionByName(generated), prof
-
-
-@register("audit_unknown_columns")
-def audit_unknown_columns(spark, sf):
-    spec, prof = _generated_spec_table(spark, sf, "orders", "o_orderkey")
-    return AU.unknown_columns(spec, prof)
-
-
-@register("audit_type_rules")
-def audit_type_rules(spark, sf):
-    spec, prof = _generated_spec_table(spark, sf, "orders", "o_orderkey")
-    return AU.type_violations(spec, PR.modern_profile(prof))
-
-
-@register("audit_layout")
-def audit_layout(spark, sf):
-    spec, _ = _generated_spec_table(spark, sf, "orders", "o_orderkey")
-    return AU.layout_violations(spec)
-
-
-@register("audit_duplicate_analyses")
-def audit_duplicate_analyses(spark, sf):
-    spec, _ = _generated_spec_table(spark, sf, "orders", "o_orderkey")
-    return AU.duplicate_analyses(spec)
+    return D.run_suggestion(o, specs.where("kind = 'Histogram'").first()).drop("label")
 
 
 # ======================================================================
@@ -1429,8 +1366,7 @@ def workbook_roundtrip_customers(spark, sf):
     c = _t(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_nationkey", F.col("c_acctbal").cast("string").alias("c_acctbal"), "c_mktsegment"
     )
-    WBK.write_workbooks(c, path, title="Customer list", rows_per_file=500)
-    wide = WBK.read_workbooks(spark, path)
+    wide = WBK.read_workbooks(spark, WBK.write_workbooks(c, path, title="Customer list", rows_per_file=500))
     return wide.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
@@ -1589,23 +1525,6 @@ def import_run_log_customer(spark, sf):
     return IF.run_log(spark, result).select("step", "status", "message")
 
 
-@register(
-    "import_manifest_customer",
-    """
-    WITH tok AS (SELECT 'customers_' || substr(sha1('customers'), 1, 10) AS t)
-    SELECT 'bi_fact_' || t AS "table", 'Fact' AS kind, CAST(NULL AS VARCHAR) AS source_column, CAST(NULL AS BIGINT) AS row_count FROM tok
-    UNION ALL SELECT 'bi_dim_segment_' || t, 'Category', 'segment',
-                     (SELECT count(DISTINCT c_mktsegment) FILTER (WHERE c_custkey % 10 <> 0) FROM customer) FROM tok
-    UNION ALL SELECT 'bi_dim_start_date_' || t, 'Date', 'start_date',
-                     (SELECT count(DISTINCT c_custkey % 365) FILTER (WHERE c_custkey % 9 <> 0) FROM customer) FROM tok
-    """,
-)
-def import_manifest_customer(spark, sf):
-    """Entry 1: the model manifest written by the import (dimension sizes follow the data)."""
-    result = IF.run_import(_dirty_customers(spark, sf), "customers", ["Customer Name"])
-    return result.manifest
-
-
 def _suggestions_sql(profile_sql: str) -> str:
     """W8 rules over the SQL profile: safe measures, first date/category, donut, histogram, combined."""
     unsafe = " OR ".join(f"contains(txt, '{t}')" for t in FXV.UNSAFE_MEASURE_TOKENS)
@@ -1654,89 +1573,6 @@ ORACLE["mapping_violations_customer"] = f"""
 """.strip()
 
 
-# The generated widget table rebuilt in SQL from the schema (3 widgets per column + a table widget)
-# and the default dashboard (first numeric / categorical / date column of the SQL profile).
-_SPEC_SQL = f"""
-    cols AS (SELECT column_name AS c, CAST(ordinal_position - 1 AS INTEGER) AS i FROM information_schema.columns
-             WHERE table_name = 'orders'),
-    ncols AS (SELECT count(*) AS n FROM cols),
-    first_col AS (SELECT c FROM cols WHERE i = 0),
-    p AS ({_ORDERS_PROFILE_SQL}),
-    k AS (SELECT name, position,
-                 semantic_role = 'Measure' OR detected_type IN ('Number', 'Currency') AS is_numeric,
-                 semantic_role IN ('Date Dimension') OR detected_type = 'Date' AS is_date,
-                 semantic_role IN ('Dimension', 'Attribute', 'Identifier') OR detected_type IN ('Category', 'Text', 'Identifier', 'Boolean') AS is_categorical
-          FROM p WHERE semantic_role <> 'Ignored'),
-    m AS (SELECT (SELECT name FROM k WHERE is_numeric ORDER BY position LIMIT 1) AS metric,
-                 (SELECT name FROM k WHERE is_categorical ORDER BY position LIMIT 1) AS dim,
-                 (SELECT name FROM k WHERE is_date ORDER BY position LIMIT 1) AS dt),
-    spec AS (
-      SELECT 'orders' AS dashboard_id, 3 * i AS pos, 'sum_' || c AS id, 'kpi_card' AS type, (i * 3) % 15 AS x, 3 AS w,
-             c AS metric, NULL AS dim_x, NULL AS measure_y, NULL AS category, NULL AS value, 'sum' AS aggregation FROM cols
-      UNION ALL SELECT 'orders', 3 * i + 1, CASE WHEN i % 2 = 1 THEN 'Bar' || i ELSE 'sum_' || c END, 'bar_chart', 0, 6,
-             NULL, c, (SELECT c FROM first_col), NULL, NULL, 'sum' FROM cols
-      UNION ALL SELECT 'orders', 3 * i + 2, 'pie_' || c, 'pie_chart', 6, 6, NULL, NULL, NULL, c, (SELECT c FROM first_col), 'sum' FROM cols
-      UNION ALL SELECT 'orders', 3 * n, 'table', 'data_table', 0, 12, NULL, NULL, NULL, NULL, NULL, NULL FROM ncols
-      UNION ALL SELECT 'orders_default', 0, 'total_' || metric, 'kpi_card', 0, 3, metric, NULL, NULL, NULL, NULL, 'sum' FROM m
-      UNION ALL SELECT 'orders_default', 1, metric || '_by_' || dim, 'bar_chart', 0, 6, NULL, dim, metric, NULL, NULL, 'sum' FROM m
-      UNION ALL SELECT 'orders_default', 2, metric || '_trend', 'line_chart', 6, 6, NULL, dt, metric, NULL, NULL, 'sum' FROM m
-      UNION ALL SELECT 'orders_default', 3, metric || '_share_by_' || dim, 'pie_chart', 0, 4, NULL, NULL, NULL, dim, metric, 'sum' FROM m
-      UNION ALL SELECT 'orders_default', 4, 'details_table', 'data_table', 0, 12, NULL, NULL, NULL, NULL, NULL, NULL FROM m)
-"""
-
-ORACLE["audit_unknown_columns"] = """
-    WITH cols AS (SELECT column_name AS c, CAST(ordinal_position - 1 AS INTEGER) AS i FROM information_schema.columns
-                  WHERE table_name = 'orders'),
-         ncols AS (SELECT count(*) AS n FROM cols)
-    SELECT 'ghost_column' AS "column", 'orders' AS dashboard_id, 3 * n AS pos, 'table' AS id, 'data_table' AS type, 'columns' AS role
-    FROM ncols
-""".strip()
-
-ORACLE["audit_layout"] = f"""
-    WITH {_SPEC_SQL},
-    marked AS (SELECT *, count(*) OVER (PARTITION BY dashboard_id, id) AS dup,
-                         row_number() OVER (PARTITION BY dashboard_id, id ORDER BY pos) AS first FROM spec)
-    SELECT dashboard_id, pos, id, 'duplicate_id' AS problem FROM marked WHERE dup > 1 AND first > 1
-    UNION ALL SELECT dashboard_id, pos, id, 'id_not_snake_case' FROM spec WHERE NOT regexp_full_match(id, '[a-z][a-z0-9]*(?:_[a-z0-9]+)*')
-    UNION ALL SELECT dashboard_id, pos, id, 'grid_overflow' FROM spec WHERE x + w > 12
-""".strip()
-
-ORACLE["audit_duplicate_analyses"] = f"""
-    WITH {_SPEC_SQL},
-    s AS (SELECT *, CASE WHEN type = 'kpi_card' THEN 'kpi|main|' || metric || '|' || aggregation
-                         WHEN type IN ('bar_chart', 'pie_chart') THEN 'chart|main|' || coalesce(dim_x, category) || '|' || coalesce(measure_y, value) || '|' || aggregation
-                         WHEN type = 'line_chart' THEN 'chart|main|' || dim_x || '|' || measure_y || '|' || aggregation END AS signature,
-                 CASE type WHEN 'line_chart' THEN 4 WHEN 'bar_chart' THEN 3 WHEN 'kpi_card' THEN 3 WHEN 'pie_chart' THEN 1 ELSE 0 END AS prio
-          FROM spec),
-    d AS (SELECT *, count(*) OVER (PARTITION BY dashboard_id, signature) AS n,
-                    row_number() OVER (PARTITION BY dashboard_id, signature ORDER BY prio DESC, pos) AS best
-          FROM s WHERE signature IS NOT NULL)
-    SELECT dashboard_id, pos, id, type, signature, best = 1 AS keep FROM d WHERE n > 1
-""".strip()
-
-ORACLE["audit_type_rules"] = f"""
-    WITH {_SPEC_SQL},
-    refs AS (SELECT dashboard_id, pos, id, type, 'metric' AS role, metric AS "column", aggregation FROM spec WHERE type = 'kpi_card'
-             UNION ALL SELECT dashboard_id, pos, id, type, 'x', dim_x, aggregation FROM spec WHERE type IN ('bar_chart', 'line_chart')
-             UNION ALL SELECT dashboard_id, pos, id, type, 'y', measure_y, aggregation FROM spec WHERE type IN ('bar_chart', 'line_chart')
-             UNION ALL SELECT dashboard_id, pos, id, type, 'category', category, aggregation FROM spec WHERE type = 'pie_chart'
-             UNION ALL SELECT dashboard_id, pos, id, type, 'value', value, aggregation FROM spec WHERE type = 'pie_chart'),
-    j AS (SELECT refs.*, k2.is_numeric, k2.is_date, k2.is_categorical FROM refs JOIN (
-            SELECT name, semantic_role = 'Measure' OR detected_type IN ('Number', 'Currency') AS is_numeric,
-                   semantic_role = 'Date Dimension' OR detected_type = 'Date' AS is_date,
-                   semantic_role IN ('Dimension', 'Attribute', 'Identifier') OR detected_type IN ('Category', 'Text', 'Identifier', 'Boolean') AS is_categorical
-            FROM p) k2 ON k2.name = refs."column"),
-    v AS (SELECT *, CASE
-            WHEN type = 'kpi_card' AND role = 'metric' AND aggregation <> 'count' AND NOT is_numeric THEN 'metric_not_numeric'
-            WHEN type = 'bar_chart' AND role = 'x' AND NOT (is_categorical OR is_date) THEN 'x_not_categorical'
-            WHEN type = 'bar_chart' AND role = 'y' AND aggregation <> 'count' AND NOT is_numeric THEN 'y_not_numeric'
-            WHEN type = 'line_chart' AND role = 'x' AND NOT (is_date OR is_numeric) THEN 'x_not_ordered'
-            WHEN type = 'line_chart' AND role = 'y' AND NOT is_numeric THEN 'y_not_numeric'
-            WHEN type = 'pie_chart' AND role = 'category' AND NOT is_categorical THEN 'category_not_categorical'
-            WHEN type = 'pie_chart' AND role = 'value' AND NOT is_numeric THEN 'value_not_numeric' END AS problem FROM j)
-    SELECT dashboard_id, pos, id, type, role, "column", problem FROM v WHERE problem IS NOT NULL
-""".strip()
-
 # Entry 1 run log: every step message recomputed from the customer table (the dirty copy's
 # construction is known: n/a balances, N/A segments, unparsable start dates, every row twice).
 ORACLE["import_run_log_customer"] = """
@@ -1878,3 +1714,6 @@ def schema_flat_customer(spark, sf):
 def profile_flat_documents(spark, sf):
     """I1–I5 on whole document texts (long_text, exact copies in the top values), arrays joined as text."""
     return _flat_profile(PR.profile(_t(spark, sf, "documents"), order_by=["doc_id"]))
+
+
+from tablewise.plans import registered_model, registered_specs  # noqa: E402,F401

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = [
@@ -64,31 +65,43 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def sequential_id(df: DataFrame, order_cols: list[str], name: str = "id", start: int = 1) -> DataFrame:
-    """Dense 1..n id in ``order_cols`` order without a single-task window.
+def row_order(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name``, a struct that orders rows as their files hold them.
 
-    Range-partition and sort, checkpoint (so the order survives recomputation),
-    count rows per partition, turn counts into offsets (one row per partition),
-    and add the in-partition position derived from ``monotonically_increasing_id``.
+    Rows that still come from files are known by file path and row index, so
+    the order does not depend on how splits are packed into tasks.  Other rows
+    (after a shuffle, or made by the driver) are ordered by partition and place.
     """
-    spark = df.sparkSession
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_df = (
-        df.repartitionByRange(n_parts, *order_cols)
-        .sortWithinPartitions(*order_cols)
-        .withColumn("__pid", F.spark_partition_id())
-        .withColumn("__mid", F.monotonically_increasing_id())
-    )
-    sorted_df = checkpoint(sorted_df)
-    counts = sorted_df.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
-    # one row per partition: a bounded window over partition ids
-    from pyspark.sql import Window
-
-    offsets = counts.withColumn(
-        "__offset", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("__pid", "__offset", "__first")
-    out = sorted_df.join(F.broadcast(offsets), "__pid").withColumn(
-        name, (F.col("__offset") + F.col("__mid") - F.col("__first") + F.lit(start)).cast("long")
-    )
-    return out.drop("__pid", "__mid", "__offset", "__first")
+    try:
+        file = df.metadataColumn("_metadata")
+        return df.select("*", F.struct(file["file_path"].alias("file"), file["row_index"].alias("row")).alias(name))
+    except AnalysisException:
+        return df.select("*", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")).alias(name))
+
 
+def ranged(df: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Rows sorted over all partitions; rows that share a key keep file order and are dealt to several partitions."""
+    keys = [*order_cols, "__row"]
+    return row_order(df, "__row").repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def sequential_id(df: DataFrame, order_cols: list[str], name: str = "id", start: int = 1) -> DataFrame:
+    """Dense 1..n id in ``order_cols`` order (ties, and no columns at all: file order) without a single-task window.
+
+    With ``order_cols`` the rows are range-partitioned on them and the row's
+    place, so that a key which a third of the rows share is split like any
+    other.  Without, nothing is shuffled: the rows of a file in a partition are
+    a segment.  Either way the rows are checkpointed with their partition and
+    place, and every segment gets the number of rows before it as its offset:
+    one row per partition and file.
+    """
+    rows = ranged(df, order_cols) if order_cols else row_order(df, "__row")
+    file = F.lit("") if order_cols else F.col("__row.file")
+    rows = rows.withColumns({"__file": file, "__at": F.col("__row.row"), "__pid": F.spark_partition_id(), "__mid": F.monotonically_increasing_id()}).drop("__row")
+    rows = checkpoint(rows)
+    segments = rows.groupBy("__pid", "__file").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"), F.min("__at").alias("__low"))
+    order = ["__pid"] if order_cols else ["__file", "__low", "__pid"]
+    before = F.sum("__n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = segments.select("__pid", "__file", "__first", F.coalesce(before, F.lit(0)).alias("__offset"))
+    out = rows.join(offsets, ["__pid", "__file"]).withColumn(name, (F.col("__offset") + F.col("__mid") - F.col("__first") + F.lit(start)).cast("long"))
+    return out.select(*df.columns, name)

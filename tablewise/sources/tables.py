@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,20 @@ def check_row_limit(df: DataFrame, max_rows: int | None) -> None:
         raise ValueError("table has no usable column")
 
 
+def guard_report(tables: dict[str, DataFrame], max_rows: int | None = None, min_columns: int = 1) -> DataFrame:
+    """S6 as rows: (table, n_columns, too_many_rows, too_few_columns, accepted) for every table offered.
+
+    Of each table at most ``max_rows + 1`` rows are looked at.
+    """
+    parts = []
+    for name, df in tables.items():
+        seen = df.select(F.lit(1).alias("x")).limit(max_rows + 1) if max_rows is not None else df.select(F.lit(1).alias("x")).limit(0)
+        many = F.count("x") > F.lit(max_rows if max_rows is not None else 0)
+        parts.append(seen.agg(many.alias("too_many_rows")).select(F.lit(name).alias("table"), F.lit(len(df.columns)).alias("n_columns"), "too_many_rows"))
+    rows = reduce(DataFrame.unionByName, parts).withColumn("too_few_columns", F.col("n_columns") < min_columns)
+    return rows.withColumn("accepted", ~(F.col("too_many_rows") | F.col("too_few_columns")))
+
+
 def preview(df: DataFrame, order_by: Sequence[str], limit: int = FV.PREVIEW_ROWS) -> DataFrame:
     """First ``limit`` rows in a declared order, NaN → null."""
     cols = [P.nan_to_null(c).alias(c) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c) for c in df.columns]

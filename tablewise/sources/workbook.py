@@ -135,12 +135,19 @@ def _cells_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=cols)
 
 
-def read_cells(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Long cells of every ``.xlsx`` under ``path`` (one task per file).
+def workbook_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of every ``.xlsx`` file under ``path``."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
-    ``max_bytes`` is the optional S6 size guard: a larger file refuses the import.
+
+def read_cells(spark: SparkSession, source: str | DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Long cells of every workbook (one task per file).
+
+    ``source`` is a folder of ``.xlsx`` files, or rows with ``path`` and
+    ``content`` (a table of workbooks).  ``max_bytes`` is the optional S6 size
+    guard: a larger file refuses the import.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
+    files = workbook_files(spark, source) if isinstance(source, str) else source.select("path", F.octet_length("content").alias("length"), "content")
     if max_bytes:
         large = files.where(F.col("length") > max_bytes).select("path", "length").orderBy("path").limit(20).collect()
         if large:
@@ -201,7 +208,7 @@ def to_table(cells: DataFrame, header_row: int, path: str | None = None, sheet_n
     return wide.select("row_no", *[F.col(str(i)).alias(n) for i, n in zip(col_ids, names)]).orderBy("row_no")
 
 
-def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None) -> DataFrame:
+def read_workbook(spark: SparkSession, path: str | DataFrame, sheet: str | None = None, header_row: int | None = None) -> DataFrame:
     """S1–S5 for one file: best (or given) sheet, detected (or given, 1-based) header, table."""
     cells = read_cells(spark, path)
     files = [r["path"] for r in cells.select("path").distinct().limit(2).collect()]
@@ -221,8 +228,8 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, head
     return to_table(cells, header, sheet_no=sheet_no).drop("row_no")
 
 
-def write_xlsx(path: str, sheets: dict[str, list[list]]) -> None:
-    """Minimal ``.xlsx`` writer (inline strings and numbers) used by tests and fixtures."""
+def write_xlsx(path: str | io.BytesIO, sheets: dict[str, list[list]]) -> None:
+    """Minimal ``.xlsx`` writer (inline strings and numbers)."""
     def cell_ref(r: int, c: int) -> str:
         letters = ""
         c += 1
@@ -274,8 +281,8 @@ def _unique_in_file(heads: pd.DataFrame) -> pd.DataFrame:
     return heads.assign(name=N.unique_names(heads["name"]))[["path", "sheet_no", "col_no", "name"]]
 
 
-def read_workbooks(spark: SparkSession, path: str, scan_rows: int = 50, max_scan: int = 25) -> DataFrame:
-    """S1–S5 for a directory: every file's best sheet, its detected header, one table.
+def read_workbooks(spark: SparkSession, path: str | DataFrame, scan_rows: int = 50, max_scan: int = 25) -> DataFrame:
+    """S1–S5 for a directory (or a table of workbooks): every file's best sheet, its detected header, one table.
 
     Per file the header row's cells name the columns; rows below it become
     records (``path``, ``row_no`` plus one string column per distinct header
@@ -300,48 +307,39 @@ def read_workbooks(spark: SparkSession, path: str, scan_rows: int = 50, max_scan
     return wide
 
 
-def write_workbooks(df: DataFrame, path: str, sheet: str = "Data", title: str | None = None,
-                    rows_per_file: int = 50_000) -> None:
-    """Write ``df`` as ``.xlsx`` files under ``path`` (header row + values), at most ``rows_per_file`` rows each.
-
-    Each task writes its own partition, starting a new workbook every
-    ``rows_per_file`` rows, so the file count grows with the data and no task
-    holds more than one workbook's rows.
+def to_workbooks(df: DataFrame, sheet: str = "Data", title: str | None = None, rows_per_file: int = 50_000) -> DataFrame:
+    """``df`` as rows (path, rows, content), each a workbook with a header row and at most ``rows_per_file`` records.
 
-    An optional title row and a blank row go above the header, and a small
-    notes sheet comes first, as hand-made workbooks often have.
+    Each task fills its own workbooks one after the other, so their number
+    grows with the data and no task holds more than one.  An optional title row
+    and a blank row go above the header, and a small notes sheet comes first,
+    as hand-made workbooks often have.  Write the result as a table in any
+    store that Spark writes to; :func:`read_cells` takes such a table.
     """
-    import os
-    import uuid
-
-    # Python workers write with the OS file API: the folder must be a mounted
-    # (shared) path, so a ``file:`` scheme is dropped.
-    path = path[len("file:"):] if path.startswith("file:") else path
     cols = list(df.columns)
 
-    def flush(rows, part: int, chunk: int):
-        # a retried task rewrites the same names (no duplicate files), and a
-        # file appears only complete (written aside, then renamed)
-        os.makedirs(path, exist_ok=True)
-        target = os.path.join(path, f"part-{part:05d}-{chunk:05d}.xlsx")
-        tmp = os.path.join(path, f".{uuid.uuid4().hex}.tmp")
+    def packed(rows: list, part: int, chunk: int) -> pd.DataFrame:
         head = ([[title], [None]] if title else []) + [cols]
-        write_xlsx(tmp, {"Notes": [["generated"]], sheet: head + rows})
-        os.replace(tmp, target)
-        return pd.DataFrame({"file": [target], "rows": [len(rows)]})
+        write_xlsx(content := io.BytesIO(), {"Notes": [["generated"]], sheet: head + rows})
+        return pd.DataFrame({"path": [f"part-{part:05d}-{chunk:05d}.xlsx"], "rows": [len(rows)], "content": [content.getvalue()]})
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        rows: list = []
-        chunk = 0
+        part, rows, chunk = TaskContext.get().partitionId(), [], 0
         for pdf in batches:
             rows.extend(pdf.astype(object).where(pd.notnull(pdf), None).values.tolist())
             while len(rows) >= rows_per_file:
-                yield flush(rows[:rows_per_file], part, chunk)
+                yield packed(rows[:rows_per_file], part, chunk)
                 rows, chunk = rows[rows_per_file:], chunk + 1
         if rows:
-            yield flush(rows, part, chunk)
+            yield packed(rows, part, chunk)
+
+    return df.mapInPandas(pack, "path string, rows long, content binary")
+
 
-    df.mapInPandas(write, "file string, rows long").collect()
+def write_workbooks(df: DataFrame, path: str, **options) -> DataFrame:
+    """:func:`to_workbooks` written as a Parquet table at ``path`` and read back."""
+    made = to_workbooks(df, **options)
+    made.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)

@@ -18,13 +18,47 @@ def test_run_log_durations(spark):
     assert rows["extract"]["duration_s"] == 5 and rows["clean"]["status"] == "Failed"
 
 
-def test_aggregate_legality():
-    assert PR.aggregate_allowed("Measure", "Number", "Total") is None
-    assert PR.aggregate_allowed("Dimension", "Category", "Total") == "not_a_measure"
-    assert PR.aggregate_allowed("Identifier", "Identifier", "Nombre unique") is None
-    assert PR.legacy_role("hire_date", "Hire date", False, False, False) == "Date Dimension"
-    assert PR.legacy_role("client_id", "Client", False, True, False) == "Identifier"
-    assert PR.legacy_role("amount", "Amount", False, True, False) == "Measure"
+def test_aggregate_legality(spark):
+    rows = [(i, n, r, t) for i, (n, r, t) in enumerate([("m", "Measure", "Number"), ("c", "Dimension", "Category"), ("k", "Identifier", "Identifier"), ("d", "Measure", "Date"), ("x", None, "Text")])]
+    prof = spark.createDataFrame(rows, "position int, name string, semantic_role string, detected_type string")
+    found = {(r["name"], r["calculation"]): r["reason"] for r in PR.legal_calculations(prof).collect()}
+    assert len(found) == 30 and found[("m", "Total")] is None and found[("c", "Total")] == "not_a_measure"
+    assert found[("k", "Nombre unique")] is None and found[("k", "Maximum")] == "not_a_measure"
+    assert found[("d", "Moyenne")] == "date_not_summable" and found[("d", "Minimum")] is None
+    assert found[("x", "Total")] == "not_a_measure" and found[("x", "Nombre")] is None
+
+
+def test_guessed_roles(spark):
+    rows = [("hire_date", "Hire date", False, False, False), ("client_id", "Client", False, True, False), ("amount", "Amount", False, True, False),
+            ("kind", "Kind", False, False, True), ("day", "Day", True, False, False), ("note", None, False, False, False)]
+    df = spark.createDataFrame(rows, "name string, label string, d boolean, n boolean, c boolean")
+    role = PR.guessed_role(*[F.col(c) for c in df.columns])
+    assert [r[0] for r in df.select(role).collect()] == ["Date Dimension", "Identifier", "Measure", "Dimension", "Date Dimension", "Attribute"]
+
+
+def test_mappings_do_not_mix(spark):
+    prof = spark.createDataFrame([("Amount", "amount", "Number"), ("Town", "town", "Category")], "original_name string, name string, detected_type string")
+    columns = "mapping_id string, original_name string, normalized_name string, detected_type string, semantic_role string, aggregation string, include boolean"
+    good = [(m, "Amount", "amount", None, "Measure", "sum", True) for m in ("a", "b")]
+    assert PR.mapping_violations(PR.complete_mapping(spark.createDataFrame(good, columns), prof), prof).count() == 0
+    assert PR.complete_mapping(spark.createDataFrame(good, columns), prof).count() == 4
+    bad = [("c", "Amount", "amount", None, None, "sum", True), ("c", "Amount", "amount", "Number", "Identifier", "sum", True), ("d", None, None, None, "Measure", "mode", True)]
+    found = sorted(map(tuple, PR.mapping_violations(spark.createDataFrame(good + bad, columns), prof).collect()), key=repr)
+    assert found == sorted([
+        ("c", "amount", "duplicate_column"), ("c", "amount", "duplicate_column"), ("c", "amount", "invalid_role"), ("c", "amount", "identifier_summed"),
+        ("d", None, "unknown_column"), ("d", None, "invalid_type"), ("d", None, "invalid_aggregation"), ("d", None, "measure_not_numeric"),
+    ], key=repr)
+
+
+def test_admin_summary_of_tables(spark):
+    jobs = spark.createDataFrame([("u1", "2024-01-05", 1), ("u2", "2024-01-04", 2), ("u2", "2023-12-01", 3), (None, None, 4)], "owner string, at string, id int").withColumn("at", F.col("at").cast("date"))
+    refs = spark.createDataFrame([(1,), (1,), (None,), (9,)], "job int")
+    found = {r["table"]: r.asDict() for r in C.admin_summary({"jobs": C.Catalog(jobs, "owner", "at", "id", refs, "job"), "refs": C.Catalog(refs)}, "2024-01-05").collect()}
+    jobs_row = found["jobs"]
+    assert (jobs_row["total"], jobs_row["top_owner"], jobs_row["top_owner_total"], jobs_row["top_owner_percentage"]) == (4, "u2", 2, 50.0)
+    assert (jobs_row["today"], jobs_row["this_week"], jobs_row["this_month"], jobs_row["peak_day"]) == (1, 2, 2, "2023-12-01")
+    assert (jobs_row["used"], jobs_row["unused"], jobs_row["usage_percentage"]) == (2, 2, 50.0)
+    assert found["refs"]["total"] == 4 and found["refs"]["top_owner"] is None and found["refs"]["used"] is None
 
 
 def test_safe_measures_and_dimension_rule(spark):

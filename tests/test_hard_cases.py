@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tablewise.functions import parse as P
 from tablewise.operators import catalog, clean, query
+from tablewise.operators import audit
+from tablewise.operators import profile as PR
 from tablewise.operators.profile import column_stats
+from tablewise.plans import dashboard
 from tablewise.plans.dashboard import run_dashboard
 from tablewise.session import shared_path
 from tablewise.sources import tables, workbook
@@ -109,3 +112,75 @@ def test_every_widget_has_a_row(spark):
     assert full[("l", "p")] == 1.0 and full[("l", "q")] == 2.0 and full[("a", "value")] == 3.0
     empty = {r["widget_id"]: r["value"] for r in run_dashboard(df.where(F.lit(False)), spec)[0].collect()}
     assert empty["a"] == 0.0 and empty["b"] == 0.0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profile_shuffles_no_whole_text(spark):
+    long = ["x" * 200 + str(i % 3) for i in range(9)] + ["x" * 64, "x" * 65, "é" * 70, None, "short"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "id long, t string")
+    counts = PR.cell_counts(df, ["t"], readings=True)
+    assert "value" not in counts.columns and max(len(r["head"]) for r in counts.where("head is not null").collect()) == PR.HEAD
+    below = _plan(counts).split("Exchange")[0]
+    assert "groupBy" not in below and "value" not in "".join(line for line in _plan(counts).splitlines() if "Exchange" in line)
+    top = [(r["value"], r["count"]) for r in PR.top_values(df, ["t"], 4).orderBy("rank").collect()]
+    assert top == [("x" * 200 + d, 3) for d in "012"] + [("short", 1)]
+    first = {r["name"]: r["firsts"] for r in PR.first_values(df, ["id", "t"], 11, ["id"]).collect()}
+    assert first["t"] == [t for t in long if t is not None][:11] and first["id"] == [str(i) for i in range(11)]
+    prof = {r["name"]: r for r in PR.profile(df, order_by=["id"]).collect()}
+    assert prof["t"]["sample_values"] == long[:5] and prof["t"]["null_count"] == 1 and prof["t"]["unique_count"] == 7
+
+
+def test_first_values_of_a_sparse_column(spark):
+    df = spark.createDataFrame([(i, "v%d" % i if i % 50 == 49 else None) for i in range(1000)], "id long, s string")
+    found = {r["name"]: r["firsts"] for r in PR.first_values(df, ["id", "s"], 5, ["id"]).collect()}
+    assert found == {"id": list("01234"), "s": ["v49", "v99", "v149", "v199", "v249"]}
+
+
+def test_cleaning_reads_its_input_once(spark, monkeypatch):
+    path = shared_path(spark, "raw")
+    rows = [("a", "1", None, ""), ("a", "1", None, ""), (" ", "", None, ""), (None, None, None, ""), (None, None, None, None), ("n/a", None, None, " "), ("b", "2", None, None)]
+    spark.createDataFrame(rows, "s string, n string, e string, blank string").write.parquet(path)
+    plans, kept = [], clean.checkpoint
+    monkeypatch.setattr(clean, "checkpoint", lambda df: plans.append(_plan(df)) or kept(df))
+    for materialize in (True, False):
+        out, report = clean.clean_dataset(spark.read.parquet(path), materialize)
+        got = sorted((tuple(r) for r in out.collect()), key=repr)
+        assert got == [("a", 1.0), ("b", 2.0), (None, None)] and out.columns == ["s", "n"], materialize
+        # two rows hold nothing in the columns that stay; the blank and the "n/a" row are one
+        assert (report.rows_in, report.rows_out, report.duplicate_rows_removed) == (5, 3, 2)
+        assert report.removed_empty_columns == ["e", "blank"]
+    assert len(plans) == 1 and plans[0].count("FileScan") == 1
+    none, report = clean.clean_dataset(spark.read.parquet(path).where(F.lit(False)))
+    assert none.count() == 0 and report.rows_in == 0
+
+
+def test_line_charts_over_text_dates_read_the_table_once(spark, monkeypatch):
+    path = shared_path(spark, "text-dates")
+    rows = [("01/02/2024", "2024-02-01", "p", 1.0), ("25/02/2024", "2024-02-25", "q", 2.0), ("03/03/2024", "2024-03-03", "p", None), (None, "soon", None, 4.0)]
+    spark.createDataFrame(rows, "d string, i string, s string, v double").write.parquet(path)
+    plans = []
+    kept = dashboard.checkpoint
+    monkeypatch.setattr(dashboard, "checkpoint", lambda df: plans.append(_plan(df)) or kept(df))
+    line = lambda x, agg: {"id": x, "type": "line_chart", "data": {"x": x, "y": "v", "aggregation": agg}}
+    spec = {"widgets": [line("d", "avg"), line("i", "sum"), line("s", "count"), {"id": "top", "type": "bar_chart", "data": {"x": "s", "y": "v", "aggregation": "sum"}}]}
+    long = run_dashboard(spark.read.parquet(path), spec)[0]
+    got = {(r["widget_id"], r["label"]): (r["value"], r["rank"]) for r in long.collect()}
+    assert got[("d", "2024-02")] == (1.5, 1) and ("d", "2024-03") not in got
+    assert got[("i", "2024-02")] == (3.0, 1) and got[("s", "p")] == (2.0, 2) and got[("s", "(vide)")] == (1.0, 1) and got[("top", "(vide)")] == (4.0, 1)
+    assert len(plans) == 1 and plans[0].count("FileScan") == 1 and "FileScan" not in _plan(long)
+
+
+def test_audits_tell_datasets_apart(spark):
+    document = lambda dataset, agg: (
+        '{"dataset": "%s", "dashboard_id": "d", "widgets": [{"id": "w", "type": "kpi_card", "data": {"metric": "amount"%s}}, {"id": "t", "type": "data_table", "data": {"columns": ["amount", "city"]}}]}'
+        % (dataset, agg))
+    texts = [document("sales", ""), document("people", ""), document("people", ', "aggregation": "count"').replace('"d"', '"e"'), "no json", '{"dataset": "x"}']
+    specs = audit.spec_rows(spark.createDataFrame([(t,) for t in texts], "value string"))
+    prof = spark.createDataFrame([("sales", "amount", "measure", "number"), ("people", "amount", "dimension", "text"), ("people", "city", "dimension", None)],
+                                 "dataset string, name string, semantic_type string, type string").withColumns({"semantic_role": F.lit(None).cast("string"), "detected_type": F.lit(None).cast("string")})
+    assert [(r["dataset"], r["column"]) for r in audit.unknown_columns(specs, prof).collect()] == [("sales", "city")]
+    assert [(r["dataset"], r["dashboard_id"], r["problem"]) for r in audit.type_violations(specs, prof).collect()] == [("people", "d", "metric_not_numeric")]
+    assert audit.layout_violations(specs).count() == 0 and audit.duplicate_analyses(specs).count() == 0

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
 from tablewise.plans import registered
 from tablewise.session import TABLES
 
+SF_SMALL = "/root/testdata/sf0.001"
 ORACLE = registered.ORACLE
 QUERIES = registered.QUERIES
 
@@ -50,7 +50,7 @@ def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLE:
-        assert rows is not None
+        assert rows and len(rows[0]) == len(set(df.columns))
         return
     cur = duck.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]

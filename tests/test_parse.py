@@ -64,6 +64,24 @@ def test_display_format(spark):
     assert _one(spark, [0.125], lambda c: P.format_display(c, "percentage"), "double") == ["12,5 %"]
 
 
+def test_display_kinds_and_compact_numbers(spark):
+    shown = lambda values, kind, type_="string", **options: _one(spark, values, lambda c: P.format_display(c, kind, **options), type_)
+    assert shown(["a", "", None], "text") == ["a", "—", "—"]
+    assert shown(["2024-12-31", "31/12/2024", "soon", None], "date") == ["31/12/2024", "31/12/2024", "soon", "—"]
+    assert shown(["12.5", "n.a."], "number") == ["13", "n.a."]
+    numbers = [9999.0, 10000.0, 12345.0, -12345.0, 999949.0, 999951.0, 1.5e6, 2e9, 3e12, None]
+    n, k = "\u202f", "\u00a0"
+    want = [f"9{n}999", f"10{k}k", f"12,3{k}k", f"-12,3{k}k", f"999,9{k}k", f"1{k}M", f"1,5{k}M", f"2{k}Md", f"3{k}Bn", ""]
+    assert shown(numbers, "number", "double", compact=True) == want
+    assert shown([1234.0, 12.34], "currency", "double", compact=True) == [f"1,2{k}k{k}€", f"12,3{k}€"]
+    assert shown([0.125], "percentage", "double", compact=True) == [f"12,5{k}%"]
+
+
+def test_plain_numbers(spark):
+    values = [0.0, 1.0, -2.5, 1e7, 123456789.5, 1e15, 1e16, 1.5e17, 0.001, 0.00012, 1e-5, -1.25e-7, 1.0e8]
+    assert _one(spark, values, P.plain_number, "double") == [repr(v) for v in values]
+
+
 def test_lenient_number(spark):
     assert _one(spark, ["1 234,5", "abc", None], P.lenient_number) == [1234.5, 0.0, 0.0]
 

@@ -4,7 +4,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tablewise.operators import warehouse as W
-from tablewise.session import sequential_id
+from tablewise.session import ranged, sequential_id, shared_path
 from tablewise.sources import tables as ST
 from tablewise.sources import workbook as WB
 
@@ -65,7 +65,12 @@ def test_star_schema(spark):
     assert fact[3]["d_id"] == 1 and fact[1]["d_id"] == 2
     dim = star.dimensions["d"].orderBy("id").collect()
     assert (dim[0]["year"], dim[0]["month"], dim[0]["day"]) == (2023, 2, 1)
-    assert W.manifest(star, "ds").count() == 3
+    path = shared_path(spark, "star-test")
+    rows = {r["kind"]: r.asDict() for r in W.write_star(star, path, "ds", raw=df, clean=df).collect()}
+    assert {k: r["row_count"] for k, r in rows.items()} == {"Raw": 4, "Clean": 4, "Fact": 4, "Category": 2, "Date": 2}
+    assert rows["Fact"]["columns"] == ["source_row_id", "amount", "dept_id", "d_id"] and rows["Fact"]["date_columns"] == ["d"]
+    assert W.dataset_tables(spark, path, "ds").where("present").count() == 5 and W.dataset_tables(spark, path, "other").count() == 0
+    assert W.drop_dataset(spark, path, "ds").count() == 5 and W.dataset_tables(spark, path, "ds").count() == 0
 
 
 def test_sequential_id_is_dense_and_ordered(spark):
@@ -73,3 +78,38 @@ def test_sequential_id_is_dense_and_ordered(spark):
     out = sequential_id(df, ["x"], "rid").collect()
     assert sorted(r["rid"] for r in out) == list(range(1, 5001))
     assert all(r["rid"] == r["x"] + 1 for r in out)
+
+
+def test_sequential_id_splits_a_repeated_key(spark):
+    rows = spark.range(0, 40_000, 1, 6).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias("n"))
+    path = shared_path(spark, "hot-key")
+    rows.write.parquet(path)
+    df = spark.read.parquet(path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these partitions are small
+    sizes = sorted(r["count"] for r in ranged(df, ["k"]).groupBy(F.spark_partition_id()).count().collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 6 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    out = sequential_id(df, ["k"], "rid").orderBy("rid").collect()
+    assert [r["rid"] for r in out] == list(range(1, 40_001)) and [r["k"] for r in out] == sorted(r["k"] for r in out)
+    hot = [r["n"] for r in out if r["k"] == "hot"]
+    assert hot == sorted(hot)  # ties keep the order of files and rows
+
+
+def test_row_ids_follow_files(spark):
+    path = shared_path(spark, "files")
+    for part in range(5):
+        spark.range(part * 1000, part * 1000 + 100 * (5 - part)).coalesce(1).write.parquet(f"{path}/part={part}")
+    df = spark.read.parquet(path)
+    want = [r["id"] for r in df.orderBy("id").collect()]
+    assert [r["id"] for r in sequential_id(df, [], "rid").orderBy("rid").collect()] == want
+    kept = df.where("id % 7 <> 0")
+    out = sequential_id(kept, [], "rid").orderBy("rid").collect()
+    assert [r["rid"] for r in out] == list(range(1, len(out) + 1)) and [r["id"] for r in out] == [i for i in want if i % 7]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_import_guards(spark):
+    found = {r["table"]: r.asDict() for r in ST.guard_report({"small": spark.range(3), "large": spark.range(11).selectExpr("id", "id as b")}, 10, 2).collect()}
+    assert found["small"]["too_few_columns"] and not found["small"]["accepted"] and found["large"]["too_many_rows"]
+    assert ST.guard_report({"t": spark.range(50)}).collect()[0]["accepted"]
