@@ -1,13 +1,22 @@
-"""Operator 7: benchmark decontamination by unedited runs of words and exact edit distance.
-
-Method: an item of which at most ``k`` words may be edited is cut into ``k + 1``
-runs of words.  An edit touches one run at most, so each text within the limit
-holds at least one run as it stands: no pair is missed, whatever the length of
-the item and wherever the edits are.  Where a run of an item stands in a text,
-the exact word edit distance between the item and the text around it decides.
+"""Operator 7: benchmark decontamination by CGK embedding and bit-sampling LSH.
+
+Method: the CGK random walk copies the word at its pointer to each output place
+and moves on by a random bit of (table, place, word), so texts at a small edit
+distance become strings at a small Hamming distance.  Every table samples some
+output places.  A walk of few places begins at every word of a document, forward
+and backward; the walks along a window of an item's size are the embedding of
+that window piece by piece.  An item is embedded in the same way.  A window
+whose sampled places equal those of an item is a candidate, and the exact word
+edit distance between the item and the text around it decides.
+
+Walk and tables follow from the item's length: ``k`` edits leave at least
+``stretch`` unedited words in a row (:func:`stretch_of`), and a walk that stays
+on them is the same in both texts.  The chance of that is known exactly for
+each table (:func:`chance`); as many tables are taken as lead to the wanted
+recall for an item with all the edits that are allowed.
 
 Documents are only scanned: items travel to them in blocks of bounded size,
-every word meets every run, and nothing is shuffled but the hits.
+every window meets every table, and nothing is shuffled but the hits.
 """
 
 from __future__ import annotations
@@ -29,10 +38,11 @@ from tablewise.llm.blocks import BLOCK_BYTES, Codes, blocks_of, starts_of
 
 #: Largest share of an item's words that may be edited.
 MAX_EDITS = 0.2
-#: Words of a run that are looked up, its first ones.
-RUN_WORDS = 8
+#: Share of items with the full number of edits that the tables are to find at least.
+RECALL = 0.99
 #: Bytes of item text in one pass over the documents.
 ITEM_BYTES = 8_000_000
+MASK = (1 << 64) - 1
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,30 +60,93 @@ def _joined(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def runs_of(n: int, limit: int) -> list[tuple[int, int]]:
-    """(from, to) of the ``limit + 1`` runs of nearly equal size that ``n`` words are cut into."""
-    cuts = [n * k // (limit + 1) for k in range(limit + 2)]
-    return list(zip(cuts, cuts[1:]))
+def _bits(keys: np.ndarray, table: int) -> np.ndarray:
+    """The random bits of each word in one table: bit j tells whether the walk moves on at place j."""
+    x = keys ^ np.uint64((0x9E3779B97F4A7C15 * (table + 1)) & MASK)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def stretch_of(n: int, limit: int) -> int:
+    """Words in a row that ``limit`` edits leave untouched in ``n`` words at least."""
+    return -(-(n - limit) // (limit + 1))
+
+
+def places_of(table: int, stretch: int) -> list[int]:
+    """The sampled output places of a table for items with such a stretch: the first, and all others but one drawn."""
+    walk = max(1, 2 * stretch - 2 + (stretch == 2))
+    if walk < 4:
+        return list(range(walk))
+    left_out = int(np.random.default_rng(1000 + table).integers(1, walk))
+    return [j for j in range(walk) if j != left_out]
+
+
+def least_words(stretch: int) -> int:
+    """Different words that a walk has to sample to be looked up; fewer would fit too many texts."""
+    return min(stretch, max(2, stretch - 1))
+
+
+def chance(table: int, stretch: int) -> float:
+    """Exact chance that a walk from the first word of the stretch stays on it and samples enough words."""
+    places = places_of(table, stretch)
+    good, moves = 0, places[-1]
+    for bits in range(1 << moves):
+        at = [(bits & ((1 << j) - 1)).bit_count() for j in places]
+        good += at[-1] < stretch and len(set(at)) >= least_words(stretch)
+    return good / (1 << moves)
+
+
+def tables_for(stretch: int, recall: float = RECALL) -> int:
+    """How many tables, each walked forward and backward, leave at most ``1 - recall`` of such stretches unseen."""
+    missed, table = 1.0, 0
+    while missed > 1 - recall + 1e-12:
+        missed *= (1 - chance(table, stretch)) ** 2
+        table += 1
+    return table
 
 
-def tables_of(items: list[tuple], max_edits: float = MAX_EDITS) -> SimpleNamespace:
-    """The runs of one block of items by number of words: the keys of their beginnings (``prefixes``, sorted)
-    and the items and places of the runs that end there (``final``)."""
+def tables_of(items: list[tuple], max_edits: float = MAX_EDITS, recall: float = RECALL) -> SimpleNamespace:
+    """The LSH tables of one block of items: for each (direction, table) its sampled places by level, for each
+    level the keys of all walks (``prefixes``, sorted) and the items and places of the walks that end there (``final``)."""
     if not 0 <= max_edits < 1:
-        raise ValueError("an item all of whose words may be edited has no run to look for")
+        raise ValueError("an item all of whose words may be edited has no stretch to look for")
     held = [(i, words) for i, words in ((i, words_of(t)) for i, t in items) if words]
     limits = [int(max_edits * len(words) + 1e-9) for _, words in held]
-    prefix, final, firsts = [set() for _ in range(RUN_WORDS)], [{} for _ in range(RUN_WORDS)], set()
-    for number, (_, words) in enumerate(held):
-        hashes = np.array([word_key(w) for w in words], np.uint64)
-        for a, b in runs_of(len(words), limits[number]):
-            b, key = min(b, a + RUN_WORDS), np.zeros(1, np.uint64)
-            firsts.add(words[a])
-            for level in range(b - a):
-                key = _joined(key, hashes[a + level : a + level + 1])
-                prefix[level].add(int(key[0]))
-            final[b - a - 1].setdefault(int(key[0]), []).append((number, a))
-    return SimpleNamespace(items=held, limits=limits, firsts=firsts, prefixes=[np.array(sorted(p), np.uint64) for p in prefix if p], final=final)
+    stretches = [stretch_of(len(words), limit) for (_, words), limit in zip(held, limits)]
+    need = {r: tables_for(r, recall) for r in set(stretches)}
+    places = {(r, t): places_of(t, r) for r, n in need.items() for t in range(n)}
+    tables = {}
+    for backward in (False, True):
+        # items with the same sampled places share a table
+        for number, (_, words) in enumerate(held):
+            own = words[::-1] if backward else words
+            hashes = np.array([word_key(w) for w in own], np.uint64)
+            stretch = stretches[number]
+            for t in range(need[stretch]):
+                sampled = places[stretch, t]
+                table = tables.setdefault((backward, t, tuple(sampled)), SimpleNamespace(backward=backward, salt=2 * t + backward, places=sampled, firsts=set(), prefixes=[set() for _ in sampled], final=[{} for _ in sampled]))
+                bits = _bits(hashes, table.salt).tolist()
+                for anchor in range(len(own) - stretch + 1):
+                    at, j, seen, keys, key = anchor, 0, [], [], np.zeros(1, np.uint64)
+                    for place in sampled:
+                        while j < place and at < len(own):
+                            at += bits[at] >> j & 1
+                            j += 1
+                        if at >= len(own):  # the item ends: what was sampled before is looked up
+                            break
+                        key = _joined(key, hashes[at : at + 1])
+                        keys.append(int(key[0]))
+                        seen.append(at)
+                    if len(set(seen)) < least_words(stretch):
+                        continue
+                    table.firsts.add(own[anchor])
+                    for level, value in enumerate(keys):
+                        table.prefixes[level].add(value)
+                    table.final[len(keys) - 1].setdefault(keys[-1], []).append((number, anchor))
+    for table in tables.values():
+        table.prefixes = [np.array(sorted(p), np.uint64) for p in table.prefixes if p]
+    return SimpleNamespace(items=held, limits=limits, tables=list(tables.values()), walk=1 + max((t.places[-1] for t in tables.values()), default=0))
 
 
 def _filter(keys: np.ndarray, allowed: np.ndarray) -> np.ndarray:
@@ -147,25 +220,39 @@ def _hits(table: pa.Table, items: SimpleNamespace) -> list[tuple[int, int, int,
     at_ = at_[has[at_]] if len(at_) else at_
     sizes = np.bincount(row_of, minlength=len(sizes)).astype(np.int64)
     starts = starts_of(sizes)
-    # each text is followed by so many empty places that no run reaches the next
-    pad = len(words)
-    codes_ = np.full(len(at_) + RUN_WORDS * (len(sizes) + 1), pad, np.int64)
-    codes_[np.arange(len(at_)) + row_of * RUN_WORDS] = at_
     keys = np.append(np.fromiter(map(word_key, words), np.uint64, len(words)), np.uint64(0))
-    wanted = np.append(np.fromiter((w in items.firsts for w in words), bool, len(words)), False)
-    begin, begins = np.flatnonzero(wanted[codes_]), starts + np.arange(len(starts)) * RUN_WORDS
+    # each text is followed by so many empty places that no walk reaches the next
+    pad, walk = len(words), items.walk
+    begins = starts + np.arange(len(starts)) * walk
+    place = np.arange(len(at_)) + row_of * walk
+    turned = starts[row_of] + starts[row_of + 1] - 1 - np.arange(len(at_))  # each text back to front
+    directions = {}
+    for backward, own in ((False, at_), (True, at_[turned])):
+        directions[backward] = np.full(len(at_) + walk * (len(sizes) + 1), pad, np.int64)
+        directions[backward][place] = own
     candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
-    origin, key = begin, np.zeros(len(begin), np.uint64)
-    for level, prefixes in enumerate(items.prefixes):
-        key = _joined(key, keys[codes_[origin + level]])
-        keep = _filter(key, prefixes)
-        origin, key = origin[keep], key[keep]
-        final = items.final[level]
-        if final:
-            rows = np.searchsorted(begins, origin, "right") - 1
-            for row, first, found in zip(rows.tolist(), (origin - begins[rows]).tolist(), key.tolist()):
-                for number, anchor in final.get(found, ()):
-                    candidates[row, number].add(first - anchor)
+    for table in items.tables:
+        codes_ = directions[table.backward]
+        wanted = np.append(np.fromiter((w in table.firsts for w in words), bool, len(words)), False)
+        bits = _bits(keys, table.salt)
+        bits[pad] = 0
+        origin = np.flatnonzero(wanted[codes_])
+        pointer, key, j = origin.copy(), np.zeros(len(origin), np.uint64), 0
+        for level, prefixes in enumerate(table.prefixes):
+            while j < table.places[level]:
+                pointer += ((bits[codes_[pointer]] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+                j += 1
+            key = _joined(key, keys[codes_[pointer]])
+            keep = _filter(key, prefixes)
+            pointer, origin, key = pointer[keep], origin[keep], key[keep]
+            final = table.final[level]
+            if final:
+                ended = np.flatnonzero(_filter(key, np.array(sorted(final), np.uint64)))
+                rows = np.searchsorted(begins, origin[ended], "right") - 1
+                for row, first, found in zip(rows.tolist(), (origin[ended] - begins[rows]).tolist(), key[ended].tolist()):
+                    for number, anchor in final[found]:
+                        offset = first - anchor
+                        candidates[row, number].add(int(sizes[row]) - offset - len(items.items[number][1]) if table.backward else offset)
     out = []
     hashes = [np.array([word_key(w) for w in item], np.uint64) for _, item in items.items]
     for (row, number), offsets in candidates.items():
@@ -192,16 +279,18 @@ def _hits(table: pa.Table, items: SimpleNamespace) -> list[tuple[int, int, int,
     return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, item_bytes: int = ITEM_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, recall: float = RECALL, item_bytes: int = ITEM_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Which items whole documents hold: ``doc_id``, ``item_id``, ``edits``, ``first_word``, ``last_word``, ``item_words``.
 
     ``docs``: ``doc_id``, ``text``; ``items``: ``item_id``, ``text``.  One row
     per row of ``docs`` and item, with the part of the text nearest to the item
     (the first of equal ones), if at most ``max_edits`` of the item's words are
-    inserted, deleted or changed.  Words are letters and digits without case.
+    inserted, deleted or changed; of items with as many edits as that at least
+    ``recall`` are found, of those with fewer more.  Words are letters and digits without case.
     Texts that are null or hold no word neither hold an item nor are one.  Ids
     may be null; equal rows of ``items`` count once, equal rows of ``docs``
-    each.  An empty table on either side gives an empty result.
+    each; of equally near parts the first counts.  Other columns are left out,
+    whatever their names.  An empty table on either side gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
@@ -224,7 +313,7 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     for number in range(n_passes):
         # about item_bytes of item text on the driver and in each task at a time
         part = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_passes)) == number).collect()
-        block = tables_of([(r["item_id"], r["text"]) for r in part], max_edits)
+        block = tables_of([(r["item_id"], r["text"]) for r in part], max_edits, recall)
         found = scan(spark.sparkContext.broadcast(block))
         out = found if out is None else out.union(found)
     return out
