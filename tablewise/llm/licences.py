@@ -2,13 +2,13 @@
 
 Method: a text is cut into sentences, each normalised sentence, and each run of
 whole lines in one, that is known becomes its identifier, and the sequence of identifiers is matched against
-ordered licence rules.  All of it is column expressions over one row: nothing
-is shuffled, and a document is whole in its row.
+ordered licence rules.  That is column expressions over one row, a document
+being whole in it; only matches are shuffled, to drop those inside longer ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Sentences of public licence texts and notices, normalised (letters and digits, lower case),
@@ -87,14 +87,21 @@ def _lines(s: Column) -> Column:
     return F.concat(F.lit("|"), F.array_join(F.filter(bare, lambda x: x != ""), "|"), F.lit("|"))
 
 
-def _places(lines: Column, sentence: Column) -> Column:
-    """Where the sentence stands in ``lines`` from the beginning of a line to the end of one, however it is wrapped."""
-    wrapped = F.concat(F.lit("(?=\\|"), F.replace(sentence, F.lit(" "), F.lit("[ |]")), F.lit("\\|)"))
-    # a mark before each place; the text before the nth mark tells the place
-    pieces = F.split(F.regexp_replace(lines, wrapped, F.lit("\u0001")), "\u0001")
-    lengths = F.transform(pieces, F.length)
-    ends = F.transform(lengths, lambda _, k: F.aggregate(F.slice(lengths, F.lit(1), k + 1), F.lit(0), lambda a, x: a + x))
-    return F.slice(ends, F.lit(1), F.size(ends) - 1)
+def _marked(lines: Column, found: Column) -> Column:
+    """``lines`` with a mark and the number of the known sentence before each place where one stands, from the
+    beginning of a line to the end of one, however it is wrapped.
+
+    One pass over the lines for each sentence that occurs in them.  Marks of
+    sentences before are skipped inside a sentence and stay before a new one at
+    the same place.
+    """
+    gap = "(?:(?:\u0001[0-9]+\u0002)*[ |])"
+
+    def with_marks(marked: Column, k: Column) -> Column:
+        wrapped = F.concat(F.lit("(?=\\|"), F.replace(k["s"], F.lit(" "), F.lit(gap)), F.lit("(?:\u0001[0-9]+\u0002)*\\|)"))
+        return F.regexp_replace(marked, wrapped, F.concat(F.lit("\u0001"), k["id"].cast("string"), F.lit("\u0002")))
+
+    return F.aggregate(found, lines, with_marks)
 
 
 def identified(text: Column, sentences: list[str]) -> Column:
@@ -120,8 +127,8 @@ def identified(text: Column, sentences: list[str]) -> Column:
     def inside(x: Column) -> Column:
         # the whole sentence over several lines is found already
         near = F.filter(known, lambda k: F.contains(x["flat"], k["s"]) & (F.contains(x["lines"], F.concat(F.lit("|"), k["s"], F.lit("|"))) | (k["s"] != x["s"])))
-        found = F.flatten(F.transform(near, lambda k: F.transform(_places(x["lines"], k["s"]), lambda p: F.struct(p.alias("p"), k["id"].alias("id")))))
-        return F.transform(F.array_sort(found), lambda y: F.struct(x["at"].alias("at"), y["id"].alias("id")))
+        marks = F.regexp_extract_all(_marked(x["lines"], near), F.lit("\u0001([0-9]+)\u0002"), F.lit(1))
+        return F.transform(marks, lambda y: F.struct(x["at"].alias("at"), y.cast("int").alias("id")))
 
     none = F.array().cast("array<struct<at:int,id:int>>")
     return F.flatten(F.transform(parts, lambda x: F.concat(whole(x), F.when(x["lines"].isNotNull(), inside(x)).otherwise(none))))
@@ -133,25 +140,34 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     A rule matches where its identifiers follow each other in order with no
     other known sentence and at most ``gap`` unknown ones between two of them;
     a match inside a longer one is left out.  Sentence numbers begin at 0.
-    Null and empty texts, and texts without a known sentence, give no row;
-    repeated rows give their matches each; doc_id may be null.
+    Null and empty texts, texts without a known sentence, and empty tables give
+    no row; repeated rows give their matches each, and a sentence that a text
+    repeats gives a match each time; matches of equal length at one place all
+    stay.  doc_id may be null; other columns are left out, whatever their names.
+    The work on a text grows in proportion to its length.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
     names = list(sentences)
     # identifiers are places in the fixed lists, from 1
     found = identified(F.col("text"), list(sentences.values()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = rows.select("doc_id", found.alias("found")).where(F.size("found") > 0).select("doc_id", F.col("found.id").alias("ids"), F.col("found.at").alias("at"))
+    rows = rows.select("doc_id", found.alias("found")).where(F.size("found") > 0)
+    # arrays of their own: fields of "found" would be cut out anew at every place
+    rows = rows.select("doc_id", F.transform("found", lambda x: x["id"]).alias("ids"), F.transform("found", lambda x: x["at"]).alias("at"))
     matches = []
     for number, (licence, wanted) in enumerate(rules):
         ids = [names.index(w) + 1 for w in wanted]
         n = len(ids)
         begins = F.when(F.size("ids") >= n, F.filter(F.sequence(F.lit(0), F.greatest(F.size("ids") - n, F.lit(0))), _rule_fits(ids, gap))).otherwise(F.array().cast("array<int>"))
         matches.append(F.transform(begins, _match(licence, wanted, n)))
-    rows = rows.select("doc_id", F.flatten(F.array(*matches)).alias("m")).where(F.size("m") > 0)
-    inside = lambda a, b: (a["first_sentence"] >= b["first_sentence"]) & (a["last_sentence"] <= b["last_sentence"]) & (F.size(a["rule"]) < F.size(b["rule"]))
-    best = F.filter("m", lambda a: ~F.exists("m", lambda b: inside(a, b)))
-    return rows.select("doc_id", F.explode(best).alias("m")).select("doc_id", "m.licence", "m.rule", "m.first_sentence", "m.last_sentence")
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.flatten(F.array(*matches)).alias("m")).where(F.size("m") > 0)
+    each = rows.select("doc_id", "row", F.explode("m").alias("m")).select("doc_id", "row", "m.*", F.size("m.rule").alias("n"))
+    # a longer match that begins no later and ends no earlier; rules have few lengths, so one running maximum for each will do
+    before = Window.partitionBy("row").orderBy("first_sentence").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    lengths = sorted({len(wanted) for _, wanted in rules})
+    covered = F.coalesce(*[F.when(F.col("n") == n, F.max(F.when(F.col("n") > n, F.col("last_sentence"))).over(before)) for n in lengths])
+    best = each.withColumn("covered", covered).where(F.col("covered").isNull() | (F.col("covered") < F.col("last_sentence")))
+    return best.select("doc_id", "licence", "rule", "first_sentence", "last_sentence")
 
 
 def _rule_fits(ids: list[int], gap: int):
