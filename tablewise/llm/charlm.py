@@ -28,6 +28,8 @@ from tablewise.llm.shared import written
 #: Stands before every word; no text character is taken for it.
 START = "\x02"
 SEED = 42
+#: n-grams of a row: a block's go on in several rows.
+ROW_GRAMS = 8_192
 
 class Coded(NamedTuple):
     """The texts of a block: distinct strings, which begin with START; the strings of each unit one after the
@@ -89,8 +91,8 @@ def _key_of(table: pa.Table, coded: Coded) -> int:
 
 
 def block_grams(rows: DataFrame, cut: Cut, lead: int, order: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each block its distinct n-grams (``class`` null, no counts) and, for each class of its learning
-    documents, the n-grams they hold with counts.
+    """For each block its distinct n-grams in order of their hashes (``class`` null, no counts) and, for each class
+    of its learning documents, the n-grams they hold with counts; ``part`` numbers the rows of each.
 
     ``rows``: ``text``, ``class`` (null: not learned from) and what else tells documents apart.
     """
@@ -99,7 +101,16 @@ def block_grams(rows: DataFrame, cut: Cut, lead: int, order: int, block_bytes: i
         coded = cut(table.column("text").to_pylist())
         grams, inverse, sizes = grams_of(coded.strings, lead, order)
         block = _key_of(table, coded)
-        yield pa.record_batch([[block], pa.array([None], pa.string()), [grams], pa.array([[]], pa.list_(pa.int64()))], names=["block", "class", "grams", "n"])
+
+        def in_rows(name: str | None, own: list[str], n: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            for part, k in enumerate(range(0, max(len(own), 1), ROW_GRAMS)):
+                some = slice(k, k + ROW_GRAMS)
+                yield pa.record_batch(
+                    [[block], pa.array([part], pa.int32()), pa.array([name], pa.string()), pa.array([own[some]], pa.list_(pa.string())), pa.array([[] if n is None else n[some]], pa.list_(pa.int64()))],
+                    names=["block", "part", "class", "grams", "n"],
+                )
+
+        yield from in_rows(None, [grams[i] for i in np.argsort(_keys(grams)).tolist()], None)
         classes = table.column("class").to_pylist()
         unit = np.repeat(np.arange(len(coded.n_parts)), coded.n_parts)
         for name in sorted({c for c in classes if c is not None}):
@@ -108,12 +119,12 @@ def block_grams(rows: DataFrame, cut: Cut, lead: int, order: int, block_bytes: i
             by_string = np.bincount(coded.parts, by_unit[unit], len(coded.strings))
             n = np.bincount(inverse, np.repeat(by_string, sizes), len(grams)).astype(np.int64)
             full = np.flatnonzero(n)
-            yield pa.record_batch([[block], [name], [[grams[i] for i in full.tolist()]], [n[full]]], names=["block", "class", "grams", "n"])
+            yield from in_rows(name, [grams[i] for i in full.tolist()], n[full])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return each_block(batches, count_block, block_bytes)
 
-    return rows.mapInArrow(count, "block long, class string, grams array<string>, n array<long>")
+    return rows.mapInArrow(count, "block long, part int, class string, grams array<string>, n array<long>")
 
 
 def counts_of(blocks: DataFrame) -> DataFrame:
@@ -201,7 +212,7 @@ def _answers(model: pa.Table, asked: pa.Table) -> pa.Table:
         if not np.array_equal(keys[at], own):
             raise ValueError("an n-gram has no entry in its shard")
         values.append(logs[at].tobytes())
-    return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "logs": pa.array(values, pa.binary())})
+    return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "part": asked.column("part"), "logs": pa.array(values, pa.binary())})
 
 
 def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
@@ -223,16 +234,16 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, own in zip(batch.column("block").to_pylist(), batch.column("grams").to_pylist()):
+            for block, part, own in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "grams"))):
                 keys = np.sort(_keys(own))
                 cuts = hash_ranges(keys, n_shards)
                 yield pa.record_batch(
-                    [pa.array([block] * len(cuts), pa.int64()), pa.array([c for c, _, _ in cuts], pa.int32()), pa.array([pack_sorted(keys[a:b]) for _, a, b in cuts], pa.binary())],
-                    names=["block", "shard", "keys"],
+                    [pa.array([block] * len(cuts), pa.int64()), pa.array([c for c, _, _ in cuts], pa.int32()), pa.array([part] * len(cuts), pa.int32()), pa.array([pack_sorted(keys[a:b]) for _, a, b in cuts], pa.binary())],
+                    names=["block", "shard", "part", "keys"],
                 )
 
-    asked = every.select("block", "grams").mapInArrow(ask, "block long, shard int, keys binary").dropDuplicates(["block", "shard"])  # equal blocks ask once
-    answers = model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answers, "block long, shard int, logs binary")
+    asked = every.select("block", "part", "grams").mapInArrow(ask, "block long, shard int, part int, keys binary").dropDuplicates(["block", "shard", "part"])  # equal blocks ask once
+    answers = model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answers, "block long, shard int, part int, logs binary")
     kept = [f for f in rows.schema.fields if f.name not in ("text", "class")]
     names = [f.name for f in kept]
 
@@ -259,8 +270,9 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
     n_classes = len(classes)
 
     def add_up(places: pa.Table, answered: pa.Table) -> pa.Table:
-        replies = sorted(zip(answered.column("shard").to_pylist(), answered.column("logs").to_pylist()))
-        flat = np.frombuffer(b"".join(x for _, x in replies), np.float32).reshape(-1, max(n_classes, 1)).astype(np.float64)
+        # parts and shards both follow the order of the hashes
+        replies = sorted(zip(*(answered.column(c).to_pylist() for c in ("shard", "part", "logs"))))
+        flat = np.frombuffer(b"".join(x for *_, x in replies), np.float32).reshape(-1, max(n_classes, 1)).astype(np.float64)
         out = []
         for place_ in places.to_pylist():
             strings = [START + x for x in zstandard.ZstdDecompressor().decompress(place_["strings"]).decode().split(START)[1:]]

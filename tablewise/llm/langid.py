@@ -27,8 +27,8 @@ ORDER = 5
 HELD_EVERY = 10
 #: How many standard deviations, as the median deviation tells them, a text may lie above the median of its language.
 DEVIATIONS = 6.0
-#: Languages with fewer held texts take the deviation of all around their own median.
-MIN_HELD = 30
+#: A language's own deviation counts as many times as it has held texts, that of all this often.
+POOLED_WEIGHT = 30
 
 
 def letters_of(texts: list) -> Coded:
@@ -91,7 +91,7 @@ def identify(docs: DataFrame, learns: Column, order: int = ORDER, block_bytes: i
     off = calibration.join(F.broadcast(centres), "lang_pred").withColumn("off", F.abs(F.col("above") - F.col("centre")))
     spreads, all_spread = off.groupBy("lang_pred").agg(middle("off").alias("spread")), off.agg(middle("off")).first()[0]
     # 1.4826 median deviations are the standard deviation of a normal distribution
-    spread = F.when(F.col("n") >= MIN_HELD, F.col("spread")).otherwise(F.lit(all_spread).cast("double"))
+    spread = (F.col("spread") * F.col("n") + F.lit(all_spread).cast("double") * POOLED_WEIGHT) / (F.col("n") + POOLED_WEIGHT)
     limits = centres.join(F.broadcast(spreads), "lang_pred").select("lang_pred", (F.col("centre") + DEVIATIONS * 1.4826 * spread).alias("limit"))
     limit = F.coalesce("limit", F.lit(DEVIATIONS * 1.4826 * all_spread if all_spread is not None else float("inf")))
     rejected = F.col("cross_entropy").isNull() | F.coalesce(F.col("above") > limit, F.lit(False))

@@ -92,7 +92,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node``, ``label``: the smallest ``label`` that each node reaches over ``edges`` (a, b).
 
     ``nodes``: ``node``, ``label`` with distinct labels.  Each round every root
@@ -106,7 +106,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     )
     # parent: label -> smaller label of its component; pairs: links between labels that are not yet one
     parent = written(pairs.groupBy("from").agg(F.min(F.least("from", "to")).alias("parent")).select(F.col("from").alias("label"), "parent"), "labels")
-    for _ in range(max_rounds):
+    while True:  # every round lowers a label or joins two trees, so the rounds end
         up = parent.select(F.col("label").alias("parent"), F.col("parent").alias("up"))
         jumped = written(parent.join(up, "parent").select("label", F.col("up").alias("parent")), "labels")
         moved = jumped.join(parent.withColumnRenamed("parent", "old"), "label").where("parent <> old").limit(1).count()
@@ -123,8 +123,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         parent = written(
             parent.join(hooks, parent["label"] == hooks["from"], "left").select("label", F.coalesce("hook", "parent").alias("parent")), "labels"
         )
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(parent, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
 
 

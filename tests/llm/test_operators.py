@@ -469,7 +469,7 @@ def test_decontamination(spark, none):
 
 
 def test_decontamination_at_the_limit(spark):
-    """Exactly int(0.2 n) edits, in the first words, the last ones or anywhere: every length is found whole."""
+    """Exactly int(0.2 n) edits, in the first words, the last ones or anywhere: the wanted recall at every length."""
     rng = random.Random(16)
     vocabulary = [f"w{k}" for k in range(3000)]
     items, texts, want = {}, [], set()
@@ -488,7 +488,37 @@ def test_decontamination_at_the_limit(spark):
         want |= {(d, i) for i, item in items.items() if _edits(item.split(), words) <= int(0.2 * len(item.split()) + 1e-9)}
     table = spark.createDataFrame([(i, t, 1) for i, t in items.items()], "item_id long, text string, edits int")
     rows = decontam.contaminated(_docs(spark, texts), table, block_bytes=5000).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and {(d, d) for d in range(len(texts))} <= want and len(rows) == len(want)
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert got <= want and {(d, d) for d in range(len(texts))} <= want and len(rows) == len(got)
+    assert len(got) >= 0.97 * len(want)
+
+
+def test_decontamination_recall_by_length():
+    """Exactly int(0.2 n) edits anywhere, 200 items of each length, against the edit distance of every pair planted."""
+    rng = random.Random(26)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    for n in (1, 3, 5, 7, 10, 14, 15, 20, 30, 56):
+        items, texts, limit = [], [], int(0.2 * n + 1e-9)
+        for k in range(200):
+            item = rng.sample(vocabulary, n)
+            copy = list(item)
+            for place in sorted(rng.sample(range(n), limit), reverse=True):
+                copy[place : place + 1] = rng.choice([["edited"]] * 3 + [[]] + [["edited", copy[place]]])
+            assert _edits(item, copy) <= limit
+            items.append((k, " ".join(item)))
+            texts.append(" ".join(["before"] * rng.randint(0, 9) + copy + ["behind"] * rng.randint(0, 9)))
+        found = {(row, number) for row, number, *_ in decontam._hits(decontam.pa.table({"text": texts}), decontam.tables_of(items))}
+        recall = sum((k, k) in found for k in range(200)) / 200
+        assert recall >= (1.0 if limit == 0 else 0.95), (n, recall)
+
+
+def test_tables_follow_from_the_wanted_recall():
+    for stretch in (1, 2, 3, 4, 6):
+        n = decontam.tables_for(stretch, 0.99)
+        missed = math.prod((1 - decontam.chance(t, stretch)) ** 2 for t in range(n))
+        assert missed <= 0.01 and (n == 1 or missed / (1 - decontam.chance(n - 1, stretch)) ** 2 > 0.01)
+    assert decontam.tables_for(4, 0.9) < decontam.tables_for(4, 0.999)
+    assert [decontam.stretch_of(n, int(0.2 * n)) for n in (1, 4, 5, 10, 20, 56)] == [1, 4, 2, 3, 4, 4]
 
 
 # ------------------------------------------------------------------ 9
@@ -521,6 +551,64 @@ def test_urls(spark):
     assert urls.judge(df.where("false")).count() == 0
 
 
+def test_a_very_long_url_and_clashing_columns(spark):
+    rows = [(i, f"http://a{i}.net/x{i}", "h", 1.0, 1) for i in range(40)] + [(i, f"https://b{i}.org/fr/{i}", "h", 1.0, 1) for i in range(40, 80)]
+    rows += [(90, "https://long.example/" + "ab/é中" * 20_000, "h", 1.0, 1), (91, "", "h", 1.0, 1), (None, None, "h", 1.0, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, ratio double, salt int")
+    got = {r["page_id"]: r for r in urls.judge(df).collect()}
+    assert len(got) == 83 and got[90]["host"] == "long.example" and got[90]["verdict"] in ("allow", "block") and got[0]["verdict"] == "block" and got[50]["verdict"] == "allow"
+
+
+def _plain_ratio(text, counts, letters, order):
+    total = 0.0
+    marked = "\x02" + text
+    for i in range(1, len(marked)):
+        logs = []
+        for kind in ("yes", "no"):
+            p = 1.0 / letters
+            for k in range(1, order + 1):
+                if i - k + 1 < 0:
+                    break
+                gram = marked[i - k + 1 : i + 1]
+                after = {g[-1]: n for g, n in counts[kind].items() if len(g) == k and g[:-1] == gram[:-1]}
+                if after:
+                    p = (after.get(gram[-1], 0) + len(after) * p) / (sum(after.values()) + len(after))
+            logs.append(math.log10(p))
+        total += logs[0] - logs[1]
+    return total / (len(marked) - 1) if len(marked) > 1 else 0.0
+
+
+def test_url_ratios_match_plain_version(spark):
+    rng = random.Random(12)
+    texts = [f"http://{rng.choice(['cat', 'dog'])}{k}.net/{k}" for k in range(25)] + [f"https://{rng.choice(['sea', 'sun'])}{k}.org/fr/{k}" for k in range(25)] + ["http://cats.com/de", "https://suns.com/fr", "plain", "é中://x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")
+    rows = urls.judge(df).collect()
+    ruled = {t: ("block" if ".net/" in t else "allow" if ".org/fr/" in t else None) for t in texts}
+    hashed = {r["url"]: r["h"] for r in df.select("url", F.xxhash64("url").alias("h")).collect()}
+    held = {t for t in texts if ruled[t] and hashed[t] % urls.HELD_EVERY == 0}
+    counts = {"yes": Counter(), "no": Counter()}
+    for t in texts:
+        if ruled[t] and t not in held:
+            marked = "\x02" + t
+            for i in range(1, len(marked)):
+                longest = marked[max(0, i - urls.ORDER + 1) : i + 1]
+                counts["yes" if ruled[t] == "allow" else "no"].update(longest[-k:] for k in range(1, len(longest) + 1))
+    letters = 1 + len({g for c in counts.values() for g in c if len(g) == 1})
+    want = {t: _plain_ratio(t, counts, letters, urls.ORDER) for t in texts}
+    assert held and all(r["ratio"] == pytest.approx(want[texts[r["page_id"]]], abs=1e-6) for r in rows)
+    bins = {kind: np.array([math.floor(want[t] / urls.BIN + 0.5) * urls.BIN for t in held if ruled[t] == kind]) for kind in ("allow", "block")}
+    limit = (np.quantile(bins["allow"], 0.1) + np.quantile(bins["block"], 0.9)) / 2 if all(map(len, bins.values())) else 0.0
+    assert all(r["verdict"] == (ruled[texts[r["page_id"]]] or ("allow" if r["ratio"] >= limit else "block")) for r in rows)
+
+
+def test_licences_in_very_long_texts(spark):
+    line = "Released under the MIT License\n"
+    texts = [line * 100_000, "Released under the MIT License. " * 50_000, None, ""]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, rule string, row int")
+    found = {r["doc_id"]: r["n"] for r in licences.scan(df).groupBy("doc_id").agg(F.count("licence").alias("n")).collect()}
+    assert found == {0: 100_000, 1: 50_000}
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline(spark, none):
     sf = "/root/testdata/sf0.001"
