@@ -140,12 +140,13 @@ def tables_of(items: list[tuple], max_edits: float = MAX_EDITS, recall: float =
                         seen.append(at)
                     if len(set(seen)) < least_words(stretch):
                         continue
-                    table.firsts.add(own[anchor])
+                    table.firsts.add(int(hashes[anchor]))
                     for level, value in enumerate(keys):
                         table.prefixes[level].add(value)
                     table.final[len(keys) - 1].setdefault(keys[-1], []).append((number, anchor))
     for table in tables.values():
         table.prefixes = [np.array(sorted(p), np.uint64) for p in table.prefixes if p]
+        table.firsts = np.array(sorted(table.firsts), np.uint64)
     return SimpleNamespace(items=held, limits=limits, tables=list(tables.values()), walk=1 + max((t.places[-1] for t in tables.values()), default=0))
 
 
@@ -233,7 +234,7 @@ def _hits(table: pa.Table, items: SimpleNamespace) -> list[tuple[int, int, int,
     candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
     for table in items.tables:
         codes_ = directions[table.backward]
-        wanted = np.append(np.fromiter((w in table.firsts for w in words), bool, len(words)), False)
+        wanted = np.append(_filter(keys[:pad], table.firsts), False)
         bits = _bits(keys, table.salt)
         bits[pad] = 0
         origin = np.flatnonzero(wanted[codes_])
