@@ -106,6 +106,21 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
+def gaps_in_runs(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each run in ascending order, as its smallest value and the gaps behind it: small numbers, in which order takes no room."""
+    out = np.sort(np.repeat(np.arange(len(lengths), dtype=np.uint64) << np.uint64(32), lengths) | values.astype(np.uint64)).astype(np.uint32)
+    gaps = np.diff(out, prepend=np.uint32(0))
+    firsts = starts_of(lengths)[:-1][lengths > 0]
+    gaps[firsts] = out[firsts]
+    return gaps
+
+
+def runs_of_gaps(gaps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ascending runs of :func:`gaps_in_runs`."""
+    total = starts_of(gaps.astype(np.int64))
+    return total[1:] - np.repeat(total[starts_of(lengths)[:-1]], lengths)
+
+
 def by_frequency(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The codes in use from the most to the least frequent, and the texts' codes renumbered that way."""
     counts = np.bincount(codes, minlength=n)

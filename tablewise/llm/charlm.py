@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import BLOCK_BYTES, by_frequency, each_block, hash_ranges, pack, pack_sorted, starts_of, sums_of_runs, take_runs, unpack, unpack_sorted
+from tablewise.llm.blocks import BLOCK_BYTES, by_frequency, each_block, gaps_in_runs, hash_ranges, pack, pack_sorted, runs_of_gaps, starts_of, sums_of_runs, take_runs, unpack, unpack_sorted
 from tablewise.llm.shared import written
 
 #: Stands before every word; no text character is taken for it.
@@ -258,7 +258,8 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
         number[order_] = np.arange(len(order_), dtype=np.uint32)
         parts = number[parts]
         text = zstandard.ZstdCompressor(level=3).compress("".join([coded.strings[i] for i in order_.tolist()]).encode())
-        packed = [parts.astype(np.uint32), coded.n_parts[used].astype(np.uint32), at, coded.lengths.astype(np.int64)]
+        # a sum needs no order of a text's units
+        packed = [parts.astype(np.uint32), coded.n_parts[used].astype(np.uint32), gaps_in_runs(at, coded.lengths), coded.lengths.astype(np.int64)]
         yield pa.record_batch(
             [pa.array([_key_of(table, coded)], pa.int64()), pa.array([text], pa.binary()), *[pa.array([pack(x)], pa.binary()) for x in packed], *[pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in names]],
             names=["block", "strings", "parts", "n_parts", "at", "lengths", *[f"c_{c}" for c in names]],
@@ -273,6 +274,8 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
         # parts and shards both follow the order of the hashes
         replies = sorted(zip(*(answered.column(c).to_pylist() for c in ("shard", "part", "logs"))))
         flat = np.frombuffer(b"".join(x for *_, x in replies), np.float32).reshape(-1, max(n_classes, 1)).astype(np.float64)
+        # in steps of 2^-24 sums are exact below 2^29, so equal texts have equal sums in every block
+        flat = np.rint(flat * 2.0**24) / 2.0**24
         out = []
         for place_ in places.to_pylist():
             strings = [START + x for x in zstandard.ZstdDecompressor().decompress(place_["strings"]).decode().split(START)[1:]]
@@ -283,7 +286,8 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
             number[np.argsort(_keys(grams))] = np.arange(len(grams))
             chars, string_starts = number[inverse], starts_of(sizes)
             parts, unit_starts = unpack(place_["parts"], np.uint32), starts_of(unpack(place_["n_parts"], np.uint32))
-            at, starts = unpack(place_["at"], np.uint32), starts_of(unpack(place_["lengths"], np.int64))
+            lengths = unpack(place_["lengths"], np.int64)
+            at, starts = runs_of_gaps(unpack(place_["at"], np.uint32), lengths), starts_of(lengths)
             per_unit = sums_of_runs(sizes[parts], unit_starts)
             logs = [sums_of_runs(sums_of_runs(sums_of_runs(flat[chars, c], string_starts)[parts], unit_starts)[at], starts) for c in range(n_classes)]
             stacked = np.stack(logs, axis=1).ravel() if n_classes else np.zeros(0)

@@ -646,3 +646,17 @@ def test_clean_rows_stay_beside_rejected_ones(spark, monkeypatch):
     kept = {r["text"] for r in corpus_pipeline.language_stage(spark, odd, "").collect()}
     assert "" not in kept and len(kept & set(texts)) >= 55
     assert sorted(r["text"] for r in corpus_pipeline.near_duplicate_stage(spark, docs.union(docs), "").collect()) == sorted([*texts, item])
+
+
+def test_gaps_in_runs():
+    """Each run comes back sorted; empty runs and an empty block stay."""
+    import numpy as np
+
+    from tablewise.llm.blocks import gaps_in_runs, runs_of_gaps
+
+    runs = [[5, 1, 5], [], [2**32 - 1, 0], [7], []]
+    lengths = np.array([len(r) for r in runs], np.int64)
+    values = np.array([x for r in runs for x in r], np.uint32)
+    assert runs_of_gaps(gaps_in_runs(values, lengths), lengths).tolist() == [x for r in runs for x in sorted(r)]
+    none = np.zeros(0, np.uint32)
+    assert runs_of_gaps(gaps_in_runs(none, np.zeros(2, np.int64)), np.zeros(2, np.int64)).tolist() == []
