@@ -242,13 +242,14 @@ def _byte_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.frombuffer(b"".join(by_rank), np.uint8), starts_of(sizes)[:-1], sizes
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of rows with ``ids`` and ``decoded``."""
+def digest(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns ``more`` of rows with ``ids`` and ``decoded``."""
     return encoded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 

@@ -13,6 +13,7 @@ whole model and a frequent n-gram is one entry per block.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +31,8 @@ START = "\x02"
 SEED = 42
 #: n-grams of a row: a block's go on in several rows.
 ROW_GRAMS = 8_192
+#: n-grams that all blocks together ask of a shard at most, on average; shards grow in number with the corpus.
+SHARD_GRAMS = 4_000_000
 
 class Coded(NamedTuple):
     """The texts of a block: distinct strings, which begin with START; the strings of each unit one after the
@@ -223,11 +226,11 @@ def scores(rows: DataFrame, cut: Cut, lead: int, order: int, modified: bool, blo
     ``class``, with ``logs`` (array of double by class) and ``chars`` (predicted characters).
     """
     spark = rows.sparkSession
-    n_shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(block_grams(rows, cut, lead, order, block_bytes), "grams")
     counts = written(counts_of(blocks), "counts")
     classes = sorted(r["class"] for r in counts.select("class").distinct().collect())  # one row per language or kind
     every = blocks.where("class is null")
+    n_shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(every.count() * ROW_GRAMS / SHARD_GRAMS))
     grams = every.select(F.explode("grams").alias("gram")).distinct()
     model = log_probabilities(grams, counts, classes, order, modified).select(gram_hash(F.col("gram")).alias("key"), "logs")
     model = model.withColumn("shard", F.shiftright(F.shiftrightunsigned("key", 32) * n_shards, 32).cast("int"))  # equal ranges of hashes

@@ -280,8 +280,8 @@ def _hits(table: pa.Table, items: SimpleNamespace) -> list[tuple[int, int, int,
     return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, recall: float = RECALL, item_bytes: int = ITEM_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Which items whole documents hold: ``doc_id``, ``item_id``, ``edits``, ``first_word``, ``last_word``, ``item_words``.
+def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, recall: float = RECALL, item_bytes: int = ITEM_BYTES, block_bytes: int = BLOCK_BYTES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Which items whole documents hold: ``doc_id``, ``item_id``, ``edits``, ``first_word``, ``last_word``, ``item_words``, the columns ``carried``.
 
     ``docs``: ``doc_id``, ``text``; ``items``: ``item_id``, ``text``.  One row
     per row of ``docs`` and item, with the part of the text nearest to the item
@@ -293,7 +293,8 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     each; of equally near parts the first counts.  Other columns are left out,
     whatever their names.  An empty table on either side gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_passes = max(1, ceil(size / item_bytes))
@@ -306,9 +307,11 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
                 hits = _hits(table, block)
                 ids = table.column("doc_id").to_pylist()
                 columns = [[ids[r] for r, *_ in hits], [block.items[n][0] for _, n, *_ in hits], [h[2] for h in hits], [h[3] for h in hits], [h[4] - 1 for h in hits], [len(block.items[n][1]) for _, n, *_ in hits]]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "edits", "first_word", "last_word", "item_words"])
+                places = pa.array([r for r, *_ in hits], pa.int64())
+                kept = [table.column(c).combine_chunks().take(places) for c in carried]
+                yield pa.record_batch([*[pa.array(c, pa.int64()) for c in columns], *kept], names=["doc_id", "item_id", "edits", "first_word", "last_word", "item_words", *carried])
 
-        return rows.mapInArrow(found, "doc_id long, item_id long, edits long, first_word long, last_word long, item_words long")
+        return rows.mapInArrow(found, "doc_id long, item_id long, edits long, first_word long, last_word long, item_words long" + more)
 
     out = None
     for number in range(n_passes):

@@ -47,8 +47,8 @@ def letters_of(texts: list) -> Coded:
     return Coded([f"{START}{r}\x03" for r in runs], np.array(parts, np.int64), np.array(n_parts, np.int64), np.array(at, np.int64), np.array(lengths, np.int64))
 
 
-def identify(docs: DataFrame, learns: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score``, ``cross_entropy`` (bits per character), ``rejected`` for every row.
+def identify(docs: DataFrame, learns: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``lang_pred``, ``score``, ``cross_entropy`` (bits per character), ``rejected``, the columns ``carried`` for every row.
 
     ``docs``: ``doc_id``, ``text``, ``lang``; learns from rows for which
     ``learns`` holds and lang is not null, except for one text in ``HELD_EVERY``,
@@ -61,23 +61,23 @@ def identify(docs: DataFrame, learns: Column, order: int = ORDER, block_bytes: i
     An empty table gives an empty result.
     """
     lang = F.when(learns & F.col("lang").isNotNull(), F.col("lang").cast("string"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("known"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("known"), *carried)
     held = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(HELD_EVERY)) == 0, F.lit(False))  # copies are held together
     # one row per language: those whose texts would all be held learn from them instead
     few = [r["known"] for r in rows.where("known is not null").groupBy("known").agg(F.count_if(~held).alias("n")).where("n = 0").collect()]
     held = held & F.col("known").isNotNull() & ~F.col("known").isin(few) if few else held & F.col("known").isNotNull()
     rows = rows.withColumn("held", F.coalesce(held, F.lit(False)))
-    rows = rows.select("doc_id", "text", "known", "held", F.when(~F.col("held"), F.col("known")).alias("class"))
+    rows = rows.select("doc_id", "text", "known", "held", F.when(~F.col("held"), F.col("known")).alias("class"), *carried)
     found, classes = scores(rows, letters_of, 1, order, False, block_bytes)
     if not classes:
-        return found.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+        return found.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"), *carried)
     best = F.array_max("logs")
     pred = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("logs", best).cast("int"))
     share = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), F.greatest(x - best, F.lit(-300.0))))
     told = written(
         found.select(
             "doc_id", "known", "held", "chars", F.when(F.col("chars") > 0, pred).otherwise("und").alias("lang_pred"),
-            F.when(F.col("chars") > 0, share).otherwise(0.0).alias("score"), F.when(F.col("chars") > 0, -best / F.col("chars") / F.lit(float(np.log10(2)))).alias("cross_entropy"),
+            F.when(F.col("chars") > 0, share).otherwise(0.0).alias("score"), F.when(F.col("chars") > 0, -best / F.col("chars") / F.lit(float(np.log10(2)))).alias("cross_entropy"), *carried,
         ),
         "languages",
     )
@@ -95,4 +95,4 @@ def identify(docs: DataFrame, learns: Column, order: int = ORDER, block_bytes: i
     limits = centres.join(F.broadcast(spreads), "lang_pred").select("lang_pred", (F.col("centre") + DEVIATIONS * 1.4826 * spread).alias("limit"))
     limit = F.coalesce("limit", F.lit(DEVIATIONS * 1.4826 * all_spread if all_spread is not None else float("inf")))
     rejected = F.col("cross_entropy").isNull() | F.coalesce(F.col("above") > limit, F.lit(False))
-    return above.join(F.broadcast(limits), "lang_pred", "left").select("doc_id", "lang_pred", "score", "cross_entropy", rejected.alias("rejected"))
+    return above.join(F.broadcast(limits), "lang_pred", "left").select("doc_id", "lang_pred", "score", "cross_entropy", rejected.alias("rejected"), *carried)

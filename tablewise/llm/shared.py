@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tablewise.session import shared_path
 
@@ -19,6 +20,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame) -> Column:
+    """128 bits (binary) of all columns of a row: equal rows share it, rows that share a doc_id or have none do not."""
+    columns = [df[f"`{c}`"] for c in df.columns]
+    # nulls do not change xxhash64, so that they count by their places too
+    parts = [*columns, *[c.isNull() for c in columns]]
+    halves = [F.xxhash64(*parts), F.xxhash64(F.lit("second half"), *parts)]
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
+
+
 def fresh_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns; a missing one is an error, others (clashing names too) are left out."""
     return df.select(*[df[f"`{n}`"] for n in names])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.shared import written
+from tablewise.llm.shared import row_key, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -51,16 +51,16 @@ def fingerprint_of(text: str | bytes | None, words: int = SHINGLE_WORDS) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * counts > total).tolist())
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (long with the 64 bits) for every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, key: str = "doc_id") -> DataFrame:
+    """``key`` (any type; a doc_id as long), ``fingerprint`` (long with the 64 bits) for every row; a null text counts as empty."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint_of(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=[key, "fingerprint"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(hashed, "doc_id long, fingerprint long")
+    rows = docs.select((F.col(key).cast("long") if key == "doc_id" else F.col(key)).alias(key), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(hashed, f"`{key}` {rows.schema[key].dataType.simpleString()}, fingerprint long")
 
 
 def hex_of(fingerprint: Column) -> Column:
@@ -157,17 +157,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, key: str | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component one row with its smallest doc_id.
 
-    Rows are told apart by ``key``, a long that differs where rows differ (by
-    default a hash of all columns), not by doc_id: different texts under one
+    Rows are told apart by ``key``, a column that differs where rows differ (by
+    default 128 bits of all columns), not by doc_id: different texts under one
     doc_id, or without one, are different documents.  Rows without a doc_id
     come behind those with one; of rows with the smallest doc_id that with the
     smallest key stays, and of equal rows one.
     """
     names = docs.columns
-    row = F.col(key) if key else F.xxhash64(*names, *[F.col(c).isNull() for c in names])
-    rows = docs.withColumn("__row", row)
+    rows = docs.withColumn("__row", F.col(key) if key else row_key(docs))
     id_of = written(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("id")).distinct(), "rows")
-    prints = written(fingerprints(rows.withColumn("doc_id", F.col("__row")), words).withColumnRenamed("doc_id", "row"), "fingerprints")
+    prints = written(fingerprints(rows, words, "__row").withColumnRenamed("__row", "row"), "fingerprints")
     label = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("doc_id"), F.col("row"))
     # a row's text follows from its key, so that no two fingerprints share a label
     classes = written(prints.distinct().join(id_of, "row").groupBy("fingerprint").agg(F.min(label).alias("label")), "classes")

@@ -624,7 +624,11 @@ def test_pipeline(spark, none):
     got = sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()))
     assert got == sorted(map(tuple, final.collect())) and len(got) == before.count() > 100
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
-    assert all(d == hashlib.sha256(texts[i].encode()).hexdigest() for i, _, _, d in got)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, n, _, d, ids in got:
+        own = np.frombuffer(bytes(ids), "<u4").tolist()
+        assert d == hashlib.sha256(texts[i].encode()).hexdigest() and own == encoding.encode_ordinary(texts[i]) and len(own) == n
     empty = none.select(*docs.columns)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
