@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.llm import bpe, decontam, langid, quality, simhash
-from tablewise.llm.shared import written
+from tablewise.llm.shared import row_key, written
 from tablewise.session import read_table
 
 #: Text bytes of a block in the language-model stages: a stage follows others in the same executors, so less than the default.
@@ -22,9 +22,8 @@ BLOCK_BYTES = 4_000_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with ``__key``, a hash of all their columns: rows that share a doc_id, or have none, keep apart."""
-    # nulls do not change xxhash64, so that they count by their places too
-    return docs.withColumn("__key", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    """The rows with ``__key``, 128 bits of all their columns: rows that share a doc_id, or have none, keep apart."""
+    return docs.withColumn("__key", row_key(docs))
 
 
 def _kept(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -40,8 +39,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence; learned from those with a lang."""
-    found = langid.identify(_keyed(docs).withColumn("doc_id", F.col("__key")), F.lit(True), block_bytes=BLOCK_BYTES)
-    return _kept(docs, found.where("rejected").withColumnRenamed("doc_id", "__key"))
+    found = langid.identify(_keyed(docs), F.lit(True), block_bytes=BLOCK_BYTES, carried=("__key",))
+    return _kept(docs, found.where("rejected"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +50,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontam.contaminated(_keyed(docs).withColumn("doc_id", F.col("__key")), read_table(spark, sf_dir, "benchmark"))
-    return _kept(docs, found.withColumnRenamed("doc_id", "__key"))
+    return _kept(docs, decontam.contaminated(_keyed(docs), read_table(spark, sf_dir, "benchmark"), carried=("__key",)))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and a check of their decoded bytes."""
-    return bpe.digest(bpe.tokenize(docs))
+    """Token ids of every document (``ids``: little-endian unsigned 32-bit) and a check of their decoded bytes."""
+    return bpe.digest(bpe.tokenize(docs), "ids")
 
 
 STAGES = [
