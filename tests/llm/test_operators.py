@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from tablewise.llm import bpe, decontam, fixity, interpolation, knn, langid, licences, quality, registered, simhash, urls
+from tablewise.llm import bpe, charlm, decontam, fixity, interpolation, knn, langid, licences, quality, registered, shared, simhash, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block string, component_id int, ids string"
 WORDS = "the river runs over old stone while birds sing about rain and wind near a quiet village by the sea".split()
@@ -652,6 +652,24 @@ def test_clean_rows_stay_beside_rejected_ones(spark, monkeypatch):
     assert sorted(r["text"] for r in corpus_pipeline.near_duplicate_stage(spark, docs.union(docs), "").collect()) == sorted([*texts, item])
 
 
+def test_row_keys(spark):
+    """Only equal rows share a key; nulls count by their places."""
+    rows = [(None, "", 1), ("", None, 1), (None, None, 1), ("a", "b", 1), ("a", "b", 1), ("a", "b", None)]
+    df = spark.createDataFrame(rows, "`x.y` string, text string, n long")
+    keys = [bytes(r[0]) for r in df.select(shared.row_key(df)).collect()]
+    assert {len(k) for k in keys} == {16} and len(set(keys)) == 5 and keys[3] == keys[4]
+
+
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    """Many shards answer like few, and carried columns stay with their rows."""
+    texts = _texts(41, 30) + [None, "", "the sea " * 50]
+    df = _docs(spark, texts, ["en", "de", None] * 11).withColumn("mark", F.concat(F.lit("m"), "doc_id"))
+    few = sorted(map(tuple, langid.identify(df, F.lit(True), carried=("mark",)).collect()), key=repr)
+    monkeypatch.setattr(charlm, "SHARD_GRAMS", 40)
+    many = sorted(map(tuple, langid.identify(df, F.lit(True), carried=("mark",)).collect()), key=repr)
+    assert few == many and len(few) == 33 and all(r[-1] == f"m{r[0]}" for r in few)
+
+
 def test_gaps_in_runs():
     """Each run comes back sorted; empty runs and an empty block stay."""
     import numpy as np
