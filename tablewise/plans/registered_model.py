@@ -240,8 +240,8 @@ def dropped_dataset_orders(spark, sf):
 )
 def header_rows_b_customers(spark, sf):
     """Header detection B over workbooks of 500 customers each (title row, blank row, header)."""
-    c = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").coalesce(1)
-    cells = WBK.read_cells(spark, WBK.write_workbooks(c, shared_path(spark, "header-xlsx"), title="Customer list", rows_per_file=500))
+    c = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    cells = WBK.stored_cells(spark, WBK.write_workbooks(c, shared_path(spark, "header-xlsx"), title="Customer list", rows_per_file=500))
     best = WBK.best_sheet(cells)
     header = WBK.header_rows(cells.join(best.select("path", "sheet_no"), ["path", "sheet_no"], "left_semi"), method="B")
     return header.join(best, ["path", "sheet_no"]).groupBy("sheet", "header_row").agg(F.count(F.lit(1)).alias("n_files"))

@@ -24,9 +24,13 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tablewise.functions import names as N
+from tablewise.session import sequential_id, shared_path
 
+#: Workbooks that a task writes on average; their parts are read back apart.
+FILES_PER_TASK = 16
 CELL_SCHEMA = "path string, sheet_no int, sheet string, row_no int, col_no int, value string, is_text boolean"
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -155,6 +159,13 @@ def read_cells(spark: SparkSession, source: str | DataFrame, max_bytes: int | No
     return files.select("path", "content").mapInPandas(_cells_udf, CELL_SCHEMA)
 
 
+def stored_cells(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """:func:`read_cells`, written to the shared folder: each workbook is parsed once, however often its cells are read."""
+    path = shared_path(spark, "cells")
+    read_cells(spark, source).write.parquet(path)
+    return spark.read.schema(CELL_SCHEMA).parquet(path)
+
+
 def best_sheet(cells: DataFrame, scan_rows: int = 50) -> DataFrame:
     """Per file the sheet with most non-empty cells in its first rows; first sheet wins ties."""
     scored = cells.where(F.col("row_no") < scan_rows).groupBy("path", "sheet_no", "sheet").agg(F.count("value").alias("score"))
@@ -276,9 +287,9 @@ def write_xlsx(path: str | io.BytesIO, sheets: dict[str, list[list]]) -> None:
 
 
 # ------------------------------------------------------------- many workbooks
-def _unique_in_file(heads: pd.DataFrame) -> pd.DataFrame:
-    heads = heads.sort_values("col_no")
-    return heads.assign(name=N.unique_names(heads["name"]))[["path", "sheet_no", "col_no", "name"]]
+@F.udf(ArrayType(StringType()))
+def _unique_in_file(names: list[str]) -> list[str]:
+    return N.unique_names(names)
 
 
 def read_workbooks(spark: SparkSession, path: str | DataFrame, scan_rows: int = 50, max_scan: int = 25) -> DataFrame:
@@ -290,7 +301,7 @@ def read_workbooks(spark: SparkSession, path: str | DataFrame, scan_rows: int =
     get ``_2``, ``_3`` and so on.  The header names are a small per-column set; everything else stays
     distributed (cells → joins → ``groupBy(path, row_no).pivot(name)``).
     """
-    cells = read_cells(spark, path)
+    cells = stored_cells(spark, path)
     best = best_sheet(cells, scan_rows).select("path", "sheet_no")
     chosen = cells.join(best, ["path", "sheet_no"], "left_semi")
     header = header_rows(chosen, max_scan)
@@ -300,7 +311,9 @@ def read_workbooks(spark: SparkSession, path: str | DataFrame, scan_rows: int =
         F.max(F.when(F.col("row_no") == F.col("header_row"), F.trim("value"))).alias("name")
     )
     heads = heads.withColumn("name", F.when(F.coalesce(F.col("name"), F.lit("")) != "", F.col("name")).otherwise(F.concat(F.lit("column_"), (F.col("col_no") + 1).cast("string"))))
-    names = heads.groupBy("path", "sheet_no").applyInPandas(_unique_in_file, "path string, sheet_no int, col_no int, name string")
+    own = heads.groupBy("path", "sheet_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "name"))).alias("own"))  # as many as a sheet has columns
+    named = own.select("path", "sheet_no", F.explode(F.arrays_zip(F.col("own.col_no").alias("col_no"), _unique_in_file("own.name").alias("name"))).alias("head"))
+    names = named.select("path", "sheet_no", "head.col_no", "head.name")
     body = located.where(F.col("row_no") > F.col("header_row")).join(names, ["path", "sheet_no", "col_no"])
     header_names = [r["name"] for r in names.select("name").distinct().orderBy("name").collect()]
     wide = body.groupBy("path", "row_no").pivot("name", header_names).agg(F.first("value"))
@@ -310,32 +323,39 @@ def read_workbooks(spark: SparkSession, path: str | DataFrame, scan_rows: int =
 def to_workbooks(df: DataFrame, sheet: str = "Data", title: str | None = None, rows_per_file: int = 50_000) -> DataFrame:
     """``df`` as rows (path, rows, content), each a workbook with a header row and at most ``rows_per_file`` records.
 
-    Each task fills its own workbooks one after the other, so their number
-    grows with the data and no task holds more than one.  An optional title row
-    and a blank row go above the header, and a small notes sheet comes first,
-    as hand-made workbooks often have.  Write the result as a table in any
-    store that Spark writes to; :func:`read_cells` takes such a table.
+    Rows are numbered in file order and dealt to their workbooks by number, so
+    that all workbooks but the last are full.  The number of tasks grows with
+    that of the workbooks; a task fills about :data:`FILES_PER_TASK` one after
+    the other and holds no more than one.  An optional title row and a blank
+    row go above the header, and a small notes sheet comes first, as hand-made
+    workbooks often have.  Write the result as a table in any store that Spark
+    writes to; :func:`read_cells` takes such a table.
     """
     cols = list(df.columns)
 
-    def packed(rows: list, part: int, chunk: int) -> pd.DataFrame:
+    def packed(rows: list, number: int) -> pd.DataFrame:
         head = ([[title], [None]] if title else []) + [cols]
         write_xlsx(content := io.BytesIO(), {"Notes": [["generated"]], sheet: head + rows})
-        return pd.DataFrame({"path": [f"part-{part:05d}-{chunk:05d}.xlsx"], "rows": [len(rows)], "content": [content.getvalue()]})
+        return pd.DataFrame({"path": [f"part-{number:08d}.xlsx"], "rows": [len(rows)], "content": [content.getvalue()]})
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, rows, chunk = TaskContext.get().partitionId(), [], 0
+        rows, current = [], None
         for pdf in batches:
-            rows.extend(pdf.astype(object).where(pd.notnull(pdf), None).values.tolist())
-            while len(rows) >= rows_per_file:
-                yield packed(rows[:rows_per_file], part, chunk)
-                rows, chunk = rows[rows_per_file:], chunk + 1
+            for number, own in pdf.groupby(pdf.iloc[:, -1], sort=False):  # sorted by workbook, so a number is one stretch
+                if rows and number != current:
+                    yield packed(rows, current)
+                    rows = []
+                current = number
+                own = own.iloc[:, : len(cols)]
+                rows.extend(own.astype(object).where(pd.notnull(own), None).values.tolist())
         if rows:
-            yield packed(rows, part, chunk)
+            yield packed(rows, current)
 
-    return df.mapInPandas(pack, "path string, rows long, content binary")
+    numbered = sequential_id(df, [], "__row", 0).withColumn("__file", F.floor(F.col("__row") / rows_per_file))
+    files = numbered.agg(F.max("__file")).first()[0]
+    n = 1 if files is None else files // FILES_PER_TASK + 1
+    dealt = numbered.repartition(n, "__file").sortWithinPartitions("__row").drop("__row")
+    return dealt.mapInPandas(pack, "path string, rows long, content binary")
 
 
 def write_workbooks(df: DataFrame, path: str, **options) -> DataFrame:

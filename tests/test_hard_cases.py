@@ -184,3 +184,14 @@ def test_audits_tell_datasets_apart(spark):
     assert [(r["dataset"], r["column"]) for r in audit.unknown_columns(specs, prof).collect()] == [("sales", "city")]
     assert [(r["dataset"], r["dashboard_id"], r["problem"]) for r in audit.type_violations(specs, prof).collect()] == [("people", "d", "metric_not_numeric")]
     assert audit.layout_violations(specs).count() == 0 and audit.duplicate_analyses(specs).count() == 0
+
+
+def test_workbooks_are_full_and_dealt_to_many_tasks(spark):
+    n = 5 * workbook.FILES_PER_TASK * 4 + 3
+    rows = spark.range(n, numPartitions=1).select(F.col("id").cast("string").alias("Key"), F.when(F.col("id") % 7 != 0, F.lit("x")).alias("Mark"))
+    made = workbook.to_workbooks(rows, title="List", rows_per_file=5)
+    assert made.rdd.getNumPartitions() > 4  # one input partition does not mean one task
+    assert sorted(r["rows"] for r in made.select("rows").collect()) == [3] + [5] * (n // 5)
+    back = workbook.read_workbooks(spark, made).select("Key", "Mark").collect()
+    assert sorted(map(tuple, back), key=repr) == sorted(((str(i), None if i % 7 == 0 else "x") for i in range(n)), key=repr)
+    assert workbook.to_workbooks(rows.limit(0)).count() == 0
