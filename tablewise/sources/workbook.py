@@ -288,7 +288,7 @@ def write_xlsx(path: str | io.BytesIO, sheets: dict[str, list[list]]) -> None:
 
 # ------------------------------------------------------------- many workbooks
 @F.udf(ArrayType(StringType()))
-def _unique_in_file(names: list[str]) -> list[str]:
+def _unique_in_file(names):
     return N.unique_names(names)
 
 

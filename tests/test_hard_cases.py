@@ -188,7 +188,7 @@ def test_audits_tell_datasets_apart(spark):
 
 def test_workbooks_are_full_and_dealt_to_many_tasks(spark):
     n = 5 * workbook.FILES_PER_TASK * 4 + 3
-    rows = spark.range(n, numPartitions=1).select(F.col("id").cast("string").alias("Key"), F.when(F.col("id") % 7 != 0, F.lit("x")).alias("Mark"))
+    rows = spark.range(n, numPartitions=1).select(F.col("id").alias("Key"), F.when(F.col("id") % 7 != 0, F.lit("x")).alias("Mark"))
     made = workbook.to_workbooks(rows, title="List", rows_per_file=5)
     assert made.rdd.getNumPartitions() > 4  # one input partition does not mean one task
     assert sorted(r["rows"] for r in made.select("rows").collect()) == [3] + [5] * (n // 5)
