@@ -24,18 +24,18 @@ between such blanks is encoded apart, and a token of each ends there.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import Codes, blocks_of, by_frequency, pack, starts_of, sums_of_runs, take_runs, unpack
+from tablewise.llm.blocks import Codes, blocks_of, by_frequency, pack, solid, split_at_blanks, starts_of, strings, sums_of_runs, take_runs, unpack
 from tablewise.llm.shared import written
 
 #: Text bytes of a block.
@@ -45,6 +45,14 @@ ROW_BYTES = 64
 #: Segments encoded as one string.
 SEGMENTS = 2_000
 
+def _odd(segments: list[str], plain: np.ndarray) -> np.ndarray:
+    """Whether each segment is empty or has white space at an end."""
+    out = np.zeros(len(segments), bool)
+    for k in np.flatnonzero(~plain).tolist():
+        out[k] = not segments[k] or segments[k][0].isspace() or segments[k][-1].isspace()
+    return out
+
+
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 _PLANE = "struct<pairs:binary,lengths:binary,docs:binary,full_pairs:binary,full:binary>"
@@ -81,6 +89,7 @@ class ByteLevel:
             self.bytes[number] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
 
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.starts, self.joined = starts_of(self.sizes)[:-1], np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, a blank before each segment, and the number of each segment.
@@ -88,13 +97,13 @@ class ByteLevel:
         Segments without white space at an end are joined by the blanks and
         encoded as one string, cut again where their bytes end.
         """
-        odd = np.fromiter((not s or s[0].isspace() or s[-1].isspace() for s in segments), bool, len(segments))
+        odd = _odd(segments, solid(pa.array(segments, pa.large_string())))
         plain, alone = np.flatnonzero(~odd), np.flatnonzero(odd)
         ids, lengths = [], []
         for start in range(0, len(plain), 8 * SEGMENTS):
             parts = [[segments[k] for k in plain[i : i + SEGMENTS]] for i in range(start, min(start + 8 * SEGMENTS, len(plain)), SEGMENTS)]
             for part, own in zip(parts, self._ids([" " + " ".join(p) for p in parts])):
-                ends = np.cumsum([len(s.encode()) + 1 for s in part])
+                ends = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy() + 1, dtype=np.int64)
                 token_ends = np.cumsum(self.sizes[own])
                 last = np.searchsorted(token_ends, ends)
                 if not np.array_equal(token_ends[np.minimum(last, len(own) - 1)], ends):
@@ -129,6 +138,7 @@ class Pieces:
         ]
 
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.starts, self.joined = starts_of(self.sizes)[:-1], np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of each segment."""
@@ -137,25 +147,21 @@ class Pieces:
         return np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum())), lengths
 
 
-def cut_texts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def cut_texts(texts: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct segments, their code at every place and the number of each text.
 
     Texts are split at blanks; those with white space at an end of a segment
     are cut anew, only at single blanks between other characters.
     """
-    known, codes, lengths = Codes(), array("I"), array("Q")
-    for text in texts:
-        own = text.split(" ") if text else ()
-        codes.extend(map(known.__getitem__, own))
-        lengths.append(len(own))
-    odd = np.fromiter((not s or s[0].isspace() or s[-1].isspace() for s in known), bool, len(known))
-    at, lengths = np.array(codes, np.uint32), np.array(lengths, np.int64)
+    pieces, plain, at, lengths = split_at_blanks(texts)
+    known = Codes(zip(pieces, range(len(pieces))))
+    odd = _odd(pieces, plain)
     starts = starts_of(lengths)
     again = np.flatnonzero(sums_of_runs(odd[at].astype(np.int64), starts)) if odd.any() else []
     if len(again):
         parts, done = [], 0
         for k in again.tolist():
-            own = np.array([known[s] for s in _SAFE.split(texts[k])], np.uint32)
+            own = np.array([known[s] for s in _SAFE.split(texts[k].as_py())], np.uint32)
             parts += [at[done : starts[k]], own]
             done, lengths[k] = starts[k + 1], len(own)
         at = np.concatenate([*parts, at[done:]])
@@ -164,14 +170,21 @@ def cut_texts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarra
 
 def _restores(tokenizer, ids: np.ndarray, lengths: np.ndarray, segments: list[bytes]) -> np.ndarray:
     """Whether the joined bytes of each segment's tokens are the segment."""
-    parts = list(map(tokenizer.bytes.__getitem__, ids.tolist()))
     sizes = sums_of_runs(tokenizer.sizes[ids], starts_of(lengths))
-    if np.array_equal(sizes, [len(s) for s in segments]) and b"".join(parts) == b"".join(segments):
-        return np.ones(len(segments), bool)
+    if np.array_equal(sizes, np.fromiter(map(len, segments), np.int64, len(segments))):
+        joined = take_runs(tokenizer.joined, tokenizer.starts[ids], tokenizer.sizes[ids])
+        if joined.tobytes() == b"".join(segments):
+            return np.ones(len(segments), bool)
+    parts = list(map(tokenizer.bytes.__getitem__, ids.tolist()))
     cuts = starts_of(lengths).tolist()
     return np.fromiter((b"".join(parts[a:b]) == s for a, b, s in zip(cuts, cuts[1:], segments)), bool, len(segments))
 
 
+def _joined(strings: pa.Array, starts: np.ndarray, sign: str) -> pa.Array:
+    """The strings of each run, ``sign`` between them."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts), strings), pa.scalar(sign, pa.large_string()))
+
+
 class Alignment:
     """Groups and links of distinct segments.
 
@@ -202,17 +215,8 @@ class Alignment:
 
     def _texts(self, a, b, in_a, in_b) -> list[str]:
         """``a1,a2|b1;...`` of each segment, empty where there is none."""
-        at_a, at_b = starts_of(in_a), starts_of(in_b)
-        groups = np.empty(len(in_a), object)
-        single = np.flatnonzero((in_a == 1) & (in_b == 1))
-        pairs, which = np.unique(a[at_a[single]] << 32 | b[at_b[single]], return_inverse=True)
-        groups[single] = np.array([f"{p >> 32}|{p & 0xFFFFFFFF}" for p in pairs.tolist()], object)[which]
-        other = np.flatnonzero((in_a > 1) | (in_b > 1))
-        a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        bounds = zip(at_a[other].tolist(), at_a[other + 1].tolist(), at_b[other].tolist(), at_b[other + 1].tolist())
-        groups[other] = [",".join(a[s:e]) + "|" + ",".join(b[f:g]) for s, e, f, g in bounds]
-        groups, cuts = groups.tolist(), starts_of(self.n_groups).tolist()
-        return [";".join(groups[s:e]) for s, e in zip(cuts, cuts[1:])]
+        own = [_joined(pa.array(i).cast(pa.large_string()), starts_of(n), ",") for i, n in ((a, in_a), (b, in_b))]
+        return strings(_joined(pc.binary_join_element_wise(*own, pa.scalar("|", pa.large_string())), starts_of(self.n_groups), ";"))
 
     def _link(self, a, group_a, b, group_b, seg_of_group, n_second: int) -> None:
         """Distinct ids of each group, crossed: as many rows as different links, however often one is repeated."""
@@ -281,7 +285,7 @@ def _postings(aligned: Alignment, at: np.ndarray, starts: np.ndarray) -> tuple[n
 
 def _index_of_block(table: pa.Table, block: int, first, second) -> Iterator[pa.RecordBatch]:
     """One row for the documents of the block and their bitmaps, then a row for each of its pairs."""
-    segments, at, lengths = cut_texts(table.column("text").to_pylist())
+    segments, at, lengths = cut_texts(table.column("text"))
     used, at = by_frequency(at, len(segments))
     aligned = Alignment(first, second, [segments[k] for k in used.tolist()])
     n, starts = len(lengths), starts_of(lengths)

@@ -16,7 +16,8 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import pairwise, repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import by_frequency, Codes, each_block, pack, starts_of, take_runs, unpack
+from tablewise.llm.blocks import by_frequency, Codes, each_block, pack, split_at_blanks, starts_of, strings, sums_of_runs, take_runs, unpack
 
 #: Text bytes of a block; encoding and decoding run side by side, so blocks are small.
 BLOCK_BYTES = 4_000_000
@@ -35,6 +36,8 @@ BLOCK_BYTES = 4_000_000
 BUCKETS_PER_PARTITION = 4
 #: Texts up to so many characters are cut in one call; longer ones match by match.
 LONG_TEXT = 1_000_000
+#: Segments matched as one string.
+SEGMENTS = 2_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,71 +46,84 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
-class Cutter:
-    """Cuts texts into segments, distinct segments into pre-tokens.
+def cut(texts: pa.ChunkedArray, find) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct segments of the texts, whether each is a blank and characters without white space, their code at every place and the number of each text.
 
     A blank between two characters that are not white space always begins a
     new pre-token (every alternative with an optional blank takes it along), so
     a text may be cut there first and only its distinct segments need the
-    pattern.  Texts with any other white space beside a blank are matched whole.
+    pattern.  Texts with any other white space beside a blank are matched
+    whole, and their matches are the segments.
     """
-
-    def __init__(self, pattern: str):
-        self.find = regex.compile(pattern)
-        self.segments: list[str] = []
-        self.odd: set[int] = set()
-        cutter = self
-
-        class Pieces(dict):
-            def __init__(self, lead: str, loose: bool):
-                self.lead, self.loose = lead, loose
-
-            def __missing__(self, piece: str) -> int:
-                self[piece] = code = len(cutter.segments)
-                cutter.segments.append(self.lead + piece)
-                if self.loose and (not piece or piece[0].isspace() or piece[-1].isspace()):
-                    cutter.odd.add(code)
-                return code
-
-        self.first, self.rest, self.whole = Pieces("", True), Pieces(" ", True), Pieces("", False)
-
-    def cut(self, text: str) -> array:
-        pieces = text.split(" ")
-        out = array("I", (self.first[pieces[0]],))
-        out.extend(map(self.rest.__getitem__, pieces[1:]))
-        if self.odd and not self.odd.isdisjoint(out):
-            found = self.find.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in self.find.finditer(text))
-            out = array("I", map(self.whole.__getitem__, found))
-        return out
+    pieces, plain, at, lengths = split_at_blanks(texts)
+    n, starts = len(pieces), starts_of(lengths)
+    odd = np.zeros(n, bool)
+    for k in np.flatnonzero(~plain).tolist():
+        odd[k] = not pieces[k] or pieces[k][0].isspace() or pieces[k][-1].isspace()
+    segments = [" " + p for p in pieces]
+    first = starts[:-1][lengths > 0]  # no blank before the first piece of a text
+    leads, number = np.unique(at[first], return_inverse=True)
+    whole = np.flatnonzero(sums_of_runs(odd[at].astype(np.int64), starts)) if odd.any() else ()
+    at[first] = n + number
+    segments += [pieces[k] for k in leads.tolist()]
+    if len(whole):
+        parts, done = [], 0
+        matches = Codes()
+        for k in whole.tolist():
+            text = texts[k].as_py()
+            found = find.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in find.finditer(text))
+            own = np.array(array("I", map(matches.__getitem__, found)), np.uint32) + np.uint32(len(segments))
+            parts += [at[done : starts[k]], own]
+            done, lengths[k] = starts[k + 1], len(own)
+        at = np.concatenate([*parts, at[done:]])
+        segments += matches
+    return segments, np.concatenate([plain, np.zeros(len(segments) - n, bool)]), at, lengths
+
+
+def _pre_tokens(segments: list[str], plain: np.ndarray, find) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Pre-tokens of the segments, the order in which the segments were taken and the number of pre-tokens of each; the ``plain`` ones, a blank and characters without white space, are matched joined."""
+    together, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+    parts: list[str] = []
+    sizes = np.zeros(len(segments), np.int64)
+    for start in range(0, len(together), SEGMENTS):
+        own = together[start : start + SEGMENTS]
+        found = find.findall("".join([segments[k] for k in own.tolist()]))
+        begins = np.flatnonzero(np.fromiter(map(str.startswith, found, repeat(" ")), bool, len(found)))
+        if len(begins) != len(own):
+            raise ValueError("a pre-token goes on over the end of a segment")
+        sizes[own] = np.diff(begins, append=len(found))
+        parts += found
+    for k in alone.tolist():
+        found = find.findall(segments[k])
+        sizes[k] = len(found)
+        parts += found
+    return parts, np.concatenate([together, alone]), sizes
 
 
 def _coded(table: pa.Table, pattern: str, n_buckets: int):
     """Segments and pre-tokens of a block; pre-tokens are numbered by bucket, then by first sight."""
-    cutter, codes, lengths = Cutter(pattern), array("I"), array("Q")
-    for text in table.column("text").to_pylist():
-        own = cutter.cut(text) if text else ()
-        codes.extend(own)
-        lengths.append(len(own))
-    used, at = by_frequency(np.array(codes, np.uint32), len(cutter.segments))
-    pre, parts, part_lengths = Codes(), array("I"), array("I")
-    for k in used.tolist():
-        found = cutter.find.findall(cutter.segments[k])
-        parts.extend(map(pre.__getitem__, found))
-        part_lengths.append(len(found))
-    words = [w.encode() for w in pre]
-    bucket = np.fromiter((xxhash.xxh64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
+    find = regex.compile(pattern)
+    segments, plain, codes, lengths = cut(table.column("text"), find)
+    used, at = by_frequency(codes, len(segments))
+    parts, order, part_lengths = _pre_tokens([segments[k] for k in used.tolist()], plain[used], find)
+    coded = pa.array(parts, pa.large_string()).dictionary_encode()
+    sizes = part_lengths[order]
+    place = np.argsort(order, kind="stable")  # back to the order of the segments
+    parts = take_runs(coded.indices.to_numpy().astype(np.uint32), starts_of(sizes)[:-1][place], sizes[place])
+    words = strings(coded.dictionary.cast(pa.large_binary()))
+    bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % n_buckets
     order = np.argsort(bucket, kind="stable")
     number = np.zeros(len(words), np.uint32)
     number[order] = np.arange(len(words), dtype=np.uint32)
-    flat = number[np.array(parts, np.uint32)]
-    key = xxhash.xxh64()
-    for i in order.tolist():
-        key.update(words[i])
-        key.update(b"\xff")
+    flat = number[parts]
+    words = [words[i] for i in order.tolist()]
+    lengths = lengths.astype(np.uint64)
+    key = xxhash.xxh64(b"\xff".join(words))
+    key.update(b"\xff")
     key.update(at.tobytes())
-    key.update(np.array(lengths, np.uint64).tobytes())
+    key.update(lengths.tobytes())
     key.update(str(table.column("doc_id").to_pylist()).encode())
-    return key.intdigest() - 2**63, [words[i] for i in order.tolist()], bucket[order], at, np.array(lengths, np.uint64), flat, np.array(part_lengths, np.uint32)
+    return key.intdigest() - 2**63, words, bucket[order], at, lengths, flat, part_lengths.astype(np.uint32)
 
 
 WORDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("word_lengths", pa.binary())])

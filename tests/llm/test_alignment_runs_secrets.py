@@ -174,6 +174,16 @@ def test_alignment_matches_whole_texts(spark, block_bytes):
     assert {r["groups"] for r in got.where("doc_id is null or n_a = 0").collect()} > {""}
 
 
+def test_segments_and_group_texts_without_python_loops():
+    pa = alignment.pa
+    texts = [None, "", "one two", " lead", "a  b\u3000c d\x1c e", "x\x85 y", "\u200bz \ufeff q"]
+    segments, at, lengths = alignment.cut_texts(pa.chunked_array([pa.array(texts, pa.string())]))
+    cuts = alignment.starts_of(lengths)
+    got = [[segments[k] for k in at[a:b].tolist()] for a, b in zip(cuts, cuts[1:])]
+    assert got == [re.split(r"(?<=\S) (?=\S)", t) if t else [] for t in texts]
+    assert alignment.strings(alignment._joined(pa.array(["1", "2", "3"], pa.large_string()), alignment.starts_of(alignment.np.array([2, 0, 1])), ",")) == ["1,2", "", "3"]
+
+
 def test_alignment_of_nothing(spark):
     paths = [public_tokenizers.path(f) for f in FILES]
     assert alignment.align(_docs(spark, []), *paths).count() == 0

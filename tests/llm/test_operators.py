@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -538,6 +539,34 @@ def test_byte_bpe(spark, mixed, none):
     assert bpe.tokenize(none).count() == 0
 
 
+def test_pre_tokens_of_a_block_are_matched_joined():
+    rng = random.Random(10)
+    texts = [None, "", *(" ".join(f"w{rng.randrange(2000)}{rng.choice(['', ',', chr(10) + 'x', 'é中', chr(0x85), chr(0x1c), ' ', chr(0x200b)])}" for _ in range(200)) for _ in range(60))]
+    calls = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.of = regex.compile(pattern)
+
+        def findall(self, text):
+            calls.append(text)
+            return self.of.findall(text)
+
+    find = Counted(public_tokenizers.PATTERN)
+    segments, plain, at, lengths = bpe.cut(bpe.pa.chunked_array([bpe.pa.array(texts, bpe.pa.string())]), find)
+    assert len(segments) == len(plain) and lengths[:2].tolist() == [0, 0]
+    parts, order, sizes = bpe._pre_tokens(segments, plain, find)
+    solid = int(plain.sum())
+    assert solid > 2000 and len(calls) <= len(segments) - solid + len(texts) + solid // bpe.SEGMENTS + 1
+    cuts = bpe.starts_of(sizes[order])
+    own = {int(k): parts[a:b] for k, a, b in zip(order, cuts, cuts[1:])}
+    done = 0
+    for text, n in zip(texts, lengths.tolist()):
+        got = [w for k in at[done : done + n].tolist() for w in own[k]]
+        assert got == find.of.findall(text or "")
+        done += n
+
+
 # ------------------------------------------------------------------ 10
 def test_urls(spark):
     rows = ["http://a.net/x", "https://www.Example.NET/en/1?q=/de/", "https://example.com/de/", "http://b.org/fr/9#t", "http://b.org", "net/", None, "", "http://notnet.com/", "http://net/", "http://a.net", "http://x.com/fr/a", "http://c.org/xx/1"] * 12
