@@ -17,7 +17,7 @@ from tablewise.llm import bpe, decontam, langid, quality, simhash
 from tablewise.llm.shared import row_key, written
 from tablewise.session import read_table
 
-#: Text bytes of a block in the language-model stages: a stage follows others in the same executors, so less than the default.
+#: Text bytes of a block in the language-model and decontamination stages: a stage follows others in the same executors, so less than the default.
 BLOCK_BYTES = 4_000_000
 
 
@@ -50,7 +50,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _kept(docs, decontam.contaminated(_keyed(docs), read_table(spark, sf_dir, "benchmark"), carried=("__key",)))
+    return _kept(docs, decontam.contaminated(_keyed(docs), read_table(spark, sf_dir, "benchmark"), block_bytes=BLOCK_BYTES, carried=("__key",)))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,7 +88,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         .select("a", "segment", "value", (F.col("bit") < 0).alias("same"))
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    found = probes.join(table, ["segment", "value"]).where(near & (~F.col("same") | (F.col("a") < F.col("b"))))
+    # some thirty rows come of a fingerprint, but Spark takes them for as small as the file of fingerprints and would send all to every executor
+    found = probes.hint("merge").join(table.hint("merge"), ["segment", "value"]).where(near & (~F.col("same") | (F.col("a") < F.col("b"))))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

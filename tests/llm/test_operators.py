@@ -711,3 +711,12 @@ def test_gaps_in_runs():
     assert runs_of_gaps(gaps_in_runs(values, lengths), lengths).tolist() == [x for r in runs for x in sorted(r)]
     none = np.zeros(0, np.uint32)
     assert runs_of_gaps(gaps_in_runs(none, np.zeros(2, np.int64)), np.zeros(2, np.int64)).tolist() == []
+
+
+def test_simhash_links_send_no_probes_to_every_executor(spark, tmp_path):
+    """A few fingerprints in a file look small to Spark, the probes made of them are not: the join stays a shuffled one."""
+    path = str(tmp_path / "classes")
+    spark.createDataFrame([(k,) for k in (0, 7, 1 << 40, -1, 15)], "fingerprint long").write.parquet(path)
+    found = simhash.links(spark.read.parquet(path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(0, 7), (0, 1 << 40), (7, 15)}
