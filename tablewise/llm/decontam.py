@@ -21,7 +21,6 @@ every window meets every table, and nothing is shuffled but the hits.
 
 from __future__ import annotations
 
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.blocks import BLOCK_BYTES, Codes, blocks_of, starts_of
+from tablewise.llm.blocks import BLOCK_BYTES, blocks_of, split_at_blanks, starts_of, strings, sums_of_runs, take_runs
 
 #: Largest share of an item's words that may be edited.
 MAX_EDITS = 0.2
@@ -206,22 +205,31 @@ def _nearest_end(item: list, text: list) -> tuple[int, int] | None:
     return best, distances.index(best)
 
 
+def _words_coded(texts: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of a block as :func:`words_of` gives them (one may have several codes), their code at every place and the number of words of each text."""
+    lowered = pa.chunked_array([[t.lower() if t else t for t in strings(chunk)] for chunk in texts.chunks], pa.string())
+    pieces, plain, at, lengths = split_at_blanks(lowered)
+    words, begins, ends = list(pieces), np.arange(len(pieces)), np.arange(len(pieces)) + 1
+    for k in np.flatnonzero(~plain).tolist():  # its words follow behind all pieces
+        begins[k], words[k] = len(words), ""
+        words += pieces[k].split()
+        ends[k] = len(words)
+    signs = [k for k, w in enumerate(words) if not w.isalnum()]
+    # no word holds a line feed, so all of them lose their signs in one call
+    for k, word in zip(signs, regex.sub(r"(?:[^\w\n]|_)+", "", "\n".join([words[k] for k in signs])).split("\n")):
+        words[k] = word
+    codes = np.flatnonzero(np.fromiter(map(bool, words), bool, len(words)))
+    begins, ends = np.searchsorted(codes, begins), np.searchsorted(codes, ends)
+    each = (ends - begins)[at]
+    return words, take_runs(codes, begins[at], each), sums_of_runs(each, starts_of(lengths))
+
+
 def _hits(table: pa.Table, items: SimpleNamespace) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, from word, to word) of a block of documents."""
-    codes, at, lengths = Codes(), array("I"), array("Q")
-    for text in table.column("text").to_pylist():
-        raw = text.lower().split() if text else ()
-        at.extend(map(codes.__getitem__, raw))
-        lengths.append(len(raw))
-    plain_of = regex.compile(r"[^\W_]+")
-    words = [w if w.isalnum() else "".join(plain_of.findall(w)) for w in codes]
-    at_, sizes = np.array(at, np.int64), np.array(lengths, np.int64)
-    has = np.array([bool(w) for w in words], bool)
-    row_of = np.repeat(np.arange(len(sizes)), sizes)[has[at_]] if len(at_) else np.zeros(0, np.int64)
-    at_ = at_[has[at_]] if len(at_) else at_
-    sizes = np.bincount(row_of, minlength=len(sizes)).astype(np.int64)
+    words, at_, sizes = _words_coded(table.column("text"))
+    row_of = np.repeat(np.arange(len(sizes)), sizes)
     starts = starts_of(sizes)
-    keys = np.append(np.fromiter(map(word_key, words), np.uint64, len(words)), np.uint64(0))
+    keys = np.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.uint64(0))
     # each text is followed by so many empty places that no walk reaches the next
     pad, walk = len(words), items.walk
     begins = starts + np.arange(len(starts)) * walk
@@ -234,18 +242,24 @@ def _hits(table: pa.Table, items: SimpleNamespace) -> list[tuple[int, int, int,
     candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
     for table in items.tables:
         codes_ = directions[table.backward]
-        wanted = np.append(_filter(keys[:pad], table.firsts), False)
+        # the first place sampled is that of the first word, so each word is looked up there once, not at every place
+        firsts = _joined(np.zeros(pad, np.uint64), keys[:pad])
+        wanted = np.append(_filter(keys[:pad], table.firsts) & _filter(firsts, table.prefixes[0]), False) if table.prefixes else np.zeros(pad + 1, bool)
+        firsts = np.append(firsts, np.uint64(0))
         bits = _bits(keys, table.salt)
         bits[pad] = 0
         origin = np.flatnonzero(wanted[codes_])
-        pointer, key, j = origin.copy(), np.zeros(len(origin), np.uint64), 0
+        pointer, code, j = origin, codes_[origin], 0
+        key = firsts[code]
         for level, prefixes in enumerate(table.prefixes):
             while j < table.places[level]:
-                pointer += ((bits[codes_[pointer]] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+                pointer = pointer + ((bits >> np.uint64(j)) & np.uint64(1)).astype(np.int64)[code]
+                code = codes_[pointer]
                 j += 1
-            key = _joined(key, keys[codes_[pointer]])
-            keep = _filter(key, prefixes)
-            pointer, origin, key = pointer[keep], origin[keep], key[keep]
+            if level:
+                key = _joined(key, keys[code])
+                keep = _filter(key, prefixes)
+                pointer, origin, key, code = pointer[keep], origin[keep], key[keep], code[keep]
             final = table.final[level]
             if final:
                 ended = np.flatnonzero(_filter(key, np.array(sorted(final), np.uint64)))
@@ -255,13 +269,15 @@ def _hits(table: pa.Table, items: SimpleNamespace) -> list[tuple[int, int, int,
                         offset = first - anchor
                         candidates[row, number].add(int(sizes[row]) - offset - len(items.items[number][1]) if table.backward else offset)
     out = []
-    hashes = [np.array([word_key(w) for w in item], np.uint64) for _, item in items.items]
+    hashes = [np.unique(np.array([word_key(w) for w in item], np.uint64)) for _, item in items.items]
     for (row, number), offsets in candidates.items():
         item_id, item = items.items[number]
         limit = items.limits[number]
         a, b = int(starts[row]), int(starts[row + 1])
         # a match holds all but ``limit`` of the item's words, so a stretch with fewer of them cannot have one
-        seen = starts_of(np.isin(keys[at_[a:b]], hashes[number]).astype(np.int64))
+        own = keys[at_[a:b]]
+        held = hashes[number][np.minimum(np.searchsorted(hashes[number], own), len(hashes[number]) - 1)]
+        seen = starts_of((held == own).astype(np.int64))
         offsets_ = np.array(sorted(offsets))
         low, high = np.maximum(0, offsets_ - 2 * limit), np.minimum(b - a, offsets_ + len(item) + 2 * limit)
         enough = np.flatnonzero(seen[np.maximum(high, 0)] - seen[np.minimum(low, b - a)] >= len(item) - limit)

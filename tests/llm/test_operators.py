@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -720,3 +721,23 @@ def test_simhash_links_send_no_probes_to_every_executor(spark, tmp_path):
     found = simhash.links(spark.read.parquet(path))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r["a"], r["b"]) for r in found.collect()} == {(0, 7), (0, 1 << 40), (7, 15)}
+
+
+def test_decontamination_codes_words_of_a_block():
+    """Words coded by piece: white space of any kind, signs in and around words, nulls, several chunks."""
+    texts = ["One two,\tTHREE\n\n--  four_five", None, "", "  six\x1cseven 'eight' ", "__ İx Σ", "two, one"]
+    words, at, sizes = decontam._words_coded(pa.chunked_array([pa.array(texts[:3], pa.string()), pa.array(texts[3:], pa.string())]))
+    ends = sizes.cumsum().tolist()
+    assert [[words[c] for c in at[e - n : e].tolist()] for e, n in zip(ends, sizes.tolist())] == [decontam.words_of(t) for t in texts]
+
+
+def test_decontamination_looks_first_words_up_once(monkeypatch):
+    """The first place of a walk is looked up by word: a word that fills a block is no more work there than another."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    block = decontam.tables_of([(1, item)])
+    asked, look = [], decontam._filter
+    monkeypatch.setattr(decontam, "_filter", lambda keys, allowed: asked.append((len(keys), len(allowed))) or look(keys, allowed))
+    text = "alpha " * 5_000 + item
+    hits = decontam._hits(pa.table({"text": pa.array([text], pa.string())}), block)
+    assert hits == [(0, 0, 0, 5_000, 5_010)]
+    assert sum(n for n, _ in asked) < 5_000 * sum(len(t.prefixes) for t in block.tables)
