@@ -31,6 +31,8 @@ MAX_BITS = 3
 SEED = 42
 #: Shingles hashed and added up at a time.
 STEP = 65_536
+#: Texts of a batch that are Python objects at a time.
+TEXTS = 256
 
 
 def fingerprint_of(text: str | bytes | None, words: int = SHINGLE_WORDS) -> int:
@@ -56,7 +58,9 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, key: str = "doc_id
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint_of(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
+            texts = batch.column(1).cast(pa.binary())
+            parts = (texts.slice(k, TEXTS).to_pylist() for k in range(0, len(texts), TEXTS))
+            prints = np.fromiter((fingerprint_of(t, words) for part in parts for t in part), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=[key, "fingerprint"])
 
     rows = docs.select((F.col(key).cast("long") if key == "doc_id" else F.col(key)).alias(key), F.col("text").cast("string").alias("text"))
@@ -101,15 +105,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows of each round are written to the shared folder.  Only nodes with links
     take part in the rounds.
     """
+    n = 2 * edges.count()
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
     pairs = written(
-        both.join(nodes.withColumnRenamed("label", "from"), "node").join(nodes.toDF("other", "to"), "other").select("from", "to"), "links"
+        both.join(nodes.withColumnRenamed("label", "from"), "node").join(nodes.toDF("other", "to"), "other").select("from", "to"), "links", n
     )
     # parent: label -> smaller label of its component; pairs: links between labels that are not yet one
-    parent = written(pairs.groupBy("from").agg(F.min(F.least("from", "to")).alias("parent")).select(F.col("from").alias("label"), "parent"), "labels")
+    parent = written(pairs.groupBy("from").agg(F.min(F.least("from", "to")).alias("parent")).select(F.col("from").alias("label"), "parent"), "labels", n)
+    n_labels = parent.count()
     while True:  # every round lowers a label or joins two trees, so the rounds end
         up = parent.select(F.col("label").alias("parent"), F.col("parent").alias("up"))
-        jumped = written(parent.join(up, "parent").select("label", F.col("up").alias("parent")), "labels")
+        jumped = written(parent.join(up, "parent").select("label", F.col("up").alias("parent")), "labels", n_labels)
         moved = jumped.join(parent.withColumnRenamed("parent", "old"), "label").where("parent <> old").limit(1).count()
         if moved:  # flatten the trees before looking beside them
             parent = jumped
@@ -117,12 +123,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         root = parent.select(F.col("label").alias("from"), F.col("parent").alias("from_root"))
         other = parent.select(F.col("label").alias("to"), F.col("parent").alias("to_root"))
         beside = pairs.join(root, "from").join(other, "to").where("from_root <> to_root").select(F.col("from_root").alias("from"), F.col("to_root").alias("to"))
-        pairs = written(beside.distinct(), "links")
+        pairs = written(beside.distinct(), "links", n)
         hooks = pairs.groupBy("from").agg(F.min("to").alias("hook")).where("hook < from")
         if not hooks.limit(1).count():
             break
         parent = written(
-            parent.join(hooks, parent["label"] == hooks["from"], "left").select("label", F.coalesce("hook", "parent").alias("parent")), "labels"
+            parent.join(hooks, parent["label"] == hooks["from"], "left").select("label", F.coalesce("hook", "parent").alias("parent")), "labels", n_labels
         )
     return nodes.join(parent, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
 
@@ -130,14 +136,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of the rows, and for each distinct one the label of its component."""
     prints = written(fingerprints(docs, words), "fingerprints")
+    n = prints.count()
     # a distinct fingerprint stands for all its copies; labels sort by (without id, id, fingerprint), so the
     # smallest label of a component holds its smallest doc_id
-    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "classes", n)
     edges = written(links(classes.select("fingerprint"), max_bits), "edges")
     no_id = F.col("doc_id").isNull()
     label = F.struct(no_id.alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.when(no_id, F.col("fingerprint")).alias("fingerprint"))
     found = components(classes.select(F.col("fingerprint").alias("node"), label.alias("label")), edges)
-    return prints, written(found.select(F.col("node").alias("fingerprint"), "label"), "components")
+    return prints, written(found.select(F.col("node").alias("fingerprint"), "label"), "components", n)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -166,11 +173,12 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX
     """
     names = docs.columns
     rows = docs.withColumn("__row", F.col(key) if key else row_key(docs))
-    id_of = written(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("id")).distinct(), "rows")
     prints = written(fingerprints(rows, words, "__row").withColumnRenamed("__row", "row"), "fingerprints")
+    n = prints.count()
+    id_of = written(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("id")).distinct(), "rows", n)
     label = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("doc_id"), F.col("row"))
     # a row's text follows from its key, so that no two fingerprints share a label
-    classes = written(prints.distinct().join(id_of, "row").groupBy("fingerprint").agg(F.min(label).alias("label")), "classes")
+    classes = written(prints.distinct().join(id_of, "row").groupBy("fingerprint").agg(F.min(label).alias("label")), "classes", n)
     edges = written(links(classes.select("fingerprint"), max_bits), "edges")
     kept = components(classes.select(F.col("fingerprint").alias("node"), "label"), edges).select(F.col("label.row").alias("__row")).distinct()
     return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*names)

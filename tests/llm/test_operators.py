@@ -723,6 +723,32 @@ def test_simhash_links_send_no_probes_to_every_executor(spark, tmp_path):
     assert {(r["a"], r["b"]) for r in found.collect()} == {(0, 7), (0, 1 << 40), (7, 15)}
 
 
+def test_small_tables_go_to_few_files(spark, monkeypatch):
+    """Tables whose rows are counted have a file for some thousand rows, not one for each shuffle partition."""
+    made, path_of = [], shared.shared_path
+    monkeypatch.setattr(shared, "shared_path", lambda session, name: made.append((name, path_of(session, name))) or made[-1][1])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        nodes = spark.range(60).select(F.col("id").alias("node"), F.struct(F.col("id").alias("x")).alias("label"))
+        edges = spark.range(59).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        assert {r["label"]["x"] for r in simhash.components(nodes, edges).collect()} == {0}
+        kept = simhash.one_of_each(_docs(spark, [*_texts(3, 50, 200, 300), None, "", "the sea"])).collect()
+        assert len(kept) == 52  # null and empty text are one
+        grams = sorted({("\x02" + w)[max(0, i - 2) : i + 1] for w in WORDS for i in range(1, len(w) + 1)})
+        counts = spark.createDataFrame([("x", g, 1) for g in grams], "class string, gram string, n long")
+        assert charlm.log_probabilities(counts.select("gram"), counts, ["x"], 3, False).count() == len(grams)
+        files = {}
+        for name, path in made:
+            files.setdefault(name, []).append(len(spark.read.parquet(path).inputFiles()))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {name: max(n) for name, n in files.items() if name in ("links", "labels", "rows", "classes", "own", "rest", "level")} == dict.fromkeys(("links", "labels", "rows", "classes", "own", "rest", "level"), 1)
+    assert shared.written(spark.range(0, 10, 1, 5), "many", 10 * shared.FILE_ROWS).count() == 10 and len(spark.read.parquet(made[-1][1]).inputFiles()) == 5
+
+
 def test_decontamination_codes_words_of_a_block():
     """Words coded by piece: white space of any kind, signs in and around words, nulls, several chunks."""
     texts = ["One two,\tTHREE\n\n--  four_five", None, "", "  six\x1cseven 'eight' ", "__ İx Σ", "two, one"]
