@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewise.llm.blocks import give_back
 from tablewise.llm.shared import row_key, written
 
 SHINGLE_WORDS = 3
@@ -62,6 +63,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, key: str = "doc_id
             parts = (texts.slice(k, TEXTS).to_pylist() for k in range(0, len(texts), TEXTS))
             prints = np.fromiter((fingerprint_of(t, words) for part in parts for t in part), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=[key, "fingerprint"])
+        give_back()
 
     rows = docs.select((F.col(key).cast("long") if key == "doc_id" else F.col(key)).alias(key), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(hashed, f"`{key}` {rows.schema[key].dataType.simpleString()}, fingerprint long")

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from tablewise.llm import bpe, charlm, decontam, fixity, interpolation, knn, langid, licences, quality, registered, shared, simhash, urls
+from tablewise.llm import blocks, bpe, charlm, decontam, fixity, interpolation, knn, langid, licences, quality, registered, shared, simhash, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block string, component_id int, ids string"
 WORDS = "the river runs over old stone while birds sing about rain and wind near a quiet village by the sea".split()
@@ -749,6 +750,20 @@ def test_small_tables_go_to_few_files(spark, monkeypatch):
     assert shared.written(spark.range(0, 10, 1, 5), "many", 10 * shared.FILE_ROWS).count() == 10 and len(spark.read.parquet(made[-1][1]).inputFiles()) == 5
 
 
+def test_blocks_are_freed_before_memory_is_given_back(monkeypatch):
+    """A worker that has ended its task holds no block, the last one neither."""
+    held, freed = [], []
+    monkeypatch.setattr(blocks, "give_back", lambda: freed.append([r() is None for r in held]))
+
+    def work(table):
+        held.append(weakref.ref(table))
+        yield table.num_rows
+
+    batches = [pa.record_batch({"text": ["a" * 10] * 4})] * 2
+    assert list(blocks.each_block(iter(batches), work, 40)) == [4, 4]
+    assert freed[0] == [True] and freed[-1] == [True, True]
+
+
 def test_decontamination_codes_words_of_a_block():
     """Words coded by piece: white space of any kind, signs in and around words, nulls, several chunks."""
     texts = ["One two,\tTHREE\n\n--  four_five", None, "", "  six\x1cseven 'eight' ", "__ İx Σ", "two, one"]
