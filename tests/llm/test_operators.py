@@ -317,6 +317,37 @@ def test_quality_of_rare_languages(spark):
             assert sum(not got[i]["keep"] for i in part) <= 0.1 * len(part)
 
 
+def test_quality_learns_from_all_trusted_documents(spark):
+    """However many documents are trusted, the model is fitted on all but the held-back ones."""
+    n = 130_000
+    ids = spark.range(n).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"))
+    late = {r["doc_id"] for r in ids.orderBy("h", "doc_id").tail(25_000)}  # beyond the first 100 000 by hash
+    fitted = spark.range(n).where(F.pmod(F.xxhash64("id"), F.lit(quality.HELD_EVERY)) != 0)
+    few = sorted(late & {r["id"] for r in fitted.collect()})[::50]
+    text = F.when(F.col("id").isin(few), "zebra").otherwise("river")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = quality.classify(docs, labels)
+    assert got.count() == n
+    # what was seen 300 times in 100 000 is no surprise from its second character on
+    assert len(few) > 300 and got.where(F.col("doc_id").isin(few)).agg(F.max("perplexity")).first()[0] < 5
+
+
+def test_learning_places(spark):
+    """The ids of every block marked by a shuffle of ids: nulls, repeated ids, empty blocks; equal to a plain look-up."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(60)]), rng.choice([None, "", "the sea", "a village " * 9])) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    learned = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    found = charlm.learning_places(docs, learned, 200)
+    tables = list(blocks.blocks_of([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])], "text", 200))
+    assert len(tables) > 10 and {charlm._ids_key(t) for t in tables} == set(found)
+    for t in tables:
+        flags = np.unpackbits(np.frombuffer(found[charlm._ids_key(t)], np.uint8), count=t.num_rows).tolist()
+        assert flags == [int(i is not None and i % 3 == 0) for i in t.column("doc_id").to_pylist()]
+    assert set(charlm.learning_places(docs, learned.where("false"), 200).values()) == {b""}
+
+
 # ------------------------------------------------------------------ 5
 def _records(spark, rows):
     return spark.createDataFrame(rows, "file string, number long, offset long, data binary, node int, hash string")
